@@ -9,6 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 
 
+def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and decision for every document, learnt from labels outside the held-out fold."""
+    from tessera.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mixture of sources by tempered shares."""
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: strong patterns and linked parts of credentials."""
+    from tessera.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("secrets")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and hashes of ids and of decoded bytes, for every document."""
     import public_tokenizers
@@ -19,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {f.__name__: f for f in (op4_quality_ftrl, op7_pfair_mixing, op9_secret_links, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
