@@ -157,3 +157,37 @@ def chain(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     for k in range(1, n):
         out = join_hash(out, h[first + k])
     return out, bounds
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component: the least node that each node of edges(a, b) reaches.
+
+    Alternating large and small stars. A node's least neighbour is found by
+    partial aggregation, and joined to its edges by a sort-merge join, which
+    splits a hot node's edges over tasks. Each round is a table in the shared
+    folder; nothing but counts reaches the driver.
+    """
+
+    def star(pairs: DataFrame, small: bool) -> DataFrame:
+        both = pairs if small else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        moved = both.hint("merge").join(least, "a")
+        if small:
+            out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        else:
+            out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return out.where(F.col("a") != F.col("b")).distinct()
+
+    mark = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    # a is the greater end throughout
+    now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges0")
+    state, k = tuple(now.agg(*mark).first()), 0
+    while state[0]:
+        k += 1
+        large = star(now, small=False)
+        new = scratch.keep(star(large, small=True), f"edges{k}")
+        scratch.drop(f"edges{k - 1}")
+        now, before, state = new, state, tuple(new.agg(*mark).first())
+        if state == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
 
+def op3_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of every hundredth vector, exactly."""
+    from tessera.llm.topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score and decision for every document, learnt from labels outside the held-out fold."""
     from tessera.llm.quality import classify
@@ -23,6 +31,13 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings."""
+    from tessera.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: strong patterns and linked parts of credentials."""
     from tessera.llm.secrets import scan
@@ -40,7 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_ftrl, op7_pfair_mixing, op9_secret_links, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_block_top_k, op4_quality_ftrl, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
