@@ -6,12 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    from tessera.llm.quality import keep_good
+
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    from tessera.llm.near import keep_one
+
+    return keep_one(docs, words=5, least=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are taken out of the texts; no document goes."""
+    from tessera.llm.secrets import redact
+
+    return redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come in the order of a mixture of sources by tempered shares; none goes."""
+    from tessera.llm.mixing import arrange
+
+    return arrange(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and hashes of ids and of decoded bytes."""
     import public_tokenizers
 
     from tessera.llm.bpe import encode_decode
@@ -19,7 +48,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("byte-level BPE encoding and decoding", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
 ORACLE_SQL: str | None = None
 

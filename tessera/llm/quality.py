@@ -102,6 +102,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return model.weights()
 
 
+def probability(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    at, x, bounds = features(texts)
+    sums = np.concatenate([[0.0], np.cumsum(weights[at] * x)])
+    return 1 / (1 + np.exp(-(sums[bounds[1:]] - sums[bounds[:-1]] + weights[-1])))
+
+
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
@@ -114,9 +120,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for part in slices(batches):
-            at, x, bounds = features(part.column("text"))
-            sums = np.concatenate([[0.0], np.cumsum(w[at] * x)])
-            p = 1 / (1 + np.exp(-(sums[bounds[1:]] - sums[bounds[:-1]] + w[-1])))
+            p = probability(part.column("text"), w)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("held_out", F.coalesce(fold() == 0, F.lit(False)))
@@ -126,3 +130,15 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Scores documents by weights that are learnt from the same documents' labels."""
     return score(docs, train(docs, labels), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns; nothing is shuffled."""
+    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels).astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        for part in slices(batches):
+            yield part.filter(pa.array(probability(part.column("text"), w) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

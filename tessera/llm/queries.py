@@ -24,6 +24,13 @@ def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, 85 % alike."""
+    from tessera.llm.near import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, least=85)
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in a mixture of sources by tempered shares."""
     from tessera.llm.mixing import mix
@@ -55,7 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_block_top_k, op4_quality_ftrl, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
