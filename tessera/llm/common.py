@@ -67,14 +67,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into runs of rows of about `limit` text bytes; a longer text is a run of its own."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into runs of at most `rows` rows and about `limit` text bytes; a longer text is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size) // limit
-        edges = np.flatnonzero(np.diff(part)) + 1
+        edges = np.flatnonzero((np.diff(part) > 0) | (np.arange(1, batch.num_rows) % rows == 0)) + 1
         for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
 

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log probabilities of every document, learnt outside the held-out fold."""
+    from tessera.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte strings of earlier documents."""
     from tessera.llm.repeats import deduplicate
@@ -69,7 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
