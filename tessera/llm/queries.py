@@ -45,6 +45,13 @@ def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, least=85)
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: patterns and what the field adds."""
+    from tessera.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in a mixture of sources by tempered shares."""
     from tessera.llm.mixing import mix
@@ -76,7 +83,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
