@@ -191,3 +191,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def forest(edges: np.ndarray) -> np.ndarray:
+    """A star forest with the components of the edges: each node with its root."""
+    nodes, flat = np.unique(edges, return_inverse=True)
+    a, b = flat.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[root]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[root[moved]]])

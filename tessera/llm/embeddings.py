@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, components
+from tessera.llm.common import Scratch, components, forest
 
 #: Rows to fit the axes on at most, axes, rows of a block, rows of a run within blocks.
 SAMPLE, AXES, BLOCK, RUN = 4096, 8, 2048, 128
@@ -243,24 +243,3 @@ def halves(run: tuple[int, int], least: int) -> list[tuple[int, int]]:
         return [run]
     mid = lo + -(-(hi - lo) // (2 * least)) * least
     return [(lo, mid), (mid, hi)] if mid < hi else [run]
-
-
-def forest(edges: np.ndarray) -> np.ndarray:
-    """A star forest with the components of the edges: each node with its root."""
-    nodes, flat = np.unique(edges, return_inverse=True)
-    a, b = flat.reshape(2, -1)
-    root = np.arange(len(nodes))
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], least)
-        np.minimum.at(new, root[b], least)
-        new = new[new]
-        while (new[new] != new).any():
-            new = new[new]
-        new = new[root]
-        if (new == root).all():
-            break
-        root = new
-    moved = root != np.arange(len(nodes))
-    return np.stack([nodes[moved], nodes[root[moved]]])

@@ -7,28 +7,33 @@ go. In a list, nodes are compared by the number of coordinates on which they
 collide; a pair is taken in the first list only in which it meets, others skip
 it. Pairs above the match threshold are confirmed on full shingle sets.
 
-First each node is held against leaders of its lists, which finds most
-components with about one comparison a node. Then every pair of different
-components that meets in a list is held to the threshold, so that no link
-between components is lost, while pairs inside a component are skipped.
+Pairs that collide often enough join their nodes into units, of which only a
+spanning forest is sent on. Each unit's full sets then meet once, in tiles of
+bounded size, and exact intersections say which pairs are links; again only a
+forest goes on. Lists and units that are larger than a tile are first joined
+within chunks; nodes outside the largest component so far then meet all the
+others, so that no link between components is lost and pairs inside one are
+skipped.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, Tokens, chain, components, join_hash, mix, slices
+from tessera.llm.common import Scratch, Tokens, chain, components, forest, join_hash, mix, slices
 
 #: Coordinates of a signature, chance to lose a link, nodes of a list that one task compares at once.
 COORDINATES, MISS, LIST = 64, 1e-9, 1024
-#: Leader rounds; bits of the filter that says which documents' sets are needed (its size doesn't depend on the corpus).
-ROUNDS, FILTER_BITS = 2, 24
+#: Nodes of a unit whose full sets meet in one task.
+UNIT = 512
+#: Bits of the filter that says which documents' sets are needed (its size doesn't depend on the corpus).
+FILTER_BITS = 24
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -141,139 +146,171 @@ def keep_one(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
 
 
 def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix: int, matches: int, scratch: Scratch) -> DataFrame:
-    """a, b: links of nodes that hold their components together."""
+    """a, b: confirmed links of nodes that hold their components together."""
     spark = docs.sparkSession
     posted = nodes.select("node", F.posexplode("prefix").alias("c", "v")).select("node", (F.col("c").cast("long") * 2**32 + F.col("v").cast("long") + 2**31).alias("list"))
     counts = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     posted = scratch.keep(posted.hint("merge").join(counts, "list"), "posted")
-
-    sets, links, label = None, None, None
-    for r in range(ROUNDS + 1):
-        final = r == ROUNDS
-        entries = posted
-        if label is not None:
-            entries = entries.join(label.withColumnRenamed("component", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-            entries = scratch.keep(entries, f"labelled{r}")
-            per = entries.groupBy("list", "own").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("one"))
-            mixed = per.groupBy("list").agg(F.count(F.lit(1)).alias("owns"), F.max_by("own", F.struct("k", "own")).alias("most"), F.sum("k").alias("size")).where("owns > 1")
-            if final:
-                entries = entries.drop("size").hint("merge").join(mixed, "list")
-            else:  # one node stands for each component of a list
-                entries = per.join(mixed.select("list", F.col("owns").alias("size")), "list").select("list", F.col("one").alias("node"), "own", "size")
-        else:
-            entries = entries.withColumn("own", F.col("node"))
-        chunks = F.ceil(F.col("size") / LIST).cast("int")
-        own_chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-        if final:
-            # Nodes outside a list's largest component meet all of its chunks.
-            everywhere = F.col("own") != F.col("most")
-            entries = entries.withColumn("home", own_chunk).withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("home"))))
-        else:
-            entries = entries.withColumn("home", own_chunk).withColumn("chunk", F.col("home"))
-        entries = entries.select("list", "chunk", "home", "node", "own").join(nodes.select("node", "prefix", "rest"), "node")
-        entries = entries.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "node")
-        found = entries.mapInArrow(lambda it, f=final: compare(it, prefix, matches, least, f), "a long, b long, n int")
-        if final:
-            pairs = scratch.keep(found.select("a", "b").distinct(), "pairs")
-        else:
-            best = found.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.count(F.lit(1)).alias("n"))
-            pairs = scratch.keep(best.select("a", "b"), f"pairs{r}")
-        known = sets
-        sets = fetch_sets(docs, nodes, pairs, words, scratch, f"sets{r}")
-        if known is not None:
-            sets = sets.unionByName(known)
-        new = scratch.keep(confirm(pairs, sets, least), f"links{r}")
-        links = new if links is None else links.unionByName(new)
-        if not final:
-            label = components(links, Scratch(spark, f"labels{r}"))
+    signed = nodes.select("node", "prefix", "rest")
+
+    def meet(entries: DataFrame) -> DataFrame:
+        full = entries.join(signed, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+        return full.select("group", "i", "j", "side", "node", "own", "prefix", "rest").mapInArrow(lambda it: candidates(it, prefix, matches), "a long, b long")
+
+    pairs = scratch.keep(meet(tiles(posted.withColumnRenamed("list", "group"), LIST)), "pairs")
+    units = components(pairs, Scratch(spark, "units"))
+    if posted.where(F.col("size") > LIST).limit(1).count():
+        entries = posted.where(F.col("size") > LIST).withColumnRenamed("list", "group").drop("size")
+        more = scratch.keep(meet(tiles(labelled(entries, units), LIST)), "more-pairs")
+        units = components(pairs.unionByName(more), Scratch(spark, "units"))
+
+    members = scratch.keep(units.select("node", F.col("component").alias("group")), "units")
+    sets = fetch_sets(docs, nodes, members, words, scratch, "sets")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    members = scratch.keep(members.hint("merge").join(sizes, "group"), "sized")
+
+    def confirm(entries: DataFrame) -> DataFrame:
+        full = entries.join(sets, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+        return full.select("group", "i", "j", "side", "node", "own", "grams").mapInArrow(lambda it: confirmed(it, least), "a long, b long")
+
+    links = scratch.keep(confirm(tiles(members, UNIT)), "links")
+    if members.where(F.col("size") > UNIT).limit(1).count():
+        entries = members.where(F.col("size") > UNIT).drop("size")
+        label = components(links, Scratch(spark, "parts"))
+        links = links.unionByName(scratch.keep(confirm(tiles(labelled(entries, label), UNIT)), "more-links"))
     return links
 
 
-def compare(batches: Iterator[pa.RecordBatch], prefix: int, matches: int, least: int, final: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list's chunk that collide often enough: leaders, or finally all of different components."""
-    for list_, home, node, own, head, rest in groups(batches, prefix):
-        pairs = across(list_, home, node, own, head, rest, matches) if final else leaders(node, own, head, rest, matches, least)
-        if len(pairs):
-            a, b, n = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "n"])
+def labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """entries of groups with several components: own, the component, and minor, whether it isn't the group's largest."""
+    own = entries.join(label, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    per = own.groupBy("group", "own").agg(F.count(F.lit(1)).alias("k"))
+    mixed = per.groupBy("group").agg(F.count(F.lit(1)).alias("owns"), F.max_by("own", F.struct("k", "own")).alias("most"), F.sum("k").alias("size"), F.max("k").alias("top")).where("owns > 1")
+    return own.hint("merge").join(mixed, "group").select("group", "node", "own", "size", (F.col("own") != F.col("most")).alias("minor"), (F.col("size") - F.col("top")).alias("minors"))
 
 
-def groups(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[tuple]:
-    """The rows of each (list, chunk) that has at least two; they come sorted, over any number of batches."""
-    held: list[tuple] = []
+def tiles(entries: DataFrame, rows: int) -> DataFrame:
+    """entries dealt out as group, i, j, side.
 
-    def arrays(b: pa.RecordBatch) -> tuple:
-        n = b.num_rows
-        col = {c: b.column(c).to_numpy() for c in ("list", "chunk", "home", "node", "own")}
-        head = b.column("prefix").flatten().to_numpy().reshape(n, prefix)
-        width = COORDINATES - prefix
-        rest = np.frombuffer(b"".join(b.column("rest").to_pylist()), np.uint8).reshape(n, width)
-        return col["list"], col["chunk"], col["home"], col["node"], col["own"], head, rest
+    Without labels a group is cut into chunks of about `rows` nodes by hash,
+    each a tile of its own: what is missed between chunks is left to a second
+    round. With labels, chunks of all nodes meet chunks of the minor ones:
+    together with what labels say, every pair of different components.
+    """
+    chunks = F.ceil(F.col("size") / rows).cast("int")
+    i = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    if "minor" not in entries.columns:
+        return entries.select("group", i.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("own"))
+    few = F.ceil(F.col("minors") / rows).cast("int")
+    every = entries.select("group", i.alias("i"), F.explode(F.sequence(F.lit(0), few - 1)).alias("j"), F.lit(0).alias("side"), "node", "own")
+    minor = entries.where("minor").select("group", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), few).cast("int").alias("j"), F.lit(1).alias("side"), "node", "own")
+    return every.unionByName(minor)
+
+
+def candidates(batches: Iterator[pa.RecordBatch], prefix: int, matches: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the pairs in each tile that collide often enough."""
+    width = COORDINATES - prefix
+
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [b.column("prefix").flatten().to_numpy().reshape(-1, prefix), np.frombuffer(b"".join(b.column("rest").to_pylist()), np.uint8).reshape(-1, width)]
+
+    for list_, side, node, own, head, rest in groups(batches, columns):
+        pairs, two = [], bool(side.any())
+        coordinate = list_ >> 32
+        for k in np.flatnonzero(side == 0) if two else range(len(node) - 1):
+            those = np.flatnonzero((side == 1) & (own != own[k])) if two else np.arange(k + 1, len(node))
+            if coordinate and not two and len(those):  # what met in an earlier list is skipped
+                those = those[~(head[those, :coordinate] == head[k, :coordinate]).any(axis=1)]
+            if len(those):
+                n = (head[those] == head[k]).sum(axis=1) + (rest[those] == rest[k]).sum(axis=1)
+                if len(hit := those[n >= matches]):
+                    pairs.append(np.stack([np.full(len(hit), node[k]), node[hit]]))
+        if pairs:
+            yield edges(pairs)
+
+
+def confirmed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the pairs in each tile whose full sets are alike enough."""
+    for _, side, node, own, grams in groups(batches, lambda b: [np.array(b.column("grams").to_pylist(), object)]):
+        node, first = np.unique(node, return_index=True) if not side.any() else (node, np.arange(len(node)))
+        side, own = side[first], own[first]
+        sets = [np.frombuffer(x, np.uint64) for x in grams[first]]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        a, b = alike([sets[k] for k in left], [sets[k] for k in right], least)
+        a, b = left[a], right[b]
+        good = own[a] != own[b]
+        if good.any():
+            yield edges([np.stack([node[a[good]], node[b[good]]])])
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with 100 * intersection >= least * union, from exact intersection sizes."""
+    if len(left) * len(right) <= 16:
+        hit = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if fits(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), least)]
+        return np.array([i for i, _ in hit], np.int64), np.array([j for _, j in hit], np.int64)
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    names, where = np.unique(np.concatenate(left + right), return_inverse=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    at = sizes[0].sum()
+    parts = [(np.repeat(np.arange(len(s)), s), w) for s, w in zip(sizes, (where[:at], where[at:]), strict=True)]
+    shared = np.flatnonzero((np.bincount(parts[0][1], minlength=len(names)) > 0) & (np.bincount(parts[1][1], minlength=len(names)) > 0))
+    place = np.full(len(names), -1)
+    place[shared] = np.arange(len(shared))
+    for lo in range(0, len(shared), 4096):  # sums below 2**24 are exact in float32
+        grids = []
+        for (row, w), n in zip(parts, (len(left), len(right)), strict=True):
+            p = place[w] - lo
+            inside = (place[w] >= lo) & (p < 4096)
+            grid = np.zeros((n, min(4096, len(shared) - lo)), np.float32)
+            grid[row[inside], p[inside]] = 1
+            grids.append(grid)
+        total += grids[0] @ grids[1].T
+    return np.nonzero(fits(total.astype(np.int64), sizes[0][:, None], sizes[1][None, :], least))
+
+
+def fits(shared, a, b, least: int):  # noqa: ANN001, ANN201
+    return 100 * shared >= least * (a + b - shared)
+
+
+def edges(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    tree = forest(np.concatenate(pairs, axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(tree[0], pa.int64()), pa.array(tree[1], pa.int64())], ["a", "b"])
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[tuple]:
+    """group, side, node, own and more columns of each tile with at least two rows; rows come sorted, over any number of batches."""
+    held: list[tuple] = []
 
     def merged() -> Iterator[tuple]:
         if held:
             whole = held[0] if len(held) == 1 else tuple(np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if len(whole[0]) > 1:
-                yield int(whole[0][0]), *whole[2:]
+                yield int(whole[0][0]), *whole[3:]
 
     for b in batches:
         if not b.num_rows:
             continue
-        cols = arrays(b)
-        cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-        edges = [0, *cut.tolist(), b.num_rows]
-        if held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0]):
+        cols = tuple(b.column(c).to_numpy() for c in ("group", "i", "j", "side", "node", "own")) + tuple(columns(b))
+        new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        if held and any(held[-1][k][-1] != cols[k][0] for k in range(3)):
             yield from merged()
-        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if k:
                 yield from merged()
             held.append(tuple(c[lo:hi] for c in cols))
     yield from merged()
 
 
-def collisions(head: np.ndarray, rest: np.ndarray, i: int, those: np.ndarray | slice) -> np.ndarray:
-    return (head[those] == head[i]).sum(axis=1) + (rest[those] == rest[i]).sum(axis=1)
-
-
-def leaders(node: np.ndarray, own: np.ndarray, head: np.ndarray, rest: np.ndarray, matches: int, least: int) -> list[tuple]:
-    """Each node with the leader that it collides with most; a node that no leader is alike enough to leads itself."""
-    lead, out = [0], []
-    alike = round(COORDINATES * least / 100)
-    for i in range(1, len(node)):
-        those = np.array(lead)
-        n = collisions(head, rest, i, those)
-        k = int(n.argmax())
-        if n[k] >= matches and own[those[k]] != own[i]:
-            out.append((node[those[k]][None], node[i][None], n[k][None]))
-        if n[k] < alike:
-            lead.append(i)
-    return out
-
-
-def across(list_: int, home: np.ndarray, node: np.ndarray, own: np.ndarray, head: np.ndarray, rest: np.ndarray, matches: int) -> list[tuple]:
-    """All pairs of different components with enough collisions that don't meet in an earlier list."""
-    coordinate, out = list_ >> 32, []
-    for i in range(len(node) - 1):
-        those = np.flatnonzero(own[i + 1 :] != own[i]) + i + 1
-        if coordinate and len(those):
-            those = those[~(head[those, :coordinate] == head[i, :coordinate]).any(axis=1)]
-        if len(those):
-            n = collisions(head, rest, i, those)
-            good = n >= matches
-            if good.any():
-                out.append((np.full(int(good.sum()), node[i]), node[those[good]], n[good]))
-    return out
-
-
-def fetch_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
-    """node, grams of the nodes in pairs (and of some others); texts aren't moved.
+def fetch_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+    """node, grams of the nodes in members (and of some others); texts aren't moved.
 
     Which documents to look at is told by a bit table of fixed size over their
     ids; its errors cost a set each, and no more.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.select("node", "doc").join(asked, "node").select(F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit")).distinct()
+    ids = nodes.select("node", "doc").join(members.select("node"), "node").select(F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit")).distinct()
     bits = ids.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.sum(F.pow(F.lit(2.0), F.col("bit").bitwiseAND(F.lit(31)).cast("double"))).cast("long").alias("mask")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     table[bits["word"].to_numpy().astype(np.int64)] = bits["mask"].to_numpy().astype(np.uint32)
@@ -291,21 +328,3 @@ def fetch_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int,
 
     rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("bit"), F.col("text").cast("string").alias("text")).where("bit is not null")
     return scratch.keep(rows.mapInArrow(run, "node long, grams binary"), name)
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs whose full sets are alike enough. A leader of many nodes is a hot key of the last join, which is split."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good[k] = 100 * shared >= least * (len(both) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    joined = pairs.join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b").hint("merge").join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
