@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import histograms
+from tessera.plans import histograms, models, series, transforms
+
+_PLANS = (histograms, transforms, series, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for m in (histograms,) for k, q in m.QUERIES.items()}
+    return {k: q for m in _PLANS for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q for m in (histograms,) for k, q in m.SQL.items()}
+    return {k: q for m in _PLANS for k, q in m.SQL.items()}
