@@ -9,8 +9,6 @@ the k-th score found. Queries and vectors meet in tiles of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -87,7 +85,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
 
     Every vector meets every query in one tile; each tile sends on k rows a
     query, and these are ranked. Scores are exact: they stay below 2**53, or
-    whole-number arithmetic is used.
+    whole-number arithmetic is used; a score that a long can't hold is given
+    as the nearest that it can.
     """
     rows = usable(vectors)
     n, queries, width = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
@@ -117,10 +116,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _plainly(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _plainly(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Components too large for exact doubles: every row is scored, in Python's whole numbers."""
     out = []
     for q, row in zip(query_ids, asked, strict=True):
         scores = sorted((-(int(sum(a * b for a, b in zip(x, row, strict=True)))), int(i)) for i, x in zip(ids, data, strict=True) if i != q)[:k]
-        out.append((np.full(len(scores), q), np.array([i for _, i in scores], np.int64), np.array([-s for s, _ in scores], np.int64)))
+        out.append((np.full(len(scores), q), np.array([i for _, i in scores], np.int64), np.array([max(-(2**63), min(2**63 - 1, -s)) for s, _ in scores], np.int64)))
     return out
