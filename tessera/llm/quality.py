@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Tokens, as_bytes, fold, hash_all, join_hash, mix, slices
 
-#: Hash buckets as a power of two; labelled rows to learn from at most; passes over them.
-BITS, TRAIN_ROWS, EPOCHS = 20, 6000, 3
+#: Hash buckets as a power of two; labelled rows to learn from at most; updates in all, over as many passes as that takes.
+BITS, TRAIN_ROWS, UPDATES = 20, 6000, 18_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256)))
@@ -75,7 +75,7 @@ class Ftrl:
         self.n[at] += squared
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, updates: int = UPDATES) -> np.ndarray:
     """Weights learnt from the labelled rows outside the held-out fold.
 
     Of more than `rows` labelled documents, those with the least hash of
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     model = Ftrl()
     order = np.argsort(hash_all([b"%d" % x for x in found["doc_id"].to_pylist()], 3), kind="stable")
     ids, ys, ats, xs = (found[c].combine_chunks() if found.num_rows else [] for c in ("doc_id", "y", "at", "x"))
-    for _ in range(epochs):
+    for _ in range(-(-updates // len(order)) if len(order) else 0):
         for i in order:
             model.learn(ats[int(i)].values.to_numpy().astype(np.int64), xs[int(i)].values.to_numpy().astype(float), int(ys[int(i)].as_py() > 0))
     return model.weights()
