@@ -202,7 +202,44 @@ def parse_timescales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(numbers_after(F.col("text"), "version")).alias("n")).where("n > 0")
 
 
-QUERIES = {f.__name__: f for f in (weighted_mean_cov, lagged_cov, kish_size, class_means, feature_top, gram_matrix, lda_directions, window_bin_matrix, wham_steps, wham_weights, dham_weights, rho_rescale, systematic_sample, harmonic_capped, hills_sum, bias_composite, grid_interpolate, rbf_field, neighbour_counts, neighbour_by_class, neighbour_periodic, neighbour_triples, neighbour_nearest, koopman_modes, stationary_weights, round_validity, parse_timescales)}
+def trajectory_inefficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.frames import series_inefficiency
+
+    return series_inefficiency(events(spark, sf_dir), "user_id", ORDER, "value")
+
+
+def loaded_fes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan over events: trimmed, weighed over three made-up windows, summed to a free energy."""
+    from tessera.plans.loader import free_energy, load
+
+    rows = events(spark, sf_dir).withColumn("win", (F.col("user_id") % 3).cast("int"))
+    return free_energy(load(rows, "user_id", ORDER, "value", "win", lambda w, x: 1e-5 * (x - 100.0 * w) ** 2, skip=5, lag=1, key="event_id"))
+
+
+def lattice_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.frames import minkowski_reduce, per_frame
+
+    cell = F.array(*[F.slice("x", 3 * i + 1, 3) for i in range(3)])
+    return per_frame(vectors(spark, sf_dir).select("vec_id", cell.alias("cell")), ["cell"], lambda c: minkowski_reduce(c)[0], "reduced").select("vec_id", "reduced")
+
+
+def descriptor_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.frames import bessel_spectrum, per_frame
+
+    atoms = F.array(*[F.slice("x", 3 * i + 1, 3) for i in range(8)])
+    return per_frame(vectors(spark, sf_dir).select("vec_id", atoms.alias("atoms")), ["atoms"], bessel_spectrum, "spectrum").select("vec_id", "spectrum")
+
+
+def fitted_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Min-max scaling, then the directions that set labels apart."""
+    from tessera.operators.fit import MIN_MAX, discriminant
+
+    rows = vectors(spark, sf_dir)
+    f = (MIN_MAX * discriminant("label", 2)).fit(rows, "x", None)
+    return rows.select("vec_id", f(F.col("x")).alias("y"))
+
+
+QUERIES = {f.__name__: f for f in (weighted_mean_cov, lagged_cov, kish_size, class_means, feature_top, gram_matrix, lda_directions, window_bin_matrix, wham_steps, wham_weights, dham_weights, rho_rescale, systematic_sample, harmonic_capped, hills_sum, bias_composite, grid_interpolate, rbf_field, neighbour_counts, neighbour_by_class, neighbour_periodic, neighbour_triples, neighbour_nearest, koopman_modes, stationary_weights, trajectory_inefficiency, loaded_fes, lattice_reduced, descriptor_spectrum, fitted_pipeline, round_validity, parse_timescales)}
 
 _L = "l AS (SELECT l_quantity x0, l_extendedprice/1000 x1, l_tax*10 x2, 1-l_discount w FROM lineitem)"
 _PT = "p AS (SELECT p_partkey k, p_brand, p_partkey//400 f, CAST(p_size AS DOUBLE) x, p_retailprice/10 y FROM part)"

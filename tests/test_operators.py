@@ -203,3 +203,70 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) n from w_test").first()["n"] == 1000
+
+
+def test_known_lattice_and_scrambled_cells():
+    from tessera.functions import frames as fr
+
+    reduced, op = fr.minkowski_reduce(np.array([[2.0, 0, 0], [6, 1, 0], [8, 9, 1]]))
+    assert np.allclose(np.sort(np.abs(reduced), axis=0), np.sort(np.array([[0, 1, 0], [0, 0, 1], [2, 0, 0]]), axis=0))
+    rng = np.random.default_rng(5)
+    cell = np.diag([2.0, 3.0, 4.0]) + rng.normal(size=(3, 3)) * 0.1
+    for _ in range(10):
+        mixed = cell.copy()
+        for _ in range(6):
+            i, j = rng.choice(3, 2, replace=False)
+            mixed[i] += rng.integers(-2, 3) * mixed[j]
+        got, op = fr.minkowski_reduce(mixed)
+        assert np.allclose(op @ mixed, got)
+        assert np.allclose(np.linalg.norm(got, axis=1), np.sort(np.linalg.norm(cell, axis=1)), atol=1e-6)
+
+
+def test_descriptors_do_not_turn_with_the_frame():
+    from tessera.functions import frames as fr
+
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 3, size=(7, 3))
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    a, b = fr.bessel_spectrum(x), fr.bessel_spectrum(x @ q + rng.normal(size=3))
+    assert np.allclose(a, b)
+    assert fr.sinkhorn(a, b[rng.permutation(7)], 1e-3) < 1e-2
+    assert fr.sinkhorn(a, fr.bessel_spectrum(rng.uniform(0, 3, size=(7, 3))), 1e-3) > 1e-2
+    z = np.array([0.0, 0.5, 3.0, 10.0])
+    j = fr.spherical_jn(2, z)
+    assert np.allclose(j[2][1:], (3 / z[1:] ** 2 - 1) * np.sin(z[1:]) / z[1:] - 3 * np.cos(z[1:]) / z[1:] ** 2)
+
+
+def test_inefficiency_of_an_ar1_series():
+    from tessera.functions.frames import inefficiency
+
+    rng, a, x = np.random.default_rng(7), 0.7, [0.0]
+    for _ in range(60000):
+        x.append(a * x[-1] + rng.normal())
+    assert inefficiency(np.array(x)) == pytest.approx((1 + a) / (1 - a), rel=0.15)
+
+
+def test_estimators_compose(spark):
+    from tessera.operators.fit import MIN_MAX, STANDARDISE, whitened
+
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, [float(v) for v in (a, a + b, 3.0)]) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))], "i int, x array<double>")
+    f = (MIN_MAX * STANDARDISE * whitened()).fit(rows, "x", None)
+    y = np.array(rows.select(f(F.col("x")).alias("y")).toPandas()["y"].tolist())
+    assert np.allclose(np.cov(y.T, bias=True), np.eye(2), atol=1e-8)
+
+
+def test_loaded_free_energy_is_flat_for_even_windows(spark):
+    from tessera.plans.loader import free_energy, load
+
+    rng = np.random.default_rng(9)
+    rows, k = [], 0
+    for w, c in enumerate((0.35, 0.65)):  # even density under two harmonic windows
+        x = rng.uniform(0, 1, 40000)
+        x = x[rng.uniform(size=len(x)) < np.exp(-8 * (x - c) ** 2)]
+        rows += [(w, k + i, float(v)) for i, v in enumerate(x)]
+        k += len(x)
+    df = spark.createDataFrame(rows, "traj int, row_id long, x double")
+    weighed = load(df, "traj", ["row_id"], "x", "traj", lambda w, x: 8 * (x - (0.35, 0.65)[w]) ** 2, edges=11)
+    assert free_energy(weighed).toPandas()["f"].max() < 0.4  # kJ/mol: noise of a few percent
+    assert load(df, "traj", ["row_id"], "x", "traj", None, edges=11, size=50).count() == 50
