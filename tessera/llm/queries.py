@@ -86,5 +86,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
 
 
+_VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda e: e IS NULL OR NOT isfinite(e))) = 0)"""
+
+SQL = {
+    "op3_block_top_k": f"""WITH {_VECTORS}, w AS (SELECT vec_id, list_transform(x, lambda e: floor(1024 * e)) x FROM v),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) score FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "op7_pfair_mixing": """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') source, count(*) copies FROM documents GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 rank FROM d),
+c AS (SELECT source, count(*) n, pow(CAST(count(*) AS DOUBLE), 0.5) w FROM d GROUP BY source),
+i AS (SELECT source, n, w / sum(w) OVER () * 1000 ideal, row_number() OVER (ORDER BY source) - 1 i, count(*) OVER () k FROM c),
+f AS (SELECT *, greatest(1, floor(ideal)) fl, 1000 - sum(greatest(1, floor(ideal))) OVER () left_over FROM i),
+o AS (SELECT *, row_number() OVER (ORDER BY fl - ideal, i) pos, row_number() OVER (ORDER BY fl DESC, i) big FROM f),
+p AS (SELECT source, n, i, CAST(fl + CASE WHEN left_over > 0 THEN floor((left_over - pos + k) / k) WHEN big = 1 THEN left_over ELSE 0 END AS BIGINT) parts FROM o),
+l AS (SELECT list(parts ORDER BY i) parts FROM p),
+s AS (SELECT CAST(-1 AS BIGINT) t, list_transform(parts, lambda x: CAST(0 AS BIGINT)) counts, CAST(0 AS BIGINT) pick, parts FROM l
+  UNION ALL
+  SELECT t + 1, list_transform(counts, lambda x, j: x + CASE WHEN j = pk THEN 1 ELSE 0 END), pk, parts FROM (
+    SELECT t, counts, parts, CAST(list_position(dues, list_min(dues)) AS BIGINT) pk FROM (
+      SELECT t, counts, parts, list_transform(counts, lambda x, j: CASE WHEN x < parts[j] AND x * 1000 // parts[j] <= t + 1 THEN ((x + 1) * 1000 + parts[j] - 1) // parts[j] ELSE 1000000000 END) dues FROM s WHERE t < 999))),
+q AS (SELECT pick - 1 i, t slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 turn FROM s WHERE t >= 0),
+e AS (SELECT min(n // 16 // parts * 1000 + slot) ends FROM p JOIN q ON p.i = q.i AND q.turn = n // 16 % parts),
+b AS (SELECT r.*, rank // 16 block, parts, i FROM r JOIN p USING (source))
+SELECT doc_id, source, copies, rank, block, block // parts * 1000 + slot AS slot, block * 1000 // parts AS release, ((block + 1) * 1000 + parts - 1) // parts AS deadline,
+  (block // parts * 1000 + slot) * 16 + rank % 16 AS position, block // parts * 1000 + slot < ends AS on_target
+FROM b JOIN q ON b.i = q.i AND q.turn = block % parts CROSS JOIN e""",
+    "op8_grid_order_join": f"""WITH RECURSIVE {_VECTORS}, l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, a.x) > 0 AND list_dot_product(b.x, b.x) > 0
+  AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.95),
+r AS (SELECT vec_id node, vec_id reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+n AS (SELECT a, count(*) n FROM l GROUP BY a), m AS (SELECT node, min(reach) m FROM r GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN m ON vec_id = node LEFT JOIN n ON vec_id = a""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
