@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -42,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
@@ -62,6 +64,11 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path) if not by else self.spark.read.parquet(path)
 
+    def free(self) -> None:
+        """Has shuffle files of finished passes deleted: Spark does so once no plan refers to them and the driver has collected garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

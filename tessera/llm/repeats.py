@@ -36,6 +36,7 @@ SLOT_BITS, ASK_BITS, SHARDS = 28, 25, 64
 #: Text bytes worked on at once, and bits of a place within them.
 PIECE, PLACE_BITS = 2 << 20, 22
 
+_W = np.random.default_rng(6).integers(1, 2**63, 7, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.random.default_rng(5).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,8 +74,9 @@ class Anchors:
         rest = WINDOWS - 16
         best[:-rest] = np.minimum(best[:-rest], best[rest:])
         # Windows that start in lo..hi and end inside their text.
-        owner = np.searchsorted(off, np.arange(lo, hi), side="right") - 1 if len(off) > 2 else np.zeros(hi - lo, np.int64)
-        starts = np.flatnonzero(np.arange(lo, hi) + LENGTH <= off[owner + 1])
+        owner = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(np.clip(off, lo, hi)))
+        room = np.repeat(off[1:] - LENGTH - lo, np.diff(np.clip(off, lo, hi))).astype(np.int32)
+        starts = np.flatnonzero(room >= np.arange(hi - lo, dtype=np.int32))
         anchor, owner = (best[starts] & low).astype(np.int64), owner[starts]
         cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(starts) != 1)])) if len(starts) else np.zeros(0, np.int64)
         first, count, a, doc = starts[cut], np.diff(np.append(cut, len(starts))), anchor[cut], owner[cut]
@@ -82,10 +84,10 @@ class Anchors:
         if not full:
             none = np.zeros(0, np.uint64)
             return doc, first + lo - off[doc], count, key1, none, none, none, a + lo
-        w = v[:n] * _C[3]
-        for k in range(1, 6):
-            w += v[8 * k : n + 8 * k] * _C[3] * np.uint64(2 * k + 1) ** np.uint64(3) ^ np.uint64(k)
-        w = mix(w + v[LENGTH - 8 : n + LENGTH - 8] * _C[4])
+        w = v[LENGTH - 8 : n + LENGTH - 8] * _W[6]
+        for k in range(6):
+            w += v[8 * k : n + 8 * k] * _W[k]
+        w = mix(w)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w)])
         key2 = join_hash(sums[first + count] - sums[first], ((a - first) << 8 | count).astype(np.uint64))
         reach_l, reach_r = a - first >= HALF, first + count - 1 >= a - HALF
@@ -157,6 +159,8 @@ def repeated_anchors(rows: DataFrame) -> np.ndarray:
     table = np.zeros((64, width // 8), np.uint8)
     for s, x in zip(found["shard"].to_pylist(), found["bits"], strict=True):
         table[s] = np.frombuffer(x.as_buffer(), np.uint8)
+    del spreaded, found
+    Scratch(rows.sparkSession, "repeats").free()
     return table.ravel()
 
 
@@ -166,8 +170,9 @@ def bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 #: Rows of pass 2 and 3: places to remove (shard -1), or records for a shard.
 MIXED = "shard int, doc_id long, name long, payload binary"
-_RUN = np.dtype([("key1", "<u8"), ("key2", "<u8"), ("left", "<u2"), ("right", "<u2"), ("start", "<i4"), ("count", "u1"), ("doc", "<i4")])
-_WINDOWS = np.dtype([("key1", "<u8"), ("start", "<i4"), ("count", "u1"), ("before", "u1"), ("doc", "<i4"), ("bytes", "u1", (2 * LENGTH - GRAM,))])
+#: Keys are kept to 40 and 48 bits here (a shard tells more of the first).
+_RUN = np.dtype([("key1", "<u4"), ("key1b", "u1"), ("key2", "<u4"), ("key2b", "<u2"), ("left", "<u2"), ("right", "<u2"), ("start", "<i4"), ("count", "u1"), ("doc", "<u2")])
+_WINDOWS = np.dtype([("key1", "<u8"), ("start", "<i4"), ("count", "u1"), ("before", "u1"), ("doc", "<u2"), ("bytes", "u1", (2 * LENGTH - GRAM,))])
 
 
 def batch_of(rows: list[tuple[int, int | None, int | None, bytes]]) -> pa.RecordBatch:
@@ -206,11 +211,14 @@ def unpacked(payloads: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndar
     return np.concatenate(records), np.concatenate(ids), np.concatenate(names)
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Payloads of each shard; rows come sorted by shard."""
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes] | pa.RecordBatch]:
+    """Payloads of each shard, rows coming sorted by shard; rows of no shard as they are."""
     held, now = [], None
     for b in batches:
-        for s, p in zip(b.column("shard").to_pylist(), b.column("payload").to_pylist(), strict=True):
+        shard = b.column("shard").to_numpy()
+        if (settled := int(np.searchsorted(shard, 0))) > 0:
+            yield b.slice(0, settled)
+        for s, p in zip(shard[settled:].tolist(), b.column("payload").slice(settled).to_pylist(), strict=True):
             if s != now and held:
                 yield held
                 held = []
@@ -220,6 +228,10 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
+def short(key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return key1 & np.uint64((1 << 40) - 1), key2 & np.uint64((1 << 48) - 1)
+
+
 def asked(key1: np.ndarray, key2: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The place of a run in the table of asked runs."""
     return join_hash(join_hash(key1, key2), ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ASK_BITS)
@@ -245,18 +257,25 @@ def order_runs(rows: DataFrame, table: np.ndarray, scratch: Scratch, shards: int
             gone, at = at[later], at[~later]
             out = removals(ids[found.doc[gone]], names[found.doc[gone]], found.start[gone], found.count[gone])
             records = np.zeros(len(at), _RUN)
-            for field, value in (("key1", found.key1), ("key2", found.key2), ("left", found.left & np.uint64(0xFFFF)), ("right", found.right & np.uint64(0xFFFF)), ("start", found.start), ("count", found.count), ("doc", found.doc)):
+            key1, key2 = short(found.key1[at], found.key2[at])
+            for field, value in (("key1", key1), ("key1b", key1 >> np.uint64(32)), ("key2", key2), ("key2b", key2 >> np.uint64(32)), ("left", found.left[at]), ("right", found.right[at])):
+                records[field] = (value & np.uint64(0xFFFFFFFF)).astype(records.dtype[field])
+            for field, value in (("start", found.start), ("count", found.count), ("doc", found.doc)):
                 records[field] = value[at]
-            shard = (mix(records["key1"]) % np.uint64(shards)).astype(np.int64)
+            shard = (mix(key1) % np.uint64(shards)).astype(np.int64)
             out += [packed(s, r, ids, names) for s, r in split_by(shard, records)]
             yield batch_of(out)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for payloads in by_shard(batches):
+            if isinstance(payloads, pa.RecordBatch):
+                yield payloads
+                continue
             r, ids, names = unpacked(payloads, _RUN)
-            o = np.lexsort((ids, r["key2"], r["key1"]))
-            r, ids, names = r[o], ids[o], names[o]
-            key1, key2 = r["key1"], r["key2"]
+            key1 = r["key1"].astype(np.uint64) | r["key1b"].astype(np.uint64) << np.uint64(32)
+            key2 = r["key2"].astype(np.uint64) | r["key2b"].astype(np.uint64) << np.uint64(32)
+            o = np.lexsort((ids, key2, key1))
+            r, ids, names, key1, key2 = r[o], ids[o], names[o], key1[o], key2[o]
             new = np.flatnonzero(np.concatenate([[True], (key1[1:] != key1[:-1]) | (key2[1:] != key2[:-1])]))
             size = np.diff(np.append(new, len(r)))
             later = ids > np.repeat(ids[new], size)
@@ -274,10 +293,12 @@ def order_runs(rows: DataFrame, table: np.ndarray, scratch: Scratch, shards: int
                 out.append((-2, None, None, np.unique(asked(key1[ask], key2[ask], ids[ask])).astype("<u4").tobytes()))
             yield batch_of(out)
 
-    emitted = scratch.keep(rows.mapInArrow(emit, MIXED), "runs")
-    ordered = emitted.where("shard >= 0").select("shard", "payload").repartition(shards, "shard").sortWithinPartitions("shard")
+    # What is settled already goes along: under its document's shard, before all records.
+    place = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod("name", F.lit(shards)).cast("int"))
+    ordered = rows.mapInArrow(emit, MIXED).withColumn("place", place).repartition(shards, "place").sortWithinPartitions("shard").drop("place")
     found = scratch.keep(ordered.mapInArrow(order, MIXED), "ordered")
-    return emitted.where("shard = -1").unionByName(found.where("shard = -1")), ask_table(found.where("shard = -2"))
+    scratch.free()
+    return found.where("shard = -1"), ask_table(found.where("shard = -2"))
 
 
 def ask_table(rows: DataFrame) -> np.ndarray:
@@ -309,7 +330,7 @@ def order_windows(rows: DataFrame, table: np.ndarray, asks: np.ndarray, scratch:
             found = Anchors(part.column("text"), full=True)
             ids, names = part.column("doc_id").to_numpy(), part.column("name").to_numpy()
             at = np.flatnonzero(bit(twice, found.key1 >> np.uint64(64 - SLOT_BITS)))
-            at = at[bit(ask, asked(found.key1[at], found.key2[at], ids[found.doc[at]]))]
+            at = at[bit(ask, asked(*short(found.key1[at], found.key2[at]), ids[found.doc[at]]))]
             if not len(at):
                 continue
             records = np.zeros(len(at), _WINDOWS)
@@ -335,7 +356,9 @@ def order_windows(rows: DataFrame, table: np.ndarray, asks: np.ndarray, scratch:
                 yield batch_of(out)
 
     emitted = rows.mapInArrow(emit, MIXED).select("shard", "payload").repartition(shards, "shard").sortWithinPartitions("shard")
-    return scratch.keep(emitted.mapInArrow(order, MIXED), "windows")
+    found = scratch.keep(emitted.mapInArrow(order, MIXED), "windows")
+    scratch.free()
+    return found
 
 
 def radix(key1: np.ndarray, offset: np.ndarray, contexts: np.ndarray, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
