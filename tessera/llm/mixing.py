@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Documents in a block, slots in a period at least, power of a source's share that is its default target.
 BLOCK, PERIOD, POWER = 16, 1000, 0.5
-#: Documents that one task ranks, about.
-BUCKET_ROWS = 4096
+#: Documents that one task ranks, and that one file of an arranged table holds, about.
+BUCKET_ROWS, FILE_ROWS = 4096, 8192
 
 
 def natural_targets(counts: DataFrame, power: float = POWER) -> DataFrame:
@@ -136,5 +136,5 @@ def arrange(docs: DataFrame, targets: DataFrame | None = None, block: int = BLOC
     mixed = mix(docs, targets, block).where("position is not null")
     places = mixed.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("position").alias("mix_position"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("mix_source"))
-    files = max(1, docs.rdd.getNumPartitions())
+    files = max(1, -(-docs.count() // FILE_ROWS))
     return docs.join(places, same).repartitionByRange(files, "mix_position").sortWithinPartitions("mix_position").drop("mix_id", "mix_source", "mix_position")
