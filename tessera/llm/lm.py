@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, Tokens, fold, join_hash, mix, slices
 
-#: Most MB of pair counts broadcast at once; bits for an entry and hashes of it; shards; registers that estimate the number of pairs.
+#: Most MB of pair counts broadcast at once; bits for an entry and hashes of it; least shards; registers that estimate the number of pairs.
 FILTER_MB, ENTRY_BITS, HASHES, SHARDS, REGISTER_BITS = 192, 8, 4, 24, 14
+#: Text bytes for a shard of words and for a shard of pairs: what a task merges stays the same as the corpus grows.
+WORD_BYTES, PAIR_BYTES = 64 << 20, 8 << 20
 #: Ratios of successive levels: for counts of words and of what follows them, and for pairs. Levels of a pair on average, for sizing.
 FINE, COARSE, PAIR_LEVELS = 1.25, 1.5, 1.7
 #: A word is dealt over all shards by what follows it if it makes up over one part in HOT of the training tokens: at most HOT words.
@@ -90,8 +92,8 @@ def quantised(count: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.searchsorted(table, count, side="right")
 
 
-def shard_of(key: np.ndarray) -> np.ndarray:
-    return (mix(key) % np.uint64(SHARDS)).astype(np.int64)
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(key) % np.uint64(shards)).astype(np.int64)
 
 
 @dataclass
@@ -131,16 +133,16 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("text").alias("name"), F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), (F.coalesce(fold() != 1, F.lit(False))).alias("learnt"))
 
 
-def split_by(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def split_by(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the places of its rows."""
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-    for s in range(SHARDS):
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in range(shards):
         if cuts[s] < cuts[s + 1]:
             yield s, order[cuts[s] : cuts[s + 1]]
 
 
-def count_words(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def count_words(rows: DataFrame, shards: int) -> DataFrame:
     """Per run of texts and shard: words with their training counts and where they stand; and registers over pairs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,7 @@ def count_words(rows: DataFrame, scratch: Scratch) -> DataFrame:
             starts = np.searchsorted(word, np.arange(len(words.hashes) + 1))
             ids, names = part.column("doc_id"), part.column("name")
             out: list[tuple] = []
-            for s, at in split_by(shard_of(words.hashes)):
+            for s, at in split_by(shard_of(words.hashes, shards), shards):
                 size = starts[at + 1] - starts[at]
                 of = np.repeat(starts[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 out.append((s, [x.tobytes() for x in (words.hashes[at], trained[at].astype(np.uint32), size.astype(np.uint16), doc[of].astype(np.uint16), tf[of].astype(np.uint16))]))
@@ -171,7 +173,7 @@ def count_words(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.select("doc_id", "name", "text", "learnt").mapInArrow(emit, "shard int, words array<binary>, ids array<long>, names array<long>")
 
 
-def merge_words(counted: DataFrame, scratch: Scratch) -> DataFrame:
+def merge_words(counted: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """Exact counts by shard: sums for each text, totals, frequent words, and the shard's part of the word filter."""
     schema = "kind string, doc_id long, name long, score double, n long, known long, word long, filter binary"
 
@@ -226,7 +228,7 @@ def merge_words(counted: DataFrame, scratch: Scratch) -> DataFrame:
             [x.split()[0] for x in schema.split(", ")],
         )
 
-    moved = counted.repartition(SHARDS, "shard").sortWithinPartitions("shard")
+    moved = counted.repartition(shards, "shard").sortWithinPartitions("shard")
     return scratch.keep(moved.mapInArrow(merge, schema), "words")
 
 
@@ -239,11 +241,12 @@ class Model:
     rounded: int  # training tokens, with counts as the filter gives them back
     word_parts: list[np.ndarray]
     hot: np.ndarray
+    shards: int  # of pairs
     pairs: Filter | None = None
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(hashes), np.int64), shard_of(hashes)
-        for s, at in split_by(shard):
+        out, n = np.zeros(len(hashes), np.int64), len(self.word_parts)
+        for s, at in split_by(shard_of(hashes, n), n):
             if (bits := self.word_parts[s]) is not None:
                 level = Filter(bits[None]).level(np.zeros(len(at), np.int64), hashes[at] ^ _WORD)
                 out[at] = np.where(level > 0, _FINE[level - 1], 0)
@@ -251,16 +254,16 @@ class Model:
 
     def part(self, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """The shard of pairs: by their first word, or if that is frequent by both."""
-        return shard_of(np.where(np.isin(first, self.hot), pair, first))
+        return shard_of(np.where(np.isin(first, self.hot), pair, first), self.shards)
 
 
 def count_pairs(rows: DataFrame, model: Model, size: int, passes: int, this: int, scratch: Scratch) -> Filter:
     """The filter of pairs whose first word belongs to pass `this`."""
     context = rows.sparkSession.sparkContext
-    hot = context.broadcast(model.hot)
+    hot, shards = context.broadcast(model.hot), model.shards
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt = Model(0, 0, 0, [], hot.value)
+        dealt = Model(0, 0, 0, [], hot.value, shards)
         for part in slices(batches):
             words = Words(part.column("text"))
             h = np.append(words.hashes, START)
@@ -276,7 +279,7 @@ def count_pairs(rows: DataFrame, model: Model, size: int, passes: int, this: int
             a, b, count = np.repeat(a, times), np.repeat(b, times), np.minimum(np.repeat(count, times), 255)
             first, pair = h[a], join_hash(h[a], h[b])
             out = []
-            for s, i in split_by(dealt.part(first, pair)):
+            for s, i in split_by(dealt.part(first, pair), shards):
                 i = i[np.argsort(a[i], kind="stable")]
                 new = np.flatnonzero(np.concatenate([[True], a[i][1:] != a[i][:-1]]))
                 runs = np.diff(np.append(new, len(i))).astype(np.uint32)
@@ -316,16 +319,16 @@ def count_pairs(rows: DataFrame, model: Model, size: int, passes: int, this: int
         rows = [[-1 - shard, *words[~cold].view(np.int64).tolist()], [0, *after[~cold].tolist()], [0, *kinds[~cold].tolist()]]
         return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows], pa.array([part.bits.tobytes()] + [None] * int((~cold).sum()), pa.binary()), pa.array([True] + [False] * int((~cold).sum()))], ["word", "after", "kinds", "filter", "part"])
 
-    learnt = rows.where("learnt").select("text").mapInArrow(emit, "shard int, pairs array<binary>").repartition(SHARDS, "shard").sortWithinPartitions("shard")
+    learnt = rows.where("learnt").select("text").mapInArrow(emit, "shard int, pairs array<binary>").repartition(shards, "shard").sortWithinPartitions("shard")
     found = scratch.keep(learnt.mapInArrow(merge, "word long, after long, kinds long, filter binary, part boolean"), f"pairs{this}")
-    out = Filter.empty(SHARDS, size)
-    for row in found.where("part").select("word", "filter").toLocalIterator():  # SHARDS rows, of FILTER_MB together
+    out = Filter.empty(shards, size)
+    for row in found.where("part").select("word", "filter").toLocalIterator():  # a row a shard, of FILTER_MB together
         out.bits[-1 - row["word"]] = np.frombuffer(row["filter"], np.uint8)
     frequent = found.where("not part").groupBy("word").agg(F.sum("after").alias("after"), F.sum("kinds").alias("kinds")).toArrow()  # at most HOT rows
     if frequent.num_rows:
         words, after, kinds = (frequent[c].to_numpy().astype(np.int64) for c in ("word", "after", "kinds"))
         words = words.view(np.uint64)
-        for s, at in split_by(shard_of(words)):
+        for s, at in split_by(shard_of(words, shards), shards):
             enter_totals(out, s, words[at], after[at], kinds[at])
     scratch.drop(f"pairs{this}")
     return out
@@ -344,7 +347,7 @@ def log_scores(words: Words, model: Model, passes: int, this: int) -> np.ndarray
     """The log10 probability of each text, or of its tokens whose first word belongs to pass `this`."""
     h = np.append(words.hashes, START)
     unit = (model.word_counts(words.hashes) + 0.5) / (model.rounded + 0.5 * (model.kinds + 1))
-    home = shard_of(h)
+    home = shard_of(h, model.shards)
     totals, kinds = (model.pairs.level(home, h ^ k) for k in (_TOTAL, _KINDS))
     total = np.where(totals > 0, _FINE[np.minimum(totals, len(_FINE) - 1)] - 1, 0)  # no less than what was counted
     kind = np.where(totals > 0, np.maximum(_FINE[np.maximum(kinds, 1) - 1], 1), 0)
@@ -405,9 +408,12 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lm")
     rows = rows_of(docs)
-    merged = merge_words(count_words(rows, scratch), scratch)
-    shards = merged.where("kind = 'shard'").select("doc_id", "name", "n", "known", "filter").toLocalIterator()  # SHARDS rows
-    model = Model(0, 0, 0, [None] * SHARDS, np.zeros(0, np.uint64))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_shards, pair_shards = max(SHARDS, size // WORD_BYTES), max(SHARDS, size // PAIR_BYTES)
+    merged = merge_words(count_words(rows, word_shards), word_shards, scratch)
+    scratch.free()
+    shards = merged.where("kind = 'shard'").select("doc_id", "name", "n", "known", "filter").toLocalIterator()  # a row a shard
+    model = Model(0, 0, 0, [None] * word_shards, np.zeros(0, np.uint64), pair_shards)
     for row in shards:
         model.tokens, model.kinds, model.rounded = model.tokens + row["n"], model.kinds + row["known"], model.rounded + row["name"]
         model.word_parts[row["doc_id"]] = np.frombuffer(row["filter"], np.uint8)
@@ -419,7 +425,8 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     passes = max(1, -(-needed // (filter_mb << 20)))
     scores = None
     for this in range(passes):
-        model.pairs = count_pairs(rows, model, needed // passes // SHARDS + 8, passes, this, scratch)
+        model.pairs = count_pairs(rows, model, needed // passes // pair_shards + 8, passes, this, scratch)
+        scratch.free()
         found = score_pass(rows, model, passes, this)
         if passes > 1:
             found = scratch.keep(found, f"scores{this}")
