@@ -32,7 +32,7 @@ LENGTH, GRAM = 50, 24
 WINDOWS = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
 #: Bits of the tables of anchors and of asked runs (what is broadcast doesn't grow with the corpus), shards of a shuffle.
-SLOT_BITS, ASK_BITS, SHARDS = 28, 25, 64
+SLOT_BITS, ASK_BITS, SHARDS = 29, 25, 64
 #: Text bytes worked on at once, and bits of a place within them.
 PIECE, PLACE_BITS = 2 << 20, 22
 
@@ -118,8 +118,8 @@ def split_by(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """The rows that take part, each named by its id and its text's hash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("name", F.xxhash64("text"))
+    """The rows that take part, each named by its id and 32 bits of its text's hash, which tell rows of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("name", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def repeated_anchors(rows: DataFrame) -> np.ndarray:
@@ -139,7 +139,8 @@ def repeated_anchors(rows: DataFrame) -> np.ndarray:
                 continue
             many = np.maximum.reduceat(ids, first) != np.minimum.reduceat(ids, first)
             value = slot[first] << np.uint32(1) | many
-            out = [(s, (x & np.uint32(2 * width - 1)).tobytes()) for s, x in split_by(slot[first] >> np.uint32(SLOT_BITS - 6), value)]
+            # Steps between a shard's slots are small numbers, which pack well.
+            out = [(s, np.diff(x & np.uint32(2 * width - 1), prepend=np.uint32(0)).tobytes()) for s, x in split_by(slot[first] >> np.uint32(SLOT_BITS - 6), value)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "slots"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def repeated_anchors(rows: DataFrame) -> np.ndarray:
         for b in batches:
             for s, x in zip(b.column("shard").to_pylist(), b.column("slots"), strict=True):
                 seen, twice = state.setdefault(s, (np.zeros(width, bool), np.zeros(width, bool)))
-                value = np.frombuffer(x.as_buffer(), np.uint32)
+                value = np.cumsum(np.frombuffer(x.as_buffer(), np.uint32), dtype=np.uint32)
                 slot, many = value >> np.uint32(1), (value & np.uint32(1)) == 1
                 twice[slot[many | seen[slot]]] = True
                 seen[slot] = True
@@ -171,7 +172,7 @@ def bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 #: Rows of pass 2 and 3: places to remove (shard -1), or records for a shard.
 MIXED = "shard int, doc_id long, name long, payload binary"
 #: Keys are kept to 40 and 48 bits here (a shard tells more of the first).
-_RUN = np.dtype([("key1", "<u4"), ("key1b", "u1"), ("key2", "<u4"), ("key2b", "<u2"), ("left", "<u2"), ("right", "<u2"), ("start", "<i4"), ("count", "u1"), ("doc", "<u2")])
+_RUN = np.dtype([("key1", "<u4"), ("key1b", "u1"), ("key2", "<u4"), ("key2b", "<u2"), ("left", "<u4"), ("right", "<u4"), ("start", "<i4"), ("count", "u1"), ("doc", "<u2")])
 _WINDOWS = np.dtype([("key1", "<u8"), ("start", "<i4"), ("count", "u1"), ("before", "u1"), ("doc", "<u2"), ("bytes", "u1", (2 * LENGTH - GRAM,))])
 
 
@@ -196,7 +197,7 @@ def removals(ids: np.ndarray, names: np.ndarray, start: np.ndarray, count: np.nd
 def packed(shard: int, records: np.ndarray, ids: np.ndarray, names: np.ndarray) -> tuple[int, None, None, bytes]:
     """Records of a shard with a table of the documents that they name."""
     used, records["doc"] = np.unique(records["doc"], return_inverse=True)
-    return shard, None, None, len(used).to_bytes(4, "little") + ids[used].astype("<i8").tobytes() + names[used].astype("<i8").tobytes() + records.tobytes()
+    return shard, None, None, len(used).to_bytes(4, "little") + ids[used].astype("<i8").tobytes() + names[used].astype("<u4").tobytes() + records.tobytes()
 
 
 def unpacked(payloads: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,10 +205,10 @@ def unpacked(payloads: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndar
     records, ids, names = [], [], []
     for p in payloads:
         n = int.from_bytes(p[:4], "little")
-        r = np.frombuffer(p, kind, offset=4 + 16 * n)
+        r = np.frombuffer(p, kind, offset=4 + 12 * n)
         records.append(r)
         ids.append(np.frombuffer(p, "<i8", n, 4)[r["doc"]])
-        names.append(np.frombuffer(p, "<i8", n, 4 + 8 * n)[r["doc"]])
+        names.append(np.frombuffer(p, "<u4", n, 4 + 8 * n).astype(np.int64)[r["doc"]])
     return np.concatenate(records), np.concatenate(ids), np.concatenate(names)
 
 
@@ -412,7 +413,7 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = rows_of(docs)
     usable = rows.where("doc_id is not null")
-    shards = max(SHARDS, usable.count() // 2000)
+    shards = max(SHARDS, usable.count() // 8000)
     table = repeated_anchors(usable)
     removed, asks = order_runs(usable, table, scratch, shards)
     if asks.any():
