@@ -154,7 +154,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     signed = nodes.select("node", "prefix", "rest")
 
     def meet(entries: DataFrame) -> DataFrame:
-        full = entries.join(signed, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+        full = entries.hint("merge").join(signed, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
         return full.select("group", "i", "j", "side", "node", "own", "prefix", "rest").mapInArrow(lambda it: candidates(it, prefix, matches), "a long, b long")
 
     pairs = scratch.keep(meet(tiles(posted.withColumnRenamed("list", "group"), LIST)), "pairs")
@@ -170,7 +170,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     members = scratch.keep(members.hint("merge").join(sizes, "group"), "sized")
 
     def confirm(entries: DataFrame) -> DataFrame:
-        full = entries.join(sets, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+        full = entries.hint("merge").join(sets, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
         return full.select("group", "i", "j", "side", "node", "own", "grams").mapInArrow(lambda it: confirmed(it, least), "a long, b long")
 
     links = scratch.keep(confirm(tiles(members, UNIT)), "links")
