@@ -60,30 +60,36 @@ class Filter:
     def empty(parts: int, size: int) -> Filter:
         return Filter(np.zeros((parts, max(8, size)), np.uint8))
 
-    def places(self, key: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
-        width = np.uint64(8 * self.bits.shape[1])
-        h = join_hash(key, np.full(len(key), level, np.uint64) if isinstance(level, int) else level.astype(np.uint64))
-        step = mix(h) | np.uint64(1)
-        for k in range(HASHES):
-            yield ((h + np.uint64(k) * step) >> np.uint64(11)) % width
+    def base(self, key: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+        return join_hash(key, np.uint64(level) if isinstance(level, int) else level.astype(np.uint64))
+
+    def place(self, base: np.ndarray, k: int) -> np.ndarray:
+        """The k-th bit of items, within their part: both halves of the base, scaled to the width."""
+        low = np.uint64(0xFFFFFFFF)
+        return ((((base & low) + np.uint64(k) * (base >> np.uint64(32))) & low) * np.uint64(8 * self.bits.shape[1])) >> np.uint64(32)
 
     def enter(self, part: int, key: np.ndarray, level: np.ndarray) -> None:
         """Adds every key with each of 1..level."""
         deep, n = np.repeat(key, level), np.cumsum(level)
-        order = np.arange(len(deep)) - np.repeat(n - level, level) + 1
-        for at in self.places(deep, order):
-            np.bitwise_or.at(self.bits[part], (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        base = self.base(deep, np.arange(len(deep)) - np.repeat(n - level, level) + 1)
+        on = np.zeros(8 * self.bits.shape[1], bool)
+        for k in range(HASHES):
+            on[self.place(base, k)] = True
+        self.bits[part] |= np.packbits(on, bitorder="little")
 
     def level(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """How far the probes of each key get."""
-        found, alive, k = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+        """How far the probes of each key get. A bit is asked of those only that had all before."""
+        found, alive, level = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+        flat, size = self.bits.ravel(), self.bits.shape[1]
         while len(alive):
-            k += 1
-            hit = np.ones(len(alive), bool)
-            for at in self.places(key[alive], k):
-                hit &= (self.bits[part[alive], (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
-            found[alive] = k
+            level += 1
+            base = self.base(key[alive], level)
+            start = part[alive] * size
+            for k in range(HASHES):
+                at = self.place(base, k)
+                hit = np.flatnonzero((flat[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                alive, base, start = alive[hit], base[hit], start[hit]
+            found[alive] = level
         return found
 
 
