@@ -28,6 +28,9 @@ def natural_targets(counts: DataFrame, power: float = POWER) -> DataFrame:
 def parts(targets: DataFrame, period: int = PERIOD) -> DataFrame:
     """One row: period, names and whole parts, by name; largest remainders, at least one part each.
 
+    Where single parts for small sources overdraw the period, the others give
+    in proportion to what they have above one. Parts sum to the period.
+
     Sources with a null or non-positive weight are left out. With over a
     quarter as many sources as slots, the period is four times their number.
     """
@@ -37,8 +40,17 @@ def parts(targets: DataFrame, period: int = PERIOD) -> DataFrame:
     ideal = ideal.withColumn("left", F.col("period") - F.aggregate("floors", F.lit(0), lambda acc, x: acc + x))
     rest = F.transform("t", lambda x, i: F.struct((F.get("floors", i) - x.weight / F.col("total") * F.col("period")).alias("short"), i.alias("i")))
     ideal = ideal.withColumn("order", F.transform(F.array_sort(rest), lambda x: x.i)).withColumn("n", F.size("t"))
-    # What is left over goes round by largest remainder; what single parts overdrew comes off the largest.
-    extra = F.transform("floors", lambda p, i: p + F.when(F.col("left") > 0, F.floor((F.col("left") - F.array_position("order", i) + F.col("n")) / F.col("n")).cast("int")).otherwise(F.when(i == F.array_position("floors", F.array_max("floors")) - 1, F.col("left")).otherwise(0)))
+    # What is left over goes round by largest remainder. What single parts overdrew comes off the others in
+    # proportion to their parts above one, again by largest remainder; the period is longer than n, so none falls below one.
+    add = lambda acc, x: acc + x
+    ideal = ideal.withColumn("over", F.greatest(F.lit(0), -F.col("left")).cast("long")).withColumn("spare", F.greatest(F.lit(1), F.aggregate("floors", F.lit(0), add) - F.col("n")).cast("long"))
+    owed = lambda p: (p - 1) * F.col("over")
+    ideal = ideal.withColumn("cuts", F.transform("floors", lambda p: F.floor(owed(p) / F.col("spare")).cast("int")))
+    ideal = ideal.withColumn("uncut", F.col("over").cast("int") - F.aggregate("cuts", F.lit(0), add))
+    ideal = ideal.withColumn("cut_order", F.transform(F.array_sort(F.transform("floors", lambda p, i: F.struct((-(owed(p) % F.col("spare"))).alias("short"), i.alias("i")))), lambda x: x.i))
+    gain = lambda i: F.floor((F.col("left") - F.array_position("order", i) + F.col("n")) / F.col("n")).cast("int")
+    loss = lambda i: F.get("cuts", i) + F.when(F.array_position("cut_order", i) <= F.col("uncut"), 1).otherwise(0)
+    extra = F.transform("floors", lambda p, i: p + F.when(F.col("left") > 0, gain(i)).otherwise(-loss(i)))
     return ideal.select("period", F.transform("t", lambda x: x.source).alias("names"), extra.alias("parts"))
 
 

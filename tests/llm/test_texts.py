@@ -330,3 +330,29 @@ def test_mixture_keeps_target_weights(spark, docs):
     assert arrange(full).count() == full.count()
     assert arrange(docs).columns == docs.columns
     assert mix(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("large", "n", "small", "m"), [(20, 100_000, 100, 5), (30, 100_000, 70, 5), (50, 1_000_000, 200, 1), (1, 10**9, 240, 1), (3, 400, 2, 300)])
+def test_parts_leave_no_source_out(spark, large, n, small, m):
+    from tessera.llm.mixing import natural_targets, parts
+
+    counts = spark.createDataFrame([(f"a{i}", n) for i in range(large)] + [(f"b{i}", m) for i in range(small)], "source string, n long")
+    row = parts(natural_targets(counts)).first()
+    got = dict(zip(row["names"], row["parts"], strict=True))
+    assert sum(got.values()) == row["period"]
+    assert min(got.values()) >= 1
+    most = [p for s, p in got.items() if s[0] == "a"]
+    assert max(most) - min(most) <= 1  # equal sources share alike
+
+
+def test_mixture_drops_no_small_source(spark):
+    from tessera.llm.mixing import arrange, mix
+
+    weights = [(f"a{i}", 100_000.0**0.5) for i in range(20)] + [(f"b{i}", 5.0**0.5) for i in range(100)]
+    targets = spark.createDataFrame(weights, "source string, weight double")
+    docs = spark.range(120 * 60).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 120 < 20, "a").otherwise("b"), F.when(F.col("id") % 120 < 20, F.col("id") % 120).otherwise(F.col("id") % 120 - 20).cast("string")).alias("source"))
+    got = mix(docs, targets, block=1).toPandas()
+    assert got.position.notna().all()
+    assert got.position.is_unique
+    assert ((got.slot >= got.release) & (got.slot < got.deadline)).all()
+    assert arrange(docs, targets, block=1).count() == 7200
