@@ -8,8 +8,8 @@ and broadcast. Probabilities of word pairs are Witten-Bell smoothed: what a
 word is followed by, how often and by how many different words, all come from
 probes.
 
-The filter's size follows the number of distinct pairs, up to FILTER_MB a
-part; a corpus that needs more gets several parts by first word, which score
+The filter's size follows the number of entries, part by part, up to FILTER_MB
+a pass; a corpus that needs more gets several passes by first word, which score
 the texts one after another and never stand in memory together.
 """
 
@@ -34,6 +34,8 @@ WORD_BYTES, PAIR_BYTES = 64 << 20, 8 << 20
 FINE, COARSE, PAIR_LEVELS = 1.25, 1.5, 1.7
 #: A word is dealt over all shards by what follows it if it makes up over one part in HOT of the training tokens: at most HOT words.
 HOT = 500
+#: A pass whose pairs take over FILTER_MB is split in two, again and again until there are SPLITS for one (a single word can't be split).
+SPLITS = 16
 #: The hashes of the start and end of a text.
 START, END = np.uint64(0x5157A27), np.uint64(0xE4D)
 _WORD, _TOTAL, _KINDS, _PAIR = (np.uint64(k << 32) for k in (1, 2, 3, 4))
@@ -52,43 +54,55 @@ _FINE, _COARSE = levels(FINE), levels(COARSE)
 
 @dataclass
 class Filter:
-    """A Bloom filter in parts of equal size; an item's part is given with it."""
+    """A Bloom filter in parts, each of its own size; an item's part is given with it."""
 
-    bits: np.ndarray  # (parts, bytes of a part)
+    flat: np.ndarray  # the bytes of all parts, one after another
+    at: np.ndarray  # where each part begins, with the end of the last
 
     @staticmethod
-    def empty(parts: int, size: int) -> Filter:
-        return Filter(np.zeros((parts, max(8, size)), np.uint8))
+    def empty(parts: int, size: int | np.ndarray) -> Filter:
+        at = np.concatenate([[0], np.cumsum(np.maximum(8, np.broadcast_to(size, parts)))])
+        return Filter(np.zeros(at[-1], np.uint8), at)
+
+    @staticmethod
+    def of(bits: np.ndarray) -> Filter:
+        """A filter of one part."""
+        return Filter(bits, np.array([0, len(bits)]))
+
+    @property
+    def bits(self) -> list[np.ndarray]:
+        return [self.flat[lo:hi] for lo, hi in zip(self.at[:-1], self.at[1:], strict=True)]
 
     def base(self, key: np.ndarray, level: int | np.ndarray) -> np.ndarray:
         return join_hash(key, np.uint64(level) if isinstance(level, int) else level.astype(np.uint64))
 
-    def place(self, base: np.ndarray, k: int) -> np.ndarray:
-        """The k-th bit of items, within their part: both halves of the base, scaled to the width."""
+    def place(self, base: np.ndarray, k: int, width: np.ndarray | np.uint64) -> np.ndarray:
+        """The k-th bit of items, within their part: both halves of the base, scaled to the part's width in bits."""
         low = np.uint64(0xFFFFFFFF)
-        return ((((base & low) + np.uint64(k) * (base >> np.uint64(32))) & low) * np.uint64(8 * self.bits.shape[1])) >> np.uint64(32)
+        return ((((base & low) + np.uint64(k) * (base >> np.uint64(32))) & low) * width) >> np.uint64(32)
 
     def enter(self, part: int, key: np.ndarray, level: np.ndarray) -> None:
         """Adds every key with each of 1..level."""
         deep, n = np.repeat(key, level), np.cumsum(level)
         base = self.base(deep, np.arange(len(deep)) - np.repeat(n - level, level) + 1)
-        on = np.zeros(8 * self.bits.shape[1], bool)
+        lo, hi = self.at[part], self.at[part + 1]
+        on = np.zeros(8 * (hi - lo), bool)
         for k in range(HASHES):
-            on[self.place(base, k)] = True
-        self.bits[part] |= np.packbits(on, bitorder="little")
+            on[self.place(base, k, np.uint64(len(on)))] = True
+        self.flat[lo:hi] |= np.packbits(on, bitorder="little")
 
     def level(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
         """How far the probes of each key get. A bit is asked of those only that had all before."""
         found, alive, level = np.zeros(len(key), np.int64), np.arange(len(key)), 0
-        flat, size = self.bits.ravel(), self.bits.shape[1]
+        widths = (8 * np.diff(self.at)).astype(np.uint64)
         while len(alive):
             level += 1
-            base = self.base(key[alive], level)
-            start = part[alive] * size
+            base, own = self.base(key[alive], level), part[alive]
+            start, width = self.at[own], widths[own]
             for k in range(HASHES):
-                at = self.place(base, k)
-                hit = np.flatnonzero((flat[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                alive, base, start = alive[hit], base[hit], start[hit]
+                at = self.place(base, k, width)
+                hit = np.flatnonzero((self.flat[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                alive, base, start, width = alive[hit], base[hit], start[hit], width[hit]
             found[alive] = level
         return found
 
@@ -229,7 +243,7 @@ def merge_words(counted: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
                 pa.array([int(count.sum()), *count[frequent].tolist()], pa.int64()),
                 pa.array([int(seen.sum())] + [None] * k, pa.int64()),
                 pa.array([0, *distinct[frequent].view(np.int64).tolist()], pa.int64()),
-                pa.array([part.bits.tobytes()] + [None] * k, pa.binary()),
+                pa.array([part.flat.tobytes()] + [None] * k, pa.binary()),
             ],
             [x.split()[0] for x in schema.split(", ")],
         )
@@ -254,7 +268,7 @@ class Model:
         out, n = np.zeros(len(hashes), np.int64), len(self.word_parts)
         for s, at in split_by(shard_of(hashes, n), n):
             if (bits := self.word_parts[s]) is not None:
-                level = Filter(bits[None]).level(np.zeros(len(at), np.int64), hashes[at] ^ _WORD)
+                level = Filter.of(bits).level(np.zeros(len(at), np.int64), hashes[at] ^ _WORD)
                 out[at] = np.where(level > 0, _FINE[level - 1], 0)
         return out
 
@@ -263,10 +277,16 @@ class Model:
         return shard_of(np.where(np.isin(first, self.hot), pair, first), self.shards)
 
 
-def count_pairs(rows: DataFrame, model: Model, size: int, passes: int, this: int, scratch: Scratch) -> Filter:
-    """The filter of pairs whose first word belongs to pass `this`."""
+def count_pairs(rows: DataFrame, model: Model, passes: int, this: int, scratch: Scratch, most: int | None = None) -> Filter | None:
+    """The filter of pairs whose first word belongs to pass `this`, or None if that takes over `most` bytes.
+
+    A part's size follows the entries that it gets: a word that isn't frequent
+    has all its pairs in one part, however many shards there are.
+    """
     context = rows.sparkSession.sparkContext
     hot, shards = context.broadcast(model.hot), model.shards
+    # Entries of the frequent words' totals, which come last, at most.
+    room = np.bincount(shard_of(model.hot, shards), minlength=shards) * 2 * len(_FINE)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = Model(0, 0, 0, [], hot.value, shards)
@@ -316,27 +336,35 @@ def count_pairs(rows: DataFrame, model: Model, size: int, passes: int, this: int
         at = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (key[1:] != key[:-1])]))
         total, word, key = np.add.reduceat(count, at), word[at], key[at]
         level = quantised(total, _COARSE)
-        part = Filter.empty(1, size)
-        part.enter(0, join_hash(words[word], key) ^ _PAIR, level)
         after = np.bincount(word, _COARSE[level - 1].astype(float), len(words)).astype(np.int64)
         kinds = np.bincount(word, minlength=len(words))
         cold = ~np.isin(words, hot.value)
+        entries = level.sum() + quantised(after[cold], _FINE).sum() + quantised(kinds[cold], _FINE).sum() + room[shard]
+        part = Filter.empty(1, int(entries) * ENTRY_BITS // 8)
+        part.enter(0, join_hash(words[word], key) ^ _PAIR, level)
         enter_totals(part, 0, words[cold], after[cold], kinds[cold])
-        rows = [[-1 - shard, *words[~cold].view(np.int64).tolist()], [0, *after[~cold].tolist()], [0, *kinds[~cold].tolist()]]
-        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows], pa.array([part.bits.tobytes()] + [None] * int((~cold).sum()), pa.binary()), pa.array([True] + [False] * int((~cold).sum()))], ["word", "after", "kinds", "filter", "part"])
+        rows = [[-1 - shard, *words[~cold].view(np.int64).tolist()], [len(part.flat), *after[~cold].tolist()], [0, *kinds[~cold].tolist()]]
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows], pa.array([part.flat.tobytes()] + [None] * int((~cold).sum()), pa.binary()), pa.array([True] + [False] * int((~cold).sum()))], ["word", "after", "kinds", "filter", "part"])
 
     learnt = rows.where("learnt").select("text").mapInArrow(emit, "shard int, pairs array<binary>").repartition(shards, "shard").sortWithinPartitions("shard")
-    found = scratch.keep(learnt.mapInArrow(merge, "word long, after long, kinds long, filter binary, part boolean"), f"pairs{this}")
-    out = Filter.empty(shards, size)
+    found = scratch.keep(learnt.mapInArrow(merge, "word long, after long, kinds long, filter binary, part boolean"), f"pairs{passes}-{this}")
+    sizes = room * ENTRY_BITS // 8
+    for row in found.where("part").select("word", "after").toLocalIterator():  # a row a shard
+        sizes[-1 - row["word"]] = row["after"]
+    if most is not None and sizes.sum() > most:
+        scratch.drop(f"pairs{passes}-{this}")
+        return None
+    out = Filter.empty(shards, sizes)
     for row in found.where("part").select("word", "filter").toLocalIterator():  # a row a shard, of FILTER_MB together
-        out.bits[-1 - row["word"]] = np.frombuffer(row["filter"], np.uint8)
+        s = -1 - row["word"]
+        out.flat[out.at[s] : out.at[s + 1]] = np.frombuffer(row["filter"], np.uint8)
     frequent = found.where("not part").groupBy("word").agg(F.sum("after").alias("after"), F.sum("kinds").alias("kinds")).toArrow()  # at most HOT rows
     if frequent.num_rows:
         words, after, kinds = (frequent[c].to_numpy().astype(np.int64) for c in ("word", "after", "kinds"))
         words = words.view(np.uint64)
         for s, at in split_by(shard_of(words, shards), shards):
             enter_totals(out, s, words[at], after[at], kinds[at])
-    scratch.drop(f"pairs{this}")
+    scratch.drop(f"pairs{passes}-{this}")
     return out
 
 
@@ -429,16 +457,20 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     entries = estimate_pairs(rows) * PAIR_LEVELS * 1.1 + 12 * model.kinds
     needed = int(entries * ENTRY_BITS / 8)
     passes = max(1, -(-needed // (filter_mb << 20)))
-    scores = None
-    for this in range(passes):
-        model.pairs = count_pairs(rows, model, needed // passes // pair_shards + 8, passes, this, scratch)
+    scores, done, ahead, finest = None, 0, [(passes, this) for this in range(passes)], passes * SPLITS
+    while ahead:
+        of, this = ahead.pop(0)
+        model.pairs = count_pairs(rows, model, of, this, scratch, filter_mb << 20 if of < finest else None)
         scratch.free()
-        found = score_pass(rows, model, passes, this)
-        if passes > 1:
-            found = scratch.keep(found, f"scores{this}")
+        if model.pairs is None:  # more than was estimated: what the hash leaves modulo 2 * of is this or of + this
+            ahead = [(2 * of, this), (2 * of, of + this), *ahead]
+            continue
+        found, done = score_pass(rows, model, of, this), done + 1
+        if of > 1:
+            found = scratch.keep(found, f"scores{of}-{this}")
         scores = found if scores is None else scores.unionByName(found)
-    if passes > 1:
-        scores = scores.groupBy("doc_id", "name", "held_out").agg((F.sum("score") / F.count(F.lit(1)) * passes).alias("score"), (F.count(F.lit(1)) / passes).cast("int").alias("k")).withColumn("k", F.explode(F.sequence(F.lit(1), "k"))).drop("k")
+    if done > 1:
+        scores = scores.groupBy("doc_id", "name", "held_out").agg((F.sum("score") / F.count(F.lit(1)) * done).alias("score"), (F.count(F.lit(1)) / done).cast("int").alias("k")).withColumn("k", F.explode(F.sequence(F.lit(1), "k"))).drop("k")
 
     base = merged.where("kind = 'text'").groupBy("doc_id", "name").agg(F.sum("score").alias("logs"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("word").alias("copies"))
     base = base.withColumnsRenamed({"doc_id": "base_id", "name": "base_name"})

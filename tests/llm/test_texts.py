@@ -175,6 +175,38 @@ def test_filter_probes_give_levels_back():
     assert (f.level(np.zeros(1000, np.int64), np.arange(10**6, 10**6 + 1000, dtype=np.uint64)) > 0).mean() < 0.1
 
 
+def test_pairs_of_a_word_just_below_the_hot_bound(spark, monkeypatch):
+    """All its pairs fall to one of many shards; unseen pairs must score as with one shard for all."""
+    rng = random.Random(8)
+    monkeypatch.setattr(lm, "HOT", 20)  # "x" makes up 4 % of the words
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(23)) + f" x u{i}" for i in range(1500)]
+    texts += ["v " * 23 + f"x u{i}" for i in range(1500)]
+    learnt = [i for i in range(10_000) if fold(i) != 1][: len(texts)]
+    unseen = [i for i in range(10_000) if fold(i) == 1][:400]
+    texts += [f"w{k % 40} v{k}" for k in range(1500)]
+    learnt += [i for i in range(20_000, 30_000) if fold(i) != 1][:1500]
+    held = [(i, f"v x v{k}") for k, i in enumerate(unseen)]
+    full = spark.createDataFrame(list(zip(learnt, texts, strict=True)) + held, "doc_id long, text string")
+
+    def scores(shards):
+        monkeypatch.setattr(lm, "SHARDS", shards)
+        found = lm.score(full).where("held_out").toPandas()
+        return found.set_index("doc_id").score.sort_index()
+
+    one, many = scores(1), scores(200)
+    assert len(one) == len(many) == len(held)
+    assert (abs(one - many) > 0.01).mean() < 0.3  # about five probes a text in each filter, 2.4 % of them wrong
+    # Passes that turn out larger than the bound are split; every text keeps one score.
+    plain, calls = lm.count_pairs, []
+    monkeypatch.setattr(lm, "SPLITS", 4)
+    monkeypatch.setattr(lm, "count_pairs", lambda *a: calls.append(a[2:4]) or plain(*a[:-1], a[-1] and 30_000))
+    split = scores(200)
+    assert (2, 0) in calls
+    assert (2, 1) in calls
+    assert len(split) == len(held)
+    assert (abs(one - split) > 0.01).mean() < 0.3
+
+
 def test_pair_probabilities_sum_to_at_most_one():
     """Over all known words and one unknown, after any first word."""
     import pyarrow as pa
