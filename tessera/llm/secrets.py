@@ -86,6 +86,10 @@ def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None) ->
     then moves weak candidates only, keyed by row and scope, so a long text's
     candidates are dealt out by scope.
     """
+
+    def cells(lo: Column, hi: Column) -> Column:
+        return F.explode(F.sequence(F.floor(lo / scope), F.floor(hi / scope))).alias("cell")
+
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [F.col(c).alias(f"in_{c}") for c in keep or []]
     rows = docs.select(
@@ -99,9 +103,10 @@ def scan(docs: DataFrame, scope: int = SCOPE, keep: list[str] | None = None) ->
     weak = rows.where(F.size("weak") > 1).select("row", F.explode("weak").alias("w")).select("row", "w")
     strong = rows.where(F.size("weak") > 0).select("row", F.explode(F.filter("strong", lambda x: x.kind == 1)).alias("w"))
     parts = weak.where("w.kind != 4").unionByName(strong)
-    near = parts.select("row", F.col("w").alias("part"), F.explode(F.sequence(F.floor((F.col("w.start") - scope) / scope), F.floor((F.col("w.end") + scope) / scope))).alias("cell"))
+    near = parts.select("row", F.col("w").alias("part"), cells(F.col("w.start") - scope, F.col("w.end") + scope))
     secrets = rows.where(F.size("weak") > 0).select("row", F.explode(F.filter("weak", lambda x: x.kind == 4)).alias("w"))
-    linked = secrets.withColumn("cell", F.floor(F.col("w.start") / scope)).join(near, ["row", "cell"])
+    linked = secrets.select("row", "w", cells(F.col("w.start"), F.col("w.end"))).join(near, ["row", "cell"])
+    linked = linked.where(F.col("cell") == F.floor(F.greatest(F.col("w.start"), F.col("part.start") - scope) / scope))  # the first cell that both are in
     linked = linked.where((F.col("w.start") - F.col("part.end") <= scope) & (F.col("part.start") - F.col("w.end") <= scope) & ~((F.col("w.start") < F.col("part.end")) & (F.col("part.start") < F.col("w.end"))))
     linked = linked.select("row", F.explode(F.array("w", F.when(F.col("part.kind") != 1, F.col("part")))).alias("w")).where("w is not null")
     linked = linked.groupBy("row").agg(F.collect_set("w").alias("more"))

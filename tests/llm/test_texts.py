@@ -295,6 +295,32 @@ def test_secrets_equal_brute_force(spark, docs, rows):
     assert scan(empty(spark)).count() == 0
 
 
+def linked_alike(spark, cases):
+    """Whether scan links exactly the cases (doc_id, text, secret, part, distance) that are within scope."""
+    from tessera.llm.secrets import scan
+
+    found = scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["spans"] for r in found}
+    near = 0
+    for i, t, secret, part, distance in cases:
+        at = sorted([(t.index(secret), "secret", secret), (t.index(part), "endpoint", part)])
+        expected = ",".join(f"{k}:{s}:{s + len(x)}" for s, k, x in at) if distance <= 200 else ""
+        assert got[i] == expected
+        near += distance <= 200
+    return near
+
+
+def test_links_at_all_distances_and_alignments(spark):
+    part, cases = "https://a.example/x", []
+    for length in (20, 40, 64):
+        secret = ("Zm9vYmFyMTIzNDU2Nzg5" * 4)[:length]
+        for pad in range(0, 201, 8):
+            for gap in (1, 100, *range(130, 207, 5), 199, 200, 201):
+                for first, second in ((secret, part), (part, secret)):
+                    cases.append((len(cases), "é" * pad + " " + first + " " * gap + second, secret, part, gap))
+    assert linked_alike(spark, cases) > 1000
+
+
 def test_personal_data(spark, docs, rows):
     from tessera.llm import pii
 
