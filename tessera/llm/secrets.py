@@ -22,7 +22,7 @@ HEX = r"[0-9a-f]+"
 BASE = ["assign", "access", "hex"]
 # Weak kinds.
 IDENTIFIER = r"""(?i:access_?key_?id|client_?id|user_?name|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]+"""
-SECRET = r"(?<![A-Za-z0-9+/_=.-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"
+SECRET = r"(?<![A-Za-z0-9+/_=.-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]+"""
 WEAK = ["identifier", "secret", "endpoint"]
 

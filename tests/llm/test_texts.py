@@ -321,6 +321,16 @@ def test_links_at_all_distances_and_alignments(spark):
     assert linked_alike(spark, cases) > 1000
 
 
+def test_links_of_long_secrets(spark):
+    part, cases = "https://a.example/x", []
+    for length in (65, 86, 300, 5000):
+        secret = ("Zm9vYmFyMTIzNDU2Nzg5" * 300)[:length] + "=="
+        for gap in (1, 150, 200, 201):
+            for first, second in ((secret, part), (part, secret)):
+                cases.append((len(cases), first + " " * gap + second, secret, part, gap))
+    assert linked_alike(spark, cases) == 24
+
+
 def test_personal_data(spark, docs, rows):
     from tessera.llm import pii
 
