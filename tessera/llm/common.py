@@ -166,6 +166,36 @@ def chain(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return out, bounds
 
 
+#: Bits of a table of marked rows for each of them, and at most.
+MARK_BITS, MOST_BITS = 16, 1 << 28
+
+
+def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be one of marked, and rows whose key is none.
+
+    A bit table of the marked keys is broadcast: MARK_BITS for each, MOST_BITS
+    (32 MB) at most. Where that is too small for them, more rows count as
+    marked, which a join sorts out later; none is missed.
+    """
+    bits = 1 << max(10, min(MOST_BITS, MARK_BITS * marked.count()).bit_length() - 1)
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    words = marked.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("mask")).toArrow()
+    table = np.zeros(bits >> 5, np.uint32)
+    table[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(wanted: bool) -> DataFrame:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column("marked_at").to_numpy()
+                hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+                yield b.drop_columns(["marked_at"]).filter(pa.array(hit if wanted else ~hit))
+
+        return rows.withColumn("marked_at", place).mapInArrow(chosen, rows.schema)
+
+    return run(True), run(False)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component: the least node that each node of edges(a, b) reaches.
 

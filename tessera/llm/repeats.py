@@ -5,361 +5,323 @@ digit first; groups that are still together at that depth are exactly the
 repeated windows. The digits are taken around an anchor: the window's least
 hashed GRAM-byte string, which equal windows share. So the first digit is the
 anchor string, and neighbouring windows with one anchor go through the early
-passes as one.
-
-Pass 1 spreads anchor strings over a table of fixed size and keeps the places
-where two documents meet; anchors elsewhere are unique and dropped. Pass 2
-orders what is left by anchor string and by all bytes of the anchor's windows
-together; runs that are wholly repeated are settled, and runs that share 13
-bytes beside the anchor with other runs go on. Pass 3 sorts single windows of
-those by their bytes, eight at a time, dropping groups of one after each digit.
+passes as one run.
+
+Pass 1 deals the runs out by anchor string and orders them by anchor, then by
+all bytes of the run together: what a run shares with an earlier document's
+whole run is settled. Runs that differ leave the sort unless they share HALF
+bytes beside the anchor, as they must to share a window. Pass 2 orders the
+single windows of those that stay, by their bytes, eight at a time, dropping
+groups of one after each digit.
+
+Every text is read where it lies in pass 1; pass 2 and the cut move those texts
+only that runs were kept of. Nothing is broadcast but a bit table of such
+documents, whose size is checked.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, join_hash, mix, slices, text_bytes
+from tessera.llm.common import Scratch, join_hash, marked_rows, mix, slices, text_bytes
 
 #: Bytes of a window and of an anchor string; half of the bytes beside the anchor in a window.
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 WINDOWS = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
-#: Bits of the tables of anchors and of asked runs (what is broadcast doesn't grow with the corpus), shards of a shuffle.
-SLOT_BITS, ASK_BITS, SHARDS = 29, 25, 64
-#: Text bytes worked on at once, and bits of a place within them.
-PIECE, PLACE_BITS = 2 << 20, 22
+SIDE = LENGTH - GRAM
+#: Text bytes for a shard of the sort (what a task orders stays the same as the corpus grows), least shards, most tasks of a shuffle.
+SHARD_BYTES, SHARDS, TASKS = 24 << 20, 24, 20_000
+#: Text bytes whose runs are packed together, bytes hashed at once, and bits of a place within them.
+SLICE, PIECE, PLACE_BITS = 8 << 20, 2 << 20, 22
+#: Bits of the names of anchor strings and of runs.
+NAME_BITS = 48
 
 _W = np.random.default_rng(6).integers(1, 2**63, 7, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.random.default_rng(5).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.uint64((1 << NAME_BITS) - 1)
 
+#: A run on its way to its shard, a removed run or an asked one on its way back, windows of a run on their way to theirs.
+RUN = np.dtype([("key1", "<u8"), ("key2", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u8"), ("name", "<u2"), ("start", "<u4"), ("count", "u1"), ("before", "u1")])
+BACK = np.dtype([("doc", "<u8"), ("name", "<u2"), ("start", "<u4"), ("count", "u1"), ("before", "u1"), ("key1", "<u8")])
+ASKED = np.dtype([("key1", "<u8"), ("start", "<u4"), ("count", "u1"), ("before", "u1")])
+CONTEXT = np.dtype([("key1", "<u8"), ("doc", "<u8"), ("name", "<u2"), ("start", "<u4"), ("count", "u1"), ("before", "u1"), ("bytes", "u1", (GRAM + 2 * SIDE,))])
+#: `before` of a run that is removed as a whole.
+SETTLED = 255
+PACKED = "shard int, payload binary"
 
-class Anchors:
+
+@cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(records: np.ndarray, delta: str | None = None) -> bytes:
+    """Records as compressed byte planes of their fields; ids count from the least, and `delta` holds steps."""
+    least = int(records["doc"].min()) if len(records) else 0
+    planes = [least.to_bytes(8, "little")]
+    for field in records.dtype.names:
+        x = records[field] - np.uint64(least) if field == "doc" else np.diff(records[field], prepend=np.uint64(0)) if field == delta else records[field]
+        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(records), -1).T.tobytes())
+    return _codec()[0].compress(b"".join(planes))
+
+
+def unpack(payloads: list[bytes], kind: np.dtype, delta: str | None = None) -> np.ndarray:
+    parts = []
+    for p in payloads:
+        raw = _codec()[1].decompress(p)
+        out, at = np.empty((len(raw) - 8) // kind.itemsize, kind), 8
+        for field in kind.names:
+            width = kind[field].itemsize
+            x = np.frombuffer(raw, np.uint8, width * len(out), at).reshape(width, len(out)).T
+            x = np.ascontiguousarray(x)
+            out[field] = x if kind[field].shape else x.view(kind[field]).ravel()
+            at += width * len(out)
+        out["doc"] += np.uint64(int.from_bytes(raw[:8], "little"))
+        if delta:
+            out[delta] = np.cumsum(out[delta], dtype=np.uint64)
+        parts.append(out)
+    return np.concatenate(parts)
+
+
+class Runs:
     """Runs of windows with one anchor, of a run of texts.
 
     doc, start, count: the text, the place of the first window in the text and
-    the number of windows; key1 names the anchor string, key2 all bytes of the
-    run; left and right name the HALF bytes beside the anchor (0: the run
-    doesn't reach that far).
+    the number of windows; before: bytes of the first window before the anchor;
+    key1 names the anchor string, key2 all bytes of the run; left and right
+    name the HALF bytes beside the anchor (0: the run doesn't reach that far).
     """
 
-    def __init__(self, texts: pa.Array, full: bool):
+    FIELDS = (("doc", np.int64), ("start", np.int64), ("count", np.int64), ("before", np.int64), ("key1", np.uint64), ("key2", np.uint64), ("left", np.uint16), ("right", np.uint16))
+
+    def __init__(self, texts: pa.Array):
         data, off = text_bytes(texts)
-        runs = [self.piece(data, off, lo, hi, full) for lo, hi in pieces(off)]
-        self.doc, self.start, self.count, self.key1, self.key2, self.left, self.right, self.at = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64, np.int64)]
-        self.data, self.off = data, off
+        total = int(off[-1])
+        # Where a cut between pieces falls doesn't change which windows are found repeated: runs that it splits are compared by windows.
+        found = [self.piece(data, off, lo, min(lo + PIECE, total)) for lo in range(0, total, PIECE)]
+        for k, (field, kind) in enumerate(self.FIELDS):
+            setattr(self, field, np.concatenate([x[k] for x in found]).astype(kind) if found else np.zeros(0, kind))
 
-    def piece(self, data: np.ndarray, off: np.ndarray, lo: int, hi: int, full: bool) -> tuple:
+    def piece(self, data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple:
         """The runs whose windows start in bytes lo to hi; texts may begin before or end after."""
-        end = min(len(data), hi + LENGTH - 1)
-        body = data[lo:end]
+        body = data[lo : min(len(data), hi + LENGTH - 1)]
         n = len(body)
         wide = np.zeros(n + 2 * LENGTH, np.uint8)
         wide[:n] = body
-        v = np.empty(n + LENGTH, np.uint64)
+        v = np.empty(n + LENGTH, np.uint64)  # eight bytes from each place
         for k in range(8):
             part = wide[k : k + (n + LENGTH - k + 7) // 8 * 8 + 8]
             v[k::8] = part[: len(part) // 8 * 8].view(np.uint64)[: len(v[k::8])]
-        h = mix(v[:n] * _C[0] + v[8 : n + 8] * _C[1] + v[16 : n + 16] * _C[2])
+        h = mix(v[:n] * _C[0] + v[8 : n + 8] * _C[1])
         low = np.uint64((1 << PLACE_BITS) - 1)
-        best = (h & ~low) | np.arange(n, dtype=np.uint64)
-        for step in (1, 2, 4, 8):
+        best, reach = (h & ~low) | np.arange(n, dtype=np.uint64), 1
+        while reach < WINDOWS:
+            step = min(reach, WINDOWS - reach)
             best[:-step] = np.minimum(best[:-step], best[step:])
-        rest = WINDOWS - 16
-        best[:-rest] = np.minimum(best[:-rest], best[rest:])
+            reach += step
         # Windows that start in lo..hi and end inside their text.
-        owner = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(np.clip(off, lo, hi)))
-        room = np.repeat(off[1:] - LENGTH - lo, np.diff(np.clip(off, lo, hi))).astype(np.int32)
+        sizes = np.diff(np.clip(off, lo, hi))
+        owner = np.repeat(np.arange(len(off) - 1, dtype=np.int32), sizes)
+        room = np.repeat(off[1:] - LENGTH - lo, sizes).astype(np.int32)
         starts = np.flatnonzero(room >= np.arange(hi - lo, dtype=np.int32))
         anchor, owner = (best[starts] & low).astype(np.int64), owner[starts]
         cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(starts) != 1)])) if len(starts) else np.zeros(0, np.int64)
         first, count, a, doc = starts[cut], np.diff(np.append(cut, len(starts))), anchor[cut], owner[cut]
-        key1 = h[a]
-        if not full:
-            none = np.zeros(0, np.uint64)
-            return doc, first + lo - off[doc], count, key1, none, none, none, a + lo
         w = v[LENGTH - 8 : n + LENGTH - 8] * _W[6]
         for k in range(6):
             w += v[8 * k : n + 8 * k] * _W[k]
-        w = mix(w)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w))])
         key2 = join_hash(sums[first + count] - sums[first], ((a - first) << 8 | count).astype(np.uint64))
-        reach_l, reach_r = a - first >= HALF, first + count - 1 >= a - HALF
-        left = np.where(reach_l, mix(v[np.maximum(a - HALF, 0)] * _C[5] + v[np.maximum(a - 8, 0)] * _C[6]) | np.uint64(1), np.uint64(0))
-        right = np.where(reach_r, mix(v[a + GRAM] * _C[5] + v[a + GRAM + HALF - 8] * _C[7]) | np.uint64(1), np.uint64(0))
-        return doc, first + lo - off[doc], count, key1, key2, left, right, a + lo
 
+        def beside(at: np.ndarray, reaches: np.ndarray) -> np.ndarray:
+            at = np.maximum(at, 0)
+            name = mix(v[at] * _C[2] + v[at + 5] * _C[3] + v[at + HALF - 8] * _C[4]) >> np.uint64(48)
+            return np.where(reaches, name | np.uint64(1), np.uint64(0)).astype(np.uint16)
 
-def pieces(off: np.ndarray) -> list[tuple[int, int]]:
-    """Cuts bytes into pieces of at most PIECE. Where a cut falls doesn't change which windows are found repeated: runs that it splits are compared by windows."""
-    total = int(off[-1])
-    return [(lo, min(lo + PIECE, total)) for lo in range(0, total, PIECE)]
+        left = beside(a - HALF, a - first >= HALF)
+        right = beside(a + GRAM, first + count - 1 >= a - HALF)
+        return doc, first + lo - off[doc], count, a - first, h[a] & _MASK, key2 & _MASK, left, right
 
 
-def shard_of(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(58)).astype(np.int64)
-
-
-def split_by(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """shard and the columns of its rows, shard by shard."""
+def split_by(shard: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with its records, their order kept."""
     order = np.argsort(shard, kind="stable")
-    shard = shard[order]
+    shard, records = shard[order], records[order]
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-    columns = [c[order] for c in columns]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         if lo < hi:
-            yield int(shard[lo]), *[c[lo:hi] for c in columns]
+            yield int(shard[lo]), records[lo:hi]
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """The rows that take part, each named by its id and 32 bits of its text's hash, which tell rows of one id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("name", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def repeated_anchors(rows: DataFrame) -> np.ndarray:
-    """A bit for each slot of the table of anchor strings: two documents meet there."""
-    width = 1 << (SLOT_BITS - 6)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=PIECE):
-            found = Anchors(part.column("text"), full=False)
-            ids = part.column("doc_id").to_numpy()[found.doc]
-            slot = (found.key1 >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-            order = np.lexsort((ids, slot))
-            slot, ids = slot[order], ids[order]
-            new = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            if not len(first):
-                continue
-            many = np.maximum.reduceat(ids, first) != np.minimum.reduceat(ids, first)
-            value = slot[first] << np.uint32(1) | many
-            # Steps between a shard's slots are small numbers, which pack well.
-            out = [(s, np.diff(x & np.uint32(2 * width - 1), prepend=np.uint32(0)).tobytes()) for s, x in split_by(slot[first] >> np.uint32(SLOT_BITS - 6), value)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "slots"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for s, x in zip(b.column("shard").to_pylist(), b.column("slots"), strict=True):
-                seen, twice = state.setdefault(s, (np.zeros(width, bool), np.zeros(width, bool)))
-                value = np.cumsum(np.frombuffer(x.as_buffer(), np.uint32), dtype=np.uint32)
-                slot, many = value >> np.uint32(1), (value & np.uint32(1)) == 1
-                twice[slot[many | seen[slot]]] = True
-                seen[slot] = True
-        for s, (_, twice) in state.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
-
-    spreaded = rows.mapInArrow(spread, "shard int, slots binary").repartition(SHARDS, "shard")
-    found = spreaded.mapInArrow(merge, "shard int, bits binary").toArrow()
-    table = np.zeros((64, width // 8), np.uint8)
-    for s, x in zip(found["shard"].to_pylist(), found["bits"], strict=True):
-        table[s] = np.frombuffer(x.as_buffer(), np.uint8)
-    del spreaded, found
-    Scratch(rows.sparkSession, "repeats").free()
-    return table.ravel()
-
-
-def bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-#: Rows of pass 2 and 3: places to remove (shard -1), or records for a shard.
-MIXED = "shard int, doc_id long, name long, payload binary"
-#: Keys are kept to 40 and 48 bits here (a shard tells more of the first).
-_RUN = np.dtype([("key1", "<u4"), ("key1b", "u1"), ("key2", "<u4"), ("key2b", "<u2"), ("left", "<u4"), ("right", "<u4"), ("start", "<i4"), ("count", "u1"), ("doc", "<u2")])
-_WINDOWS = np.dtype([("key1", "<u8"), ("start", "<i4"), ("count", "u1"), ("before", "u1"), ("doc", "<u2"), ("bytes", "u1", (2 * LENGTH - GRAM,))])
-
-
-def batch_of(rows: list[tuple[int, int | None, int | None, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "doc_id", "name", "payload"])
-
-
-def removals(ids: np.ndarray, names: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """A row for each document with its runs of repeated windows, adjoining runs merged."""
-    order = np.lexsort((start, names, ids))
-    ids, names, start, count = ids[order], names[order], start[order], count[order]
-    if not len(ids):
-        return []
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])])
-    gap = np.concatenate([[True], start[1:] > start[:-1] + count[:-1]]) | new
-    at = np.flatnonzero(gap)
-    runs = np.stack([start[at], np.maximum.reduceat(start + count, at)], axis=1).astype(np.int32)
-    edges = np.searchsorted(at, np.append(np.flatnonzero(new), len(ids)))
-    return [(-1, int(ids[at[lo]]), int(names[at[lo]]), runs[lo:hi].tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def packed(shard: int, records: np.ndarray, ids: np.ndarray, names: np.ndarray) -> tuple[int, None, None, bytes]:
-    """Records of a shard with a table of the documents that they name."""
-    used, records["doc"] = np.unique(records["doc"], return_inverse=True)
-    return shard, None, None, len(used).to_bytes(4, "little") + ids[used].astype("<i8").tobytes() + names[used].astype("<u4").tobytes() + records.tobytes()
-
-
-def unpacked(payloads: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Records of payloads, with each record's document id and name."""
-    records, ids, names = [], [], []
-    for p in payloads:
-        n = int.from_bytes(p[:4], "little")
-        r = np.frombuffer(p, kind, offset=4 + 12 * n)
-        records.append(r)
-        ids.append(np.frombuffer(p, "<i8", n, 4)[r["doc"]])
-        names.append(np.frombuffer(p, "<u4", n, 4 + 8 * n).astype(np.int64)[r["doc"]])
-    return np.concatenate(records), np.concatenate(ids), np.concatenate(names)
+def dealt(records: np.ndarray, by: str, shards: int, delta: str | None = None) -> pa.RecordBatch:
+    """A row a shard with its records packed."""
+    shard = (mix(records[by].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    rows = [(s, pack(r, delta)) for s, r in split_by(shard, records)]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["shard", "payload"])
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes] | pa.RecordBatch]:
-    """Payloads of each shard, rows coming sorted by shard; rows of no shard as they are."""
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each shard with its payloads, rows coming sorted by shard."""
     held, now = [], None
     for b in batches:
-        shard = b.column("shard").to_numpy()
-        if (settled := int(np.searchsorted(shard, 0))) > 0:
-            yield b.slice(0, settled)
-        for s, p in zip(shard[settled:].tolist(), b.column("payload").slice(settled).to_pylist(), strict=True):
+        for s, p in zip(b.column("shard").to_pylist(), b.column("payload").to_pylist(), strict=True):
             if s != now and held:
-                yield held
+                yield now, held
                 held = []
             now = s
             held.append(p)
     if held:
-        yield held
+        yield now, held
 
 
-def short(key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return key1 & np.uint64((1 << 40) - 1), key2 & np.uint64((1 << 48) - 1)
+def gathered(packed: DataFrame, shards: int) -> DataFrame:
+    return packed.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard")
 
 
-def asked(key1: np.ndarray, key2: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The place of a run in the table of asked runs."""
-    return join_hash(join_hash(key1, key2), ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ASK_BITS)
+def rows_of(docs: DataFrame) -> DataFrame:
+    """The rows that take part, each named by its id and 16 bits of its text's hash, which tell rows of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("name", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int"))
 
 
-def order_runs(rows: DataFrame, table: np.ndarray, scratch: Scratch, shards: int) -> tuple[DataFrame, np.ndarray]:
-    """Pass 2: rows with removals, and the table of runs to compare by windows."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+_SIGN = np.uint64(1 << 63)
+
+
+def ordered_ids(ids: np.ndarray) -> np.ndarray:
+    """Ids as unsigned numbers in the same order."""
+    return ids.astype(np.int64).view(np.uint64) ^ _SIGN
+
+
+def order_runs(rows: DataFrame, shards: int) -> DataFrame:
+    """Pass 1: packed runs to remove and to ask for windows, dealt by document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = shared.value
-        for part in slices(batches, limit=PIECE):
-            found = Anchors(part.column("text"), full=True)
-            ids, names = part.column("doc_id").to_numpy(), part.column("name").to_numpy()
-            at = np.flatnonzero(bit(twice, found.key1 >> np.uint64(64 - SLOT_BITS)))
-            at = at[np.lexsort((ids[found.doc[at]], found.key2[at], found.key1[at]))]
-            if not len(at):
-                continue
-            key1, key2, doc = found.key1[at], found.key2[at], ids[found.doc[at]]
-            new = np.flatnonzero(np.concatenate([[True], (key1[1:] != key1[:-1]) | (key2[1:] != key2[:-1])]))
-            least = np.repeat(doc[new], np.diff(np.append(new, len(at))))
-            later = doc > least  # an earlier document of this piece has the whole run
-            gone, at = at[later], at[~later]
-            out = removals(ids[found.doc[gone]], names[found.doc[gone]], found.start[gone], found.count[gone])
-            records = np.zeros(len(at), _RUN)
-            key1, key2 = short(found.key1[at], found.key2[at])
-            for field, value in (("key1", key1), ("key1b", key1 >> np.uint64(32)), ("key2", key2), ("key2b", key2 >> np.uint64(32)), ("left", found.left[at]), ("right", found.right[at])):
-                records[field] = (value & np.uint64(0xFFFFFFFF)).astype(records.dtype[field])
-            for field, value in (("start", found.start), ("count", found.count), ("doc", found.doc)):
-                records[field] = value[at]
-            shard = (mix(key1) % np.uint64(shards)).astype(np.int64)
-            out += [packed(s, r, ids, names) for s, r in split_by(shard, records)]
-            yield batch_of(out)
+        for part in slices(batches, limit=SLICE):
+            found = Runs(part.column("text"))
+            r = np.zeros(len(found.doc), RUN)
+            for field in ("key1", "key2", "left", "right", "start", "count", "before"):
+                r[field] = getattr(found, field)
+            r["doc"] = ordered_ids(part.column("doc_id").to_numpy())[found.doc]
+            r["name"] = part.column("name").to_numpy()[found.doc]
+            r = r[np.lexsort((r["doc"], r["key2"], r["key1"]))]
+            new = starts_of(r["key1"], r["key2"])
+            later = r["doc"] > np.repeat(r["doc"][new], np.diff(np.append(new, len(r))))  # an earlier document of this slice has the whole run
+            yield dealt(r[~later], "key1", shards, delta="key1")
+            # What is settled here needs no comparing; it goes along under numbers of its own, whole shards of documents.
+            settled = dealt(returned(r[later], SETTLED), "doc", shards)
+            yield pa.RecordBatch.from_arrays([pa.array(settled.column("shard").to_numpy() + shards, pa.int32()), settled.column("payload")], ["shard", "payload"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for payloads in by_shard(batches):
-            if isinstance(payloads, pa.RecordBatch):
-                yield payloads
-                continue
-            r, ids, names = unpacked(payloads, _RUN)
-            key1 = r["key1"].astype(np.uint64) | r["key1b"].astype(np.uint64) << np.uint64(32)
-            key2 = r["key2"].astype(np.uint64) | r["key2b"].astype(np.uint64) << np.uint64(32)
-            o = np.lexsort((ids, key2, key1))
-            r, ids, names, key1, key2 = r[o], ids[o], names[o], key1[o], key2[o]
-            new = np.flatnonzero(np.concatenate([[True], (key1[1:] != key1[:-1]) | (key2[1:] != key2[:-1])]))
-            size = np.diff(np.append(new, len(r)))
-            later = ids > np.repeat(ids[new], size)
-            out = removals(ids[later], names[later], r["start"][later].astype(np.int64), r["count"][later].astype(np.int64))
-            # Of runs that differ, those that share bytes beside the anchor are asked for their windows.
-            ask = np.zeros(len(new), bool)
-            for side in ("left", "right"):
-                k, x = key1[new], r[side][new]
-                s = np.lexsort((x, k))
-                same = (k[s][1:] == k[s][:-1]) & (x[s][1:] == x[s][:-1]) & (x[s][1:] > 0)
-                ask[s[1:][same]] = True
-                ask[s[:-1][same]] = True
-            ask = new[ask]
-            if len(ask):
-                out.append((-2, None, None, np.unique(asked(key1[ask], key2[ask], ids[ask])).astype("<u4").tobytes()))
-            yield batch_of(out)
-
-    # What is settled already goes along: under its document's shard, before all records.
-    place = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod("name", F.lit(shards)).cast("int"))
-    ordered = rows.mapInArrow(emit, MIXED).withColumn("place", place).repartition(shards, "place").sortWithinPartitions("shard").drop("place")
-    found = scratch.keep(ordered.mapInArrow(order, MIXED), "ordered")
-    scratch.free()
-    return found.where("shard = -1"), ask_table(found.where("shard = -2"))
-
-
-def ask_table(rows: DataFrame) -> np.ndarray:
-    """The bits of asked runs; at most a table's words reach the driver."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in b.column("payload").to_pylist():
-                at = np.frombuffer(p, "<u4")
-                word, mask = at >> np.uint32(5), np.int64(1) << (at & np.uint32(31)).astype(np.int64)
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(word[first], pa.int64()), pa.array(np.bitwise_or.reduceat(mask, first))], ["word", "mask"])
-
-    found = rows.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros(1 << (ASK_BITS - 5), "<u4")
-    table[found["word"].to_numpy()] = found["mask"].to_numpy().astype("<u4")
-    return table.view(np.uint8)
-
-
-def order_windows(rows: DataFrame, table: np.ndarray, asks: np.ndarray, scratch: Scratch, shards: int) -> DataFrame:
-    """Pass 3: removals among single windows of asked runs."""
-    context = rows.sparkSession.sparkContext
-    shared, wanted = context.broadcast(table), context.broadcast(asks)
-    side = LENGTH - GRAM
+        for s, payloads in by_shard(batches):
+            if s < shards:
+                yield dealt(compared(unpack(payloads, RUN, "key1")), "doc", shards)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([s - shards] * len(payloads), pa.int32()), pa.array(payloads, pa.binary())], ["shard", "payload"])
+
+    return gathered(rows.mapInArrow(emit, PACKED), shards).mapInArrow(order, PACKED)
+
+
+def returned(r: np.ndarray, before: int | np.ndarray) -> np.ndarray:
+    out = np.zeros(len(r), BACK)
+    for field in ("doc", "name", "start", "count"):
+        out[field] = r[field]
+    out["before"] = before
+    return out
+
+
+def compared(r: np.ndarray) -> np.ndarray:
+    """Of all runs of some anchor strings: those to remove, and those to ask for windows."""
+    r = r[np.lexsort((r["doc"], r["key2"], r["key1"]))]
+    new = starts_of(r["key1"], r["key2"])
+    later = r["doc"] > np.repeat(r["doc"][new], np.diff(np.append(new, len(r))))
+    # Of runs that differ, those that share bytes beside the anchor are asked for their windows.
+    one = r[new]
+    ask = np.zeros(len(one), bool)
+    for side in ("left", "right"):
+        s = np.lexsort((one[side], one["key1"]))
+        k, x = one["key1"][s], one[side][s]
+        same = (k[1:] == k[:-1]) & (x[1:] == x[:-1]) & (x[1:] > 0)
+        ask[s[1:][same]] = True
+        ask[s[:-1][same]] = True
+    asked = returned(one[ask], one["before"][ask])
+    asked["key1"] = one["key1"][ask]
+    return np.concatenate([returned(r[later], SETTLED), asked])
+
+
+def by_document(packed: DataFrame, shards: int) -> DataFrame:
+    """doc_id, name, runs to remove (merged: first and last window) and asked (packed), a row a document."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, payloads in by_shard(batches):
+            r = unpack(payloads, BACK)
+            r = r[np.lexsort((r["start"], r["name"], r["doc"]))]
+            at = np.append(starts_of(r["doc"], r["name"]), len(r))
+            ids, names = (r["doc"][at[:-1]] ^ _SIGN).view(np.int64), r["name"][at[:-1]].astype(np.int32)
+            runs, asks = [], []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                one = r[lo:hi]
+                gone, ask = one[one["before"] == SETTLED], one[one["before"] != SETTLED]
+                runs.append(merged(gone["start"].astype(np.int64), gone["count"].astype(np.int64)) if len(gone) else None)
+                asks.append(ask[list(ASKED.names)].astype(ASKED).tobytes() if len(ask) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names), pa.array(runs, pa.binary()), pa.array(asks, pa.binary())], ["doc_id", "name", "runs", "asked"])
+
+    return gathered(packed, shards).mapInArrow(merge, "doc_id long, name int, runs binary, asked binary")
+
+
+def merged(start: np.ndarray, count: np.ndarray) -> bytes:
+    """Runs of windows sorted by start, with those that touch joined, as pairs of first and last plus one."""
+    reach = np.maximum.accumulate(start + count)
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return np.stack([start[at], np.append(reach[at[1:] - 1], reach[-1])], axis=1).astype("<i8").tobytes()
+
+
+def order_windows(asked: DataFrame, shards: int) -> DataFrame:
+    """Pass 2: packed removals among single windows of asked runs; asked has doc_id, name, text and asked."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, ask = shared.value, wanted.value
-        for part in slices(batches, limit=PIECE):
-            found = Anchors(part.column("text"), full=True)
-            ids, names = part.column("doc_id").to_numpy(), part.column("name").to_numpy()
-            at = np.flatnonzero(bit(twice, found.key1 >> np.uint64(64 - SLOT_BITS)))
-            at = at[bit(ask, asked(*short(found.key1[at], found.key2[at]), ids[found.doc[at]]))]
-            if not len(at):
-                continue
-            records = np.zeros(len(at), _WINDOWS)
-            for field, value in (("key1", found.key1), ("start", found.start), ("count", found.count), ("doc", found.doc)):
-                records[field] = value[at]
-            records["before"] = found.at[at] - found.off[found.doc[at]] - found.start[at]
-            place = np.clip(found.at[at][:, None] + np.arange(-side, GRAM + side), 0, len(found.data) - 1)
-            records["bytes"] = found.data[place]
-            shard = (mix(records["key1"]) % np.uint64(shards)).astype(np.int64)
-            yield batch_of([packed(s, r, ids, names) for s, r in split_by(shard, records)])
+        for part in slices(batches, limit=SLICE):
+            data, off = text_bytes(part.column("text"))
+            asks = [np.frombuffer(x, ASKED) for x in part.column("asked").to_pylist()]
+            doc, a = np.repeat(np.arange(len(asks)), [len(x) for x in asks]), np.concatenate(asks)
+            r = np.zeros(len(a), CONTEXT)
+            for field in ASKED.names:
+                r[field] = a[field]
+            r["doc"] = ordered_ids(part.column("doc_id").to_numpy())[doc]
+            r["name"] = part.column("name").to_numpy()[doc]
+            anchor = off[doc] + a["start"].astype(np.int64) + a["before"]
+            r["bytes"] = data[np.clip(anchor[:, None] + np.arange(-SIDE, GRAM + SIDE), 0, len(data) - 1)]
+            yield dealt(r, "key1", shards)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for payloads in by_shard(batches):
-            r, ids, names = unpacked(payloads, _WINDOWS)
+        for _, payloads in by_shard(batches):
+            r = unpack(payloads, CONTEXT)
             count = r["count"].astype(np.int64)
             row = np.repeat(np.arange(len(r)), count)
             step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            offset = r["before"][row].astype(np.int64) - step  # bytes of the window before the anchor
-            later = radix(r["key1"][row], offset, r["bytes"], row, ids[row])
-            row, step = row[later], step[later]
-            out = removals(ids[row], names[row], r["start"][row].astype(np.int64) + step, np.ones(len(row), np.int64))
-            if out:
-                yield batch_of(out)
+            later = radix(r["key1"][row], r["before"][row].astype(np.int64) - step, r["bytes"], row, r["doc"][row])
+            out = returned(r[row[later]], SETTLED)
+            out["start"] += step[later].astype(np.uint32)
+            out["count"] = 1
+            yield dealt(out, "doc", shards)
 
-    emitted = rows.mapInArrow(emit, MIXED).select("shard", "payload").repartition(shards, "shard").sortWithinPartitions("shard")
-    found = scratch.keep(emitted.mapInArrow(order, MIXED), "windows")
-    scratch.free()
-    return found
+    return gathered(asked.mapInArrow(emit, PACKED), shards).mapInArrow(order, PACKED)
 
 
 def radix(key1: np.ndarray, offset: np.ndarray, contexts: np.ndarray, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -369,31 +331,24 @@ def radix(key1: np.ndarray, offset: np.ndarray, contexts: np.ndarray, row: np.nd
     window's bytes, eight at a time. Windows alone in their group leave.
     """
     active = np.arange(len(row))
-    group = join_hash(key1, offset.astype(np.uint64)).astype(np.uint64)
-    group = np.unique(group, return_inverse=True)[1]
+    group = np.unique(join_hash(key1, offset.astype(np.uint64)), return_inverse=True)[1]
     padded = np.zeros((len(contexts), contexts.shape[1] + 8), np.uint8)
     padded[:, : contexts.shape[1]] = contexts
-    side = LENGTH - GRAM
     for digit in range(0, LENGTH, 8):
         width = min(8, LENGTH - digit)
-        column = (side - offset[active] + digit)[:, None] + np.arange(width)
+        column = (SIDE - offset[active] + digit)[:, None] + np.arange(width)
         raw = np.zeros((len(active), 8), np.uint8)
         raw[:, :width] = padded[row[active][:, None], column]
         value = raw.view(">u8").ravel().astype(np.uint64)
         order = np.lexsort((value, group[active]))
         active, value = active[order], value[order]
-        g = group[active]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (value[1:] != value[:-1])]) if len(active) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        alone = np.bincount(number, minlength=1)[number] == 1 if len(active) else np.zeros(0, bool)
-        group[active] = number
-        active = active[~alone]
-    g = group[active]
-    order = np.lexsort((ids[active], g))
-    active, g = active[order], g[order]
-    new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(active) else np.zeros(0, np.int64)
-    least = np.repeat(ids[active][new], np.diff(np.append(new, len(active))))
-    return active[ids[active] > least]
+        at = starts_of(group[active], value)
+        size = np.diff(np.append(at, len(active)))
+        group[active] = np.repeat(np.arange(len(at)), size)
+        active = active[np.repeat(size, size) > 1]
+    active = active[np.lexsort((ids[active], group[active]))]
+    at = starts_of(group[active])
+    return active[ids[active] > np.repeat(ids[active][at], np.diff(np.append(at, len(active))))]
 
 
 def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -413,13 +368,18 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = rows_of(docs)
     usable = rows.where("doc_id is not null")
-    shards = max(SHARDS, usable.count() // 8000)
-    table = repeated_anchors(usable)
-    removed, asks = order_runs(usable, table, scratch, shards)
-    if asks.any():
-        removed = removed.unionByName(order_windows(usable, table, asks, scratch, shards))
-    gone = removed.groupBy("doc_id", "name").agg(F.collect_list("payload").alias("runs"))  # a document's own runs only
-    joined = rows.join(gone, ["doc_id", "name"], "left").select("doc_id", "text", "runs")
+    size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, size // SHARD_BYTES)
+    runs = scratch.keep(by_document(order_runs(usable, shards), shards), "runs")
+    asked = runs.where("asked is not null").select("doc_id", "name", "asked")
+    wanted, _ = marked_rows(usable, asked, ["doc_id", "name"])
+    windows = scratch.keep(by_document(order_windows(wanted.join(asked, ["doc_id", "name"]), shards), shards), "windows")
+
+    gone = runs.where("runs is not null").select("doc_id", "name", "runs").unionByName(windows.select("doc_id", "name", "runs"))
+    touched, others = marked_rows(rows, gone.select("doc_id", "name"), ["doc_id", "name"])
+    joined = touched.join(gone.groupBy("doc_id", "name").agg(F.collect_list("runs").alias("runs")), ["doc_id", "name"], "left")  # a document's own runs only
+    columns = ["doc_id", "text", "runs"]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -428,13 +388,14 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
             arrays = [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array([hashlib.sha256(x).hexdigest() for x in columns[3]], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[3], pa.binary())] * texts, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    whole = others.withColumn("runs", F.lit(None).cast("array<binary>")).select(*columns)
+    return joined.select(*columns).mapInArrow(cut, schema).unionByName(whole.mapInArrow(cut, schema))
 
 
 def cut_one(text: bytes, payloads: list[bytes] | None) -> tuple[int, int, int, bytes]:
     if not payloads:
         return len(text), 0, 0, text
-    runs = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for p in payloads]).astype(np.int64)
+    runs = np.concatenate([np.frombuffer(p, "<i8").reshape(-1, 2) for p in payloads])
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, runs[:, 0], 1)
     np.add.at(edge, runs[:, 1] - 1 + LENGTH, -1)
