@@ -51,6 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables in the shared folder: they cut lineage and outlive executors."""
 
@@ -184,31 +192,41 @@ def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str]) -> tuple[Dat
     table[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.uint32)
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
+    column = fresh(rows, "marked_at")
+
     def run(wanted: bool) -> DataFrame:
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = b.column("marked_at").to_numpy()
+                at = b.column(column).to_numpy()
                 hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
-                yield b.drop_columns(["marked_at"]).filter(pa.array(hit if wanted else ~hit))
+                yield b.drop_columns([column]).filter(pa.array(hit if wanted else ~hit))
 
-        return rows.withColumn("marked_at", place).mapInArrow(chosen, rows.schema)
+        return rows.withColumn(column, place).mapInArrow(chosen, rows.schema)
 
     return run(True), run(False)
 
 
+#: A node with over one part in HUBS of all edges is a hub.
+HUBS = 500
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component: the least node that each node of edges(a, b) reaches.
 
     Alternating large and small stars. A node's least neighbour is found by
-    partial aggregation, and joined to its edges by a sort-merge join, which
-    splits a hot node's edges over tasks. Each round is a table in the shared
-    folder; nothing but counts reaches the driver.
+    partial aggregation. A hub, which has over one part in HUBS of a round's
+    edges, sends it to its edges by broadcast (so few nodes can be hubs that
+    its size is bounded); others by a sort-merge join. Each round is a table
+    in the shared folder; nothing but counts reaches the driver.
     """
 
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
+    def star(pairs: DataFrame, small: bool, total: int) -> DataFrame:
         both = pairs if small else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = both.hint("merge").join(least, "a")
+        stats = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), (F.col("n") * HUBS > total).alias("hub"))
+        least = stats.select("a", "m")
+        hubs = F.broadcast(stats.where("hub").select("a", "m"))  # at most 4 * HUBS rows
+        cold = both.join(hubs.select("a"), "a", "left_anti").hint("merge").join(stats.where("not hub").select("a", "m"), "a")
+        moved = cold.unionByName(both.join(hubs, "a"))
         if small:
             out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         else:
@@ -221,8 +239,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state, k = tuple(now.agg(*mark).first()), 0
     while state[0]:
         k += 1
-        large = star(now, small=False)
-        new = scratch.keep(star(large, small=True), f"edges{k}")
+        large = star(now, False, state[0])
+        new = scratch.keep(star(large, True, state[0]), f"edges{k}")
         scratch.drop(f"edges{k - 1}")
         now, before, state = new, state, tuple(new.agg(*mark).first())
         if state == before:

@@ -7,6 +7,9 @@ those whose boxes are more than epsilon apart are skipped. Within a pair of
 blocks the recursion goes on down to small runs, whose cosines are taken in
 double precision. The axes only steer the pruning: any axes give the same
 links.
+
+Blocks that are left to join travel by tiles: squares of neighbouring blocks,
+so a block goes once to a tile and not once to each of its pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from tessera.llm.common import Scratch, components, forest
 
 #: Rows to fit the axes on at most, axes, rows of a block, rows of a run within blocks.
 SAMPLE, AXES, BLOCK, RUN = 4096, 8, 2048, 128
+#: Blocks along a side of a tile at most, and tiles along the table at least (as far as there are blocks).
+TILE, ACROSS = 32, 8
 #: Below the bound, so that rounding of the boxes can't lose a pair.
 SLACK = 1e-6
 BLOCK_SCHEMA = "part int, block long, lo array<double>, hi array<double>, n int, width int, rep binary, copies binary, rows binary"
@@ -34,7 +39,7 @@ def axes(rows: DataFrame, sample: int = SAMPLE, count: int = AXES) -> np.ndarray
     width = max(map(len, vectors), default=0)
     if not width:
         return np.zeros((0, 0))
-    unit = np.stack([np.pad(v, (0, width - len(v))) / np.linalg.norm(v) for v in vectors])
+    unit = normed(np.stack([np.pad(v, (0, width - len(v))) for v in vectors]))
     _, turned = np.linalg.eigh(unit.T @ unit / len(unit) - np.outer(unit.mean(0), unit.mean(0)))
     return turned[:, ::-1][:, :count].T
 
@@ -82,7 +87,7 @@ def pack(reps: DataFrame, turned: np.ndarray, epsilon: float, block: int) -> Dat
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = dense(b.column("x"), turned.shape[1])
-            unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            unit = normed(rows)
             cell = np.floor(unit[:, : turned.shape[1]] @ turned.T / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1) * cell.shape[1], pa.int32()), pa.array(cell.ravel())), b.column("rep"), b.column("copies"), b.column("x")], ["cell", "rep", "copies", "x"])
 
@@ -92,7 +97,7 @@ def pack(reps: DataFrame, turned: np.ndarray, epsilon: float, block: int) -> Dat
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = 0
         for part, rep, copies, rows in runs(batches, turned.shape[1], block):
-            unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            unit = normed(rows)
             lo, hi = box(unit[:, : turned.shape[1]] @ turned.T)
             values = [[part], [k], [lo.tolist()], [hi.tolist()], [len(rep)], [rows.shape[1]], [rep.tobytes()], [copies.tobytes()], [rows.tobytes()]]
             types = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -145,27 +150,53 @@ def join(reps: DataFrame, turned: np.ndarray, epsilon: float, least: float, bloc
     packed = scratch.keep(pack(reps, turned, epsilon, block), "blocks")
     pairs = interval_pairs(packed.select("part", "block", "lo", "hi"), epsilon)
 
-    def side(name: str) -> DataFrame:
-        fields = F.struct("n", "width", "rep", "copies", "rows").alias(name)
-        return packed.select(F.col("part").alias(f"{name}_part"), F.col("block").alias(f"{name}_block"), fields)
-
-    both = pairs.join(side("i"), ["i_part", "i_block"]).join(side("j"), ["j_part", "j_block"])
-    same = ((F.col("i_part") == F.col("j_part")) & (F.col("i_block") == F.col("j_block"))).alias("same")
+    blocks = packed.agg(F.count(F.lit(1)), F.count_distinct("part")).first()
+    side = max(1, min(TILE, -(-blocks[0] // ACROSS)) * blocks[1] // max(blocks[0], 1))  # in parts
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    ends = pairs.select(tile("i_part").alias("ti"), tile("j_part").alias("tj"), F.explode(F.array(*[F.struct(F.lit(k).alias("right"), F.col(f"{c}_part").alias("part"), F.col(f"{c}_block").alias("block")) for k, c in ((False, "i"), (True, "j"))])).alias("e"))
+    needed = ends.select("ti", "tj", "e.*").groupBy("ti", "tj", "part", "block").agg(F.bool_or(~F.col("right")).alias("left"), F.bool_or("right").alias("right"))
+    tasks = max(1, min(20_000, (-(-blocks[1] // side)) ** 2))
+    dealt = needed.join(packed.select("part", "block", "n", "width", "rep", "copies", "rows"), ["part", "block"]).repartition(tasks, "ti", "tj").sortWithinPartitions("ti", "tj", "part", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for b in batches:
-            for i, j, own in zip(b.column("i"), b.column("j"), b.column("same"), strict=True):
-                left, right = unpack(i), unpack(j)
-                node, links, other = links_of(*left, *right, own.as_py(), turned, epsilon, least)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64(), mask=other == np.iinfo(np.int64).min)], ["node", "links", "other"])
+            for row in b.to_pylist():
+                if held and (row["ti"], row["tj"]) != (held[0]["ti"], held[0]["tj"]):
+                    yield tiled(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield tiled(held)
+
+    def tiled(held: list[dict]) -> pa.RecordBatch:
+        """All pairs of a tile's blocks, left ones not after right ones; those whose boxes are apart end at once."""
+        out = [np.zeros((3, 0), np.int64)]
+        made = [prepared(*unpack(x), turned) for x in held]
+        for x, left in zip(held, made, strict=True):
+            for y, right in zip(held, made, strict=True):
+                if x["left"] and y["right"] and (x["part"], x["block"]) <= (y["part"], y["block"]):
+                    out.append(np.stack(links_of(left, right, x is y, epsilon, least)))
+        node, links, other = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64(), mask=other == np.iinfo(np.int64).min)], ["node", "links", "other"])
+
+    return scratch.keep(dealt.mapInArrow(run, schema), "links")
+
+
+def unpack(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(x["rep"], np.int64), np.frombuffer(x["copies"], np.int64), np.frombuffer(x["rows"], float).reshape(x["n"], x["width"])
 
-    out = both.select("i", "j", same).mapInArrow(run, schema)
-    return scratch.keep(out, "links")
 
+def prepared(rep: np.ndarray, copies: np.ndarray, rows: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, copies, unit vectors and their places along the axes."""
+    unit = normed(rows)
+    return rep, copies, unit, unit[:, : turned.shape[1]] @ turned.T
 
-def unpack(packed: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = {k: packed[k].as_py() for k in ("n", "width", "rep", "copies", "rows")}
-    return np.frombuffer(x["rep"], np.int64), np.frombuffer(x["copies"], np.int64), np.frombuffer(x["rows"], float).reshape(x["n"], x["width"])
+
+def normed(rows: np.ndarray) -> np.ndarray:
+    """Rows of unit length; the largest component is taken out first, so that squares neither vanish nor overflow."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def interval_pairs(blocks: DataFrame, epsilon: float, fan: int = 16) -> DataFrame:
@@ -198,11 +229,12 @@ def interval_pairs(blocks: DataFrame, epsilon: float, fan: int = 16) -> DataFram
     return pairs.select(high("pi").alias("i_part"), low("pi").alias("i_block"), high("pj").alias("j_part"), low("pj").alias("j_block"))
 
 
-def links_of(rep_i, copies_i, rows_i, rep_j, copies_j, rows_j, same, turned, epsilon, least, run: int = RUN):  # noqa: ANN001, ANN201
-    """Counts and a spanning forest of the links between two blocks (of one block with itself, if same)."""
-    width = max(rows_i.shape[1], rows_j.shape[1])
-    unit = [np.pad(r / np.linalg.norm(r, axis=1, keepdims=True), ((0, 0), (0, width - r.shape[1]))) for r in (rows_i, rows_j)]
-    place = [u[:, : turned.shape[1]] @ turned.T for u in unit]
+def links_of(left: tuple, right: tuple, same: bool, epsilon: float, least: float, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and a spanning forest of the links between two prepared blocks (of one block with itself, if same)."""
+    (rep_i, copies_i, unit_i, place_i), (rep_j, copies_j, unit_j, place_j) = left, right
+    width = max(unit_i.shape[1], unit_j.shape[1])
+    unit = [u if u.shape[1] == width else np.pad(u, ((0, 0), (0, width - u.shape[1]))) for u in (unit_i, unit_j)]
+    place = [place_i, place_j]
     n = len(rep_i)
     degree = [np.zeros(n, np.int64), np.zeros(len(rep_j), np.int64)]
     links: list[np.ndarray] = []

@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
+
 #: Documents in a block, slots in a period at least, power of a source's share that is its default target.
 BLOCK, PERIOD, POWER = 16, 1000, 0.5
 #: Documents that one task ranks, and that one file of an arranged table holds, about.
 BUCKET_ROWS, FILE_ROWS = 4096, 8192
+#: Tasks that a table is dealt over at most; beyond that they get larger, and sort with spilling.
+TASKS = 20_000
 
 
 def natural_targets(counts: DataFrame, power: float = POWER) -> DataFrame:
@@ -102,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = BLOCK, p
     earlier buckets comes from a table of counts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    buckets = max(1, -(-rows.count() // bucket_rows))
+    buckets = max(1, min(TASKS, -(-rows.count() // bucket_rows)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", key)
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")).repartition(buckets, "bucket")
@@ -143,10 +147,13 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, block: int = BLOCK, p
 def arrange(docs: DataFrame, targets: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """docs in the order of the mixture, over files and within; rows of left-out sources go.
 
-    Every column stays as it is. Rows of one doc_id and source stay together.
+    Every column stays as it is, whatever its name. Rows of one doc_id and
+    source stay together. Null ids and sources have their place as in mix. An
+    empty table gives an empty result.
     """
     mixed = mix(docs, targets, block).where("position is not null")
-    places = mixed.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("position").alias("mix_position"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("mix_source"))
-    files = max(1, -(-docs.count() // FILE_ROWS))
-    return docs.join(places, same).repartitionByRange(files, "mix_position").sortWithinPartitions("mix_position").drop("mix_id", "mix_source", "mix_position")
+    place, source, id_ = fresh(docs, "mix_position"), fresh(docs, "mix_source"), fresh(docs, "mix_id")
+    places = mixed.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("position").alias(place))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(source))
+    files = max(1, min(TASKS, -(-docs.count() // FILE_ROWS)))
+    return docs.join(places, same).repartitionByRange(files, place).sortWithinPartitions(place).select(*docs.columns)

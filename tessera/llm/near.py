@@ -23,17 +23,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, Tokens, chain, components, forest, join_hash, mix, slices
+from tessera.llm.common import Scratch, Tokens, chain, components, forest, fresh, join_hash, marked_rows, mix, slices
 
 #: Coordinates of a signature, chance to lose a link, nodes of a list that one task compares at once.
 COORDINATES, MISS, LIST = 64, 1e-9, 1024
-#: Nodes of a unit whose full sets meet in one task.
-UNIT = 512
-#: Bits of the filter that says which documents' sets are needed (its size doesn't depend on the corpus).
-FILTER_BITS = 24
+#: Nodes of a unit whose full sets meet in one task; shingles beyond which a node counts as several.
+UNIT, HEAVY = 512, 8192
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,7 +77,7 @@ def nodes_of(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, prefix: int) -> DataFrame:
-    """doc_id, n, node, and the signature: prefix (whole values) and rest (a byte each)."""
+    """doc_id, name (of the text), n, node, and the signature: prefix (whole values) and rest (a byte each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -93,15 +91,17 @@ def signatures(docs: DataFrame, words: int, prefix: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("name"),
                     pa.array(np.diff(at), pa.int64()),
                     pa.array(nodes_of(grams, at)),
                     pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * prefix, pa.int32()), pa.array(np.ascontiguousarray(head).view(np.int32).ravel())),
                     pa.array([x.tobytes() for x in rest], pa.binary()),
                 ],
-                ["doc_id", "n", "node", "prefix", "rest"],
+                ["doc_id", "name", "n", "node", "prefix", "rest"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, node long, prefix array<int>, rest binary")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("name", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, name long, n long, node long, prefix array<int>, rest binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, least: int = 85) -> DataFrame:
@@ -115,34 +115,52 @@ def near_duplicates(docs: DataFrame, words: int = 3, least: int = 85) -> DataFra
     whether that is the row's own. Rows that repeat a doc_id count one by one.
     No other columns are read. An empty table gives an empty result.
     """
+    signed, held = grouped(docs, words, least)
+    # A set that many documents share is a hot key; the skewed side of a sort-merge join is split.
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").hint("merge").join(held.select("node", "component_id"), "node", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def grouped(docs: DataFrame, words: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, name, n, node for every row (node null: linked with nothing); and node, component_id, first (the name of the row that stands for it)."""
     scratch = Scratch(docs.sparkSession, "near")
     prefix, matches = prefix_length(least), match_threshold(least)
     signed = scratch.keep(signatures(docs, words, prefix), "signatures")
     named = signed.where("n > 0 and doc_id is not null")
-    nodes = scratch.keep(named.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("rest").alias("rest")), "nodes")
-    links = find_links(docs, nodes, words, least, prefix, matches, scratch)
-    label = components(links, scratch)
+    nodes = scratch.keep(named.groupBy("node").agg(F.min(F.struct("doc_id", "name")).alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rest").alias("rest")).select("node", "doc.doc_id", "doc.name", "n", "prefix", "rest").withColumnRenamed("doc_id", "doc"), "nodes")
+    label = components(find_links(docs, nodes, words, least, prefix, matches, scratch), scratch)
 
-    held = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    first = held.groupBy("component").agg(F.min("doc").alias("component_id"))
-    held = held.join(first, "component").select("node", "component_id")
-    # A set that many documents share is a hot key; the skewed side of a sort-merge join is split.
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).hint("merge").join(held, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    held = nodes.select("node", "doc", "name").join(label, "node", "left").select("node", "doc", "name", F.coalesce("component", "node").alias("component"))
+    first = held.groupBy("component").agg(F.min(F.struct("doc", "name")).alias("first")).select("component", F.col("first.doc").alias("component_id"), F.col("first.name").alias("first"))
+    return signed.select("doc_id", "name", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), held.join(first, "component").select("node", "component_id", "first")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
-    """The rows of docs whose document stands for its group, with all their columns.
+    """The rows of docs that stand for their groups, with all their columns.
+
+    Of a group of near duplicates the row with the least doc_id stays (of
+    several, that with the least hash of its text); other rows of that doc_id
+    are judged by their own texts. Rows that share doc_id and text count as
+    one, and any one of them stays. Rows without doc_id and rows without words
+    are in no group; those without words stay but for such repeats. Extra
+    columns may have any names. An empty table gives an empty result.
 
-    Of rows that share doc_id and text one stays; rows without a doc_id stay.
+    Only rows that may go or repeat are moved; all others stay where they lie.
     """
-    gone = near_duplicates(docs, words, least).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
-    twice = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    previous = F.lag(F.xxhash64("text")).over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    marked = left.withColumn("near_repeat", F.col("doc_id").isNotNull() & (twice > 1) & (previous == F.xxhash64("text")))
-    return marked.where(~F.coalesce("near_repeat", F.lit(False))).drop("near_repeat")
+    signed, held = grouped(docs, words, least)
+    known = signed.where("doc_id is not null")
+    away = known.hint("merge").join(held, "node").where((F.col("doc_id") != F.col("component_id")) | ~F.col("name").eqNullSafe(F.col("first"))).select("doc_id", "name").distinct()
+    twice = known.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "name")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    away = scratch.keep(away, "away")
+    key = [fresh(docs, "near_id"), fresh(docs, "near_name")]
+    away, twice = away.toDF(*key), twice.toDF(*key)
+    keyed = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.xxhash64(F.col("text").cast("string")))
+    some, rest = marked_rows(keyed, away.unionByName(twice), key)
+    left = some.join(away, key, "left_anti")
+    once = left.where(F.col(key[0]).isNotNull()).dropDuplicates(key).unionByName(left.where(F.col(key[0]).isNull()))
+    return rest.unionByName(once).select(*docs.columns)
 
 
 def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix: int, matches: int, scratch: Scratch) -> DataFrame:
@@ -150,7 +168,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     spark = docs.sparkSession
     posted = nodes.select("node", F.posexplode("prefix").alias("c", "v")).select("node", (F.col("c").cast("long") * 2**32 + F.col("v").cast("long") + 2**31).alias("list"))
     counts = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posted = scratch.keep(posted.hint("merge").join(counts, "list"), "posted")
+    posted = scratch.keep(posted.hint("merge").join(counts, "list").withColumn("weight", F.lit(1)), "posted")
     signed = nodes.select("node", "prefix", "rest")
 
     def meet(entries: DataFrame) -> DataFrame:
@@ -164,13 +182,14 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
         more = scratch.keep(meet(tiles(labelled(entries, units), LIST)), "more-pairs")
         units = components(pairs.unionByName(more), Scratch(spark, "units"))
 
-    members = scratch.keep(units.select("node", F.col("component").alias("group")), "units")
-    sets = fetch_sets(docs, nodes, members, words, scratch, "sets")
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    weight = F.ceil(F.col("n") / HEAVY).cast("int").alias("weight")
+    members = scratch.keep(units.select("node", F.col("component").alias("group")).join(nodes.select("node", "doc", weight), "node"), "units")
+    sets = fetch_sets(docs, members, words, scratch, "sets")
+    sizes = members.groupBy("group").agg(F.sum("weight").alias("size"))
     members = scratch.keep(members.hint("merge").join(sizes, "group"), "sized")
 
     def confirm(entries: DataFrame) -> DataFrame:
-        full = entries.hint("merge").join(sets, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+        full = entries.hint("merge").join(members.select("node", "doc"), "node").join(sets, ["node", "doc"]).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
         return full.select("group", "i", "j", "side", "node", "own", "grams").mapInArrow(lambda it: confirmed(it, least), "a long, b long")
 
     links = scratch.keep(confirm(tiles(members, UNIT)), "links")
@@ -184,7 +203,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
 def labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     """entries of groups with several components: own, the component, and minor, whether it isn't the group's largest."""
     own = entries.join(label, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
-    per = own.groupBy("group", "own").agg(F.count(F.lit(1)).alias("k"))
+    per = own.groupBy("group", "own").agg(F.sum("weight").alias("k"))
     mixed = per.groupBy("group").agg(F.count(F.lit(1)).alias("owns"), F.max_by("own", F.struct("k", "own")).alias("most"), F.sum("k").alias("size"), F.max("k").alias("top")).where("owns > 1")
     return own.hint("merge").join(mixed, "group").select("group", "node", "own", "size", (F.col("own") != F.col("most")).alias("minor"), (F.col("size") - F.col("top")).alias("minors"))
 
@@ -232,8 +251,8 @@ def candidates(batches: Iterator[pa.RecordBatch], prefix: int, matches: int) ->
 def confirmed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """A forest of the pairs in each tile whose full sets are alike enough."""
     for _, side, node, own, grams in groups(batches, lambda b: [np.array(b.column("grams").to_pylist(), object)]):
-        node, first = np.unique(node, return_index=True) if not side.any() else (node, np.arange(len(node)))
-        side, own = side[first], own[first]
+        first = np.unique(np.stack([side, node]), axis=1, return_index=True)[1]  # a node's set can come from several equal rows
+        node, side, own = node[first], side[first], own[first]
         sets = [np.frombuffer(x, np.uint64) for x in grams[first]]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
@@ -304,27 +323,21 @@ def groups(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch]
     yield from merged()
 
 
-def fetch_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
-    """node, grams of the nodes in members (and of some others); texts aren't moved.
+def fetch_sets(docs: DataFrame, members: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+    """node, doc, grams of the members (and of few others); texts aren't moved.
 
-    Which documents to look at is told by a bit table of fixed size over their
-    ids; its errors cost a set each, and no more.
+    Of a node's documents only the one that it is named by is looked at, told
+    by a bit table over ids that is sized by the number of members.
     """
-    ids = nodes.select("node", "doc").join(members.select("node"), "node").select(F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit")).distinct()
-    bits = ids.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.sum(F.pow(F.lit(2.0), F.col("bit").bitwiseAND(F.lit(31)).cast("double"))).cast("long").alias("mask")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    table[bits["word"].to_numpy().astype(np.int64)] = bits["mask"].to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for b in batches:
-            bit = b.column("bit").to_numpy().astype(np.int64)
-            chosen = pa.array((wanted[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1)
-            for part in slices([b.filter(chosen)]):
-                grams, at = shingle_sets(part.column("text"), words)
-                node = nodes_of(grams, at)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([grams[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "grams"])
-
-    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).alias("bit"), F.col("text").cast("string").alias("text")).where("bit is not null")
-    return scratch.keep(rows.mapInArrow(run, "node long, grams binary"), name)
+        for part in slices(batches):
+            grams, at = shingle_sets(part.column("text"), words)
+            node, doc = nodes_of(grams, at), part.column("doc").to_numpy()
+            one = np.sort(np.unique(np.stack([node, doc]), axis=1, return_index=True)[1])
+            sets = [grams[at[k] : at[k + 1]].tobytes() for k in one]
+            yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(doc[one]), pa.array(sets, pa.binary())], ["node", "doc", "grams"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
+    wanted, _ = marked_rows(rows, members.select("doc"), ["doc"])
+    return scratch.keep(wanted.mapInArrow(run, "node long, doc long, grams binary"), name)
