@@ -39,9 +39,9 @@ WINDOWS = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
 SIDE = LENGTH - GRAM
 #: Text bytes for a shard of the sort (what a task orders stays the same as the corpus grows), least shards, most tasks of a shuffle.
-SHARD_BYTES, SHARDS, TASKS = 24 << 20, 24, 20_000
-#: Text bytes whose runs are packed together, bytes hashed at once, and bits of a place within them.
-SLICE, PIECE, PLACE_BITS = 8 << 20, 2 << 20, 22
+SHARD_BYTES, SHARDS, TASKS = 16 << 20, 8, 20_000
+#: Text bytes whose runs are packed together, bytes hashed at once, and bits of a place within them; windows ordered at once, about.
+SLICE, PIECE, PLACE_BITS, WINDOWS_MOST = 4 << 20, 1 << 20, 21, 1 << 18
 #: Bits of the names of anchor strings and of runs.
 NAME_BITS = 48
 
@@ -184,7 +184,7 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 
 
 def gathered(packed: DataFrame, shards: int) -> DataFrame:
-    return packed.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard")
+    return packed.repartitionById(min(shards, TASKS), "shard").sortWithinPartitions("shard")
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -311,19 +311,45 @@ def order_windows(asked: DataFrame, shards: int) -> DataFrame:
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, payloads in by_shard(batches):
-            r = unpack(payloads, CONTEXT)
-            count = r["count"].astype(np.int64)
-            row = np.repeat(np.arange(len(r)), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            later = radix(r["key1"][row], r["before"][row].astype(np.int64) - step, r["bytes"], row, r["doc"][row])
-            out = returned(r[row[later]], SETTLED)
-            out["start"] += step[later].astype(np.uint32)
-            out["count"] = 1
-            yield dealt(out, "doc", shards)
+            for r, row, step in windows_of(unpack(payloads, CONTEXT)):
+                later = radix(r["key1"][row], r["before"][row].astype(np.int64) - step, r["bytes"], row, r["doc"][row])
+                out = returned(r[row[later]], SETTLED)
+                out["start"] += step[later].astype(np.uint32)
+                out["count"] = 1
+                yield dealt(out, "doc", shards)
 
     return gathered(asked.mapInArrow(emit, PACKED), shards).mapInArrow(order, PACKED)
 
 
+def windows_of(r: np.ndarray, most: int = WINDOWS_MOST) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs and their windows (the run's place and the window's step), about `most` windows at a time.
+
+    Windows that can be equal come together: those of one anchor string, or of
+    a frequent one those at one offset from it.
+    """
+    r = r[np.argsort(r["key1"], kind="stable")]
+    ends = np.append(starts_of(r["key1"])[1:], len(r))
+    total, lo = np.cumsum(r["count"].astype(np.int64)), 0
+    while lo < len(r):
+        before = total[lo - 1] if lo else 0
+        fit = ends[(ends > lo) & (total[ends - 1] - before <= most)]
+        if len(fit):
+            part = r[lo : fit[-1]]
+            count = part["count"].astype(np.int64)
+            row = np.repeat(np.arange(len(part)), count)
+            yield part, row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            lo = fit[-1]
+            continue
+        hi = ends[ends > lo][0]
+        part = r[lo:hi]
+        for offset in range(WINDOWS):
+            step = part["before"].astype(np.int64) - offset
+            row = np.flatnonzero((step >= 0) & (step < part["count"]))
+            if len(row) > 1:
+                yield part, row, step[row]
+        lo = hi
+
+
 def radix(key1: np.ndarray, offset: np.ndarray, contexts: np.ndarray, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which windows are also in a document with a smaller id.
 
