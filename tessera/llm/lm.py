@@ -21,15 +21,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, Tokens, fold, join_hash, mix, slices
 
 #: Most MB of pair counts broadcast at once; bits for an entry and hashes of it; least shards; registers that estimate the number of pairs.
-FILTER_MB, ENTRY_BITS, HASHES, SHARDS, REGISTER_BITS = 192, 8, 4, 24, 14
-#: Text bytes for a shard of words and for a shard of pairs: what a task merges stays the same as the corpus grows.
-WORD_BYTES, PAIR_BYTES = 64 << 20, 8 << 20
+FILTER_MB, ENTRY_BITS, HASHES, SHARDS, REGISTER_BITS = 192, 8, 4, 8, 14
+#: Text bytes for a shard of words and for a shard of pairs (what a task merges stays the same as the corpus grows); most tasks of a shuffle.
+WORD_BYTES, PAIR_BYTES, TASKS = 16 << 20, 8 << 20, 20_000
+#: A word that makes up over one part in COMMON of the tokens stays with its texts: its count comes to them. At most COMMON words.
+COMMON = 20_000
 #: Ratios of successive levels: for counts of words and of what follows them, and for pairs. Levels of a pair on average, for sizing.
 FINE, COARSE, PAIR_LEVELS = 1.25, 1.5, 1.7
 #: A word is dealt over all shards by what follows it if it makes up over one part in HOT of the training tokens: at most HOT words.
@@ -162,15 +166,49 @@ def split_by(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
             yield s, order[cuts[s] : cuts[s + 1]]
 
 
-def count_words(rows: DataFrame, shards: int) -> DataFrame:
-    """Per run of texts and shard: words with their training counts and where they stand; and registers over pairs."""
+def common_words(rows: DataFrame) -> np.ndarray:
+    """Hashes of the words that make up over one part in COMMON of all tokens, and of the end.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A run of texts reports those of over half that share of its own tokens; so
+    what is missed of a word's count is less than half the bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            words = Words(part.column("text"))
+            count = np.bincount(words.ids, minlength=len(words.hashes))
+            at = np.flatnonzero(count * 2 * COMMON > len(words.ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(words.hashes[at].view(np.int64), 0)), pa.array(np.append(count[at], len(words.ids))), pa.array([False] * len(at) + [True])], ["word", "n", "total"])
+
+    found = rows.select("text").mapInArrow(run, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
+    total = found.where("total").agg(F.sum("n")).first()[0] or 0
+    common = found.where(~F.col("total") & (F.col("n") * COMMON > total)).select("word").toArrow()["word"].to_numpy()  # at most COMMON rows
+    return np.unique(np.append(common.astype(np.int64).view(np.uint64), END))
+
+
+#: Rows of the word counts: words of a shard, or a run of texts (shard -1).
+COUNTED = "shard int, slice long, parts array<binary>"
+#: Per text, and per text and word.
+_TEXT = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("name", "<i8"), ("n", "<i8")])
+_POSTING = np.dtype([("word", "<u2"), ("doc", "<u2"), ("tf", "<u2")])
+_SUM = np.dtype([("doc", "<u2"), ("score", "<f8"), ("known", "<u4")])
+
+
+def count_words(rows: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
+    """Per run of texts and shard: words with training counts and where they stand; per run: its texts, and where common words stand.
+
+    Common words reach their shards with counts only, so no shard holds a
+    posting for nearly every text.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        first_slice = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for number, part in enumerate(slices(batches)):
             words = Words(part.column("text"))
             learnt = part.column("learnt").to_numpy(zero_copy_only=False)
-            doc = words.doc
-            key = words.ids * len(learnt) + doc
+            key = words.ids * len(learnt) + words.doc
             key.sort()
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             tf = np.diff(np.append(first, len(key)))
@@ -179,77 +217,112 @@ def count_words(rows: DataFrame, shards: int) -> DataFrame:
             word, doc, tf = np.repeat(word, times), np.repeat(doc, times), np.minimum(np.repeat(tf, times), 65535)
             trained = np.bincount(word, np.where(learnt[doc], tf, 0), len(words.hashes)).astype(np.int64)
             starts = np.searchsorted(word, np.arange(len(words.hashes) + 1))
-            ids, names = part.column("doc_id"), part.column("name")
-            out: list[tuple] = []
+            place = np.minimum(np.searchsorted(often, words.hashes), len(often) - 1)
+            is_common = often[place] == words.hashes
+            posted = is_common[word]
+            texts, postings = np.zeros(part.num_rows, _TEXT), np.zeros(int(posted.sum()), _POSTING)
+            texts["doc_id"], texts["no_id"] = pc.fill_null(part.column("doc_id"), 0).to_numpy(), part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            texts["name"], texts["n"] = part.column("name").to_numpy(), np.diff(words.at)
+            postings["word"], postings["doc"], postings["tf"] = place[word[posted]], doc[posted], tf[posted]
+            out = [(-1, [texts.tobytes(), postings.tobytes()])]
+            sizes = np.where(is_common, 0, np.diff(starts))
             for s, at in split_by(shard_of(words.hashes, shards), shards):
-                size = starts[at + 1] - starts[at]
+                size = sizes[at]
                 of = np.repeat(starts[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 out.append((s, [x.tobytes() for x in (words.hashes[at], trained[at].astype(np.uint32), size.astype(np.uint16), doc[of].astype(np.uint16), tf[of].astype(np.uint16))]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary())), pa.array([ids.to_pylist()] * len(out), pa.list_(pa.int64())), pa.array([names.to_pylist()] * len(out), pa.list_(pa.int64()))],
-                ["shard", "words", "ids", "names"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([first_slice + number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.list_(pa.binary()))], ["shard", "slice", "parts"])
+
+    return rows.select("doc_id", "name", "text", "learnt").mapInArrow(emit, COUNTED)
+
 
-    return rows.select("doc_id", "name", "text", "learnt").mapInArrow(emit, "shard int, words array<binary>, ids array<long>, names array<long>")
+#: What a shard of words gives: its totals and filter, its common words' counts, and sums for runs of texts (kind: shard, common, slice, text).
+MERGED = "kind string, slice long, word long, count long, kinds long, rounded long, parts array<binary>"
 
 
-def merge_words(counted: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """Exact counts by shard: sums for each text, totals, frequent words, and the shard's part of the word filter."""
-    schema = "kind string, doc_id long, name long, score double, n long, known long, word long, filter binary"
+def merge_words(counted: DataFrame, shards: int, common: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Exact counts by shard: sums for each text, totals, common words, and the shard's part of the word filter."""
+    shared = counted.sparkSession.sparkContext.broadcast(common)
+    names = [x.split()[0] for x in MERGED.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[int, list[bytes]]] = []
         now = None
         for b in batches:
-            for s, w, i, n in zip(b.column("shard").to_pylist(), b.column("words").to_pylist(), b.column("ids"), b.column("names"), strict=True):
+            for s, i, x in zip(b.column("shard").to_pylist(), b.column("slice").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                if s < 0:
+                    yield batch([("text", i, 0, 0, 0, 0, x)])
+                    continue
                 if s != now and held:
-                    yield from finish(now, held)
+                    yield finish(now, held)
                     held = []
                 now = s
-                held.append((w, i.values, n.values))
+                held.append((i, x))
         if held:
-            yield from finish(now, held)
+            yield finish(now, held)
 
-    def finish(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.frombuffer(x, t) for x, t in zip(w, (np.uint64, np.uint32, np.uint16, np.uint16, np.uint16), strict=True)] for w, _, _ in held]
-        keys = np.concatenate([p[0] for p in parts])
-        distinct, which = np.unique(keys, return_inverse=True)
+    def finish(shard: int, held: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+        parts = [[np.frombuffer(x, t) for x, t in zip(w, (np.uint64, np.uint32, np.uint16, np.uint16, np.uint16), strict=True)] for _, w in held]
+        distinct, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         count = np.bincount(which, np.concatenate([p[1] for p in parts]).astype(float), len(distinct)).astype(np.int64)
-        lo = 0
-        for (words, _, size, doc, tf), (_, ids, names) in zip(parts, held, strict=True):
+        out, lo = [], 0
+        for (words, _, size, doc, tf), (i, _) in zip(parts, held, strict=True):
             c = np.repeat(count[which[lo : lo + len(words)]], size)
-            end = np.repeat(words == END, size)
             lo += len(words)
-            n = len(ids)
-            touched = np.flatnonzero(np.bincount(doc, minlength=n))
-            score = np.bincount(doc, tf * np.log10(c + 0.5), n)[touched]
-            tokens, known = (np.bincount(doc, tf * x, n)[touched].astype(np.int64) for x in (np.ones(len(tf)), c > 0))
-            copies = np.bincount(doc, end, n)[touched].astype(np.int64)  # each row has one end
-            empty = pa.nulls(len(touched), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(["text"] * len(touched)), ids.take(pa.array(touched)), names.take(pa.array(touched)), pa.array(score), pa.array(tokens), pa.array(known), pa.array(copies), empty], [x.split()[0] for x in schema.split(", ")])
+            sums = text_sums(doc, tf, c)
+            if len(sums):
+                out.append(("slice", i, 0, 0, 0, 0, [sums.tobytes()]))
         seen = count > 0
         level = quantised(count[seen], _FINE)
         part = Filter.empty(1, int(level.sum()) * ENTRY_BITS // 8)
         part.enter(0, distinct[seen] ^ _WORD, level)
-        frequent = np.argsort(-count, kind="stable")[:HOT]
-        frequent = frequent[count[frequent] > 0]
-        k = len(frequent)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(["shard"] + ["frequent"] * k),
-                pa.array([shard] + [None] * k, pa.int64()),
-                pa.array([int(_FINE[level - 1].sum())] + [None] * k, pa.int64()),
-                pa.array([0.0] * (k + 1)),
-                pa.array([int(count.sum()), *count[frequent].tolist()], pa.int64()),
-                pa.array([int(seen.sum())] + [None] * k, pa.int64()),
-                pa.array([0, *distinct[frequent].view(np.int64).tolist()], pa.int64()),
-                pa.array([part.flat.tobytes()] + [None] * k, pa.binary()),
-            ],
-            [x.split()[0] for x in schema.split(", ")],
-        )
-
-    moved = counted.repartition(shards, "shard").sortWithinPartitions("shard")
-    return scratch.keep(moved.mapInArrow(merge, schema), "words")
+        out.append(("shard", shard, 0, int(count.sum()), int(seen.sum()), int(_FINE[level - 1].sum()), [part.flat.tobytes()]))
+        for k in np.flatnonzero(np.isin(distinct, shared.value)):
+            out.append(("common", 0, int(distinct[k].view(np.int64)), int(count[k]), 0, 0, None))
+        return batch(out)
+
+    moved = counted.repartitionById(min(shards, TASKS), F.when(F.col("shard") < 0, F.pmod(F.xxhash64("slice"), F.lit(shards)).cast("int")).otherwise(F.col("shard"))).sortWithinPartitions("shard")
+    return scratch.keep(moved.mapInArrow(merge, MERGED), "words")
+
+
+def text_sums(doc: np.ndarray, tf: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums over a run of texts' postings of words with their counts."""
+    n = int(doc.max()) + 1 if len(doc) else 0
+    at = np.flatnonzero(np.bincount(doc, minlength=n))
+    out = np.zeros(len(at), _SUM)
+    out["doc"], out["score"], out["known"] = at, np.bincount(doc, tf * np.log10(count + 0.5), n)[at], np.bincount(doc, tf * (count > 0), n)[at]
+    return out
+
+
+def base_scores(merged: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """base_id, base_name, logs, n, known of every text (one row for equal rows): sums over its tokens."""
+    shared = merged.sparkSession.sparkContext.broadcast(counts)
+    schema = "base_id long, base_name long, logs double, n long, known long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            for i, k, x in zip(b.column("slice").to_pylist(), b.column("kind").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                if i != now and held:
+                    yield whole(held)
+                    held = []
+                now = i
+                held.append((k, x))
+        if held:
+            yield whole(held)
+
+    def whole(held: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
+        texts, postings = next((np.frombuffer(x[0], _TEXT), np.frombuffer(x[1], _POSTING)) for k, x in held if k == "text")
+        sums = np.concatenate([np.frombuffer(x[0], _SUM) for k, x in held if k == "slice"] + [text_sums(postings["doc"], postings["tf"], shared.value[postings["word"]])])
+        n = len(texts)
+        columns = [pa.array(texts["doc_id"], mask=texts["no_id"] > 0), pa.array(texts["name"]), pa.array(np.bincount(sums["doc"], sums["score"], n)), pa.array(texts["n"]), pa.array(np.bincount(sums["doc"], sums["known"], n).astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    by_slice = merged.where("kind in ('text', 'slice')").select("slice", "kind", "parts").repartition("slice").sortWithinPartitions("slice")
+    return by_slice.mapInArrow(run, schema).dropDuplicates(["base_id", "base_name"])
 
 
 @dataclass
@@ -346,7 +419,7 @@ def count_pairs(rows: DataFrame, model: Model, passes: int, this: int, scratch:
         rows = [[-1 - shard, *words[~cold].view(np.int64).tolist()], [len(part.flat), *after[~cold].tolist()], [0, *kinds[~cold].tolist()]]
         return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows], pa.array([part.flat.tobytes()] + [None] * int((~cold).sum()), pa.binary()), pa.array([True] + [False] * int((~cold).sum()))], ["word", "after", "kinds", "filter", "part"])
 
-    learnt = rows.where("learnt").select("text").mapInArrow(emit, "shard int, pairs array<binary>").repartition(shards, "shard").sortWithinPartitions("shard")
+    learnt = rows.where("learnt").select("text").mapInArrow(emit, "shard int, pairs array<binary>").repartitionById(min(shards, TASKS), "shard").sortWithinPartitions("shard")
     found = scratch.keep(learnt.mapInArrow(merge, "word long, after long, kinds long, filter binary, part boolean"), f"pairs{passes}-{this}")
     sizes = room * ENTRY_BITS // 8
     for row in found.where("part").select("word", "after").toLocalIterator():  # a row a shard
@@ -444,15 +517,18 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     rows = rows_of(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards, pair_shards = max(SHARDS, size // WORD_BYTES), max(SHARDS, size // PAIR_BYTES)
-    merged = merge_words(count_words(rows, word_shards), word_shards, scratch)
-    scratch.free()
-    shards = merged.where("kind = 'shard'").select("doc_id", "name", "n", "known", "filter").toLocalIterator()  # a row a shard
+    common = common_words(rows)
+    merged = merge_words(count_words(rows, word_shards, common), word_shards, common, scratch)
+    shards = merged.where("kind = 'shard'").select("slice", "count", "kinds", "rounded", F.col("parts")[0].alias("filter")).toLocalIterator()  # a row a shard
     model = Model(0, 0, 0, [None] * word_shards, np.zeros(0, np.uint64), pair_shards)
     for row in shards:
-        model.tokens, model.kinds, model.rounded = model.tokens + row["n"], model.kinds + row["known"], model.rounded + row["name"]
-        model.word_parts[row["doc_id"]] = np.frombuffer(row["filter"], np.uint8)
-    frequent = merged.where((F.col("kind") == "frequent") & (F.col("n") * HOT > model.tokens)).select("word").toArrow()  # at most HOT rows
-    model.hot = np.sort(np.append(frequent["word"].to_numpy().astype(np.int64).view(np.uint64), START))
+        model.tokens, model.kinds, model.rounded = model.tokens + row["count"], model.kinds + row["kinds"], model.rounded + row["rounded"]
+        model.word_parts[row["slice"]] = np.frombuffer(row["filter"], np.uint8)
+    known = merged.where("kind = 'common'").select("word", "count").toArrow()  # at most COMMON rows
+    words, count = known["word"].to_numpy().astype(np.int64).view(np.uint64), known["count"].to_numpy().astype(np.int64)
+    counts = np.zeros(len(common), np.int64)
+    counts[np.searchsorted(common, words)] = count
+    model.hot = np.sort(np.append(words[count * HOT > model.tokens], START))
 
     entries = estimate_pairs(rows) * PAIR_LEVELS * 1.1 + 12 * model.kinds
     needed = int(entries * ENTRY_BITS / 8)
@@ -461,7 +537,6 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     while ahead:
         of, this = ahead.pop(0)
         model.pairs = count_pairs(rows, model, of, this, scratch, filter_mb << 20 if of < finest else None)
-        scratch.free()
         if model.pairs is None:  # more than was estimated: what the hash leaves modulo 2 * of is this or of + this
             ahead = [(2 * of, this), (2 * of, of + this), *ahead]
             continue
@@ -472,17 +547,16 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     if done > 1:
         scores = scores.groupBy("doc_id", "name", "held_out").agg((F.sum("score") / F.count(F.lit(1)) * done).alias("score"), (F.count(F.lit(1)) / done).cast("int").alias("k")).withColumn("k", F.explode(F.sequence(F.lit(1), "k"))).drop("k")
 
-    base = merged.where("kind = 'text'").groupBy("doc_id", "name").agg(F.sum("score").alias("logs"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("word").alias("copies"))
-    base = base.withColumnsRenamed({"doc_id": "base_id", "name": "base_name"})
+    base = base_scores(merged, common, counts)
     both = scores.join(base, (F.col("name") == F.col("base_name")) & F.col("doc_id").eqNullSafe(F.col("base_id")))
     norm = math.log10(model.tokens + 0.5 * (model.kinds + 1))
     return both.select(
         "doc_id",
         "held_out",
-        (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"),
-        (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") / F.col("copies") - F.col("n") / F.col("copies") * norm).alias("base_score"),
+        (F.col("logs") - F.col("n") * norm).alias("base_score"),
         "score",
     )
 
