@@ -29,8 +29,10 @@ from tessera.llm.common import slices
 
 # Kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The first two take a whole run of signs that can begin a match, and then what makes it one (group 1), if that follows:
+# where a run fails, its later signs fail as well. So a long run is read once, not once from each of its signs.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+IP = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -41,7 +43,7 @@ Span = tuple[int, int, int]  # kind, start, end
 
 _DIGITS = re.compile(r"[0-9]+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\s]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|dot)\s?[\])}]|(?<=\s)dot(?=\s)", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]+|[\[({]\s?(?:at|dot)\s?[\])}]|(?<=\s)dot(?=\s)", re.IGNORECASE)
 _ANY = r"(?i)[0-9@]|[\[({]\s?(at|dot)\s?[\])}]|\sdot\s"  # the same for RE2, at least
 
 
@@ -53,13 +55,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    return len(x := digits.lstrip("0")) <= 3 and int(x or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by kind, then start; failing matches are dropped without another try."""
     found: list[Span] = []
     if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
+        found += [(0, *m.span()) for m in EMAIL.finditer(text) if m[1]]
     if "." in text:
-        found += [(1, *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, *m.span()) for m in IP.finditer(text) if m[1] and all(byte(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := "".join(_DIGITS.findall(m[0]))) <= 19 and luhn(d):
             found.append((2, *m.span()))
@@ -294,7 +301,7 @@ def sound(kind: int, tokens: list[tuple[str, int, int]]) -> bool:
         dots = [i for i, w in enumerate(words) if w in (".", "dot")]
         return len(words) <= 20 and len(ats) == 1 and bool(dots) and dots[-1] > ats[0] + 1 and words[-1] not in ("at", "dot") and words[-1].isalpha() and 2 <= len(words[-1]) <= 6 and words[0].isalnum() and words[0] not in ("at", "dot")
     if kind == 1:
-        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+        return len(numbers) == 4 and all(len(x) <= 3 and byte(x) for x in numbers)
     if kind == 2:
         return 13 <= len(digits) <= 19 and not any(w.isalpha() for w in words) and luhn(digits)
     return 9 <= len(digits) <= 15 and 2 <= len(numbers) <= 6 and not any(w.isalpha() for w in words)
@@ -345,7 +352,9 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for every row.
 
     The numbers and base_sha256 are of the pattern spans; spans has the
-    field's as well. Both are written kind:start:end in code points, end
+    field's as well. The field reads REACH characters either side of a digit,
+    an at sign or a spelt-out sign; of what it finds, e-mail addresses of over
+    20 tokens are not taken. Both are written kind:start:end in code points, end
     exclusive, by kind as listed and then start. A null text counts as empty.
     Repeated or null ids give a row each time; other columns are not read; an
     empty table gives an empty result. Nothing is shuffled.

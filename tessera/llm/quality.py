@@ -44,11 +44,18 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     key, count = key[first], np.diff(np.append(first, len(key)))
     value = np.log1p(count)
     at = np.searchsorted(key >> np.uint64(bits), np.arange(n + 1, dtype=np.uint64))
-    sums = np.concatenate([[0.0], np.cumsum(value * value)])
-    norm = np.sqrt(np.maximum(sums[at[1:]] - sums[at[:-1]], 1e-12))
+    norm = np.sqrt(np.maximum(text_sums(value * value, at), 1e-12))
     return (key & np.uint64((1 << bits) - 1)).astype(np.int64), value / np.repeat(norm, np.diff(at)), at
 
 
+def text_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, whatever texts come with it (empty: 0)."""
+    out, some = np.zeros(len(at) - 1), np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.add.reduceat(values, at[some])
+    return out
+
+
 @dataclass
 class Ftrl:
     """Follow the regularised leader, proximal, one example at a time."""
@@ -80,8 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
     Of more than `rows` labelled documents, those with the least hash of
     doc_id are taken: that bounds what the driver holds. A doc_id with several
-    labels counts with the largest one; null labels and null ids are left out.
-    Without rows, all weights are 0.
+    labels counts with the largest one, and with several texts with that of
+    the least hash; null labels and null ids are left out, a null text counts
+    as empty. Other columns are not read. Without rows, all weights are 0.
     """
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))  # at most `rows` rows of two numbers
@@ -92,7 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v)) for v in (at.astype(np.int32), x.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *lists], ["doc_id", "y", "at", "x"])
 
-    found = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(chosen, "doc_id").mapInArrow(run, "doc_id long, y int, at array<int>, x array<float>").toArrow()
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most `rows` rows
+    found = texts.mapInArrow(run, "doc_id long, y int, at array<int>, x array<float>").toArrow()
     model = Ftrl()
     order = np.argsort(hash_all([b"%d" % x for x in found["doc_id"].to_pylist()], 3), kind="stable")
     ids, ys, ats, xs = (found[c].combine_chunks() if found.num_rows else [] for c in ("doc_id", "y", "at", "x"))
@@ -104,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 def probability(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     at, x, bounds = features(texts)
-    sums = np.concatenate([[0.0], np.cumsum(weights[at] * x)])
-    return 1 / (1 + np.exp(-(sums[bounds[1:]] - sums[bounds[:-1]] + weights[-1])))
+    return 1 / (1 + np.exp(-(text_sums(weights[at] * x, bounds) + weights[-1])))
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
@@ -128,12 +137,21 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Scores documents by weights that are learnt from the same documents' labels."""
+    """Scores documents by weights that are learnt from the same documents' labels.
+
+    Rows, nulls and empty texts count as in train and score; an empty table of
+    documents gives an empty result, one of labels a score of 1/2 for all.
+    """
     return score(docs, train(docs, labels), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns; nothing is shuffled."""
+    """The rows of docs whose score reaches the threshold, with all their columns; nothing is shuffled.
+
+    Each row is judged by its own text, so repeated and null ids are no
+    matter; a null or empty text gets the score of the constant alone. Extra
+    columns may have any names. An empty table gives an empty result.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ def docs(spark):
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
     both = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd)
     # Extra columns whose names the operators use themselves.
-    return both.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("node", "score", "shard", "row", "name", "bucket", "source", "list", "group", "n")]).localCheckpoint()
+    return both.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("node", "score", "shard", "row", "name", "bucket", "source", "list", "group", "n")]).cache()
 
 
 @pytest.fixture(scope="module")
