@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +172,15 @@ def chain(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 MARK_BITS, MOST_BITS = 16, 1 << 28
 
 
-def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+Step = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
+
+
+def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str], some: Step | None = None, rest: Step | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be one of marked, and rows whose key is none.
 
+    some and rest, a function over batches and its schema, are what to do with
+    either in the same Python pass.
+
     A bit table of the marked keys is broadcast: MARK_BITS for each, MOST_BITS
     (32 MB) at most. Where that is too small for them, more rows count as
     marked, which a join sorts out later; none is missed.
@@ -188,16 +194,17 @@ def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str]) -> tuple[Dat
 
     column = fresh(rows, "marked_at")
 
-    def run(wanted: bool) -> DataFrame:
+    def run(wanted: bool, step: Step | None) -> DataFrame:
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.column(column).to_numpy()
                 hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
                 yield b.drop_columns([column]).filter(pa.array(hit if wanted else ~hit))
 
-        return rows.withColumn(column, place).mapInArrow(chosen, rows.schema)
+        then, schema = step or (lambda batches: batches, rows.schema)
+        return rows.withColumn(column, place).mapInArrow(lambda batches: then(chosen(batches)), schema)
 
-    return run(True), run(False)
+    return run(True, some), run(False, rest)
 
 
 #: A node with over one part in HUBS of all edges is a hub.

@@ -339,5 +339,5 @@ def fetch_sets(docs: DataFrame, members: DataFrame, words: int, scratch: Scratch
             yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(doc[one]), pa.array(sets, pa.binary())], ["node", "doc", "grams"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    wanted, _ = marked_rows(rows, members.select("doc"), ["doc"])
-    return scratch.keep(wanted.mapInArrow(run, "node long, doc long, grams binary"), name)
+    found, _ = marked_rows(rows, members.select("doc"), ["doc"], some=(run, "node long, doc long, grams binary"))
+    return scratch.keep(found, name)

@@ -402,20 +402,19 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     windows = scratch.keep(by_document(order_windows(wanted.join(asked, ["doc_id", "name"]), shards), shards), "windows")
 
     gone = runs.where("runs is not null").select("doc_id", "name", "runs").unionByName(windows.select("doc_id", "name", "runs"))
-    touched, others = marked_rows(rows, gone.select("doc_id", "name"), ["doc_id", "name"])
-    joined = touched.join(gone.groupBy("doc_id", "name").agg(F.collect_list("runs").alias("runs")), ["doc_id", "name"], "left")  # a document's own runs only
-    columns = ["doc_id", "text", "runs"]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [cut_one(t.encode(), runs) for t, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True)]
+            lists = part.column("runs").to_pylist() if "runs" in part.schema.names else [None] * part.num_rows
+            found = [cut_one(t.encode(), x) for t, x in zip(part.column("text").to_pylist(), lists, strict=True)]
             columns = list(zip(*found, strict=True))
             arrays = [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array([hashlib.sha256(x).hexdigest() for x in columns[3]], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[3], pa.binary())] * texts, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
 
-    whole = others.withColumn("runs", F.lit(None).cast("array<binary>")).select(*columns)
-    return joined.select(*columns).mapInArrow(cut, schema).unionByName(whole.mapInArrow(cut, schema))
+    touched, whole = marked_rows(rows, gone.select("doc_id", "name"), ["doc_id", "name"], rest=(cut, schema))
+    joined = touched.join(gone.groupBy("doc_id", "name").agg(F.collect_list("runs").alias("runs")), ["doc_id", "name"], "left")  # a document's own runs only
+    return joined.select("doc_id", "text", "runs").mapInArrow(cut, schema).unionByName(whole)
 
 
 def cut_one(text: bytes, payloads: list[bytes] | None) -> tuple[int, int, int, bytes]:
