@@ -207,27 +207,31 @@ def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str], some: Step |
     return run(True, some), run(False, rest)
 
 
-#: A node with over one part in HUBS of all edges is a hub.
-HUBS = 500
+#: A node with over one part in HUBS of all edges, and with more than FEW, is a hub.
+HUBS, FEW = 500, 200
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component: the least node that each node of edges(a, b) reaches.
 
     Alternating large and small stars. A node's least neighbour is found by
-    partial aggregation. A hub, which has over one part in HUBS of a round's
-    edges, sends it to its edges by broadcast (so few nodes can be hubs that
-    its size is bounded); others by a sort-merge join. Each round is a table
-    in the shared folder; nothing but counts reaches the driver.
+    partial aggregation and joined to its edges by a sort-merge join; a hub's
+    (of which a round has 2 * HUBS at most) by broadcast, so that its edges
+    stay where they are. Each round is a table in the shared folder; nothing
+    but counts and hubs reaches the driver.
     """
 
-    def star(pairs: DataFrame, small: bool, total: int) -> DataFrame:
-        both = pairs if small else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        stats = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), (F.col("n") * HUBS > total).alias("hub"))
-        least = stats.select("a", "m")
-        hubs = F.broadcast(stats.where("hub").select("a", "m"))  # at most 4 * HUBS rows
-        cold = both.join(hubs.select("a"), "a", "left_anti").hint("merge").join(stats.where("not hub").select("a", "m"), "a")
-        moved = cold.unionByName(both.join(hubs, "a"))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def star(both: DataFrame, small: bool, hubs: list[tuple[int, int]]) -> DataFrame:
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        if hubs:
+            hot = F.col("a").isin([a for a, _ in hubs])
+            known = F.broadcast(both.sparkSession.createDataFrame(hubs, "a long, m long"))  # at most 2 * HUBS rows
+            moved = both.where(~hot).hint("merge").join(least, "a").unionByName(both.where(hot).join(known, "a"))
+        else:
+            moved = both.hint("merge").join(least, "a")
         if small:
             out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         else:
@@ -240,8 +244,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state, k = tuple(now.agg(*mark).first()), 0
     while state[0]:
         k += 1
-        large = star(now, False, state[0])
-        new = scratch.keep(star(large, True, state[0]), f"edges{k}")
+        found = ends(now).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("n") > FEW) & (F.col("n") * HUBS > state[0])).collect()
+        large = star(ends(now), False, [(r["a"], min(r["a"], r["m"])) for r in found])
+        new = scratch.keep(star(large, True, []), f"edges{k}")
         scratch.drop(f"edges{k - 1}")
         now, before, state = new, state, tuple(new.agg(*mark).first())
         if state == before:

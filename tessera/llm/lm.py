@@ -166,24 +166,45 @@ def split_by(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
             yield s, order[cuts[s] : cuts[s + 1]]
 
 
-def common_words(rows: DataFrame) -> np.ndarray:
-    """Hashes of the words that make up over one part in COMMON of all tokens, and of the end.
+def survey(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """Hashes of common words and of the end; and about how many distinct pairs the training texts hold. One pass over the texts.
 
-    A run of texts reports those of over half that share of its own tokens; so
-    what is missed of a word's count is less than half the bound.
+    Common are words that make up over one part in COMMON of all tokens. A run
+    of texts reports those of over half that share of its own tokens; so what
+    is missed of a word's count is less than half the bound. Pairs are
+    estimated by a register each for many hash ranges (about 1 % off).
     """
+    m = 1 << REGISTER_BITS
+    word_, total_, register_ = 0, 1, 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(m, np.int64)
         for part in slices(batches):
             words = Words(part.column("text"))
             count = np.bincount(words.ids, minlength=len(words.hashes))
             at = np.flatnonzero(count * 2 * COMMON > len(words.ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(words.hashes[at].view(np.int64), 0)), pa.array(np.append(count[at], len(words.ids))), pa.array([False] * len(at) + [True])], ["word", "n", "total"])
+            yield batch(np.full(len(at), word_), words.hashes[at].view(np.int64), count[at])
+            yield batch(np.array([total_]), np.array([0]), np.array([len(words.ids)]))
+            learnt = np.repeat(part.column("learnt").to_numpy(zero_copy_only=False), np.diff(words.at))
+            h = np.append(words.hashes, START)
+            pair = join_hash(h[words.before()[learnt]], h[words.ids[learnt]])
+            zeros = 64 - REGISTER_BITS - np.floor(np.log2(np.maximum((pair & np.uint64((1 << (64 - REGISTER_BITS)) - 1)).astype(float), 0.5))).astype(np.int64)
+            np.maximum.at(best, (pair >> np.uint64(64 - REGISTER_BITS)).astype(np.int64), zeros)
+        at = np.flatnonzero(best)
+        yield batch(np.full(len(at), register_), at, best[at])
 
-    found = rows.select("text").mapInArrow(run, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
-    total = found.where("total").agg(F.sum("n")).first()[0] or 0
-    common = found.where(~F.col("total") & (F.col("n") * COMMON > total)).select("word").toArrow()["word"].to_numpy()  # at most COMMON rows
-    return np.unique(np.append(common.astype(np.int64).view(np.uint64), END))
+    def batch(kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
+    found = scratch.keep(rows.select("text", "learnt").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most")), "survey")
+    totals = F.broadcast(found.where(F.col("kind") == total_).select(F.col("n").alias("tokens")))  # one row
+    kept = found.where(F.col("kind") != total_).crossJoin(totals).where((F.col("kind") == register_) | (F.col("n") * COMMON > F.col("tokens"))).select("kind", "key", "most").toArrow()  # COMMON words and m registers at most
+    kind, key, most = (kept[c].to_numpy().astype(np.int64) for c in ("kind", "key", "most"))
+    common = np.unique(np.append(key[kind == word_].view(np.uint64), END))
+    zeros = most[kind == register_].astype(float)
+    if len(zeros) < 0.9 * m:  # few pairs: by the empty registers
+        return common, math.ceil(-m * math.log(1 - len(zeros) / m))
+    return common, math.ceil(0.7213 / (1 + 1.079 / m) * m * m / ((2.0**-zeros).sum() + (m - len(zeros))))
 
 
 #: Rows of the word counts: words of a shard, or a run of texts (shard -1).
@@ -473,31 +494,6 @@ def log_scores(words: Words, model: Model, passes: int, this: int) -> np.ndarray
     return np.add.reduceat(logs, words.at[:-1]) if len(words.texts) else np.zeros(0)
 
 
-def estimate_pairs(rows: DataFrame) -> int:
-    """Distinct pairs of the training texts, by a register each for many hash ranges (about 1 % off)."""
-    m = 1 << REGISTER_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.zeros(m, np.int64)
-        for part in slices(batches):
-            words = Words(part.column("text"))
-            h = np.append(words.hashes, START)
-            pair = join_hash(h[words.before()], h[words.ids])
-            zeros = 64 - REGISTER_BITS - np.floor(np.log2(np.maximum((pair & np.uint64((1 << (64 - REGISTER_BITS)) - 1)).astype(float), 0.5))).astype(np.int64)
-            slot = (pair >> np.uint64(64 - REGISTER_BITS)).astype(np.int64)
-            np.maximum.at(best, slot, zeros)
-        at = np.flatnonzero(best)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(best[at], pa.int64())], ["slot", "zeros"])
-
-    found = rows.where("learnt").select("text").mapInArrow(run, "slot long, zeros long").groupBy("slot").agg(F.max("zeros").alias("zeros"))
-    filled, inverse = found.agg(F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), -F.col("zeros")))).first()
-    if not filled:
-        return 0
-    if filled < 0.9 * m:  # few pairs: by the empty registers
-        return math.ceil(-m * math.log(1 - filled / m))
-    return math.ceil(0.7213 / (1 + 1.079 / m) * m * m / (inverse + (m - filled)))
-
-
 def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
@@ -517,7 +513,7 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     rows = rows_of(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards, pair_shards = max(SHARDS, size // WORD_BYTES), max(SHARDS, size // PAIR_BYTES)
-    common = common_words(rows)
+    common, distinct = survey(rows, scratch)
     merged = merge_words(count_words(rows, word_shards, common), word_shards, common, scratch)
     shards = merged.where("kind = 'shard'").select("slice", "count", "kinds", "rounded", F.col("parts")[0].alias("filter")).toLocalIterator()  # a row a shard
     model = Model(0, 0, 0, [None] * word_shards, np.zeros(0, np.uint64), pair_shards)
@@ -530,7 +526,7 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     counts[np.searchsorted(common, words)] = count
     model.hot = np.sort(np.append(words[count * HOT > model.tokens], START))
 
-    entries = estimate_pairs(rows) * PAIR_LEVELS * 1.1 + 12 * model.kinds
+    entries = distinct * PAIR_LEVELS * 1.1 + 12 * model.kinds
     needed = int(entries * ENTRY_BITS / 8)
     passes = max(1, -(-needed // (filter_mb << 20)))
     scores, done, ahead, finest = None, 0, [(passes, this) for this in range(passes)], passes * SPLITS
