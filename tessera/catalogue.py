@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import histograms, models, series, transforms
+from tessera.plans import histograms, models, series, structures, transforms
 
-_PLANS = (histograms, transforms, series, models)
+_PLANS = (histograms, transforms, series, models, structures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,5 @@
 """Every registered query of the engine against its SQL in DuckDB."""
 
-import math
-
 import duckdb
 import pandas as pd
 import pytest
@@ -25,7 +23,7 @@ def rows(p: pd.DataFrame) -> list:
     p = p[sorted(p.columns)]
 
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if pd.isna(v):
             return None
         return v if isinstance(v, str) else round(float(v) + 0.0, 5)
 
