@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import histograms, models, series, structures, transforms
+from tessera.plans import histograms, models, series, structures, surfaces, transforms
 
-_PLANS = (histograms, transforms, series, models, structures)
+_PLANS = (histograms, transforms, series, models, structures, surfaces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

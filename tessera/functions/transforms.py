@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Op = Callable[[Column], Column]
@@ -19,19 +19,38 @@ Op = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Transform:
-    """An array<double> column to another."""
+    """An array<double> column to another; back undoes it, where it can be undone."""
 
     apply: Op
+    back: Op | None = None
 
     def __call__(self, x: Column) -> Column:
         return self.apply(x)
 
     def __mul__(self, after: Transform) -> Transform:
-        return Transform(lambda x: after.apply(self.apply(x)))
+        both = self.back and after.back
+        return Transform(lambda x: after.apply(self.apply(x)), (lambda y: self.back(after.back(y))) if both else None)
 
     def __add__(self, beside: Transform) -> Transform:
         return Transform(lambda x: F.concat(self.apply(x), beside.apply(x)))
 
+    def inverse(self) -> Transform:
+        if self.back is None:
+            raise ValueError("this transform can't be undone")
+        return Transform(self.back, self.apply)
+
+    def jacobian(self, dims: int, step: float = 1e-5) -> Op:
+        """The matrix of derivatives, a row an input dimension, by central differences; one projection, no shuffle."""
+
+        def moved(x: Column, k: int, by: float) -> Column:
+            return self.apply(F.transform(x, lambda v, i: v + F.when(i == k, by).otherwise(0.0)))
+
+        return lambda x: F.array(*[F.zip_with(moved(x, k, step), moved(x, k, -step), lambda a, b: (a - b) / (2 * step)) for k in range(dims)])
+
+    def type_of(self, rows: DataFrame, column: str) -> str:
+        """The type of the outcome, by analysis alone: nothing runs."""
+        return rows.select(self.apply(F.col(column)).alias("y")).schema["y"].dataType.simpleString()
+
 
 def vector(*values: float) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
@@ -59,11 +78,62 @@ def append(*values: float) -> Transform:
 
 
 def shift(*by: float) -> Transform:
-    return Transform(lambda x: F.zip_with(x, vector(*by), lambda a, b: a + b))
+    return Transform(lambda x: F.zip_with(x, vector(*by), lambda a, b: a + b), lambda y: F.zip_with(y, vector(*by), lambda a, b: a - b))
 
 
 def scale(*by: float) -> Transform:
-    return Transform(lambda x: F.zip_with(x, vector(*by), lambda a, b: a * b))
+    return Transform(lambda x: F.zip_with(x, vector(*by), lambda a, b: a * b), lambda y: F.zip_with(y, vector(*by), lambda a, b: a / b))
+
+
+def constant(*values: float) -> Transform:
+    """The same outcome for every input."""
+    return Transform(lambda x: vector(*values))
+
+
+def of_function(f: Op) -> Transform:
+    """Any function of the whole array."""
+    return Transform(f)
+
+
+#: An array of arrays as one array.
+flat = Transform(F.flatten)
+
+
+def learnable_scale(dims: int, seed: int, spread: float = 0.1) -> tuple[Callable[[list[float]], Transform], list[float]]:
+    """A scale by parameters, and their first values: near 1, by seed."""
+    import numpy as np
+
+    return (lambda values: scale(*values)), (1 + spread * np.random.default_rng(seed).normal(size=dims)).tolist()
+
+
+def first_weights(inputs: int, outputs: int, seed: int) -> list[list[float]]:
+    """First values of a matrix: normal, with a spread of 1 / sqrt(inputs)."""
+    import numpy as np
+
+    return (np.random.default_rng(seed).normal(size=(inputs, outputs)) / np.sqrt(inputs)).tolist()
+
+
+def orthogonal(skew: list[list[float]]) -> list[list[float]]:
+    """The Cayley map of a matrix's skew part: a rotation, for a linear layer that keeps lengths."""
+    import numpy as np
+
+    a = np.array(skew, float)
+    a = a - a.T
+    return np.linalg.solve(np.eye(len(a)) + a, np.eye(len(a)) - a).tolist()
+
+
+def spectral(rows: list[list[float]], steps: int = 5) -> list[list[float]]:
+    """A matrix over its largest singular value, by power iteration."""
+    import numpy as np
+
+    m = np.array(rows, float)
+    v = np.ones(m.shape[1]) / np.sqrt(m.shape[1])
+    for _ in range(steps):
+        u = m @ v
+        u /= max(np.linalg.norm(u), 1e-12)
+        v = m.T @ u
+        v /= max(np.linalg.norm(v), 1e-12)
+    return (m / max(u @ m @ v, 1e-12)).tolist()
 
 
 def min_max(lo: list[float], hi: list[float]) -> Transform:
@@ -152,6 +222,9 @@ ACTIVATIONS: dict[str, Transform] = {
     "sigmoid": each(_SIGMOID),
     "log_sigmoid": each(lambda v: F.least(v, F.lit(0.0)) - F.log1p(F.exp(-F.abs(v)))),
     "tanh": each(F.tanh),
+    "hard_sigmoid": each(lambda v: F.least(F.greatest(v + 3, F.lit(0.0)), F.lit(6.0)) / 6),
+    "hard_swish": each(lambda v: v * F.least(F.greatest(v + 3, F.lit(0.0)), F.lit(6.0)) / 6),
+    "sort": Transform(F.array_sort),
     "hard_tanh": each(lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))),
     "softplus": each(lambda v: F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))),
     "soft_sign": each(lambda v: v / (1 + F.abs(v))),
@@ -178,6 +251,61 @@ def periodic_pair(dims: int) -> Transform:
     return Transform(lambda x: F.array(*[f(F.get(x, F.lit(k))) for k in range(dims) for f in (F.cos, F.sin)]))
 
 
+def angle_of_pair(dims: int) -> Transform:
+    """The angles that periodic_pair was made of, in (-pi, pi]."""
+    return Transform(lambda x: F.array(*[F.atan2(F.get(x, F.lit(2 * k + 1)), F.get(x, F.lit(2 * k))) for k in range(dims)]))
+
+
+def real_parts(dims: int) -> Transform:
+    """The real part of each of periodic_pair's numbers."""
+    return take(*range(0, 2 * dims, 2))
+
+
+def scatter(*to: int) -> Transform:
+    """Dimension k goes to place to[k]."""
+    return take(*sorted(range(len(to)), key=lambda k: to[k]))
+
+
+def clip(lo: float, hi: float) -> Transform:
+    return each(lambda v: F.greatest(F.lit(lo), F.least(F.lit(hi), v)))
+
+
+def pair_distances(positions: Column, count: int, scaled: float = 1.0, inverse: bool = False, log: bool = False, eps: float = 1e-8) -> Column:
+    """Distances of all pairs i < j of the first `count` positions, over a scale, and then inverted or in logarithms."""
+
+    def one(i: int, j: int) -> Column:
+        d = [F.get(F.get(positions, F.lit(j)), F.lit(k)) - F.get(F.get(positions, F.lit(i)), F.lit(k)) for k in range(3)]
+        r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / scaled
+        r = 1 / (r + eps) if inverse else r
+        return F.ln(r + eps) if log else r
+
+    return F.array(*[one(i, j) for i in range(count) for j in range(i + 1, count)])
+
+
+def smooth_step(r: Column, cut: float, a: float) -> Column:
+    """1 within the cutoff and 0 beyond, softly."""
+    return 1 / (1 + F.exp(F.lit(a) * (r - cut)))
+
+
+def body_features(pairs: list[Column], angles: list[Column], torsions: list[Column], cut: float, a: float, top: int = 2) -> tuple[Column, list[bool]]:
+    """Powers of distances (faded) and of angles, and multiples of torsions; and which dimensions are periodic."""
+    out = [F.pow(r, F.lit(float(n))) * smooth_step(r, cut, a) for r in pairs for n in range(top + 1)]
+    out += [F.pow(t, F.lit(float(n))) for t in angles for n in range(1, top + 1)]
+    turns = [t * n for t in torsions for n in range(1, top + 1)]
+    return F.array(*out, *turns), [False] * len(out) + [True] * len(turns)
+
+
+def ratio_powers(pairs: list[Column], cut: float, up: int, down: int) -> Column:
+    """Powers 1 to `up` of r / cut, and 1 to `down` of cut / r."""
+    return F.array(*[F.pow(r / cut, F.lit(float(n))) for r in pairs for n in range(1, up + 1)], *[F.pow(F.lit(cut) / r, F.lit(float(n))) for r in pairs for n in range(1, down + 1)])
+
+
+def invariant_polynomials(groups: list[list[Column]], top: int = 2) -> Column:
+    """For each group of like distances, sums of their powers 1 to top: the same whatever the order of like points."""
+    power_sum = lambda g, n: F.aggregate(F.transform(F.array(*g), lambda r: F.pow(r, F.lit(float(n)))), F.lit(0.0), lambda acc, v: acc + v)
+    return F.array(*[power_sum(g, n) for g in groups for n in range(1, top + 1)])
+
+
 def centre_periodic(*angles: float) -> Transform:
     """Each angle relative to a centre, in [-pi, pi)."""
     two_pi = 6.283185307179586

@@ -30,4 +30,6 @@ def regions(links: DataFrame, rounds: int = 50) -> DataFrame:
         label = both.sparkSession.createDataFrame(rows, "a int, region int")
         if {r["a"]: r["region"] for r in rows} == before:
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     return label.select(F.col("a").alias("node"), "region")

@@ -105,3 +105,79 @@ def divergence(p: DataFrame, q: DataFrame, t: float = 300.0) -> DataFrame:
 
     both = mass(p, "p").join(mass(q, "q"), "bin").where((F.col("p") > 0) & (F.col("q") > 0))
     return both.agg((kt * F.sum(0.5 * (F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q")))).alias("kl"))
+
+
+def surface(binned: DataFrame, t: float = 300.0, weight: Column | None = None, log_rho: Column | None = None, observable: Column | None = None, most: float | None = None) -> DataFrame:
+    """bin, n, n_eff, density, f, sigma, observable: a free energy with its spread.
+
+    The mass of a bin is the sum of w exp(log_rho); n_eff is Kish's size of its
+    weights; sigma = kT / sqrt(n_eff). f has its least at 0 and is at most
+    `most`, if that is given.
+    """
+    w = (F.lit(1.0) if weight is None else weight) * (F.lit(1.0) if log_rho is None else F.exp(log_rho))
+    rows = binned.withColumns({"fs_w": w, "fs_o": F.lit(None).cast("double") if observable is None else observable})
+    mass = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("fs_w").alias("mass"), (F.sum("fs_w") * F.sum("fs_w") / F.sum(F.col("fs_w") * F.col("fs_w"))).alias("n_eff"), (F.sum(F.col("fs_w") * F.col("fs_o")) / F.sum("fs_w")).alias("observable")).where("mass > 0")
+    totals = mass.agg(F.sum("mass").alias("all_mass"), F.max("mass").alias("most_mass"))
+    f = -BOLTZMANN * t * F.ln(F.col("mass") / F.col("most_mass"))
+    out = mass.crossJoin(F.broadcast(totals))  # one row
+    return out.select("bin", "n", "n_eff", (F.col("mass") / F.col("all_mass")).alias("density"), (f if most is None else F.least(f, F.lit(most))).alias("f"), (BOLTZMANN * t / F.sqrt("n_eff")).alias("sigma"), "observable")
+
+
+def masked_histogram(binned: DataFrame, kept: DataFrame, weight: Column | None = None, observable: Column | None = None) -> DataFrame:
+    """number, n, mass, observable: sums by renumbered bin; rows of bins that aren't kept go."""
+    w = F.lit(1.0) if weight is None else weight
+    rows = binned.join(F.broadcast(kept.select("bin", "number")), "bin")  # a row a bin
+    return rows.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("mass"), (F.sum(w * observable) / F.sum(w) if observable is not None else F.lit(None).cast("double")).alias("observable"))
+
+
+def bin_weights(binned: DataFrame) -> DataFrame:
+    """binned with w = 1, n_bin (rows of its bin) and p_select = 1 / n_bin: every bin is drawn alike."""
+    n = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_bin"))
+    return binned.join(F.broadcast(n), "bin").withColumns({"w": F.lit(1.0), "p_select": 1 / F.col("n_bin")})  # a row a bin
+
+
+def mapped_surface(binned_both: DataFrame, old: DataFrame, t: float = 300.0) -> DataFrame:
+    """bin, f: a free energy over old bins carried to new ones by how often rows lie in both.
+
+    binned_both has bin (new) and old_bin; old has bin and f.
+    """
+    kt = BOLTZMANN * t
+    counts = binned_both.groupBy("bin", "old_bin").agg(F.count(F.lit(1)).alias("c"))
+    share = counts.join(counts.groupBy("old_bin").agg(F.sum("c").alias("all_c")), "old_bin")
+    mass = share.join(old.select(F.col("bin").alias("old_bin"), "f"), "old_bin").groupBy("bin").agg(F.sum(F.col("c") / F.col("all_c") * F.exp(-F.col("f") / kt)).alias("mass"))
+    return mass.crossJoin(F.broadcast(mass.agg(F.max("mass").alias("top")))).select("bin", (-kt * F.ln(F.col("mass") / F.col("top"))).alias("f"))  # one row
+
+
+def bounds_of_bias(grid: DataFrame, dim: str, bias: str, t: float = 300.0, cut: float = 0.01, sign: float = 1.0) -> DataFrame:
+    """lo, hi: the first and last grid place of a dimension outside of which a bias's marginal has less than `cut` of its mass, either side."""
+    mass = grid.groupBy(F.col(dim).alias("at")).agg(F.sum(F.exp(sign * F.col(bias) / (BOLTZMANN * t))).alias("m"))
+    run = mass.withColumn("run", F.sum("m").over(Window.orderBy("at"))).crossJoin(F.broadcast(mass.agg(F.sum("m").alias("all_m"))))  # a row a grid place
+    return run.where((F.col("run") / F.col("all_m") > cut) & ((F.col("run") - F.col("m")) / F.col("all_m") < 1 - cut)).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+
+
+def box_of(rows: DataFrame, columns: list[str], weight: str, percentile: float, n: int, margin: float = 0.0) -> DataFrame:
+    """lo_<c>, hi_<c> and constant_<c> of each column, in one row: the bins that hold the middle of the weight, widened by a part of the width."""
+    out = rows.agg(*[(F.max(c) - F.min(c) <= 1e-12).alias(f"constant_{c}") for c in columns])
+    for c in columns:
+        found = percentile_bounds(rows, c, weight, percentile, n)
+        out = out.crossJoin(found.select((F.col("lo") - margin * (F.col("hi") - F.col("lo"))).alias(f"lo_{c}"), (F.col("hi") + margin * (F.col("hi") - F.col("lo"))).alias(f"hi_{c}")))  # one row each
+    return out
+
+
+def inside(rows: DataFrame, columns: list[str], box: DataFrame, name: str = "inside") -> DataFrame:
+    """rows with whether they lie strictly within the box in all columns."""
+    good = reduce(lambda a, b: a & b, [(F.col(c) > F.col(f"lo_{c}")) & (F.col(c) < F.col(f"hi_{c}")) for c in columns])
+    return rows.crossJoin(F.broadcast(box)).withColumn(name, good).drop(*box.columns)  # one row
+
+
+def draw_near(rows: DataFrame, energy: Column, kt: float, key: str, groups: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """One row of each group, drawn with chance exp(-energy / kT): the least exponential variate by a hash of seed and key, so the same on every run."""
+    even = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    race = F.ln(-F.ln(even)) + energy / kt  # of -ln(u) / w
+    fields = F.struct(*rows.columns)
+    return rows.groupBy(*(groups or [])).agg(F.min_by(fields, F.struct(race, F.col(key))).alias("drawn")).select("drawn.*")
+
+
+def close_to(x: list[Column], centre: list[float], k: list[float]) -> Column:
+    """The harmonic energy of a distance from a point."""
+    return reduce(lambda a, b: a + b, [0.5 * s * (v - c) * (v - c) for v, c, s in zip(x, centre, k, strict=True)])

@@ -6,9 +6,11 @@ dense algebra on those is numpy's, on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +31,45 @@ def covariance(rows: DataFrame, columns: list[str], weight: str | None = None) -
 
 
 def array_moments(rows: DataFrame, x: str, y: str | None = None, weight: Column | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of weights, weighted means of x and y, and the weighted mean of x y^T, of array columns.
+    """Sum of weights, weighted means of x and y, and the weighted mean of x y^T, of array columns. Rows with a null array count as nothing."""
+    n, mean, second = joint_moments(rows, [x, y or x], weight)
+    if not n:
+        return 0.0, np.zeros(0), np.zeros(0), np.zeros((0, 0))
+    return n, mean[0], mean[1], second[0][1]
+
+
+def joint_moments(rows: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[float, list[np.ndarray], list[list[np.ndarray]]]:
+    """Sum of weights, weighted means of array columns, and weighted means of their products, for each pair of columns.
 
-    Arrays are cut into (i, j, product) triples and summed by (i, j): a
-    partial aggregation with as many groups as the matrix has places.
+    One pass and one job: each task sums X^T X of its batches, as one matrix,
+    and these are added up; their size depends on the arrays' length only.
     """
     w = F.lit(1.0) if weight is None else weight
-    y = y or x
-    base = rows.select(w.alias("w"), F.col(x).alias("x"), F.col(y).alias("y"))
-    size = base.agg(F.sum("w"), F.max(F.size("x")), F.max(F.size("y"))).first()
-    if not size[1]:
-        return 0.0, np.zeros(0), np.zeros(0), np.zeros((0, 0))
-    means = [base.select("w", F.posexplode(c).alias("i", "v")).groupBy("i").agg((F.sum(F.col("w") * F.col("v")) / F.lit(size[0])).alias("m")).orderBy("i").toPandas()["m"].to_numpy() for c in ("x", "y")]
-    cells = base.select("w", "y", F.posexplode("x").alias("i", "a")).select("w", "i", "a", F.posexplode("y").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("s")).toPandas()
-    out = np.zeros((size[1], size[2]))
-    out[cells["i"], cells["j"]] = cells["s"] / size[0]
-    return float(size[0]), *means, out
+    base = rows.select(w.cast("double").alias("w"), *[F.col(c).cast("array<double>").alias(f"x{k}") for k, c in enumerate(columns)]).dropna()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, widths = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parts = [np.ones((b.num_rows, 1)), *[b.column(f"x{k}").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for k in range(len(columns))]]
+            whole = np.concatenate(parts, axis=1)
+            widths = [p.shape[1] for p in parts[1:]]
+            found = (whole * b.column("w").to_numpy()[:, None]).T @ whole
+            total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([widths], pa.list_(pa.int32())), pa.array([total.ravel()], pa.list_(pa.float64()))], ["widths", "cells"])
+
+    cells = base.mapInArrow(partial, "widths array<int>, cells array<double>").select("widths", F.posexplode("cells").alias("k", "v"))
+    found = cells.groupBy("widths", "k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()  # as many rows as the matrix has places
+    if not found.num_rows:
+        return 0.0, [], []
+    widths = found["widths"][0].as_py()
+    size = 1 + sum(widths)
+    whole = found["v"].to_numpy().reshape(size, size)
+    n, edges = float(whole[0, 0]), np.cumsum([1, *widths])
+    cut = [slice(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return n, [whole[0, c] / n for c in cut], [[whole[c, e] / n for e in cut] for c in cut]
 
 
 @dataclass
@@ -60,9 +85,7 @@ class Covariances:
 
     @staticmethod
     def of(rows: DataFrame, x: str, y: str, weight: Column | None = None) -> Covariances:
-        n, m0, m1, s01 = array_moments(rows, x, y, weight)
-        _, _, _, s00 = array_moments(rows, x, x, weight)
-        _, _, _, s11 = array_moments(rows, y, y, weight)
+        n, (m0, m1), ((s00, s01), (_, s11)) = joint_moments(rows, [x, y], weight)
         return Covariances(n, m0, m1, s00 - np.outer(m0, m0), s01 - np.outer(m0, m1), s11 - np.outer(m1, m1))
 
     @property
@@ -93,6 +116,13 @@ class Covariances:
             merged(self.c11, other.c11, (self.mean1, self.mean1), (other.mean1, other.mean1), (m1, m1)),
         )
 
+    def intensity(self, n_eff: float | None = None) -> float:
+        """How far to draw towards one variance for all: the oracle-approximating rule for n_eff independent rows."""
+        n, c = n_eff or self.n, self.c00
+        p, square, trace = len(c), float((c * c).sum()), float(np.trace(c))
+        below = (n + 1 - 2 / p) * (square - trace * trace / p)
+        return 1.0 if below <= 0 else float(np.clip(((1 - 2 / p) * square + trace * trace) / below, 0, 1))
+
     def shrunk(self, intensity: float, target: str = "diag") -> Covariances:
         """Covariances drawn towards their diagonal, or towards one variance for all."""
 
@@ -121,9 +151,29 @@ def whitener(c: np.ndarray, eps: float = 1e-12, tikhonov: float = 0.0) -> np.nda
     return (vectors[:, good] / np.sqrt(values[good])).T[::-1]
 
 
+def class_moments(rows: DataFrame, label: str, x: str) -> DataFrame:
+    """label, i, m, n: each class's mean in each dimension of an array column."""
+    return rows.select(label, F.posexplode(x).alias("i", "v")).groupBy(label, "i").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def most_varying(rows: DataFrame, x: str, most: int, least: float = 0.0) -> DataFrame:
+    """i, sd: the dimensions of an array column that vary most, above `least`."""
+    spread = rows.select(F.posexplode(x).alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("sd")).where(F.col("sd") > least)
+    return spread.orderBy(F.desc("sd"), "i").limit(most)  # of as many rows as there are dimensions
+
+
+def truncated_svd(rows: DataFrame, x: str) -> np.ndarray:
+    """Columns V that project an array column on its singular directions, largest first; those below 10 max(n, d) eps of the largest are dropped."""
+    n, _, _, second = array_moments(rows, x)
+    values, vectors = np.linalg.eigh(second * n)
+    s = np.sqrt(np.clip(values[::-1], 0, None))
+    good = s > 10 * max(n, len(s)) * np.finfo(float).eps * s.max(initial=0.0)
+    return vectors[:, ::-1][:, good]
+
+
 def class_scatter(rows: DataFrame, label: str, x: str) -> tuple[np.ndarray, np.ndarray, dict]:
     """Within and between scatter of an array column over classes, and class means, from sums by class."""
-    means = rows.select(label, F.posexplode(x).alias("i", "v")).groupBy(label, "i").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")).toPandas()
+    means = class_moments(rows, label, x).toPandas()  # a row a class and dimension
     n, mean, _, second = array_moments(rows, x)
     counts = means.groupby(label)["n"].first()
     centre = {k: g.sort_values("i")["m"].to_numpy() for k, g in means.groupby(label)}

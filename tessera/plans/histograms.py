@@ -84,7 +84,7 @@ def grid_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bin_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    binned = h.assign(events(spark, sf_dir).where("event_id % 40 = 0"), ["value"], 30)
+    binned = h.assign(events(spark, sf_dir), ["value"], 30)
     return regions(shared_bins(binned, "user_id"))
 
 
@@ -115,8 +115,8 @@ SELECT round(0.0083144626*300*sum(0.5*(x.p-y.p)*ln(x.p/y.p)),6) AS kl FROM p x J
     "minimum_image": "WITH u AS (SELECT event_id, (value-90)/100 - floor((value-90)/100) u FROM events) SELECT event_id, round(CASE WHEN u>0.5 THEN u-1 ELSE u END*100,6) AS d FROM u",
     "periodic_wrap": "SELECT event_id, round(((value+50)/100-floor((value+50)/100))*100-50,6) AS x, round(value/7-floor(value/7),6) AS u FROM events",
     "grid_cross": "SELECT CAST(i AS INT) AS i0, CAST(j AS INT) AS i1, round(pow(-1.5+i,3)+1.5+j,6) AS v FROM range(4) a(i) CROSS JOIN range(4) c(j)",
-    "bin_regions": """WITH RECURSIVE b AS (SELECT min(value) lo, max(value) hi FROM events WHERE event_id%40=0),
-m AS (SELECT DISTINCT user_id, CAST(floor((value-lo)/((hi-lo)/29)) AS INT) bin FROM events CROSS JOIN b WHERE event_id%40=0 AND value>lo AND value<hi),
+    "bin_regions": """WITH RECURSIVE b AS (SELECT min(value) lo, max(value) hi FROM events),
+m AS (SELECT DISTINCT user_id, CAST(floor((value-lo)/((hi-lo)/29)) AS INT) bin FROM events CROSS JOIN b WHERE value>lo AND value<hi),
 e AS (SELECT DISTINCT x.bin a, y.bin b FROM m x JOIN m y USING (user_id)),
 r AS (SELECT a node, b reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach=e.a)
 SELECT node, min(reach) AS region FROM r GROUP BY node""",

@@ -27,8 +27,10 @@ def weighted_mean_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lagged_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = s.lag_pairs(events(spark, sf_dir), "user_id", ORDER, ["value"], 3)
-    return pairs.agg(F.round(F.covar_pop("value", "value_t"), 5).alias("c01"), F.round(F.var_pop("value"), 5).alias("c00"), r6(F.corr("value", "value_t")).alias("r"))
+    rows = events(spark, sf_dir).withColumn("x", F.array("value"))
+    c = mo.Covariances.of(s.lag_pairs(rows, "user_id", ORDER, ["x"], 3), "x", "x_t")
+    c00, c01, c11 = (float(m[0, 0]) for m in (c.c00, c.c01, c.c11))
+    return spark.createDataFrame([(c01, c00, c01 / math.sqrt(c00 * c11))], "c01 double, c00 double, r double").select(F.round("c01", 5).alias("c01"), F.round("c00", 5).alias("c00"), r6("r").alias("r"))
 
 
 def kish_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,18 +38,17 @@ def kish_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(r6(F.avg("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return mo.class_moments(vectors(spark, sf_dir), "label", "x").select("label", "i", r6("m").alias("m"), "n")
 
 
 def feature_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five dimensions that vary most."""
-    var = vectors(spark, sf_dir).select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("sd"))
-    return var.orderBy(F.desc("sd"), "i").limit(5).select("i", r6("sd").alias("sd"))
+    return mo.most_varying(vectors(spark, sf_dir), "x", 5).select("i", r6("sd").alias("sd"))
 
 
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = vectors(spark, sf_dir).select("x", F.posexplode(F.slice("x", 1, 8)).alias("i", "a")).select("i", "a", F.posexplode(F.slice("x", 1, 8)).alias("j", "c"))
-    return cells.groupBy("i", "j").agg(r6(F.avg(F.col("a") * F.col("c"))).alias("g"))
+    _, _, _, second = mo.array_moments(vectors(spark, sf_dir), "x")
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(second)], "i int, j int, g double").select("i", "j", r6("g").alias("g"))
 
 
 def lda_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +76,7 @@ def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray, n
 def wham_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five steps of the fixed point."""
     _, n, u, bins = _windows(spark, sf_dir)
-    n_k = n.sum(axis=0)
-    p = n_k / n_k.sum()
-    for _ in range(5):
-        f = -np.log((p[None, :] * np.exp(-u)).sum(axis=1))
-        d = (n.sum(axis=1)[:, None] * np.exp(f[:, None] - u)).sum(axis=0)
-        p = n_k / d / (n_k / d).sum()
+    p, _ = rw.wham(n, u, steps=5)
     return spark.createDataFrame([(int(x), float(v)) for x, v in zip(bins, p, strict=True)], "bin int, p double").select("bin", F.round("p", 8).alias("p"))
 
 
@@ -120,9 +116,10 @@ def harmonic_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hills_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hill at the mean of each bin, over all rows."""
     rows = events(spark, sf_dir)
-    centres = rows.where("event_id % 500 = 0").select(F.col("value").alias("c0"), F.lit(1.5).alias("height"))
-    points = rows.where("event_id % 50 = 1").select("event_id", F.col("value").alias("x0"))
+    centres = h.assign(rows, ["value"], 30).groupBy("bin").agg(F.avg("value").alias("c0")).withColumn("height", F.lit(1.5))
+    points = rows.select("event_id", F.col("value").alias("x0"))
     return b.hills(points, centres, Metric((Axis(0.0, 500.0, periodic=True),)), 1, [40.0]).select("event_id", F.round("bias", 5).alias("bias"))
 
 
@@ -139,7 +136,7 @@ def grid_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rbf_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = spark.range(5).select((F.col("id") * 100.0 + 50).alias("c0"), (F.col("id") - 2.0).alias("coefficient"))
-    points = events(spark, sf_dir).where("event_id % 20 = 0").select("event_id", F.col("value").alias("x0"))
+    points = events(spark, sf_dir).select("event_id", F.col("value").alias("x0"))
     return b.rbf_evaluate(points, centres, Metric((Axis(0.0, 500.0),)), 1, "gaussian", 4.0, 0.5).select("event_id", r6("value").alias("v"))
 
 
@@ -169,7 +166,7 @@ def neighbour_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = nb.edges(_parts(spark, sf_dir).where("p_partkey % 2 = 0"), "p_partkey", ["x", "y"], 3.0, "frame")
+    e = nb.edges(_parts(spark, sf_dir), "p_partkey", ["x", "y"], 3.0, "frame")
     return nb.nearest(e, 2).groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 4).alias("r"))
 
 
@@ -205,7 +202,7 @@ def parse_timescales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trajectory_inefficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.frames import series_inefficiency
 
-    return series_inefficiency(events(spark, sf_dir), "user_id", ORDER, "value")
+    return series_inefficiency(events(spark, sf_dir), "user_id", ORDER, "value").select("user_id", F.round("g", 5).alias("g"))
 
 
 def loaded_fes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +263,7 @@ SQL = {
     "kish_size": "SELECT user_id, round(sum(value+1)*sum(value+1)/sum((value+1)*(value+1)),6) AS n_eff FROM events GROUP BY user_id",
     "class_means": "SELECT label, CAST(i-1 AS INT) AS i, round(avg(CAST(embedding[i] AS DOUBLE)),6) AS m, count(*) AS n FROM embeddings CROSS JOIN range(1,65) r(i) GROUP BY 1,2",
     "feature_top": "SELECT CAST(i-1 AS INT) AS i, round(stddev_pop(CAST(embedding[i] AS DOUBLE)),6) AS sd FROM embeddings CROSS JOIN range(1,65) r(i) GROUP BY 1 ORDER BY stddev_pop(CAST(embedding[i] AS DOUBLE)) DESC, 1 LIMIT 5",
-    "gram_matrix": "SELECT CAST(i-1 AS INT) AS i, CAST(j-1 AS INT) AS j, round(avg(CAST(embedding[i] AS DOUBLE)*CAST(embedding[j] AS DOUBLE)),6) AS g FROM embeddings CROSS JOIN range(1,9) r(i) CROSS JOIN range(1,9) s(j) GROUP BY 1,2",
+    "gram_matrix": "SELECT CAST(i-1 AS INT) AS i, CAST(j-1 AS INT) AS j, round(avg(CAST(embedding[i] AS DOUBLE)*CAST(embedding[j] AS DOUBLE)),6) AS g FROM embeddings CROSS JOIN range(1,65) r(i) CROSS JOIN range(1,65) s(j) GROUP BY 1,2",
     "window_bin_matrix": f"WITH {SQL_BINNED} SELECT event_type, bin, count(*) AS n, round(avg(value/100),6) AS u FROM m GROUP BY 1,2",
     "wham_steps": _wham(5),
     "rho_rescale": "SELECT event_id, round(exp(value/100*((1-1/1.5)/(0.0083144626*300))),6) AS w FROM events",
@@ -274,19 +271,22 @@ SQL = {
 SELECT CAST(m AS INT) AS m, event_id FROM range(1,201) r(m) JOIN c ON (m-0.5)/200 >= (hi-w)/s AND (m-0.5)/200 < hi/s""",
     "harmonic_capped": f"""WITH q AS (SELECT event_id, 500*CASE WHEN u>0.5 THEN u-1 ELSE u END d, y FROM {_H} x), r AS (SELECT *, sqrt(d*d*0.01/0.015+y*y*0.02/0.015) r FROM q)
 SELECT event_id, round(CASE WHEN r<80 THEN 0.5*0.015*r*r ELSE 0.5*0.015*6400+1.2*(r-80) END,6) AS e, round(d*0.01,6) AS g0, round(y*0.02,6) AS g1 FROM r""",
-    "hills_sum": """WITH d AS (SELECT p.event_id, (p.value-c.value)/500-floor((p.value-c.value)/500) u FROM events p CROSS JOIN events c WHERE p.event_id%50=1 AND c.event_id%500=0)
+    "hills_sum": f"""WITH {SQL_BINNED}, c AS (SELECT bin, avg(value) c FROM m GROUP BY bin), d AS (SELECT event_id, (value-c)/500-floor((value-c)/500) u FROM events CROSS JOIN c)
 SELECT event_id, round(sum(1.5*exp(-pow(500*CASE WHEN u>0.5 THEN u-1 ELSE u END,2)/3200)),5) AS bias FROM d GROUP BY event_id""",
     "bias_composite": "SELECT event_id, round(value/10+25,6) AS both, round(least(value/10,25.0),6) AS least, round(value/10*(300.0/900.0),6) AS tempered, round(0.9*(value/10)+25,6) AS in_round FROM events",
     "grid_interpolate": """WITH u AS (SELECT event_id, value/25-0.5 u, least(floor(value/25-0.5),18) i FROM events)
 SELECT event_id, round(CASE WHEN u>=0 AND u<=19 THEN pow(i*25+12.5,2)*(1-(u-i))+pow(i*25+37.5,2)*(u-i) END,4) AS v FROM u""",
-    "rbf_field": "SELECT event_id, round(0.5+sum((c-2)*exp(-pow(abs(value-(c*100+50))/500*4,2))),6) AS v FROM events CROSS JOIN range(5) r(c) WHERE event_id%20=0 GROUP BY event_id",
+    "rbf_field": "SELECT event_id, round(0.5+sum((c-2)*exp(-pow(abs(value-(c*100+50))/500*4,2))),6) AS v FROM events CROSS JOIN range(5) r(c) GROUP BY event_id",
     "neighbour_counts": f"WITH {_PT}, {_edge(2.0)} SELECT i, count(*) AS n, round(sum(exp(-r)),6) AS value FROM e GROUP BY i",
     "neighbour_by_class": f"WITH {_PT}, {_edge(2.0)} SELECT p_brand, count(*) AS n, round(sum(r),4) AS r FROM e GROUP BY p_brand",
     "neighbour_periodic": """WITH p AS (SELECT p_partkey k, p_partkey//400 f, CAST(p_size%50 AS DOUBLE) x, p_retailprice/10-60*floor(p_retailprice/600) y FROM part),
 d AS (SELECT a.k i, b.x-a.x-50*round((b.x-a.x)/50) dx, b.y-a.y-60*round((b.y-a.y)/60) dy FROM p a JOIN p b ON a.f=b.f AND a.k<>b.k)
 SELECT i, count(*) AS n, round(sum(sqrt(dx*dx+dy*dy)),6) AS value FROM d WHERE sqrt(dx*dx+dy*dy)<3 GROUP BY i""",
     "neighbour_triples": f"WITH {_PT}, {_edge(1.5)} SELECT a.i AS centre, count(*) AS n FROM e a JOIN e b ON a.i=b.i AND a.j<b.j GROUP BY 1",
-    "neighbour_nearest": f"WITH {_PT}, h AS (SELECT * FROM p WHERE k%2=0), {_edge(3.0, 'h')}, q AS (SELECT r, row_number() OVER (PARTITION BY i ORDER BY r, j) rank FROM e) SELECT rank, count(*) AS n, round(sum(r),4) AS r FROM q WHERE rank<=2 GROUP BY rank",
+    "neighbour_nearest": f"WITH {_PT}, {_edge(3.0)}, q AS (SELECT r, row_number() OVER (PARTITION BY i ORDER BY r, j) rank FROM e) SELECT rank, count(*) AS n, round(sum(r),4) AS r FROM q WHERE rank<=2 GROUP BY rank",
     "round_validity": "SELECT CAST(o_custkey%12 AS INT) AS round, round(coalesce(avg(CASE WHEN o_totalprice>=20000 THEN CAST(o_orderstatus='F' AS INT) END),0),6) AS fraction FROM orders GROUP BY 1",
     "parse_timescales": "SELECT doc_id, len(regexp_extract_all(text, 'version\\s+([0-9]+(\\.[0-9]+)?)')) AS n FROM documents WHERE len(regexp_extract_all(text, 'version\\s+([0-9]+(\\.[0-9]+)?)')) > 0",
+    "trajectory_inefficiency": """WITH d AS (SELECT user_id, value-avg(value) OVER (PARTITION BY user_id) d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k, count(*) OVER (PARTITION BY user_id) n FROM events),
+c AS (SELECT a.user_id, a.n, b.k-a.k lag, sum(a.d*b.d)/(a.n-(b.k-a.k)) c FROM d a JOIN d b ON a.user_id=b.user_id AND b.k>=a.k GROUP BY 1,2,3), r AS (SELECT user_id, n, lag, c/max(CASE WHEN lag=0 THEN c END) OVER (PARTITION BY user_id) r FROM c),
+f AS (SELECT *, min(CASE WHEN r<=0 THEN lag END) OVER (PARTITION BY user_id) stop FROM r) SELECT user_id, round(greatest(1,1+2*coalesce(sum(CASE WHEN lag>0 AND lag<coalesce(stop,n) THEN r*(1-lag*1.0/n) END),0)),5) AS g FROM f GROUP BY user_id""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import histogram as h
 from tessera.operators import series as s
+from tessera.streaming.windows import sessions
 from tessera.plans.common import ORDER, SQL_BINNED, events, r6
 
 
@@ -73,8 +74,7 @@ def rescaled_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user with gaps under twelve hours."""
-    grouped = events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
-    return grouped.select("user_id", "n", F.unix_timestamp("first_ts").alias("first_s"))
+    return sessions(events(spark, sf_dir), "ts", "user_id").select("user_id", "n", F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("first_s"))
 
 
 QUERIES = {f.__name__: f for f in (lag_pairs, transition_counts, transition_counts_by_window, top_destinations, destination_statistics, block_average, acf_direct, timescale, subsample, equilibration_trim, first_frame, running_moments, rescaled_lag, session_windows)}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions import transforms as t
+from tessera.operators import moments as mo
+from tessera.operators.fit import MIN_MAX, STANDARDISE
 from tessera.plans.common import events, r6, table, vectors
 
 
@@ -36,15 +38,15 @@ def array_combine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir)
-    box = rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return rows.crossJoin(F.broadcast(box)).select("event_id", r6((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("u"))  # box is one row
+    rows = events(spark, sf_dir).withColumn("x", F.array("value"))
+    return rows.select("event_id", r6(F.get(MIN_MAX.fit(rows, "x", None)(F.col("x")), F.lit(0))).alias("u"))
 
 
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir)
-    m = rows.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return rows.crossJoin(F.broadcast(m)).select("event_id", r6((F.col("value") - F.col("m")) / F.col("s")).alias("z"), r6(F.col("value") - F.col("m")).alias("centred"))  # one row
+    rows = events(spark, sf_dir).withColumn("x", F.array("value"))
+    mean = mo.array_moments(rows, "x")[1]
+    centred = t.shift(*(-mean).tolist())(F.col("x"))
+    return rows.select("event_id", r6(F.get(STANDARDISE.fit(rows, "x", None)(F.col("x")), F.lit(0))).alias("z"), r6(F.get(centred, F.lit(0))).alias("centred"))
 
 
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ doesn't ask for aren't read.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,11 +41,75 @@ class Store:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def append(self, frames: DataFrame, finished: bool = True) -> None:
-        """Adds frames; columns of FRAMES that they lack are null, others are dropped; each trajectory gets a metadata row."""
+    def append(self, frames: DataFrame, finished: bool | None = None) -> None:
+        """Adds frames; columns of FRAMES that they lack are null, others are dropped.
+
+        Each trajectory's size grows by its new rows; its flags stay as they
+        were unless `finished` is given (a new one is finished and valid).
+        """
         whole = frames.select(*[(F.col(f.name) if f.name in frames.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FRAMES])
-        whole.write.mode("append").partitionBy(*KEYS).parquet(self._path("frames"))
-        self.mark(whole.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")).select(*KEYS, "size", F.lit(finished).alias("finished"), F.lit(False).alias("invalid")))
+        batch = f"append={uuid.uuid4().hex}"
+        whole.write.mode("append").partitionBy(*KEYS).parquet(f"{self._path('frames')}/{batch}")
+        new = self.spark.read.parquet(f"{self._path('frames')}/{batch}").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("more"))  # sizes of what was written, without working frames out again
+        if self._there("trajectories"):
+            new = new.join(self.trajectories().withColumnsRenamed({c: f"old_{c}" for c in ("size", "finished", "invalid")}), KEYS, "left")
+        else:
+            new = new.withColumns({"old_size": F.lit(0), "old_finished": F.lit(None).cast("boolean"), "old_invalid": F.lit(None).cast("boolean")})
+        flag = F.lit(finished) if finished is not None else F.coalesce("old_finished", F.lit(True))
+        self.mark(new.select(*KEYS, (F.col("more") + F.coalesce("old_size", F.lit(0))).cast("long").alias("size"), flag.alias("finished"), F.coalesce("old_invalid", F.lit(False)).alias("invalid")))
+
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def add_cv(self, name: str, values: dict, cv_round: int | None = None) -> int:
+        """Registers a feature pipeline's parameters under the next cv_round (or a given one)."""
+        known = self.cvs().agg(F.max("cv_round")).first()[0] if self._there("cvs") else None
+        number = cv_round if cv_round is not None else 0 if known is None else known + 1
+        self._put("cvs", "cv_round int, name string, parameters string", (number, name, json.dumps(values, sort_keys=True)))
+        return number
+
+    def cvs(self) -> DataFrame:
+        return latest(self.spark.read.parquet(self._path("cvs")), ["cv_round"])
+
+    def cv_parameters(self, cv_round: int) -> dict:
+        return json.loads(self.cvs().where(F.col("cv_round") == cv_round).first()["parameters"])
+
+    def add_permanent_bias(self, values: dict) -> None:
+        """Parameters of a wall that holds in all rounds."""
+        self._put("walls", "wall int, parameters string", (0, json.dumps(values, sort_keys=True)))
+
+    def permanent_bias(self) -> dict | None:
+        return json.loads(latest(self.spark.read.parquet(self._path("walls")), ["wall"]).first()["parameters"]) if self._there("walls") else None
+
+    def _put(self, name: str, schema: str, row: tuple) -> None:
+        self.spark.createDataFrame([row], schema).withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path(name))
+
+    def set_round(self, cv_round: int, round_: int, invalid: bool) -> None:
+        """Sets or clears a round's invalid flag."""
+        old = self.rounds().where((F.col("cv_round") == cv_round) & (F.col("round") == round_))
+        old.withColumn("invalid", F.lit(invalid)).withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path("rounds"))
+
+    def counts(self) -> DataFrame:
+        """cv_round, round, trajectories, rows: what each round holds."""
+        return self.trajectories().groupBy("cv_round", "round").agg(F.count(F.lit(1)).alias("trajectories"), F.sum("size").alias("rows"))
+
+    def ids(self, cv_round: int, round_: int) -> list[int]:
+        """Trajectories of a round, rising."""
+        found = self.trajectories().where((F.col("cv_round") == cv_round) & (F.col("round") == round_)).select("traj").orderBy("traj")
+        return [r["traj"] for r in found.collect()]  # a row a trajectory of one round
+
+    def last_row(self, cv_round: int, round_: int, traj: int) -> DataFrame:
+        """The newest frame of a trajectory: where to go on from."""
+        own = self.frames().where((F.col("cv_round") == cv_round) & (F.col("round") == round_) & (F.col("traj") == traj))
+        return own.orderBy(F.desc("row_id")).limit(1)
+
+    def copy_round(self, cv_round: int, cv: Column, more: dict[str, Column] | None = None) -> None:
+        """Round 0 of a new cv_round: the scanned frames with new features; the old ones stay as cv_orig."""
+        frames = self.scan(num=1 << 20, only_finished=False)
+        kept = frames.withColumns({"cv_orig": F.col("cv"), "cv": cv} | (more or {}))
+        renumbered = kept.withColumn("traj", (F.col("round") * F.lit(1 << 16) + F.col("traj")).cast("int"))
+        self.append(renumbered.withColumns({"cv_round": F.lit(cv_round), "round": F.lit(0)}), finished=True)
 
     def mark(self, flags: DataFrame) -> None:
         """Adds versions of trajectories' metadata; the latest version of each counts, so flags are set without rewriting."""
@@ -55,7 +120,7 @@ class Store:
         row.withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path("rounds"))
 
     def frames(self) -> DataFrame:
-        return self.spark.read.schema(FRAMES).parquet(self._path("frames"))
+        return self.spark.read.schema(FRAMES).parquet(self._path("frames")).select(*FRAMES.names)
 
     def trajectories(self) -> DataFrame:
         return latest(self.spark.read.parquet(self._path("trajectories")), KEYS)
@@ -112,12 +177,16 @@ def write_xyz(frames: DataFrame, path: str, symbols: list[str]) -> None:
     frames.select(F.concat_ws("\n", F.lit(str(len(symbols))), F.concat(F.lit("row "), F.col("row_id").cast("string")), F.array_join(atoms, "\n")).alias("value")).write.mode("overwrite").text(path)
 
 
-def save_parameters(path: str, values: dict) -> None:
-    """Parameters of a named pipeline or bias, as JSON; never code."""
-    with open(path, "w") as f:
-        json.dump(values, f, sort_keys=True)
+def in_angstrom(frames: DataFrame, unit: float) -> DataFrame:
+    """Positions and cells in angstrom, for a store whose unit is that many angstroms."""
+    scaled = lambda c: F.transform(c, lambda row: F.transform(row, lambda x: x * unit))
+    return frames.withColumns({c: scaled(F.col(c)) for c in ("positions", "cell")})
+
+
+def save_parameters(spark: SparkSession, path: str, values: dict) -> None:
+    """Parameters of a named pipeline or bias, as JSON in any file system that Spark reaches; never code."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_parameters(path: str, **overrides) -> dict:
-    with open(path) as f:
-        return json.load(f) | overrides
+def load_parameters(spark: SparkSession, path: str, **overrides) -> dict:
+    return json.loads(spark.read.text(path).first()["value"]) | overrides
