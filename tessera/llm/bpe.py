@@ -39,6 +39,10 @@ _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Letters, and marks or nothing, that a blank led: one match of the pattern each. Other units go through the pattern.
 _SIMPLE = re.compile("( [A-Za-zÀ-ÖØ-öø-ƺ]+)([!-&(-/:-@]*)").fullmatch
 
+#: Texts on which a pattern must cut at white space, and units that _SIMPLE may split for it.
+_PROBES = ["one two\nthree", "a, b. (c) d's we'll 12 34x", " lead\ttab x", "é ü 日本 😀 x", "end."]
+_SHORT_PROBES = [" word", " word.", " word!?", " Wörd)", " a-", " abc,.", " x&"]
+
 
 def parse_ranks(lines: bytes) -> dict[bytes, int]:
     """Ranks of a file with a base64 token and its rank on each line."""
@@ -141,9 +145,16 @@ class Codec:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.digits = pa.array([str(r) for r in range(len(tokens))], pa.large_string())
 
+        for text in _PROBES:
+            units = ["".join(p) for p in re.findall(r"((?:^|[\x09-\x0d\x1c-\x20])[\x09-\x0d\x1c-\x20]*)([^\x09-\x0d\x1c-\x20]*)", text)]
+            if [w for u in units for w in self.split(u)] != self.split(text):
+                raise ValueError("the pattern doesn't always cut where white space begins")
+        probes = [p for p in _SHORT_PROBES if _SIMPLE(p)]
+        self.short = all(self.split(p) == [x for x in _SIMPLE(p).groups() if x] for p in probes)
+
     def words(self, unit: bytes) -> list[bytes]:
         """The matches of the pattern in a unit."""
-        if simple := _SIMPLE(text := unit.decode()):
+        if (simple := _SIMPLE(text := unit.decode())) and self.short:
             word, mark = simple.groups()
             return [word.encode(), mark.encode()] if mark else [unit]
         return [w.encode() for w in self.split(text)]
@@ -217,7 +228,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = Fa
     A doc_id that repeats or is null gives a row each time. Other columns are
     not read. An empty table gives an empty result.
 
-    No shuffle: each task replays merges over its own words. The broadcast is
+    The pattern must cut wherever white space begins; that is checked on some
+    texts, and another pattern is an error. No shuffle: each task replays merges over its own words. The broadcast is
     the rank file, whose size doesn't depend on the corpus.
     """
     with open(ranks_path, "rb") as f:

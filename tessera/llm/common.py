@@ -23,6 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _own_dir: list[str] = []
+_roots: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +59,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up() -> int:
+    """Deletes the tables that operators of this session have written to the shared folder; how many folders went.
+
+    For when their results have been written or read: those read from the tables.
+    """
+    gone = 0
+    while _roots:
+        delete(*_roots.pop())
+        gone += 1
+    return gone
+
+
 class Scratch:
-    """Tables in the shared folder: they cut lineage and outlive executors."""
+    """Tables in the shared folder: they cut lineage and outlive executors. clean_up deletes them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.append((spark, self.root))
 
     def keep(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Writes df as Parquet and returns it as read back."""
@@ -72,8 +91,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path) if not by else self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.root}/{name}")
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 60_000) -> Iterator[pa.RecordBatch]:

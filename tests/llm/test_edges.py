@@ -294,3 +294,28 @@ def test_share_of_blocks_that_the_tables_let_be_skipped(capsys):
         print(f"\nblocks scored {scored:.3f}, pairs of runs joined {np.mean(near):.3f}")
     assert 0 < scored <= 1
     assert 0 < np.mean(near) <= 1
+
+
+def test_patterns_that_cut_elsewhere_are_refused():
+    import public_tokenizers as P
+
+    from tessera.llm.bpe import Codec, parse_ranks
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = parse_ranks(f.read())
+    assert Codec(ranks, P.PATTERN).short
+    with pytest.raises(ValueError, match="white space"):
+        Codec(ranks, r"\w+\s*|.")
+    whole = Codec(ranks, r"\s*\S+|\s+")
+    assert not whole.short
+    assert whole.words(b" word.") == [b" word."]
+
+
+def test_written_tables_can_be_deleted(spark, tmp_path):
+    from tessera.llm.common import Scratch, clean_up
+
+    one = Scratch(spark, "gone")
+    one.keep(spark.range(3), "rows")
+    assert clean_up() >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{one.root}/rows")
