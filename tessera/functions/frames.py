@@ -143,6 +143,74 @@ def sinkhorn(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, steps: int = 1000
     return float((plan * cost).sum())
 
 
+def transport(costs_from: np.ndarray, kinds: np.ndarray, references: list[tuple[np.ndarray, np.ndarray]], alpha: float = 0.1) -> np.ndarray:
+    """Entropic transport costs of a frame's feature rows to each reference's, summed over kinds that both hold."""
+    out = []
+    for rows, own in references:
+        shared = np.intersect1d(kinds, own)
+        out.append(sum(sinkhorn(costs_from[kinds == k], rows[own == k], alpha) for k in shared))
+    return np.array(out, float)
+
+
+def bessel_j(order: int, z: np.ndarray) -> np.ndarray:
+    """Bessel functions of whole order: downward recurrence, scaled by 1 = J0 + 2 J2 + 2 J4 + ..."""
+    z = np.asarray(z, float)
+    safe = np.where(np.abs(z) < 1e-12, 1.0, z)
+    start = 2 * ((order + 30 + int(1.5 * np.max(np.abs(safe), initial=0))) // 2)
+    above, now, total, found = np.zeros_like(safe), np.full_like(safe, 1e-280), np.zeros_like(safe), np.zeros_like(safe)
+    for n in range(start, -1, -1):
+        if n == order:
+            found = now.copy()
+        if n % 2 == 0:
+            total += now if n == 0 else 2 * now
+        above, now = now, 2 * n / safe * now - above
+        large = np.abs(now) > 1e200
+        for x in (above, now, total, found):
+            x[large] *= 1e-200
+    return np.where(np.abs(z) < 1e-12, float(order == 0), found / total)
+
+
+def envelope_inefficiency(x: np.ndarray, cut: float = 0.05) -> float:
+    """Statistical inefficiency (1 + e) / (1 - e), where e = exp(-1 / tau) is the decay a row of the autocorrelation's envelope.
+
+    The envelope at a lag is the greatest modulus from there on, so that
+    oscillations count by their peaks; tau comes from a straight line through
+    its logarithm as far as it stays above `cut`, and above the noise.
+    """
+    x = np.asarray(x, float) - np.mean(x)
+    n = len(x)
+    if n < 4 or not x.any():
+        return 1.0
+    acf = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * n)) ** 2)[:n]
+    envelope = np.maximum.accumulate(np.abs(acf / acf[0])[::-1])[::-1]
+    low = envelope < max(cut, 2 / np.sqrt(n))
+    stop = int(np.argmax(low)) if low.any() else n
+    if stop < 2:
+        return 1.0
+    t, weight = np.arange(stop), envelope[:stop]
+    e = np.exp(min(0.0, (weight * t * np.log(weight)).sum() / (weight * t * t).sum()))
+    return float(n if e >= 1 else max(1.0, (1 + e) / (1 - e)))
+
+
+def block_inefficiency(x: np.ndarray) -> float:
+    """Statistical inefficiency from the variances of block means for sizes 1 to n / 10: fitted by b g / (b + g - 1), which tends to g."""
+    x = np.asarray(x, float)
+    n = len(x)
+    sizes = np.arange(1, max(2, n // 10))
+    if n < 20 or x.var() == 0:
+        return 1.0
+    seen = np.array([b * x[: n // b * b].reshape(-1, b).mean(axis=1).var() / x.var() for b in sizes])
+    trials = np.geomspace(1, max(2.0, n / 2), 400)
+    misfit = [((sizes * g / (sizes + g - 1) - seen) ** 2).sum() for g in trials]
+    return float(trials[int(np.argmin(misfit))])
+
+
+def best_start(x: np.ndarray, points: int = 20, rule: Callable[[np.ndarray], float] = envelope_inefficiency) -> int:
+    """The row to start from, of `points` even ones, that leaves most independent rows."""
+    starts = np.linspace(0, len(x), points, endpoint=False).astype(int)
+    return int(starts[int(np.argmax([(len(x) - s) / rule(x[s:]) for s in starts]))])
+
+
 def inefficiency(x: np.ndarray) -> float:
     """Statistical inefficiency of a series: 1 + 2 sum of its autocorrelation up to the first that isn't positive, by FFT."""
     x = np.asarray(x, float) - np.mean(x)
@@ -156,11 +224,12 @@ def inefficiency(x: np.ndarray) -> float:
     return float(max(1.0, 1 + 2 * (acf[1:stop] * (1 - np.arange(1, stop) / n)).sum()))
 
 
-def series_inefficiency(rows: DataFrame, traj: str, order: list[str], column: str) -> DataFrame:
-    """traj, g: each trajectory's statistical inefficiency."""
+def series_inefficiency(rows: DataFrame, traj: str, order: list[str], column: str, rule: Callable[[np.ndarray], float] | None = None) -> DataFrame:
+    """traj, g: each trajectory's statistical inefficiency, by a rule over its series."""
+    rule = rule or inefficiency
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({traj: [group[traj].iloc[0]], "g": [inefficiency(group.sort_values(order)[column].to_numpy())]})
+        return pd.DataFrame({traj: [group[traj].iloc[0]], "g": [rule(group.sort_values(order)[column].to_numpy())]})
 
     kind = rows.schema[traj].dataType.simpleString()
     return rows.select(traj, *order, column).groupBy(traj).applyInPandas(one, f"`{traj}` {kind}, g double")

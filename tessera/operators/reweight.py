@@ -75,7 +75,7 @@ def dham(c_ikl: np.ndarray, u_ik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def row_weights(binned: DataFrame, solved: DataFrame) -> DataFrame:
     """binned with w = p(bin) / n(bin): each bin's probability shared by its rows. solved has bin and p."""
     n = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_bin"))
-    return binned.join(F.broadcast(solved.join(n, "bin").select("bin", (F.col("p") / F.col("n_bin")).alias("w"))), "bin")  # a row a bin
+    return binned.drop("w").join(F.broadcast(solved.join(n, "bin").select("bin", (F.col("p") / F.col("n_bin")).alias("w"))), "bin")  # a row a bin
 
 
 def rescale(weight: Column, energy: Column, factor: float, t: float = 300.0) -> Column:

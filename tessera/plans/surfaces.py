@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bias as b
+from tessera.functions import frames as fr
 from tessera.functions import transforms as t
 from tessera.functions.metric import Axis, Metric
 from tessera.operators import histogram as h
@@ -141,7 +142,26 @@ def lag_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, j, float(c.c00[i, j]), float(c.c01[i, j]), float(c.c11[i, j])) for i in range(2) for j in range(2)], "i int, j int, c00 double, c01 double, c11 double").select("i", "j", *[F.round(k, 5).alias(k) for k in ("c00", "c01", "c11")])
 
 
-QUERIES = {f.__name__: f for f in (fes_spread, masked_bins, drawn_alike, fes_mapped, bias_bounds, boxes, inside_box, nearest_by_energy, grid_bilinear, harmonic_forces, spread_of_bias, gradient_by_inputs, transform_undone, more_activations, angle_features, pair_distance_features, body_polynomials, singular_share, lag_moments)}
+def correlation_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistical inefficiency by the envelope of the autocorrelation and by block means."""
+    rows = events(spark, sf_dir)
+    one = fr.series_inefficiency(rows, "user_id", ORDER, "value", fr.envelope_inefficiency)
+    two = fr.series_inefficiency(rows, "user_id", ORDER, "value", fr.block_inefficiency).withColumnRenamed("g", "by_blocks")
+    return one.join(two, "user_id").withColumnRenamed("g", "by_envelope")
+
+
+def transport_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of each frame of eight points, in two kinds, to two references."""
+    import numpy as np
+
+    kinds = np.arange(8) % 2
+    references = [(np.stack([np.cos(np.arange(8) + k), np.sin(np.arange(8) * (k + 1)), np.zeros(8)], axis=1) / 5, kinds) for k in range(2)]
+    atoms = F.array(*[F.slice("x", 3 * i + 1, 3) for i in range(8)])
+    rows = vectors(spark, sf_dir).select("vec_id", atoms.alias("atoms"))
+    return fr.per_frame(rows, ["atoms"], lambda p: fr.transport(p, kinds, references), "costs", "array<double>").select("vec_id", "costs")
+
+
+QUERIES = {f.__name__: f for f in (fes_spread, masked_bins, drawn_alike, fes_mapped, bias_bounds, boxes, inside_box, nearest_by_energy, grid_bilinear, harmonic_forces, spread_of_bias, gradient_by_inputs, transform_undone, more_activations, angle_features, pair_distance_features, body_polynomials, singular_share, lag_moments, correlation_times, transport_costs)}
 
 _R = [f"sqrt({'+'.join(f'pow(x[{3 * j + k}]-x[{3 * i + k}],2)' for k in (1, 2, 3))})" for i in range(4) for j in range(i + 1, 4)]
 _V = "v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) x FROM embeddings)"

@@ -50,7 +50,7 @@ class Store:
         whole = frames.select(*[(F.col(f.name) if f.name in frames.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FRAMES])
         batch = f"append={uuid.uuid4().hex}"
         whole.write.mode("append").partitionBy(*KEYS).parquet(f"{self._path('frames')}/{batch}")
-        new = self.spark.read.parquet(f"{self._path('frames')}/{batch}").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("more"))  # sizes of what was written, without working frames out again
+        new = self.spark.read.schema(FRAMES).parquet(f"{self._path('frames')}/{batch}").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("more"))  # sizes of what was written, without working frames out again
         if self._there("trajectories"):
             new = new.join(self.trajectories().withColumnsRenamed({c: f"old_{c}" for c in ("size", "finished", "invalid")}), KEYS, "left")
         else:

@@ -320,3 +320,79 @@ def test_store_keeps_sizes_flags_and_parameters(spark, tmp_path):
     assert load_parameters(spark, f"file://{tmp_path}/p", y=5) == {"x": 1, "y": 5}
     one = spark.createDataFrame([([[1.0, 2.0, 3.0]], [[1.0, 0.0, 0.0]])], "positions array<array<double>>, cell array<array<double>>")
     assert in_angstrom(one, 2.0).first()["positions"] == [[2.0, 4.0, 6.0]]
+
+
+def test_correlation_times(spark, events):
+    from tessera.functions import frames as fr
+
+    got = run(spark, "correlation_times").set_index("user_id")
+    for user, rows in list(events.groupby("user_id"))[:5]:
+        assert got.loc[user, "by_envelope"] == pytest.approx(fr.envelope_inefficiency(rows["value"].to_numpy()))
+        assert got.loc[user, "by_blocks"] == pytest.approx(fr.block_inefficiency(rows["value"].to_numpy()))
+    rng = np.random.default_rng(5)
+    for a in (0.5, 0.8):  # (1 + a) / (1 - a) for a first-order series
+        x = [0.0]
+        for _ in range(20_000):
+            x.append(a * x[-1] + rng.normal())
+        for rule in (fr.inefficiency, fr.envelope_inefficiency, fr.block_inefficiency):
+            assert rule(np.array(x)) == pytest.approx((1 + a) / (1 - a), rel=0.25)
+    shifted = np.concatenate([np.linspace(50, 0, 2000), rng.normal(size=8000)])
+    assert 1000 <= fr.best_start(shifted) <= 4000
+
+
+def test_transport_costs(spark, vectors):
+    kinds = np.arange(8) % 2
+    got = run(spark, "transport_costs").sort_values("vec_id")
+    for x, costs in list(zip(vectors[1], got["costs"], strict=True))[:10]:
+        p = x[:24].reshape(8, 3)
+        for k in range(2):
+            q = np.stack([np.cos(np.arange(8) + k), np.sin(np.arange(8) * (k + 1)), np.zeros(8)], axis=1) / 5
+            total = 0.0
+            for kind in (0, 1):
+                c = ((p[kinds == kind][:, None] - q[kinds == kind][None]) ** 2).sum(-1)
+                m, u, v = np.exp(-c / 0.1), np.ones(4), np.ones(4)
+                for _ in range(5000):
+                    u = 0.25 / (m @ v)
+                    v = 0.25 / (m.T @ u)
+                total += (u[:, None] * m * v * c).sum()
+            assert costs[k] == pytest.approx(total, rel=1e-5)
+
+
+def test_bessel_functions_of_whole_order():
+    from tessera.functions.frames import bessel_j
+
+    z, angle = np.array([0.0, 0.3, 2.0, 7.5, 40.0]), (np.arange(20_000) + 0.5) * math.pi / 20_000
+    for order in range(5):
+        expected = [np.cos(order * angle - x * np.sin(angle)).mean() for x in z]
+        assert np.allclose(bessel_j(order, z), expected, atol=1e-9)
+
+
+def test_study(spark, tmp_path):
+    from tessera.operators.fit import whitened
+    from tessera.plans.study import Study
+    from tessera.sources.store import Store
+
+    store, rng = Store(spark, f"file://{tmp_path}/study"), np.random.default_rng(6)
+
+    def add(k):
+        store.add_round({"cv_round": 0, "round": k})
+        x = rng.normal(size=(1500, 2))
+        store.append(spark.createDataFrame([(0, k, i % 3, i, [float(v) for v in r]) for i, r in enumerate(x)], "cv_round int, round int, traj int, row_id long, cv array<double>"))
+
+    add(0)
+    study = Study(store, Metric((Axis(-5.0, 5.0),)), edges=15)
+    surface = study.free_energy()
+    found = surface.orderBy("bin").toPandas()
+    middle = study.midpoints()[found["bin"]]
+    plain = h.BOLTZMANN * 300 * middle**2 / 2
+    good = np.abs(middle) < 1.5
+    assert np.allclose((found["f"] - plain)[good] - np.mean((found["f"] - plain)[good]), 0, atol=0.7)
+    bias = study.flattening(surface)
+    assert np.corrcoef(bias(middle[good]), -found["f"][good])[0, 1] > 0.95
+    seen = study.until_agreed(lambda k, f: add(k + 1), most=3, agreed=5.0)
+    assert len(seen) == 1
+    assert study.start_frames(None, 1.0, ["traj"]).count() == 3
+    study.update_features(whitened(), 1, "white")
+    new = np.stack(store.frames().where("cv_round = 1").toPandas()["cv"])
+    assert np.allclose(np.cov(new.T), np.eye(2), atol=0.1)
+    assert store.cv_parameters(1) == {"lag": 1}
