@@ -229,6 +229,21 @@ def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str], some: Step |
 HUBS, FEW = 500, 200
 
 
+def join_counts(rows: DataFrame, key: str, counts: DataFrame, n: str, total: int) -> DataFrame:
+    """rows with the columns of counts, of which each key has a row with the number n of its rows.
+
+    Keys with over one part in HUBS of all rows, of which there are HUBS at
+    most, get theirs by broadcast, so that their rows stay where they are;
+    others by a sort-merge join.
+    """
+    hubs = counts.where((F.col(n) > FEW) & (F.col(n) * HUBS > total)).collect() if total > FEW else []
+    if not hubs:
+        return rows.hint("merge").join(counts, key)
+    hot = F.col(key).isin([r[key] for r in hubs])
+    known = F.broadcast(rows.sparkSession.createDataFrame(hubs, counts.schema))
+    return rows.where(~hot).hint("merge").join(counts, key).unionByName(rows.where(hot).join(known, key))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component: the least node that each node of edges(a, b) reaches.
 
@@ -262,7 +277,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state, k = tuple(now.agg(*mark).first()), 0
     while state[0]:
         k += 1
-        found = ends(now).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("n") > FEW) & (F.col("n") * HUBS > state[0])).collect()
+        found = [] if state[0] <= FEW else ends(now).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("n") > FEW) & (F.col("n") * HUBS > state[0])).collect()
         large = star(ends(now), False, [(r["a"], min(r["a"], r["m"])) for r in found])
         new = scratch.keep(star(large, True, []), f"edges{k}")
         scratch.drop(f"edges{k - 1}")

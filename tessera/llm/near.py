@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, Tokens, chain, components, forest, fresh, join_hash, marked_rows, mix, slices
+from tessera.llm.common import Scratch, Tokens, chain, components, forest, fresh, join_counts, join_hash, marked_rows, mix, slices
 
 #: Coordinates of a signature, chance to lose a link, nodes of a list that one task compares at once.
 COORDINATES, MISS, LIST = 64, 1e-9, 1024
@@ -168,7 +168,9 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     spark = docs.sparkSession
     posted = nodes.select("node", F.posexplode("prefix").alias("c", "v")).select("node", (F.col("c").cast("long") * 2**32 + F.col("v").cast("long") + 2**31).alias("list"))
     counts = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posted = scratch.keep(posted.hint("merge").join(counts, "list").withColumn("weight", F.lit(1)), "posted")
+    counts = scratch.keep(counts, "counts")
+    total = counts.agg(F.sum("size")).first()[0] or 0
+    posted = scratch.keep(join_counts(posted, "list", counts, "size", total).withColumn("weight", F.lit(1)), "posted")
     signed = nodes.select("node", "prefix", "rest")
 
     def meet(entries: DataFrame) -> DataFrame:
@@ -185,8 +187,9 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     weight = F.ceil(F.col("n") / HEAVY).cast("int").alias("weight")
     members = scratch.keep(units.select("node", F.col("component").alias("group")).join(nodes.select("node", "doc", weight), "node"), "units")
     sets = fetch_sets(docs, members, words, scratch, "sets")
-    sizes = members.groupBy("group").agg(F.sum("weight").alias("size"))
-    members = scratch.keep(members.hint("merge").join(sizes, "group"), "sized")
+    sizes = scratch.keep(members.groupBy("group").agg(F.sum("weight").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    members = scratch.keep(join_counts(members, "group", sizes, "size", total), "sized")
 
     def confirm(entries: DataFrame) -> DataFrame:
         full = entries.hint("merge").join(members.select("node", "doc"), "node").join(sets, ["node", "doc"]).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
@@ -205,7 +208,8 @@ def labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     own = entries.join(label, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     per = own.groupBy("group", "own").agg(F.sum("weight").alias("k"))
     mixed = per.groupBy("group").agg(F.count(F.lit(1)).alias("owns"), F.max_by("own", F.struct("k", "own")).alias("most"), F.sum("k").alias("size"), F.max("k").alias("top")).where("owns > 1")
-    return own.hint("merge").join(mixed, "group").select("group", "node", "own", "size", (F.col("own") != F.col("most")).alias("minor"), (F.col("size") - F.col("top")).alias("minors"))
+    total = per.agg(F.sum("k")).first()[0] or 0
+    return join_counts(own, "group", mixed, "size", total).select("group", "node", "own", "size", (F.col("own") != F.col("most")).alias("minor"), (F.col("size") - F.col("top")).alias("minors"))
 
 
 def tiles(entries: DataFrame, rows: int) -> DataFrame:
