@@ -225,8 +225,8 @@ def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str], some: Step |
     return run(True, some), run(False, rest)
 
 
-#: A node with over one part in HUBS of all edges, and with more than FEW, is a hub.
-HUBS, FEW = 500, 200
+#: A key with over one part in HUBS of all rows is hot, unless it has no more than FEW, which hold no task up.
+HUBS, FEW = 500, 10_000
 
 
 def join_counts(rows: DataFrame, key: str, counts: DataFrame, n: str, total: int) -> DataFrame:

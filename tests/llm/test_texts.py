@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import lm, near, repeats
+from tessera.llm import common, lm, near, repeats
 
 SF = "/root/testdata/sf0.001"
 ODD = [(10**7, None), (10**7 + 1, ""), (10**7 + 2, "a b"), (10**7 + 3, "A  b"), (10**7 + 4, "word"), (None, "a b"), (10**7 + 5, "same row twice"), (10**7 + 5, "same row twice"), (10**7 + 6, " \t\n ")]
@@ -103,6 +103,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, words, least, smal
     if small:  # lists and units are cut into tiles
         monkeypatch.setattr(near, "LIST", 5)
         monkeypatch.setattr(near, "UNIT", 5)
+        monkeypatch.setattr(common, "FEW", 2)  # hot lists, units and nodes
     full = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
     got = near.near_duplicates(full, words, least).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == brute_components(rows + copies, words, least)
