@@ -89,7 +89,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
   AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda e: e IS NULL OR NOT isfinite(e))) = 0)"""
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 SQL = {
+    "op2_suffix_radix": """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) s FROM h, LATERAL (SELECT unnest(range(len(h) // 2 - 49)) i)),
+f AS (SELECT s, min(doc_id) least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) before FROM w JOIN f USING (s) WHERE doc_id > least),
+t AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM g),
+u AS (SELECT doc_id, k, min(i) a, max(i) + 50 b FROM t GROUP BY 1, 2),
+v AS (SELECT doc_id, sum(b - a) n, count(*) k, list(a ORDER BY a) starts, list(b ORDER BY a) ends FROM u GROUP BY 1),
+o AS (SELECT h.doc_id, h, coalesce(n, 0) n, coalesce(k, 0) k, list_concat([0], coalesce(ends, [])) x, list_concat(coalesce(starts, []), [len(h) // 2]) y FROM h LEFT JOIN v USING (doc_id))
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS n_removed, CAST(k AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(x, lambda p, j: substr(h, 2 * p + 1, 2 * (y[j] - p))), ''))) AS kept_sha256 FROM o""",
+    "op5_minhash_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id node, doc_id reach FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+m AS (SELECT node, min(reach) m FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept FROM documents d JOIN m ON d.doc_id = node LEFT JOIN n ON d.doc_id = n.doc_id""",
     "op3_block_top_k": f"""WITH {_VECTORS}, w AS (SELECT vec_id, list_transform(x, lambda e: floor(1024 * e)) x FROM v),
 s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) score FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
