@@ -78,22 +78,40 @@ def round_bias(scale: Column, shared: Column, own: Column | None) -> Column:
     return total([scale * shared, own])
 
 
+#: Centres that are gathered in one array; more are summed block by block.
+CENTRES = 4096
+
+
+def over_centres(points: DataFrame, centres: DataFrame, fields: list[str], term: Callable[[Column], Column], name: str, start: float = 0.0) -> DataFrame:
+    """points with the sum of a term over all centres, and a start.
+
+    Up to CENTRES of them go to every row as one array. More are cut into
+    blocks of about as many: each row meets every block, and its sums are
+    added up.
+    """
+    n = centres.count()
+    packed = centres.withColumn("centre_block", F.pmod(F.xxhash64(*fields), F.lit(max(1, -(-n // CENTRES))))).groupBy("centre_block").agg(F.collect_list(F.struct(*fields)).alias("centre_rows")).drop("centre_block")
+    value = lambda first: F.aggregate(F.transform("centre_rows", term), F.lit(first), lambda acc, v: acc + v)
+    if n <= CENTRES:
+        packed = centres.agg(F.collect_list(F.struct(*fields)).alias("centre_rows"))
+        return points.crossJoin(F.broadcast(packed)).withColumn(name, value(start)).drop("centre_rows")  # one row of CENTRES at most
+    rows = points.withColumn("centre_row", F.monotonically_increasing_id()).withColumn("centre_point", F.struct(*points.columns))
+    sums = rows.select("centre_row", "centre_point", *points.columns).crossJoin(packed).withColumn("centre_sum", value(0.0))
+    return sums.groupBy("centre_row").agg(F.first("centre_point").alias("p"), (F.sum("centre_sum") + start).alias(name)).select("p.*", name)
+
+
 def hills(points: DataFrame, centres: DataFrame, metric: Metric, dims: int, sigma: list[float]) -> DataFrame:
     """points with `bias`: the sum over centres of height * exp(-sum d^2 / (2 sigma^2)).
 
-    points has id and x0, x1, ...; centres c0, c1, ... and height. The sum
-    over centres runs inside each row: centres are gathered into one array,
-    which is as long as the table of hills.
+    points has id and x0, x1, ...; centres c0, c1, ... and height.
     """
-    packed = centres.agg(F.collect_list(F.struct(*[f"c{k}" for k in range(dims)], "height")).alias("hills"))
 
     def one(h: Column) -> Column:
         d = metric.difference([h[f"c{k}"] for k in range(dims)], [F.col(f"x{k}") for k in range(dims)])
         e = reduce(lambda a, b: a + b, [v * v / F.lit(2 * s * s) for v, s in zip(d, sigma, strict=True)])
         return h["height"] * F.exp(-e)
 
-    value = F.aggregate(F.transform("hills", one), F.lit(0.0), lambda acc, v: acc + v)
-    return points.crossJoin(packed).withColumn("bias", value).drop("hills")  # packed is one row
+    return over_centres(points, centres, [*[f"c{k}" for k in range(dims)], "height"], one, "bias")
 
 
 #: Radial kernels of a scaled distance.
@@ -114,7 +132,6 @@ def rbf_evaluate(points: DataFrame, centres: DataFrame, metric: Metric, dims: in
 
     Distances are in units of the box; a periodic axis counts by its chord.
     """
-    packed = centres.agg(F.collect_list(F.struct(*[f"c{k}" for k in range(dims)], "coefficient")).alias("centres"))
     two_pi = 6.283185307179586
 
     def one(c: Column) -> Column:
@@ -128,8 +145,7 @@ def rbf_evaluate(points: DataFrame, centres: DataFrame, metric: Metric, dims: in
         r = F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts])) * F.lit(epsilon)
         return c["coefficient"] * KERNELS[kernel](r)
 
-    value = F.aggregate(F.transform("centres", one), F.lit(offset), lambda acc, v: acc + v)
-    return points.crossJoin(packed).withColumn("value", value).drop("centres")  # packed is one row
+    return over_centres(points, centres, [*[f"c{k}" for k in range(dims)], "coefficient"], one, "value", offset)
 
 
 def grid_lookup(points: DataFrame, grid: DataFrame, lo: float, step: float, n: int) -> DataFrame:

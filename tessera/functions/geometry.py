@@ -111,5 +111,18 @@ def coordination(r: Column, r0: float, n: int = 6, m: int = 12) -> Column:
     """(1 - (r/r0)^n) / (1 - (r/r0)^m), by its expansion close to 1."""
     x = r / F.lit(r0)
     e = x - 1
-    near = F.lit(n / m) * (1 + F.lit((n - m) / 2) * e)
+    second = (n - 1) * (n - 2) / 6 - (m - 1) * (m - 2) / 6 - (m - 1) * (n - m) / 4
+    near = F.lit(n / m) * (1 + F.lit((n - m) / 2) * e + F.lit(second) * e * e)
     return F.when(F.abs(e) < 1e-3, near).otherwise((1 - F.pow(x, F.lit(float(n)))) / (1 - F.pow(x, F.lit(float(m)))))
+
+
+def coordination_between(positions: Column, cell: Column | None, one: list[int], two: list[int], r0: float, n: int = 6, m: int = 12) -> Column:
+    """The sum of coordination over all pairs of a point of one group and another of the second, by the nearest image in a cell."""
+    at_ = lambda k: at(positions, k)
+    r = lambda i, j: distance(at_(i), at_(j)) if cell is None else min_distance(at_(i), at_(j), cell)
+    total = F.lit(0.0)
+    for i in one:
+        for j in two:
+            if i != j:
+                total = total + coordination(r(i, j), r0, n, m)
+    return total

@@ -180,6 +180,12 @@ def angular_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("frame", *[r6(g.at(F.col("momentum"), k)).alias(f"l{k}") for k in range(3)])
 
 
+def group_coordination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordination of the even points by the odd ones, without a cell."""
+    found = g.coordination_between(F.col("positions"), None, [0, 2, 4], [1, 3, 5], 1.0)
+    return frames(spark, sf_dir).select("vec_id", F.round(found, 5).alias("cn"))
+
+
 def stacked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three parts stacked and taken apart again."""
     rows = events(spark, sf_dir).select("event_id", "user_id", "value")
@@ -225,7 +231,7 @@ def finite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ro.not_finite(rows, ["x"]).withColumnRenamed("x", "bad").crossJoin(good)  # one row each
 
 
-QUERIES = {f.__name__: f for f in (neighbour_cells, neighbour_kinds, neighbour_kinds_of_both, neighbour_vectors, neighbour_pair_kinds, neighbour_pairs, neighbours_stale, neighbours_within, kinds_held, bessel_power, soap_power, spectrum_length, pair_powers, kind_spread, pooled_layers, wrap_steps, cell_turned, canonical_replayed, gram_invariants, displaced_distances, permuted_points, drift_removed, inertia_tensor, angular_momentum, stacked_parts, gathered_rows, column_replaced, folded_moments, finite_rows)}
+QUERIES = {f.__name__: f for f in (neighbour_cells, neighbour_kinds, neighbour_kinds_of_both, neighbour_vectors, neighbour_pair_kinds, neighbour_pairs, neighbours_stale, neighbours_within, kinds_held, bessel_power, soap_power, spectrum_length, pair_powers, kind_spread, pooled_layers, wrap_steps, cell_turned, canonical_replayed, gram_invariants, displaced_distances, permuted_points, drift_removed, inertia_tensor, angular_momentum, group_coordination, stacked_parts, gathered_rows, column_replaced, folded_moments, finite_rows)}
 
 _C = "c AS (SELECT vec_id f, embedding e, 2+vec_id%3*0.25 a, 1.5+vec_id%2*0.5 z3 FROM embeddings)"
 _A = f"{_C}, a AS (SELECT f, i, i%2 kind, CAST(e[3*i+1] AS DOUBLE)*4 x, CAST(e[3*i+2] AS DOUBLE)*4 y, CAST(e[3*i+3] AS DOUBLE)*4 z, a, z3, CAST(e[3*i+19] AS DOUBLE) vx, CAST(e[3*i+20] AS DOUBLE) vy, CAST(e[3*i+21] AS DOUBLE) vz, i+1.0 m FROM c CROSS JOIN range(6) t(i))"
@@ -301,6 +307,7 @@ SELECT f AS vec_id, round(g00+g11+g22,6) AS trace, round(g00*g00+g11*g11+g22*g22
     "drift_removed": f"WITH {_A} SELECT f AS frame, CAST(i AS INT) AS i, " + ", ".join(f"round(v{x}-sum(m*v{x}) OVER (PARTITION BY f)/sum(m) OVER (PARTITION BY f),6) AS v{k}" for k, x in enumerate("xyz")) + " FROM a",
     "inertia_tensor": f"WITH {_A} SELECT f AS frame, " + ", ".join(f"round(sum(m*({'x*x+y*y+z*z' if i == j else '0'}-{'xyz'[i]}*{'xyz'[j]})),6) AS i{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM a GROUP BY 1",
     "angular_momentum": f"WITH {_A} SELECT f AS frame, round(sum(m*(y*vz-z*vy)),6) AS l0, round(sum(m*(z*vx-x*vz)),6) AS l1, round(sum(m*(x*vy-y*vx)),6) AS l2 FROM a GROUP BY 1",
+    "group_coordination": f"WITH {_A}, r AS (SELECT p.f, sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2)) r FROM a p JOIN a q ON p.f=q.f AND p.kind=0 AND q.kind=1) SELECT f AS vec_id, round(sum(1/(1+pow(r,6))),5) AS cn FROM r GROUP BY 1",
     "stacked_parts": "SELECT CAST(2-user_id%3 AS INT) AS back, count(*) AS n, round(sum(value),4) AS value FROM events GROUP BY 1",
     "gathered_rows": "SELECT w.event_id AS place, e.event_id, round(e.value,6) AS value FROM events w JOIN events e ON e.event_id=w.event_id%50 WHERE w.value>100",
     "column_replaced": "SELECT event_id, CASE WHEN user_id%7>0 THEN round(avg(value) OVER (PARTITION BY user_id),6) END AS value FROM events",

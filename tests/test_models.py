@@ -396,3 +396,38 @@ def test_study(spark, tmp_path):
     new = np.stack(store.frames().where("cv_round = 1").toPandas()["cv"])
     assert np.allclose(np.cov(new.T), np.eye(2), atol=0.1)
     assert store.cv_parameters(1) == {"lag": 1}
+
+
+def test_many_centres_are_summed_by_blocks(spark, monkeypatch):
+    points = spark.range(50).select("id", (F.col("id") * 9.0).alias("x0"))
+    centres = spark.range(40).select((F.col("id") * 12.0).alias("c0"), (F.col("id") % 3 + 1.0).alias("height"))
+    metric = Metric((Axis(0.0, 500.0, periodic=True),))
+
+    def found():
+        return {r["id"]: r["bias"] for r in b.hills(points, centres, metric, 1, [40.0]).collect()}
+
+    whole = found()
+    monkeypatch.setattr(b, "CENTRES", 7)
+    assert found() == pytest.approx(whole)
+
+
+def test_text_files(spark, tmp_path):
+    from tessera.sources.store import timescales_in_logs, write_xyz
+
+    frames = spark.createDataFrame([(0, [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]), (1, [[1.0, 1.0, 1.0], [2.0, 2.0, 2.0]])], "row_id long, positions array<array<double>>").coalesce(1)
+    write_xyz(frames, f"file://{tmp_path}/xyz", ["C", "H"])
+    lines = [r["value"] for r in spark.read.text(f"file://{tmp_path}/xyz").collect()]
+    assert lines == ["2", "row 0", "C 0.00000000 1.00000000 2.00000000", "H 3.00000000 4.00000000 5.00000000", "2", "row 1", "C 1.00000000 1.00000000 1.00000000", "H 2.00000000 2.00000000 2.00000000"]
+    (tmp_path / "log.txt").write_text("start\ntimescales: [1.5 2e2 3] ns\nend\n")
+    assert [r["timescales"] for r in timescales_in_logs(spark, f"file://{tmp_path}/log.txt").collect()] == [[1.5, 200.0, 3.0]]
+
+
+def test_every_step_of_a_stream_goes_to_the_sink(spark, tmp_path):
+    from tessera.streaming.windows import read_events, save_every
+
+    spark.range(20).withColumnRenamed("id", "row_id").write.parquet(f"file://{tmp_path}/in")
+    taken = []
+    query = save_every(read_events(spark, f"file://{tmp_path}/in"), 5, "row_id", lambda df, epoch: taken.extend(r["row_id"] for r in df.collect()), f"file://{tmp_path}/at")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(taken) == [0, 5, 10, 15]
