@@ -30,7 +30,7 @@ from tessera.llm.common import as_bytes, slices, text_bytes
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Units that a Python worker remembers before it starts anew, and the text bytes whose new units are learnt at once.
-UNITS_KEPT, LEARN_BYTES = 400_000, 12 << 20
+UNITS_KEPT, LEARN_BYTES = 300_000, 6 << 20
 _NONE = np.int64(1 << 40)
 #: White space of one byte, and bytes that other white space starts with.
 _BLANK, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
