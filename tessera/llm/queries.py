@@ -82,13 +82,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document, half of them tampered with."""
+    from tessera.llm.merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe, op11_merkle_manifest)}
 
 
 _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
   AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda e: e IS NULL OR NOT isfinite(e))) = 0)"""
 
+
+def _leaf(text: str) -> str:
+    """SQL for a document's leaf with this column as its text."""
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 SQL = {
@@ -138,6 +151,23 @@ FROM b JOIN q ON b.i = q.i AND q.turn = block % parts CROSS JOIN e""",
 r AS (SELECT vec_id node, vec_id reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
 n AS (SELECT a, count(*) n FROM l GROUP BY a), m AS (SELECT node, min(reach) m FROM r GROUP BY node)
 SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN m ON vec_id = node LEFT JOIN n ON vec_id = a""",
+    "op11_merkle_manifest": f"""WITH RECURSIVE s8 AS (SELECT i k, i c, 0 t FROM range(256) x(i) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, t + 1 FROM s8 WHERE t < 8),
+ct AS (SELECT list(CAST(c AS BIGINT) ORDER BY k) tab FROM s8 WHERE t = 8),
+d0 AS (SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a >> 8, tab[1 + CAST(xor(a, c) & 255 AS INT)])) crc FROM documents, ct),
+d1 AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END other FROM d0),
+d AS (SELECT doc_id, source, {_leaf("text")} leaf, {_leaf("other")} checked FROM d1),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, checked) - 1 i, count(*) OVER (PARTITION BY source) n, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 g FROM d),
+a AS (SELECT g, 0 l, i, n, leaf h FROM r UNION ALL SELECT g, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY g, l, n, i // 3),
+u AS (SELECT g, l top, h subroot FROM a WHERE n = 1),
+b AS (SELECT 0 l, g i, count(*) OVER () n, subroot h FROM u UNION ALL SELECT l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY l, n, i // 3),
+x AS (SELECT g, l, i, h FROM a WHERE n > 1),
+w AS (SELECT x.g, x.l, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') lo, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') hi FROM x JOIN x y ON y.g = x.g AND y.l = x.l AND y.i // 3 = x.i // 3 GROUP BY 1, 2, 3),
+v AS (SELECT x.l, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') lo, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') hi FROM b x JOIN b y ON y.l = x.l AND y.i // 3 = x.i // 3 WHERE x.n > 1 GROUP BY 1, 2),
+f AS (SELECT r.g, r.i, r.i node, 0 l, doc_id, leaf, checked h, '' p FROM r UNION ALL
+  SELECT f.g, f.i, CAST(node // 3 AS BIGINT), f.l + 1, doc_id, leaf, sha256(w.lo || f.h || w.hi), p || w.lo || w.hi FROM f JOIN w ON w.g = f.g AND w.l = f.l AND w.i = f.node),
+e AS (SELECT f.g, f.i, f.g node, 0 l, doc_id, leaf, f.h, p, subroot FROM f JOIN u ON u.g = f.g AND u.top = f.l UNION ALL
+  SELECT e.g, e.i, CAST(node // 3 AS BIGINT), e.l + 1, doc_id, leaf, sha256(v.lo || e.h || v.hi), p || v.lo || v.hi, subroot FROM e JOIN v ON v.l = e.l AND v.i = e.node)
+SELECT doc_id, leaf, subroot, b.h AS root, sha256(p) AS proof_sha256, e.h AS folded_root, e.h = b.h AS verified FROM e JOIN b ON b.n = 1 AND e.l = b.l""",
 }
 
 
