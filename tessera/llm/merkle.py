@@ -52,7 +52,7 @@ class Engine:
         steps = " ".join(f"WHEN n <= {FANOUT**k} THEN {k}" for k in range(self.levels))
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE buckets AS SELECT *, CASE {steps} ELSE {self.levels} END AS height FROM buckets_in")
         self.con.execute("CREATE OR REPLACE TEMP TABLE l0 AS SELECT b, i, height, h FROM nodes_in JOIN buckets USING (b)")
-        return self.con.execute("SELECT max(height) FROM buckets").fetchone()[0]
+        return self.con.execute("SELECT max(height) FROM buckets").fetchall()[0][0]
 
     def climb(self, top: int) -> None:
         for k in range(top):
@@ -89,7 +89,7 @@ class Engine:
         self.con.execute("CREATE OR REPLACE TEMP TABLE f AS SELECT b, i, i AS at, checked AS h FROM nodes_in")
         for k in range(top):
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE f AS SELECT f.b, f.i, f.at // {FANOUT} AS at, CASE WHEN s.b IS NULL THEN f.h ELSE sha256(s.lo || f.h || s.hi) END AS h FROM f LEFT JOIN s{k} s ON s.b = f.b AND s.i = f.at")
-        for k in range(1, 1 + self.con.execute("SELECT coalesce(max(len(lefts)), 0) FROM buckets").fetchone()[0]):
+        for k in range(1, 1 + self.con.execute("SELECT coalesce(max(len(lefts)), 0) FROM buckets").fetchall()[0][0]):
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE f AS SELECT f.b, f.i, CASE WHEN len(lefts) < {k} THEN f.h ELSE sha256(lefts[{k}] || f.h || rights[{k}]) END AS h FROM f JOIN buckets USING (b)")
         return self.con.sql(f"SELECT doc_id, g, bucket * {self.width} + i AS rank, n, x.h AS leaf, subroot, proof, f.h AS folded_root FROM nodes_in x JOIN p USING (b, i) JOIN f USING (b, i) JOIN buckets USING (b)").to_arrow_table()
 
