@@ -89,8 +89,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of a byte-level BPE and a sentencepiece model, for every document."""
+    import public_tokenizers
+
+    from tessera.llm.align import align
+
+    found = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe, op11_merkle_manifest, op13_token_alignment)}
 
 
 _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL

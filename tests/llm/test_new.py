@@ -94,3 +94,85 @@ def test_many_sources_share_a_tree(spark):
     rows = [(k, f"s{k % 400}" if k % 3 else "hot", "en", k, f"t{k}\n") for k in range(2000)]
     got = sorted(map(tuple, audit(spark.createDataFrame(rows, DOC), 2).collect()))
     assert got == sorted(plain_manifest(rows))
+
+
+def plain_alignment(rows, a_path, b_path):
+    """The rule word by word: whole texts by the libraries, sets of ends, counters."""
+    import json
+
+    import sentencepiece
+    import tokenizers
+
+    a = tokenizers.Tokenizer.from_file(a_path)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    entries = {i: t for t, i in json.load(open(a_path))["model"]["vocab"].items()}
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(x): x for x in visible} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in visible)}
+
+    def a_bytes(i):
+        return bytes(back[c] for c in entries[i])
+
+    def b_bytes(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
+
+    done, count = [], Counter()
+    for doc_id, text in rows:
+        groups = []
+        if text:
+            both = [(a.encode(" " + text, add_special_tokens=False).ids, a_bytes), (b.encode(text), b_bytes)]
+            if all(b"".join(map(f, ids)) == (" " + text).encode() for ids, f in both):
+                ends = []
+                for ids, f in both:
+                    at, n = {}, 0
+                    for i in ids:
+                        n += len(f(i))
+                        at[n] = i
+                    ends.append(at)
+                bounds = sorted(ends[0].keys() & ends[1].keys())
+                for lo, hi in zip([0, *bounds[:-1]], bounds, strict=True):
+                    groups.append(tuple([i for e, i in side.items() if lo < e <= hi] for side in ends)) if len(bounds) < 300 else groups.append((lo, hi))
+                if len(bounds) >= 300:  # the same by one walk
+                    walks = [iter(side.items()) for side in ends]
+                    groups = []
+                    for hi in bounds:
+                        sides = []
+                        for w in walks:
+                            side = []
+                            for e, i in w:
+                                side.append(i)
+                                if e == hi:
+                                    break
+                            sides.append(side)
+                        groups.append(tuple(sides))
+        links = [(x[-1], y[-1]) for x, y in groups]
+        count.update(links)
+        done.append((doc_id, groups, links))
+    best = defaultdict(int)
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    for doc_id, groups, links in done:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        yield (doc_id, sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(links), sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links), digest(text) if text else "")
+
+
+def test_alignment_equals_plain_version(spark, docs):
+    import random
+
+    import public_tokenizers as P
+
+    from tessera.llm.align import align
+
+    paths = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    rng = random.Random(5)
+    more = ["".join(rng.choice(list("abtheron  \n\t.,'é12　 ") + ["日本", "😀", "▁", "ﬁ", "\x00", "é", " the ", "<s>", "</s>", "<|endoftext|>", "<0x0A>"]) for _ in range(120)) for _ in range(150)]
+    more += [" ", "  ", "a ", "a  ", "\n", "▁", "x▁y", "a" * 5000, "don't we'll", " lead", "​ x", "١٢٣ ٤"]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(2 * 10**7 + k, t) for k, t in enumerate(more)], "doc_id long, text string")).repartition(3)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    got = [tuple(r) for r in align(frame.withColumn("pairs", F.lit(1)), *paths).select(names).collect()]
+    want = list(plain_alignment([tuple(r) for r in frame.collect()], *paths))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    texts = align(frame, *paths, groups=True).where("groups_sha256 <> ''").select("groups", "groups_sha256").collect()
+    assert texts and all(digest(r["groups"]) == r["groups_sha256"] for r in texts)
+    assert align(frame.limit(0), *paths).count() == 0
