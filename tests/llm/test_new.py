@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,65 @@ def test_alignment_equals_plain_version(spark, docs):
     texts = align(frame, *paths, groups=True).where("groups_sha256 <> ''").select("groups", "groups_sha256").collect()
     assert texts and all(digest(r["groups"]) == r["groups_sha256"] for r in texts)
     assert align(frame.limit(0), *paths).count() == 0
+
+
+#: What stands around an article: by element, by class, by link density, and by being the same in all pages.
+SHELLS = {
+    "elements": "<!doctype html><html><head><title>{t} | Site</title><style>p{{}}</style><script>var a = '</p><p>no';</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=/{k}>menu {k}</a><li><a>more</a></ul></nav><!-- <p>no</p> --><main><aside>aside {k}</aside><article>{a}<footer>by line {k}</footer></article><form><p>mail {k}</p></form></main><section><article class='comment'><p>a reader says {k}</p></article></section><footer>&copy; {k}</footer>",
+    "classes": "<html><body class='has-sidebar'><div id=top-banner><p>buy {k}</p></div><div class='cookie-notice'>we bake {k}</div><div class=post>{a}</div><div class='userComments'><p>first! {k}</p></div><div class=rightSidebar><p>side {k}</p></div><div style='display: none'>unseen {k}</div></body></html>",
+    "plain": "<html><body><div class=x1><a href=1>news {k}</a> <a href=2>sport {k}</a></div><div class=x2>{a}<p>Share this with all your friends</p></div><div class=x3><p>About us and what we do</p><a href=3>contact {k}</a></div></body></html>",
+}
+
+
+def site(shell, k):
+    words = [f"w{(k * 31 + j * 7) % 97}" for j in range(40)]
+    body = [f"Title {k}", " ".join(words[:15]) + " &amp; x<b>y</b>&#233;", " ".join(words[15:])]
+    html = f"<h1>{body[0]}</h1><p>{body[1]}\n<p>{body[2]}<br>end\t {k}</p>"
+    text = f"Title {k} {' '.join(words[:15])} & xyé {body[2]} end {k}"
+    return SHELLS[shell].format(t=body[0], k=k, a=html), text
+
+
+@pytest.fixture(scope="module")
+def sites(spark):
+    rows, want = [], {}
+    for n, shell in enumerate(SHELLS):
+        for k in range(12):
+            html, text = site(shell, k)
+            rows.append((100 * n + k, f"http://{shell}.example/{k}", html))
+            want[100 * n + k] = text
+    odd = [(900, None, None), (901, "http://one.example/", ""), (902, "nonsense", "just text"), (903, "http://b.example/", "<p>a<div>b</div>c"), (904, "http://b.example/", "<article><p>open <b>ends"), (905, "http://b.example/x", "<script>x"), (906, "http://b.example/y", '<p title="a>b" x=\'>\'>q &lt;i&gt; &nbsp; z'), (907, "http://b.example/z", "<article>" + "<p>long text\n</p>" * 20_000 + "</article>")]
+    odd += [(908, "http://twice.example/", "<p>same</p>")] * 5
+    want |= {900: "", 901: "", 902: "just text", 903: "a b c", 904: "open ends", 905: "", 906: "q <i> z", 907: " ".join(["long text"] * 20_000), 908: "same"}
+    frame = spark.createDataFrame(rows + odd, "page_id long, url string, html string").repartition(5)
+    for k, c in enumerate(["host", "weight", "token", "text", "n_chars", "template", "kind"]):
+        frame = frame.withColumn(c, F.lit(k))
+    return frame.cache(), want
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_pages_give_their_articles(sites, monkeypatch, most):
+    """Templates sent to all workers, and joined to their hosts' pages."""
+    from tessera.llm import pages
+
+    monkeypatch.setattr(pages, "MOST_SENT", most)
+    frame, want = sites
+    got = pages.extract(frame).collect()
+    assert len(got) == frame.count()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert pages.extract(frame.limit(0)).count() == 0
+
+
+def test_templates_hold_a_hosts_tokens(spark, sites):
+    """The class of all pages has the skeleton and the text that never changes; a copied article is not the template's."""
+    from tessera.llm import pages
+    from tessera.llm.common import Scratch
+
+    frame, _ = sites
+    rows = frame.where("url is not null").select("html", F.regexp_extract("url", "//([^/]*)", 1).alias("host")).withColumn("weight", F.xxhash64("html"))
+    found = pages.deduce(rows, Scratch(spark, "t")).where("host = 'plain.example'").collect()
+    template = pages.templates_of(pa.Table.from_pylist([r.asDict() for r in found]))["plain.example"]
+    blocks = pages.parsed(site("plain", 3)[0])[1]
+    assert [b.text for b in blocks if b.token in template.same] == ["Share this with all your friends", "About us and what we do"]
+    copies = spark.createDataFrame([(k, f"http://c.example/{k}", site("elements", 5)[0]) for k in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in pages.extract(copies).collect()} == {site("elements", 5)[1]}
