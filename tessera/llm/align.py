@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, as_bytes, slices, text_bytes
 
-#: Bytes of a run of texts, and units (a word and the white space before it) whose ids a worker remembers.
-RUN_BYTES, UNITS_KEPT, LONG_UNIT = 3 << 20, 300_000, 256
+#: Bytes of a run of texts, units (a word and the white space before it) whose ids a worker remembers, bytes of those that it doesn't, and units that go to a library at once.
+RUN_BYTES, UNITS_KEPT, LONG_UNIT, UNITS_AT_ONCE = 1 << 20, 150_000, 256, 4_000
 
 _SPACE = 32
 _WHITE = np.zeros(256, bool)
@@ -53,9 +53,12 @@ class Tokenizer:
             self.known.clear()
             self.wrong.clear()
         new = [u for u in units if u not in self.known]
-        lists = self.encode_units([u.decode() for u in new])
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, at[-1])
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for lo in range(0, len(new), UNITS_AT_ONCE):
+            lists = self.encode_units([u.decode() for u in new[lo : lo + UNITS_AT_ONCE]])
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flats.append(np.fromiter(chain.from_iterable(lists), np.int32, sizes[-1].sum()))
+        at, flat = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(flats)
         blob, ends = flat.tobytes(), (4 * at).tolist()
         fresh = {u: blob[lo:hi] for u, lo, hi in zip(new, ends[:-1], ends[1:], strict=True)}
         self.known.update(fresh)
@@ -151,7 +154,7 @@ class Cuts:
         cut = (counts[0] > 0) & (counts[1] > 0)
         self.places = np.flatnonzero(cut)
         #: For either side the tokens that end up to a place, and for groups the cuts.
-        self.upto = [np.cumsum(c) for c in counts]
+        self.upto = [np.cumsum(c, dtype=np.int64) for c in counts]
         self.groups = np.cumsum(cut)
         #: The group of each token: cuts before its end.
         self.group = [self.groups[ends - 1] for ends in run.ends]
