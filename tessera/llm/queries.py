@@ -177,7 +177,7 @@ n AS (SELECT a, count(*) n FROM l GROUP BY a), m AS (SELECT node, min(reach) m F
 SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN m ON vec_id = node LEFT JOIN n ON vec_id = a""",
     # The pages of these tables have one article element each.
     "op12_page_templates": f"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') t FROM pages),
-d AS (SELECT page_id, url, trim(regexp_replace({_decoded("t")}, '\s+', ' ', 'g')) AS text FROM a) SELECT *, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
+d AS (SELECT page_id, url, trim(regexp_replace({_decoded("t")}, '\\s+', ' ', 'g')) AS text FROM a) SELECT *, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op11_merkle_manifest": f"""WITH RECURSIVE s8 AS (SELECT i k, i c, 0 t FROM range(256) x(i) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, t + 1 FROM s8 WHERE t < 8),
 ct AS (SELECT list(CAST(c AS BIGINT) ORDER BY k) tab FROM s8 WHERE t = 8),
 d0 AS (SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a >> 8, tab[1 + CAST(xor(a, c) & 255 AS INT)])) crc FROM documents, ct),
