@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import histograms, models, series, structures, surfaces, transforms
+from tessera.plans import histograms, models, series, structures, surfaces, transforms, weighing
 
-_PLANS = (histograms, transforms, series, models, structures, surfaces)
+_PLANS = (histograms, transforms, series, models, structures, surfaces, weighing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

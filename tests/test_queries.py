@@ -39,8 +39,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_other_queries_have_tests_of_their_own():
-    """Queries that SQL can't express are held against numpy in test_models.py."""
-    from tests import test_models
+    """Queries that SQL can't express are held against numpy in test_models.py and test_depth.py."""
+    from tests import test_depth, test_models
 
     without = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert {f"test_{n}" for n in without} <= set(dir(test_models))
+    assert {f"test_{n}" for n in without} <= set(dir(test_models)) | set(dir(test_depth))
