@@ -1,21 +1,24 @@
 """Neighbours of points in periodic frames of any cell, reductions over them, and spectra of their surroundings.
 
 Edges come from an equi-join on frame and grid cell; everything after is
-grouped sums of built-in expressions over edges, so no frame's pairs are ever
-gathered in one place.
+grouped sums over edges (of built-in expressions, or of numpy over batches for
+spectra), so no frame's pairs are ever gathered in one place.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 
-Radial = Callable[[Column, int, int], Column]
+Radial = Callable[[np.ndarray, int, int], np.ndarray]
 
 
 def atoms(frames: DataFrame, frame: str, positions: str, cell: str, kinds: Column) -> DataFrame:
@@ -27,29 +30,43 @@ def atoms(frames: DataFrame, frame: str, positions: str, cell: str, kinds: Colum
 def edges(points: DataFrame, r: float, itself: bool = False) -> DataFrame:
     """frame, i, j, kind_i, kind_j, image, d, r: points j (and which image of them) closer than r to i.
 
-    d is the vector from i to the image of j. points is as `atoms` gives them.
-    A frame is cut into grid cells of at least r across along each of its
-    vectors; where the frame is narrower, several images of it are looked at.
-    Each point asks the cells round its own. With itself, a point is its own
-    neighbour at distance 0.
+    d is the vector from i to the image of j, with points wrapped into their
+    cells. points is as `atoms` gives them. A frame is cut into grid cells of
+    at least r across along each of its vectors; where the frame is narrower,
+    several images of it are looked at. Each point asks half of the grid cells
+    round its own, and what it finds counts both ways. With itself, a point is
+    its own neighbour at distance 0.
+
+    All is done in plain numbers: asking points carry a frame, a cell's number
+    and their place moved by the image, and no arrays.
     """
-    cell = F.col("cell")
-    across = [g.length(g.cross(g.at(cell, (k + 1) % 3), g.at(cell, (k + 2) % 3))) / g.volume(cell) for k in range(3)]  # 1 / height
-    relative = g.row_times(F.col("p"), g.inverse(cell))
-    placed = points.withColumn("u", F.transform(relative, lambda x: x - F.floor(x)))
-    placed = placed.withColumn("m", F.array(*[F.greatest(F.lit(1), F.floor(1 / (r * a)).cast("int")) for a in across])).withColumn("reach", F.array(*[F.ceil(r * a * g.at(F.col("m"), k)).cast("int") for k, a in enumerate(across)]))
-    placed = placed.withColumn("c", F.zip_with("u", "m", lambda u, m: F.least(F.floor(u * m).cast("int"), m - 1))).withColumn("p", g.row_times(F.col("u"), cell))
-    steps = [F.sequence(-g.at(F.col("reach"), k), g.at(F.col("reach"), k)) for k in range(3)]
-    asking = placed.select("frame", "cell", "i", F.col("kind").alias("kind_i"), F.col("p").alias("p_i"), "m", "c", F.explode(steps[0]).alias("s0"), F.lit(0).alias("s1"), F.lit(0).alias("s2"), "reach")
-    asking = asking.withColumn("s1", F.explode(steps[1])).withColumn("s2", F.explode(steps[2]))
-    at = [g.at(F.col("c"), k) + F.col(f"s{k}") for k in range(3)]
-    asking = asking.select("frame", "cell", "i", "kind_i", "p_i", F.array(*[F.pmod(a, g.at(F.col("m"), k)) for k, a in enumerate(at)]).alias("c"), F.array(*[F.floor(a / g.at(F.col("m"), k)).cast("int") for k, a in enumerate(at)]).alias("image"))
-    there = placed.select("frame", "c", F.col("i").alias("j"), F.col("kind").alias("kind_j"), F.col("p").alias("p_j"))
-    both = asking.join(there, ["frame", "c"])
-    moved = g.row_times(F.transform("image", lambda x: x.cast("double")), F.col("cell"))
-    both = both.withColumn("d", F.zip_with(g.minus(F.col("p_j"), F.col("p_i")), moved, lambda x, y: x + y)).withColumn("r", g.length(F.col("d")))
-    own = (F.col("i") == F.col("j")) & F.forall("image", lambda x: x == 0)
-    return both.where((F.col("r") < r) & (F.lit(itself) | ~own)).select("frame", "i", "j", "kind_i", "kind_j", "image", "d", "r")
+    axes = range(3)
+    flat = points.selectExpr("frame", "i", "kind", *[f"p[{b}] x{b}" for b in axes], *[f"cell[{a}][{b}] h{a}{b}" for a in axes for b in axes])
+    # Row k of the cofactors is the cross product of the other two cell vectors.
+    others = [((k + 1) % 3, (k + 2) % 3) for k in axes]
+    flat = flat.selectExpr("*", *[f"h{a}{c}*h{b}{d} - h{a}{d}*h{b}{c} f{k}{j}" for k, (a, b) in enumerate(others) for j, (c, d) in enumerate(others)])
+    flat = flat.selectExpr("*", "h00*f00 + h01*f01 + h02*f02 det")
+    flat = flat.selectExpr("*", *[f"(x0*f{k}0 + x1*f{k}1 + x2*f{k}2)/det v{k}" for k in axes], *[f"{r!r}*sqrt(f{k}0*f{k}0 + f{k}1*f{k}1 + f{k}2*f{k}2)/abs(det) w{k}" for k in axes])
+    # m: grid cells along a vector; reach: how many of them r goes.
+    flat = flat.selectExpr("frame", "i", "kind", *[f"h{a}{b}" for a in axes for b in axes], *[f"v{k} - floor(v{k}) u{k}" for k in axes], *[f"w{k}" for k in axes], *[f"greatest(1L, floor(1/w{k})) m{k}" for k in axes])
+    placed = flat.selectExpr("frame", "i", "kind", *[f"h{a}{b}" for a in axes for b in axes], *[f"m{k}" for k in axes], *[f"ceil(w{k}*m{k}) reach{k}" for k in axes], *[f"least(floor(u{k}*m{k}), m{k} - 1) c{k}" for k in axes], *[f"u0*h0{b} + u1*h1{b} + u2*h2{b} p{b}" for b in axes])
+    wide1, wide2 = "(2*reach1 + 1)", "(2*reach2 + 1)"
+    asking = placed.selectExpr("*", f"(2*reach0 + 1)*{wide1}*{wide2} steps")
+    asking = asking.selectExpr("*", "explode(sequence(steps div 2, steps - 1)) step")  # the first is the own cell, the rest lie on one side of it
+    asking = asking.selectExpr("*", f"c0 - reach0 + step div ({wide1}*{wide2}) a0", f"c1 - reach1 + step div {wide2} % {wide1} a1", f"c2 - reach2 + step % {wide2} a2")
+    asking = asking.selectExpr("*", *[f"floor(a{k}/m{k}) n{k}" for k in axes])
+    asking = asking.selectExpr("frame", "i", "kind kind_i", "((a0 - n0*m0)*m1 + a1 - n1*m1)*m2 + a2 - n2*m2 place", *[f"cast(n{k} as int) n{k}" for k in axes], "step = steps div 2 own", *[f"p{b} - n0*h0{b} - n1*h1{b} - n2*h2{b} q{b}" for b in axes])
+    there = placed.selectExpr("frame", "(c0*m1 + c1)*m2 + c2 place", "i j", "kind kind_j", "p0", "p1", "p2")
+    both = asking.join(there, ["frame", "place"]).selectExpr("frame", "i", "j", "kind_i", "kind_j", "n0", "n1", "n2", "own", *[f"p{b} - q{b} d{b}" for b in axes])
+    both = both.selectExpr("*", "sqrt(d0*d0 + d1*d1 + d2*d2) r").where(f"r < {r!r} and (not own or i < j)")
+    out = both.selectExpr(
+        # r goes through the generator too: Catalyst would infer constraints from its bound without end in later joins.
+        "frame", "inline(array(struct(i, j, kind_i, kind_j, array(n0, n1, n2) image, array(d0, d1, d2) d, r), struct(j i, i j, kind_j kind_i, kind_i kind_j, array(-n0, -n1, -n2) image, array(-d0, -d1, -d2) d, r)))"
+    ).select("frame", "i", "j", "kind_i", "kind_j", "image", "d", "r")
+    if not itself:
+        return out
+    zero = F.array(*[F.lit(0.0)] * 3)
+    return out.unionByName(points.select("frame", "i", F.col("i").alias("j"), F.col("kind").alias("kind_i"), F.col("kind").alias("kind_j"), F.array(*[F.lit(0)] * 3).alias("image"), zero.alias("d"), F.lit(0.0).alias("r")))
 
 
 _BY = {"full": ["frame", "i"], "z": ["frame", "i", "kind_j"], "split_z": ["frame", "kind_i", "kind_j"], "frame": ["frame"]}
@@ -99,50 +116,70 @@ def within(edge: DataFrame, r: float) -> DataFrame:
     return edge.where(F.col("r") < r)
 
 
-# Spectra.
+# Spectra: radial and angular parts of any order, in numpy over batches of edges.
 
 
-def fade(r: Column, cut: float) -> Column:
-    return 0.5 * (1 + F.cos(F.lit(math.pi / cut) * r))
+def fade(r: np.ndarray, cut: float) -> np.ndarray:
+    return 0.5 * (1 + np.cos(np.pi / cut * r))
 
 
-def bessel_radial(cut: float) -> Radial:
-    """Spherical Bessel functions of order l of (n + 1) pi r / cut, faded out; r is above 0."""
+def spherical(x: np.ndarray, order: int, modified: bool = False) -> np.ndarray:
+    """Spherical Bessel function j_order at x > 0; modified: i_order times exp(-x).
 
-    def radial(r: Column, n: int, order: int) -> Column:
-        x = r * F.lit((n + 1) * math.pi / cut)
-        forms = [lambda: F.sin(x) / x, lambda: F.sin(x) / (x * x) - F.cos(x) / x, lambda: (3 / (x * x) - 1) * F.sin(x) / x - 3 * F.cos(x) / (x * x)]
-        return forms[order]() * fade(r, cut)
+    Where x is small against the order, the recurrence upwards loses digits:
+    there it is a power series.
+    """
+    sign = 1.0 if modified else -1.0
+    small = x < max(2.0, order / 2)
+    lo, hi = np.where(small, x, 1.0), np.where(small, max(2.0, order / 2), x)
+    term = np.ones_like(lo)
+    for n in range(order):
+        term = term * lo / (2 * n + 3)
+    series = term.copy()
+    for k in range(1, 20 + order):
+        term = term * sign * lo * lo / (2 * k * (2 * order + 2 * k + 1))
+        series += term
+    e = np.exp(-2 * hi)
+    two = [(1 - e) / (2 * hi), ((hi - 1) + (hi + 1) * e) / (2 * hi * hi)] if modified else [np.sin(hi) / hi, np.sin(hi) / (hi * hi) - np.cos(hi) / hi]
+    for n in range(1, order):
+        two.append(two[-2] - (2 * n + 1) / hi * two[-1] if modified else (2 * n + 1) / hi * two[-1] - two[-2])
+    return np.where(small, series * (np.exp(-lo) if modified else 1.0), two[order])
 
-    return radial
+
+def bessel_radial(cut: float) -> Radial:
+    """Spherical Bessel functions of order l of (n + 1) pi r / cut, faded out; r is above 0."""
+    return lambda r, n, order: spherical(r * (n + 1) * np.pi / cut, order) * fade(r, cut)
 
 
-def soap_radial(cut: float, sigma: float, nodes: int = 6, n_max: int = 3) -> Radial:
+def soap_radial(cut: float, sigma: float, nodes: int = 6) -> Radial:
     """Overlap of a neighbour's Gaussian with polynomial basis functions, by order: an integral over the shell by the midpoint rule, faded out."""
 
-    def radial(r: Column, n: int, order: int) -> Column:
-        total = F.lit(0.0)
+    def radial(r: np.ndarray, n: int, order: int) -> np.ndarray:
+        total = np.zeros_like(r)
         for q in range(nodes):
             s = (q + 0.5) * cut / nodes
-            basis = (cut - s) ** (n + 2) * s * s * cut / nodes
-            x = r * F.lit(s / sigma**2)
-            e = F.exp(-2 * x)  # modified spherical Bessel functions times exp(-x)
-            forms = [lambda x=x, e=e: (1 - e) / (2 * x), lambda x=x, e=e: ((x - 1) + (x + 1) * e) / (2 * x * x), lambda x=x, e=e: ((x * x - 3 * x + 3) - (x * x + 3 * x + 3) * e) / (2 * x * x * x)]
-            total = total + F.lit(basis) * F.exp(-(r - s) * (r - s) / (2 * sigma**2)) * forms[order]()
+            total += (cut - s) ** (n + 2) * s * s * cut / nodes * np.exp(-((r - s) ** 2) / (2 * sigma**2)) * spherical(r * s / sigma**2, order, modified=True)
         return total * fade(r, cut)
 
     return radial
 
 
-def harmonics(d: Column, r: Column, order: int) -> list[Column]:
-    """Real solid angles functions of an order, scaled so that their products sum to the Legendre polynomial of the cosine."""
-    x, y, z = (g.at(d, k) / r for k in range(3))
-    if order == 0:
-        return [F.lit(1.0)]
-    if order == 1:
-        return [x, y, z]
-    s = F.lit(math.sqrt(3.0))
-    return [s * x * y, s * y * z, s * x * z, s / 2 * (x * x - y * y), (3 * z * z - 1) / 2]
+def harmonics(unit: np.ndarray, order: int) -> list[np.ndarray]:
+    """Real solid angle functions of an order at unit vectors (n, 3), scaled so that their products sum to the Legendre polynomial of the cosine.
+
+    By recurrences: in the order for the part along z, in the number for the
+    sines and cosines around it.
+    """
+    x, y, z = unit.T
+    out, cosine, sine = [], np.ones_like(x), np.zeros_like(x)
+    for m in range(order + 1):
+        low, now = np.zeros_like(x), np.full_like(x, math.prod(range(2 * m - 1, 0, -2)))
+        for n in range(m + 1, order + 1):
+            low, now = now, ((2 * n - 1) * z * now - (n + m - 1) * low) / (n - m)
+        scale = math.sqrt((2 if m else 1) * math.factorial(order - m) / math.factorial(order + m))
+        out += [now * cosine * scale] + [now * sine * scale] * bool(m)
+        cosine, sine = x * cosine - y * sine, x * sine + y * cosine
+    return out
 
 
 def power_spectrum(edge: DataFrame, radial: Radial, n_max: int = 2, l_max: int = 2, normalise: bool = False) -> DataFrame:
@@ -152,22 +189,58 @@ def power_spectrum(edge: DataFrame, radial: Radial, n_max: int = 2, l_max: int =
     R_n(r_j) R_m(r_k) P_l(cos angle). By the addition theorem it is a product
     of sums over single neighbours, so neighbour pairs are never made. Entries
     of different kinds count sqrt(2); normalise divides by the point's length.
+
+    Batches of edges are summed by point and kind where they are, and Spark
+    adds up the sums; radial maps distances, n and the order to numbers.
     """
     terms = [(n, order, k) for order in range(l_max + 1) for n in range(n_max) for k in range(2 * order + 1)]
-    value = {t: radial(F.col("r"), t[0], t[1]) * harmonics(F.col("d"), F.col("r"), t[1])[t[2]] for t in terms}
-    near = edge.where("r > 1e-12")
-    sums = near.groupBy("frame", "i", "kind_j").agg(F.array(*[F.sum(value[t]) for t in terms]).alias("c"))
+    names = [f"c{t}" for t in range(len(terms))]
+    near = edge.selectExpr("frame", "i", "kind_j", "d[0] x", "d[1] y", "d[2] z", "r")
+    keys = {c: t for c, t in near.dtypes if c in ("frame", "i", "kind_j")}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(batch["r"], 1e-12))  # filters stay out of the plan, where inferring constraints over so many columns takes minutes
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by([(c, "ascending") for c in keys])
+            r = batch["r"].to_numpy(zero_copy_only=False)
+            unit = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in "xyz"], 1) / r[:, None]
+            first = np.zeros(len(r), bool)
+            first[0] = True
+            for c in keys:
+                first[1:] |= pc.not_equal(batch[c][1:], batch[c][:-1]).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(first)
+            radials = {(n, order): radial(r, n, order) for order in range(l_max + 1) for n in range(n_max)}
+            angular = [harmonics(unit, order) for order in range(l_max + 1)]
+            columns = [np.add.reduceat(radials[n, order] * angular[order][k], at) for n, order, k in terms]
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(at)) for c in keys] + [pa.array(c) for c in columns], [*keys, *names])
+
+    parts = near.mapInArrow(sums, ", ".join([f"{c} {t}" for c, t in keys.items()] + [f"{c} double" for c in names]))
+    whole = parts.groupBy("frame", "i", "kind_j").agg(*[F.sum(c).alias(c) for c in names])
+    kinds_of = whole.groupBy("frame", "i").agg(F.collect_list(F.struct("kind_j", F.array(*names).alias("c"))).alias("of"))  # as many as there are kinds
+
     place = {t: k for k, t in enumerate(terms)}
-    a = sums.select("frame", "i", F.col("kind_j").alias("kind_a"), F.col("c").alias("ca"))
-    both = a.join(sums.select("frame", "i", F.col("kind_j").alias("kind_b"), F.col("c").alias("cb")), ["frame", "i"]).where("kind_a <= kind_b")
-    entries = []
-    for order in range(l_max + 1):
-        for n in range(n_max):
-            for m in range(n, n_max):
-                products = [F.get("ca", F.lit(place[n, order, k])) * F.get("cb", F.lit(place[m, order, k])) for k in range(2 * order + 1)]
-                entries.append(sum(products[1:], products[0]))
-    factor = F.when(F.col("kind_a") == F.col("kind_b"), 1.0).otherwise(math.sqrt(2.0))
-    out = both.select("frame", "i", "kind_a", "kind_b", F.transform(F.array(*entries), lambda v: v * factor).alias("spectrum"))
+    entries = [[(place[n, order, k], place[m, order, k]) for k in range(2 * order + 1)] for order in range(l_max + 1) for n in range(n_max) for m in range(n, n_max)]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, of = pc.list_value_length(batch["of"]).to_numpy(zero_copy_only=False), pc.list_flatten(batch["of"])
+            row, kind = np.repeat(np.arange(len(size)), size), pc.struct_field(of, "kind_j")
+            c = np.asarray(pc.list_flatten(pc.struct_field(of, "c"))).reshape(len(row), len(terms))
+            one = np.repeat(np.arange(len(row)), size[row])  # each kind of a point with each
+            two = np.arange(len(one)) - np.repeat(np.cumsum(size * size) - size * size, size * size)
+            two = two % size[row[one]] + (np.cumsum(size) - size)[row[one]]
+            kept = pc.less_equal(kind.take(pa.array(one)), kind.take(pa.array(two))).to_numpy(zero_copy_only=False)
+            one, two = one[kept], two[kept]
+            out = np.stack([sum(c[one, x] * c[two, y] for x, y in e) for e in entries], 1) * np.where(one == two, 1.0, math.sqrt(2.0))[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(entries), pa.int32()), pa.array(out.ravel()))
+            at = pa.array(row[one])
+            yield pa.RecordBatch.from_arrays([batch["frame"].take(at), batch["i"].take(at), kind.take(pa.array(one)), kind.take(pa.array(two)), lists], ["frame", "i", "kind_a", "kind_b", "spectrum"])
+
+    out = kinds_of.mapInArrow(products, f"frame {keys['frame']}, i {keys['i']}, kind_a {keys['kind_j']}, kind_b {keys['kind_j']}, spectrum array<double>")
     if not normalise:
         return out
     lengths = out.groupBy("frame", "i").agg(F.sqrt(F.sum(F.aggregate("spectrum", F.lit(0.0), lambda acc, v: acc + v * v))).alias("length"))

@@ -93,6 +93,12 @@ def bessel_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(en.power_spectrum(near(spark, sf_dir), en.bessel_radial(CUT)), 9)
 
 
+def bessel_order_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of order four of each point and pair of kinds."""
+    found = en.power_spectrum(near(spark, sf_dir), en.bessel_radial(CUT), n_max=1, l_max=4)
+    return found.select("frame", "i", "kind_a", "kind_b", F.round(F.get("spectrum", F.lit(4)), 5).alias("s4"))
+
+
 def soap_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(en.power_spectrum(near(spark, sf_dir), en.soap_radial(CUT, 0.5)), 9)
 
@@ -231,7 +237,7 @@ def finite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ro.not_finite(rows, ["x"]).withColumnRenamed("x", "bad").crossJoin(good)  # one row each
 
 
-QUERIES = {f.__name__: f for f in (neighbour_cells, neighbour_kinds, neighbour_kinds_of_both, neighbour_vectors, neighbour_pair_kinds, neighbour_pairs, neighbours_stale, neighbours_within, kinds_held, bessel_power, soap_power, spectrum_length, pair_powers, kind_spread, pooled_layers, wrap_steps, cell_turned, canonical_replayed, gram_invariants, displaced_distances, permuted_points, drift_removed, inertia_tensor, angular_momentum, group_coordination, stacked_parts, gathered_rows, column_replaced, folded_moments, finite_rows)}
+QUERIES = {f.__name__: f for f in (neighbour_cells, neighbour_kinds, neighbour_kinds_of_both, neighbour_vectors, neighbour_pair_kinds, neighbour_pairs, neighbours_stale, neighbours_within, kinds_held, bessel_power, bessel_order_four, soap_power, spectrum_length, pair_powers, kind_spread, pooled_layers, wrap_steps, cell_turned, canonical_replayed, gram_invariants, displaced_distances, permuted_points, drift_removed, inertia_tensor, angular_momentum, group_coordination, stacked_parts, gathered_rows, column_replaced, folded_moments, finite_rows)}
 
 _C = "c AS (SELECT vec_id f, embedding e, 2+vec_id%3*0.25 a, 1.5+vec_id%2*0.5 z3 FROM embeddings)"
 _A = f"{_C}, a AS (SELECT f, i, i%2 kind, CAST(e[3*i+1] AS DOUBLE)*4 x, CAST(e[3*i+2] AS DOUBLE)*4 y, CAST(e[3*i+3] AS DOUBLE)*4 z, a, z3, CAST(e[3*i+19] AS DOUBLE) vx, CAST(e[3*i+20] AS DOUBLE) vy, CAST(e[3*i+21] AS DOUBLE) vz, i+1.0 m FROM c CROSS JOIN range(6) t(i))"
@@ -249,6 +255,11 @@ def _bessel(n: int, order: int, r: str) -> str:
     return ["sin({x})/{x}", "(sin({x})/({x}*{x})-cos({x})/{x})", "((3/({x}*{x})-1)*sin({x})/{x}-3*cos({x})/({x}*{x}))"][order].format(x=x) + f"*0.5*(1+cos({math.pi / CUT!r}*{r}))"
 
 
+def _bessel_four(r: str) -> str:
+    x = f"({r}*{math.pi / CUT!r})"
+    return f"((105/pow({x},5)-45/pow({x},3)+1/{x})*sin({x})-(105/pow({x},4)-10/pow({x},2))*cos({x}))*0.5*(1+cos({math.pi / CUT!r}*{r}))"
+
+
 def _soap(n: int, order: int, r: str, sigma: float = 0.5, nodes: int = 6) -> str:
     parts = []
     for q in range(nodes):
@@ -288,6 +299,7 @@ SQL = {
     "neighbours_stale": f"WITH {_A} SELECT f AS frame, max((x*x+y*y+z*z)*pow(f%4*0.05,2)) > 0.01 AS stale FROM a GROUP BY 1",
     "neighbours_within": f"WITH {_E} SELECT frame, count(*) AS n, round(sum(r),6) AS value FROM e WHERE r < 1.2 GROUP BY 1",
     "kinds_held": "SELECT CAST(k AS INT) AS kind, 3 AS n, CAST(k=0 AS DOUBLE) AS is0, CAST(k=1 AS DOUBLE) AS is1, CAST(k=2 AS DOUBLE) AS is2 FROM range(2) t(k)",
+    "bessel_order_four": f"WITH {_E} SELECT frame, i, kind_j AS kind_a, kind_j_2 AS kind_b, round(sum(({_bessel_four('r')})*({_bessel_four('r_2')})*(35*pow(cosine,4)-30*pow(cosine,2)+3)/8)*CASE WHEN kind_j=kind_j_2 THEN 1 ELSE sqrt(2.0) END,5) AS s4 FROM k WHERE kind_j<=kind_j_2 GROUP BY 1,2,3,4",
     "bessel_power": _spectrum(_bessel),
     "soap_power": _spectrum(_soap),
     "spectrum_length": f"WITH {_E} SELECT DISTINCT frame, i, CAST(1.0 AS DOUBLE) AS length FROM e",

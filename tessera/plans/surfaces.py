@@ -99,7 +99,7 @@ def transform_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def more_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.array((F.col("value") - 100) / 20, (50 - F.col("value")) / 10)
+    x = F.array((F.col("value") - 100) / 20, (50 - F.col("value")) / 7)
     one = lambda name, k: r6(F.get(t.activation(name)(x), F.lit(k)))
     return events(spark, sf_dir).select("event_id", one("hard_sigmoid", 0).alias("hard_sigmoid"), one("hard_swish", 1).alias("hard_swish"), one("sort", 0).alias("least"), r6(F.get(t.clip(-1.0, 1.0)(x), F.lit(0))).alias("clipped"))
 
@@ -193,7 +193,7 @@ round(CASE WHEN u>=-0.5 AND u<=19.5 AND v>=-0.5 AND v<=14.5 THEN pow(least(floor
     "spread_of_bias": f"SELECT event_id, round(-exp(0.5-value/100/{KT!r}),6) AS s, round(greatest(0,value-100)/7,6) AS f FROM events",
     "gradient_by_inputs": "SELECT event_id, round(2.0*(user_id%7)-1,4) AS g0, round(2*value/100,4) AS g1, round(-2.0*(event_id%5),4) AS g2 FROM events",
     "transform_undone": "SELECT event_id, round(value,6) AS x0, round(CAST(user_id AS DOUBLE),6) AS x1, round((value+1)*3,6) AS y0 FROM events",
-    "more_activations": "WITH x AS (SELECT event_id, (value-100)/20 a, (50-value)/10 b FROM events) SELECT event_id, round(least(greatest(a+3,0),6)/6,6) AS hard_sigmoid, round(b*least(greatest(b+3,0),6)/6,6) AS hard_swish, round(least(a,b),6) AS least, round(greatest(-1,least(1,a)),6) AS clipped FROM x",
+    "more_activations": "WITH x AS (SELECT event_id, (value-100)/20 a, (50-value)/7 b FROM events) SELECT event_id, round(least(greatest(a+3,0),6)/6,6) AS hard_sigmoid, round(b*least(greatest(b+3,0),6)/6,6) AS hard_swish, round(least(a,b),6) AS least, round(greatest(-1,least(1,a)),6) AS clipped FROM x",
     "angle_features": "WITH a AS (SELECT event_id, value/50-3 a, user_id/50.0-1.5 b FROM events) SELECT event_id, round(atan2(sin(a),cos(a)),6) AS a0, round(atan2(sin(b),cos(b)),6) AS a1, round(cos(b),6) AS r0, round(cos(a),6) AS r1 FROM a",
     "pair_distance_features": f"WITH {_V} SELECT vec_id, " + ", ".join(f"round({r},6) AS d{k}" for k, r in enumerate(_R)) + f", round(ln(1/({_R[5]}/2.0+1e-8)+1e-8),6) AS log_inverse FROM v",
     "body_polynomials": f"WITH {_V}, r AS (SELECT vec_id, {_T[0]} r0, {_T[1]} r1, {_T[2]} r2 FROM v) SELECT vec_id, " + ", ".join(f"round({e},6) AS f{k}" for k, e in enumerate(_BODY)) + " FROM r",

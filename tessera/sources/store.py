@@ -108,7 +108,10 @@ class Store:
         """Round 0 of a new cv_round: the scanned frames with new features; the old ones stay as cv_orig."""
         frames = self.scan(num=1 << 20, only_finished=False)
         kept = frames.withColumns({"cv_orig": F.col("cv"), "cv": cv} | (more or {}))
-        renumbered = kept.withColumn("traj", (F.col("round") * F.lit(1 << 16) + F.col("traj")).cast("int"))
+        # Numbered anew in the order of rounds and trajectories: a row a trajectory, of the newest cv_round's metadata.
+        known = self.trajectories().select(*KEYS).distinct()
+        numbers = known.withColumn("new_traj", F.row_number().over(Window.partitionBy("cv_round").orderBy("round", "traj")) - 1)
+        renumbered = kept.join(numbers, KEYS).withColumn("traj", F.col("new_traj")).drop("new_traj")
         self.append(renumbered.withColumns({"cv_round": F.lit(cv_round), "round": F.lit(0)}), finished=True)
 
     def mark(self, flags: DataFrame) -> None:

@@ -96,3 +96,103 @@ def test_loader_keeps_what_belongs_together(spark, frames):
     assert abs((drawn["w"] * drawn["rho"] * drawn["a"]).sum() - (out["w"] * out["a"]).sum()) < 0.2
     low = Loader(**{**loader.__dict__, "most": 1.0, "wall": F.when(F.col("a") > 0, 50.0).otherwise(0.0)}).load(frames, 300).toPandas()
     assert (low["f"] < 1.0).all() and (low["a"] <= 0).all()
+
+
+def crowd(spark, frames, n=5, seed=1, move=0.0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for f in range(frames):
+        cell = [[2.0, 0.0, 0.0], [0.4, 1.9, 0.0], [0.2, -0.3, 2.1]]
+        rows += [(f, cell, i, i % 2, [float(v) for v in p]) for i, p in enumerate(rng.uniform(-1, 4, size=(n, 3)))]
+    shift = np.random.default_rng(seed + 1)
+    return spark.createDataFrame([(f, c, i, k, [v + (move * float(shift.normal()) if f % 3 == 0 else 0.01) for v in p]) for f, c, i, k, p in rows], "frame int, cell array<array<double>>, i int, kind int, p array<double>")
+
+
+def plain_edges(rows, r):
+    """By points as given: shifts, vectors and lengths of all pairs closer than r."""
+    from itertools import product
+
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a["frame"] == b["frame"]:
+                cell = np.array(a["cell"])
+                low = np.round((np.array(a["p"]) - np.array(b["p"])) @ np.linalg.inv(cell)).astype(int)
+                for s in product(range(-2, 3), repeat=3):
+                    shift = low + s
+                    d = np.array(b["p"]) + shift @ cell - np.array(a["p"])
+                    if np.linalg.norm(d) < r and (a["i"] != b["i"] or shift.any()):
+                        out[a["frame"], a["i"], b["i"], tuple(shift.tolist())] = d
+    return out
+
+
+def test_kept_edges_follow_motion(spark, tmp_path):
+    """Only frames that moved far are made again; untouched parts keep their files; edges equal those from scratch."""
+    from tessera.sources.edges import EdgeTable
+
+    table = EdgeTable(spark, f"file://{tmp_path}/kept", 1.2, 0.3, 8)
+    old, new = crowd(spark, 12), crowd(spark, 12, move=0.5)
+    table.build(old)
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "kept").rglob("part-*")}
+    stale = {(r["frame"], r["part"]) for r in table.stale(new).collect()}
+    assert {f for f, _ in stale} == {0, 3, 6, 9}
+    assert table.update(old) == 0 and table.update(new) == 4
+    gone = {p for p in stamps if not p.exists()}
+    assert gone and {int(p.parent.name.split("=")[1]) for p in gone} == {k for _, k in stale}
+    got = {(r["frame"], r["i"], r["j"], tuple(r["image"])): r["d"] for r in table.edges(new).collect()}
+    want = plain_edges(new.collect(), 1.2)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    more = crowd(spark, 14, move=0.5)  # two frames that were not there
+    assert table.update(more) == 2 and table.stale(more).count() == 0
+
+
+def test_motifs_are_found_once(spark, monkeypatch):
+    from tessera.operators import environments as en
+    from tessera.operators import motifs
+
+    rows = crowd(spark, 2)
+    edge = en.edges(rows, 1.3).cache()
+    key = {(r["frame"], r["i"], r["j"], tuple(r["image"])) for r in edge.collect()}
+    assert len(key) == len(plain_edges(rows.collect(), 1.3))
+    at = {}
+    for f, i, j, s in key:
+        at.setdefault((f, i), []).append((j, s))
+    want = {(f, i, *sorted([x, y])[0], *sorted([x, y])[1]) for (f, i), near in at.items() for x in near for y in near if x != y}
+    for block in (64, 2):  # neighbours in one block, and in many
+        monkeypatch.setattr(motifs, "BLOCK", block)
+        got = [(r["frame"], r["i"], r["a"], tuple(r["image_a"]), r["b"], tuple(r["image_b"])) for r in motifs.triples(edge).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        quads = motifs.quads(edge).collect()
+        plus = lambda s, t: tuple(x + y for x, y in zip(s, t, strict=True))
+        chains = 0
+        for (f, b), near in at.items():
+            for c, sc in near:
+                chains += sum((a, sa) != (c, sc) and (d, plus(sc, sd)) != (b, (0, 0, 0)) and (a, sa) != (d, plus(sc, sd)) for a, sa in near for d, sd in at[f, c])
+        assert len(quads) == chains // 2 == len({(r["frame"], r["a"], r["b"], r["c"], r["d"], *map(tuple, (r["image_a"], r["image_c"], r["image_d"]))) for r in quads})
+    rings = motifs.rings(edge).collect()
+    closed = sum((c, tuple(y - x for x, y in zip(s, t, strict=True))) in at[f, b] for (f, a), near in at.items() for b, s in near for c, t in near if (b, s) != (c, t))
+    assert len(rings) == closed // 6
+    assert motifs.of_kinds(edge, lambda k: k == 0).where("kind_i + kind_j > 0").count() == 0
+
+
+def test_spectra_of_high_order(spark):
+    """Sums over neighbour pairs with Legendre polynomials, orders 0 to 6; and the functions near 0."""
+    from tessera.operators import environments as en
+
+    edge = en.edges(crowd(spark, 1), 1.4)
+    got = {(r["i"], r["kind_a"], r["kind_b"]): r["spectrum"] for r in en.power_spectrum(edge, en.bessel_radial(1.4), 2, 6).collect()}
+    near = edge.toPandas()
+    for (i, ka, kb), values in got.items():
+        a, b = (near[(near["i"] == i) & (near["kind_j"] == k)] for k in (ka, kb))
+        da, db = (np.stack(x["d"].to_numpy()) for x in (a, b))
+        cosine = da @ db.T / np.outer(a["r"], b["r"])
+        want = []
+        for order in range(7):
+            legendre = np.polynomial.legendre.legval(cosine, [0] * order + [1])
+            r = {n: (en.bessel_radial(1.4)(a["r"].to_numpy(), n, order), en.bessel_radial(1.4)(b["r"].to_numpy(), n, order)) for n in range(2)}
+            want += [(r[n][0][:, None] * r[m][1][None, :] * legendre).sum() * (1 if ka == kb else 2**0.5) for n in range(2) for m in range(n, 2)]
+        assert np.allclose(values, want, atol=1e-10)
+    x = np.array([1e-8, 0.1, 1.9, 2.1, 7.0])
+    for modified in (False, True):
+        low, mid, high = (en.spherical(x, n, modified) for n in (3, 4, 5))
+        assert np.allclose(low - high if modified else low + high, 9 / x * mid, rtol=1e-8, atol=1e-12)
