@@ -11,6 +11,7 @@ from tessera.operators import motifs as mt
 from tessera.plans.common import r6
 from tessera.plans.structures import _E, points
 from tessera.sources.edges import EdgeTable, own_path
+from tessera.sources.shared import cut
 
 SHORT = 1.1
 
@@ -26,7 +27,7 @@ def neighbours_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return en.edges(points(spark, sf_dir), SHORT)
+    return cut(en.edges(points(spark, sf_dir), SHORT))  # read several times
 
 
 def motif_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ class EdgeTable:
         return rows.withColumn("part", F.pmod(F.xxhash64("frame"), F.lit(self.parts)).cast("int"))
 
     def _made(self, points: DataFrame) -> DataFrame:
-        found = en.edges(points, self.r + self.skin)
+        found = cut(en.edges(points, self.r + self.skin))
         # The edges' images are those of points wrapped into the cell.
         turns = points.select("frame", "i", F.transform(g.row_times(F.col("p"), g.inverse(F.col("cell"))), lambda x: F.floor(x).cast("int")).alias("turn"))
         found = found.join(turns.withColumnRenamed("turn", "turn_i"), ["frame", "i"]).join(turns.select("frame", F.col("i").alias("j"), F.col("turn").alias("turn_j")), ["frame", "j"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import reweight as rw
 from tessera.operators import sparse
+from tessera.sources.shared import cut
 from tests.test_models import SF
 
 
@@ -151,7 +152,7 @@ def test_motifs_are_found_once(spark, monkeypatch):
     from tessera.operators import motifs
 
     rows = crowd(spark, 2)
-    edge = en.edges(rows, 1.3).cache()
+    edge = cut(en.edges(rows, 1.3))
     key = {(r["frame"], r["i"], r["j"], tuple(r["image"])) for r in edge.collect()}
     assert len(key) == len(plain_edges(rows.collect(), 1.3))
     at = {}
@@ -179,7 +180,7 @@ def test_spectra_of_high_order(spark):
     """Sums over neighbour pairs with Legendre polynomials, orders 0 to 6; and the functions near 0."""
     from tessera.operators import environments as en
 
-    edge = en.edges(crowd(spark, 1), 1.4)
+    edge = cut(en.edges(crowd(spark, 1), 1.4))
     got = {(r["i"], r["kind_a"], r["kind_b"]): r["spectrum"] for r in en.power_spectrum(edge, en.bessel_radial(1.4), 2, 6).collect()}
     near = edge.toPandas()
     for (i, ka, kb), values in got.items():
