@@ -10,15 +10,19 @@ and clear of pattern spans.
 Only stretches round a digit, an at sign or a spelt-out sign are decoded: a
 token whose surroundings hold none of these has one and the same score, which
 favours "no data" by more than any transition can win (checked after
-training).
+training). A stretch is made of whole words, with two more on either side. One
+of more than PIECE tokens is decoded in pieces that overlap by OVERLAP tokens
+on either side; its tokens are kept as numbers, 24 bytes each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-#: Characters either side of a trigger that are decoded, tokens decoded in one batch.
+#: Characters either side of a trigger that are decoded at least, and tokens decoded in one batch.
 REACH, BATCH_TOKENS = 48, 1 << 16
+#: Tokens of a long stretch that are labelled at once, and those before and after them that are read with them.
+PIECE, OVERLAP = 512, 64
 Span = tuple[int, int, int]  # kind, start, end
 
 _DIGITS = re.compile(r"[0-9]+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\s]")
+_SPACE = re.compile(r"\s+")
 _TRIGGER = re.compile(r"[0-9@]+|[\[({]\s?(?:at|dot)\s?[\])}]|(?<=\s)dot(?=\s)", re.IGNORECASE)
 _ANY = r"(?i)[0-9@]|[\[({]\s?(at|dot)\s?[\])}]|\sdot\s"  # the same for RE2, at least
 
@@ -161,27 +168,84 @@ class Field:
     moves: np.ndarray
     starts: np.ndarray
 
-    def emissions(self, sequences: list[list[tuple[str, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (tokens of all sequences, labels) and the sequences' lengths."""
-        unknown = len(self.names)
-        ids = [[self.names.get(f, unknown) for f in fs] for tokens in sequences for fs in features(tokens)]
-        padded = np.vstack([self.weights, np.zeros(len(LABELS))])
-        return padded[np.array(ids, np.int64)].sum(axis=1), np.fromiter(map(len, sequences), np.int64, len(sequences))
-
-    def decode(self, sequences: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
-        """The best labels of each sequence: Viterbi over batches of like lengths."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
-        order = sorted((k for k in range(len(sequences)) if sequences[k]), key=lambda k: len(sequences[k]))
-        while order:
-            width, n = len(sequences[order[0]]), 0
-            while n < len(order) and n * len(sequences[order[n]]) < BATCH_TOKENS and len(sequences[order[n]]) <= 2 * width:
+    @cached_property
+    def shapes(self) -> dict[str, int]:
+        """Numbers of the shapes seen in training, the ends' included; 0 is for all others."""
+        seen = sorted({f[1:] for f in self.names if len(f) > 1 and f[0] in "01234"})
+        return {x: k for k, x in enumerate(seen, 1)}
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Numbers of features by shapes and gaps: of one shape at each place, of two with their gap (left, right), of three, and of one with its gap."""
+        unknown, get = len(self.names), self.names.get
+        x = ["\0", *self.shapes]  # no token has the first
+        of = lambda names: np.array([get(n, unknown) for n in names], np.int32)
+        n, gaps = len(x), ("", "_")
+        return (
+            of(f"{o}{s}" for o in range(5) for s in x).reshape(5, n),
+            of(f"a{s}{g}|{t}" for s in x for g in gaps for t in x).reshape(n, 2, n),
+            of(f"b{s}{g}|{t}" for s in x for g in gaps for t in x).reshape(n, 2, n),
+            of(f"c{s}|{t}|{u}" for s in x for t in x for u in x).reshape(n, n, n),
+            of(f"g{g}{s}" for g in gaps for s in x).reshape(2, n),
+        )
+
+    def read(self, text: str, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens' starts and ends, and their shapes with two ends either side."""
+        flat, known = array("q"), self.shapes
+        for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
+            flat.extend((m.start(), m.end(), known.get(shape(m[0]), 0)))
+        rows = np.frombuffer(flat, np.int64).reshape(-1, 3) if flat else np.zeros((0, 3), np.int64)
+        left, right = known.get("<", 0), known.get(">", 0)
+        return rows[:, 0], rows[:, 1], np.concatenate([[left, left], rows[:, 2], [right, right]])
+
+    def emissions(self, shapes: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Scores (tokens, labels), from shapes with two more either side, and whether a gap lies before each token and after the last."""
+        one, left, right, three, own = self.tables
+        s = [shapes[o : len(shapes) - 4 + o] for o in range(5)]
+        before, after = gaps[:-1], gaps[1:]
+        always = np.full(len(s[0]), self.names["1"])
+        ids = np.stack([always, *[one[o, s[o]] for o in range(5)], left[s[1], before, s[2]], right[s[2], after, s[3]], three[s[1], s[2], s[3]], own[before, s[2]]], axis=1)
+        return np.vstack([self.weights, np.zeros(len(LABELS))])[ids].sum(axis=1)
+
+    def decode(self, sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The best labels of each sequence of tokens as read: Viterbi over batches of pieces of like lengths."""
+        out = [np.zeros(len(s), np.int8) for s, _, _ in sequences]
+        pieces = []  # sequence, first and end of what is read, first and end of what is labelled
+        for k, (s, _, _) in enumerate(sequences):
+            n = len(s)
+            whole = n <= PIECE + 2 * OVERLAP
+            for lo in range(0, n, n if whole and n else PIECE):
+                hi = n if whole else min(n, lo + PIECE)
+                pieces.append((k, max(0, lo - OVERLAP), min(n, hi + OVERLAP), lo, hi))
+        pieces.sort(key=lambda p: p[2] - p[1])
+        at = 0
+        while at < len(pieces):
+            least, n, total = pieces[at][2] - pieces[at][1], 0, 0
+            batch, scores = [], []
+            while at + n < len(pieces) and (not n or (total < BATCH_TOKENS and pieces[at + n][2] - pieces[at + n][1] <= 2 * least)):
+                k, a, b, _, _ = piece = pieces[at + n]
+                starts, ends, shapes = sequences[k]
+                gaps = np.zeros(b - a + 1, np.int64)  # 0 at the ends
+                lo, hi = max(a, 1), min(b + 1, len(starts))
+                gaps[lo - a : hi - a] = starts[lo:hi] > ends[lo - 1 : hi - 1]
+                batch.append(piece)
+                scores.append((shapes[a : b + 4], gaps))
+                total += b - a
                 n += 1
-            batch, order = order[: max(1, n)], order[max(1, n) :]
-            scores, lengths = self.emissions([sequences[k] for k in batch])
-            for k, labels in zip(batch, self.viterbi(scores, lengths), strict=True):
-                out[k] = labels
+            at += n
+            lengths = np.array([b - a for _, a, b, _, _ in batch])
+            found = np.concatenate([self.emissions(*x) for x in scores]) if len(scores) == 1 else self.joint_emissions(scores)
+            for (k, a, _, lo, hi), labels in zip(batch, self.viterbi(found, lengths), strict=True):
+                out[k][lo:hi] = labels[lo - a : hi - a]
         return out
 
+    def joint_emissions(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of several pieces, one after the other, worked out at once: the places between them are left out."""
+        shapes = np.concatenate([s for s, _ in parts])
+        gaps = np.concatenate([np.concatenate([g, [0, 0, 0]]) for _, g in parts])[: len(shapes) - 3]
+        inside = np.concatenate([np.arange(len(s)) < len(s) - 4 for s, _ in parts])[: len(shapes) - 4]
+        return self.emissions(shapes, gaps)[inside]
+
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         n, width = len(lengths), int(lengths.max())
         at = np.concatenate([[0], np.cumsum(lengths)])
@@ -206,8 +270,8 @@ class Field:
         worst = np.inf
         for token in ("bala", "BALA", "Bala"):
             for gap in (0, 1):
-                tokens = [(token, k * (5 + gap), k * (5 + gap) + 5) for k in range(7)]
-                e = self.emissions([tokens])[0][3]
+                starts, _, shapes = self.read(" ".join([token] * 7))
+                e = self.emissions(shapes, np.array([0, *[gap] * (len(starts) - 1), 0]))[3]
                 worst = min(worst, e[0] - e[1:].max())
         other = self.moves.copy()
         other[0, 0] = -np.inf
@@ -291,6 +355,12 @@ def train(table: list[tuple[str, list[Span]]] | None = None, steps: int = 60, ra
     return Field(names, parts[0], parts[1] + mask, parts[2] + start_mask)
 
 
+@cache
+def trained() -> Field:
+    """The field of the standing table, trained once a session."""
+    return train()
+
+
 def sound(kind: int, tokens: list[tuple[str, int, int]]) -> bool:
     """Whether an added span holds up as what it is taken for."""
     numbers = [t for t, _, _ in tokens if t.isascii() and t.isdigit()]
@@ -299,7 +369,7 @@ def sound(kind: int, tokens: list[tuple[str, int, int]]) -> bool:
     if kind == 0:
         ats = [i for i, w in enumerate(words) if w in ("@", "at")]
         dots = [i for i, w in enumerate(words) if w in (".", "dot")]
-        return len(words) <= 20 and len(ats) == 1 and bool(dots) and dots[-1] > ats[0] + 1 and words[-1] not in ("at", "dot") and words[-1].isalpha() and 2 <= len(words[-1]) <= 6 and words[0].isalnum() and words[0] not in ("at", "dot")
+        return len(ats) == 1 and bool(dots) and dots[-1] > ats[0] + 1 and words[-1] not in ("at", "dot") and words[-1].isalpha() and 2 <= len(words[-1]) <= 6 and words[0].isalnum() and words[0] not in ("at", "dot")
     if kind == 1:
         return len(numbers) == 4 and all(len(x) <= 3 and byte(x) for x in numbers)
     if kind == 2:
@@ -308,13 +378,22 @@ def sound(kind: int, tokens: list[tuple[str, int, int]]) -> bool:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text round its triggers, in order and apart; their ends lie at white space if there is any near."""
+    """Parts of a text round its triggers, in order and apart: REACH characters either side, the words they end in, and two words more."""
     out: list[list[int]] = []
+    reached = -1
     for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if lo and (cut := text.find(" ", lo, m.start())) >= 0:
-            lo = cut
-        if out and lo <= out[-1][1]:
+        if (hi := m.end() + REACH) <= reached:
+            continue  # within the last stretch, and so is all before it
+        for k in range(3):
+            space = _SPACE.search(text, min(hi, len(text)))
+            reached = reached if k else space.start() if space else len(text)
+            hi = space.end() if space else len(text)
+        lo, floor = max(0, m.start() - REACH), out[-1][1] if out else 0
+        for _ in range(3):
+            while lo > floor and text[lo - 1].isspace():
+                lo -= 1
+            lo = max(floor, text.rfind(" ", floor, lo) + 1, text.rfind("\n", floor, lo) + 1) if lo > floor else lo
+        if out and lo <= floor:
             out[-1][1] = hi
         else:
             out.append([lo, hi])
@@ -327,23 +406,33 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[
     for k, text in enumerate(texts):
         for lo, hi in stretches(text):
             owner.append(k)
-            sequences.append(tokenise(text, lo, hi))
+            sequences.append(field.read(text, lo, hi))
     found: list[list[Span]] = [[] for _ in texts]
-    for k, tokens, labels in zip(owner, sequences, field.decode(sequences), strict=True):
-        at = np.flatnonzero(labels)
-        if not len(at):
-            continue
-        begins = [i for i in at if labels[i] % 2 == 1]
-        for i in begins:
-            j = i + 1
-            while j < len(labels) and labels[j] == labels[i] + 1:
-                j += 1
-            kind, start, end = int(labels[i]) // 2, tokens[i][1], tokens[j - 1][2]
-            if sound(kind, tokens[i:j]) and not any(s < end and start < e for _, s, e in base[k]):
+    taken = [Taken(b) for b in base]
+    for k, (starts, ends, _), labels in zip(owner, sequences, field.decode(sequences), strict=True):
+        begins = np.flatnonzero(labels % 2 == 1)
+        # A span goes on while tokens have the label inside of its kind: up to the next place where that stops.
+        stops = np.append(np.flatnonzero((labels[1:] == 0) | (labels[1:] % 2 == 1) | (labels[1:] > labels[:-1] + 1) | (labels[1:] < labels[:-1])) + 1, len(labels))
+        for i, j in zip(begins.tolist(), stops[np.searchsorted(stops, begins, side="right")].tolist(), strict=True):
+            kind, start, end = int(labels[i]) // 2, int(starts[i]), int(ends[j - 1])
+            tokens = [(texts[k][a:b], a, b) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)]
+            if sound(kind, tokens) and not taken[k].meets(start, end):
                 found[k].append((kind, start, end))
     return found
 
 
+class Taken:
+    """Base spans of a text, which can overlap between kinds: asked whether any of them meets another span."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts = np.array(sorted(s for _, s, _ in spans))
+        self.ends = np.maximum.accumulate(np.array([e for _, _, e in sorted(spans, key=lambda x: x[1])], np.int64))
+
+    def meets(self, start: int, end: int) -> bool:
+        n = int(np.searchsorted(self.starts, end))  # spans that begin before the end
+        return n > 0 and int(self.ends[n - 1]) > start
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
@@ -352,14 +441,14 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for every row.
 
     The numbers and base_sha256 are of the pattern spans; spans has the
-    field's as well. The field reads REACH characters either side of a digit,
-    an at sign or a spelt-out sign; of what it finds, e-mail addresses of over
-    20 tokens are not taken. Both are written kind:start:end in code points, end
-    exclusive, by kind as listed and then start. A null text counts as empty.
+    field's as well. The field reads at least REACH characters, in whole words,
+    either side of a digit, an at sign or a spelt-out sign. Both are written
+    kind:start:end in code points, end exclusive, by kind as listed and then
+    start. A null text counts as empty; long ones are decoded in pieces.
     Repeated or null ids give a row each time; other columns are not read; an
     empty table gives an empty result. Nothing is shuffled.
     """
-    field = field or train()
+    field = field or trained()
     if field.margin() <= 0:
         raise ValueError("the field is too unsure about plain words to skip them")
     shared = docs.sparkSession.sparkContext.broadcast(field)

@@ -182,6 +182,72 @@ def test_reading_round_triggers_equals_reading_all(monkeypatch):
     assert sum(map(len, cut)) > 300
 
 
+def test_names_of_any_length_are_found():
+    from tessera.llm import pii
+
+    field, rng = pii.trained(), random.Random(4)
+    name = lambda n: "".join(rng.choice("bcdfghlmnprst") for _ in range(n))
+    texts = [f"write to {name(n)} [at] {name(6)} [dot] com today" for n in range(1, 301)]
+    texts += [f"write to{sep}{name(n)}[at]example[dot]com today" for n in (40, 80, 300) for sep in (" ", "\n", "\t")]
+    texts += [f"write to {'.'.join(name(2) for _ in range(n))} [at] exam [dot] com" for n in (2, 5, 11, 30, 100)]
+    found = pii.added_spans(field, texts, [[] for _ in texts])
+    for text, spans in zip(texts, found, strict=True):
+        assert [text[s:e].split(" [at]")[0].split("[at]")[0] for _, s, e in spans] == [text.split("[at]")[0].split()[-1]]
+
+
+def test_stretches_hold_whole_words_and_two_more():
+    from tessera.llm import pii
+
+    text = "x " * 100 + "aa bb " + "c" * 200 + " [at] " + "d" * 200 + " ee ff gg" + " y" * 100
+    ((lo, hi),) = pii.stretches(text)
+    assert text[lo:hi].split() == ["x" if lo < text.index("aa") else "aa", *text[lo:hi].split()[1:]]
+    assert lo <= text.index("aa") and hi >= text.index("gg")
+    for t in ("", "1", "[at]", "1" * 500, "a" * 500 + "1" + "b" * 500, " " * 500 + "1" + " " * 500):
+        assert all(0 <= a < b <= len(t) for a, b in pii.stretches(t))
+
+
+def test_pieces_of_long_stretches_equal_the_whole(monkeypatch):
+    from tessera.llm import pii
+
+    field = pii.trained()
+    text = " ".join(t for t, _ in pii.training_table(150, 8))
+    spans = pii.added_spans(field, [text], [[]])
+    monkeypatch.setattr(pii, "stretches", lambda t: [(0, len(t))])
+    assert pii.added_spans(field, [text], [[]]) == spans
+    monkeypatch.setattr(pii, "PIECE", 1 << 30)
+    assert pii.added_spans(field, [text], [[]]) == spans and len(spans[0]) > 100
+
+
+def test_viterbi_equals_all_paths():
+    from itertools import product
+
+    from tessera.llm import pii
+
+    field, rng = pii.trained(), np.random.default_rng(3)
+    lengths = np.array([1, 4, 2, 5])
+    scores = rng.normal(0, 3, (lengths.sum(), len(pii.LABELS)))
+    got, at = field.viterbi(scores, lengths), 0
+    for labels, n in zip(got, lengths, strict=True):
+        own, at = scores[at : at + n], at + n
+        value = lambda path: field.starts[path[0]] + sum(own[k, p] for k, p in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: E731, B023
+        best = max(product(range(len(pii.LABELS)), repeat=int(n)), key=value)
+        assert tuple(labels) == best
+
+
+def test_numbers_without_end_take_bounded_memory():
+    import tracemalloc
+
+    from tessera.llm import pii
+
+    field, text = pii.trained(), "12 34, " * 300_000
+    tracemalloc.start()
+    began = time.time()
+    pii.added_spans(field, [text], [[]])
+    assert time.time() - began < 60
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # of 2.1 MB and 900,000 tokens
+    tracemalloc.stop()
+
+
 def steps(ratio):
     out = [1]
     while out[-1] < 1 << 40:
