@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import histograms, models, motion, series, structures, surfaces, transforms, weighing
+from tessera.plans import histograms, large, models, motion, series, structures, surfaces, transforms, weighing
 
-_PLANS = (histograms, transforms, series, models, structures, surfaces, weighing, motion)
+_PLANS = (histograms, transforms, series, models, structures, surfaces, weighing, motion, large)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

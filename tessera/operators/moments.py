@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import cut
+
 
 def effective_size(rows: DataFrame, weight: str, keys: list[str] | None = None) -> DataFrame:
     """Kish's (sum w)^2 / sum w^2, by keys."""
@@ -162,13 +164,70 @@ def most_varying(rows: DataFrame, x: str, most: int, least: float = 0.0) -> Data
     return spread.orderBy(F.desc("sd"), "i").limit(most)  # of as many rows as there are dimensions
 
 
+#: Triangles that are folded into one at each level of the tree.
+FAN = 16
+
+
+def triangular(rows: DataFrame, x: str) -> tuple[int, np.ndarray]:
+    """The number of rows of an array column, and R of their QR decomposition: X^T X = R^T R without X^T X.
+
+    Each task folds its batches into a triangle, and triangles are folded FAN
+    at a time, level by level; so small singular values keep all digits that
+    X^T X would lose. Rows with a null array count as nothing.
+    """
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        r, n = None, 0
+        for b in batches:
+            if b.num_rows:
+                whole = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                r, n = np.linalg.qr(whole if r is None else np.concatenate([r, whole]), mode="r"), n + b.num_rows
+        if r is not None:
+            yield triangle(TaskContext.get().partitionId(), n, r)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, n, parts in zip(*[b.column(c).to_pylist() for c in ("part", "n", "parts")], strict=True):
+                whole = np.concatenate([np.array(p["cells"]).reshape(-1, p["width"]) for p in parts])
+                yield triangle(group, n, np.linalg.qr(whole, mode="r"))
+
+    def triangle(part: int, n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([r.shape[1]], pa.int32()), pa.array([r.ravel()], pa.list_(pa.float64()))], ["part", "n", "width", "cells"])
+
+    kind = "part long, n long, width int, cells array<double>"
+    level = cut(rows.select(F.col(x).cast("array<double>").alias("x")).dropna().mapInArrow(folded, kind))
+    while (most := level.agg(F.max("part")).first()[0] or 0) > 0:
+        groups = level.groupBy(F.floor(F.col("part") / FAN).alias("part")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("width", "cells")).alias("parts"))  # FAN triangles at most
+        level = cut(groups.mapInArrow(merged, kind))
+        if most < FAN:
+            break
+    last = level.first()
+    if last is None:
+        return 0, np.zeros((0, 0))
+    return last["n"], np.array(last["cells"]).reshape(-1, last["width"])
+
+
+def singular_values(rows: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of an array column, largest first, and directions V (columns), each with its greatest part positive."""
+    _, r = triangular(rows, x)
+    return singular_of(r)
+
+
+def singular_of(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not r.size:
+        return np.zeros(0), np.zeros((0, 0))
+    _, s, vt = np.linalg.svd(r, full_matrices=False)
+    greatest = vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)]
+    return s, (vt * np.where(greatest < 0, -1, 1)[:, None]).T
+
+
 def truncated_svd(rows: DataFrame, x: str) -> np.ndarray:
     """Columns V that project an array column on its singular directions, largest first; those below 10 max(n, d) eps of the largest are dropped."""
-    n, _, _, second = array_moments(rows, x)
-    values, vectors = np.linalg.eigh(second * n)
-    s = np.sqrt(np.clip(values[::-1], 0, None))
-    good = s > 10 * max(n, len(s)) * np.finfo(float).eps * s.max(initial=0.0)
-    return vectors[:, ::-1][:, good]
+    n, r = triangular(rows, x)
+    s, v = singular_of(r)
+    return v[:, s > 10 * max(n, len(v)) * np.finfo(float).eps * s.max(initial=0.0)]
 
 
 def class_scatter(rows: DataFrame, label: str, x: str) -> tuple[np.ndarray, np.ndarray, dict]:
