@@ -160,6 +160,35 @@ def grid_lookup(points: DataFrame, grid: DataFrame, lo: float, step: float, n: i
     return placed.join(cells, "i", "left").withColumn("value", F.when(inside, F.col("v0") * (1 - F.col("t")) + F.col("v1") * F.col("t"))).drop("u", "i", "t", "v0", "v1")
 
 
+def grid_energy(points: DataFrame, grid: DataFrame, metric: Metric, boxes: list[tuple[float, float]], bins: int, missing: float, name: str = "energy") -> DataFrame:
+    """points (x0, x1, ...) with the energy between the midpoints of a sparse grid (i0, i1, ..., value) of `bins` places a dimension.
+
+    boxes gives the grid's bounds. Midpoints that the grid doesn't have count as
+    `missing`; beyond the outermost ones the energy stays as it is there, or
+    goes on at the other side where an axis is periodic. Points with a null or
+    NaN get null. Each cell's corners are gathered in one row first, so that a
+    point is joined once, whatever the number of dimensions.
+    """
+    d = len(metric.axes)
+    corners = list(product((0, 1), repeat=d))
+    step = [(hi - lo) / bins for lo, hi in boxes]
+    u = []
+    for k, (axis, (lo, _)) in enumerate(zip(metric.axes, boxes, strict=True)):
+        x = F.col(f"x{k}").cast("double")
+        at = (axis.wrap(x) - F.lit(lo)) / F.lit(step[k]) - 0.5
+        u.append(F.when(x.isNotNull() & ~F.isnan(x), at if axis.periodic else F.least(F.greatest(at, F.lit(0.0)), F.lit(bins - 1.0))))
+    lowest = [F.floor(v) if axis.periodic else F.least(F.floor(v), F.lit(max(0, bins - 2))) for v, axis in zip(u, metric.axes, strict=True)]
+    around = lambda axis, i: F.pmod(i, F.lit(bins)) if axis.periodic else i
+    key = lambda parts: reduce(lambda a, b: a * F.lit(bins + 2) + b, [p.cast("long") + 1 for p in parts])
+    offsets = F.array(*[F.array(*[F.lit(o) for o in corner]) for corner in corners])
+    posted = grid.withColumn("corner", F.explode(offsets)).select("corner", "value", key([around(a, F.col(f"i{k}") - F.get("corner", F.lit(k))) for k, a in enumerate(metric.axes)]).alias("cell"))
+    cells = posted.groupBy("cell").agg(*[F.max(F.when(F.col("corner") == F.array(*[F.lit(o) for o in corner]), F.col("value"))).alias(f"v{n}") for n, corner in enumerate(corners)])
+    placed = points.withColumns({f"part{k}": v - i for k, (v, i) in enumerate(zip(u, lowest, strict=True))} | {"cell": key([around(a, i) for a, i in zip(metric.axes, lowest, strict=True)])})
+    share = lambda corner: reduce(lambda a, b: a * b, [F.col(f"part{k}") if o else 1 - F.col(f"part{k}") for k, o in enumerate(corner)])
+    value = reduce(lambda a, b: a + b, [share(corner) * F.coalesce(F.col(f"v{n}"), F.lit(missing)) for n, corner in enumerate(corners)])
+    return placed.join(cells, "cell", "left").withColumn(name, value).drop("cell", *[f"part{k}" for k in range(d)], *[f"v{n}" for n in range(len(corners))])
+
+
 def grid_lookup_nd(points: DataFrame, grid: DataFrame, axes: list[tuple[float, float, int]], order: int = 1) -> DataFrame:
     """points (x0, x1, ...) with `value` between a grid's midpoints (i0, i1, ..., value); null outside them.
 

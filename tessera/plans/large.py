@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import bias as b
 from tessera.functions.metric import Axis, Metric
 from tessera.operators import correlation, hills
+from tessera.operators import histogram as h
 from tessera.operators import moments as mo
-from tessera.plans.common import ORDER, events, r6
+from tessera.plans.common import KT, ORDER, events, r6
 
 
 def independent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +36,26 @@ def hills_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hills.near_sums(points, "event_id", centres, axes, [5.0, 2.0]).select("event_id", r6("bias").alias("bias"))
 
 
-QUERIES = {f.__name__: f for f in (independent_rows, singular_parts, hills_near)}
+def flattened_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bias that undoes the free energy over (value, user_id), at every event."""
+    rows = events(spark, sf_dir).select("event_id", F.col("value").alias("x0"), F.col("user_id").cast("double").alias("x1"))
+    axes, boxes = Metric((Axis(0.0, 500.0), Axis(0.0, 60.0, periodic=True))), [(0.0, 500.0), (0.0, 60.0)]
+    inside = rows.withColumn("x1", F.col("x1") % 60 + 0.5)
+    box = spark.createDataFrame([(0.0, 500.0, 0.0, 60.0)], "lo_x0 double, hi_x0 double, lo_x1 double, hi_x1 double")
+    found = h.surface(h.assign(inside, ["x0", "x1"], 13, box), 300.0)
+    grid = found.select(F.floor(F.col("bin") / 12).alias("i0"), (F.col("bin") % 12).alias("i1"), F.greatest(-F.col("f"), F.lit(-6.0)).alias("value"))
+    return b.grid_energy(rows, grid, axes, boxes, 12, -6.0).select("event_id", F.round("energy", 5).alias("energy"))
+
+
+QUERIES = {f.__name__: f for f in (independent_rows, singular_parts, hills_near, flattened_2d)}
 
 SQL = {
+    "flattened_2d": f"""WITH g AS (SELECT CAST(floor(value / (500 / 12)) AS INT) i0, CAST(floor((user_id % 60 + 0.5) / 5) AS INT) i1, count(*) n FROM events WHERE value > 0 AND value < 500 GROUP BY 1, 2),
+v AS (SELECT i0, i1, greatest({KT} * ln(n / (SELECT max(n) FROM g)), -6) v FROM g),
+u AS (SELECT event_id, least(greatest(value / (500 / 12) - 0.5, 0), 11) u0, (user_id % 60) / 5 - 0.5 u1 FROM events),
+c AS (SELECT *, CAST(least(floor(u0), 10) AS INT) c0, CAST(floor(u1) AS INT) c1 FROM u)
+SELECT event_id, round(sum((CASE WHEN o0 = 1 THEN u0 - c0 ELSE 1 - u0 + c0 END) * (CASE WHEN o1 = 1 THEN u1 - c1 ELSE 1 - u1 + c1 END) * coalesce(v, -6)), 5) energy
+FROM c CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(o0, o1) LEFT JOIN v ON v.i0 = c0 + o0 AND v.i1 = (c1 + o1 + 12) % 12 GROUP BY event_id""",
     "independent_rows": """WITH w AS (SELECT event_type, value / 100 + 3 * sin(event_id / 400) x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) r FROM events),
 m AS (SELECT event_type, avg(x) mean, count(*) n FROM w GROUP BY 1),
 d AS (SELECT w.event_type, r, x - mean d, n FROM w JOIN m USING (event_type)),

@@ -71,7 +71,8 @@ class Loader:
     which the column `temperature` goes beyond it go as a whole; wall: an
     energy in kT that makes frames rarer in a draw; most: the free energy in
     kT up to which bins are drawn from; action: a column of which a partner's
-    gain gives a frame's dynamic weight.
+    gain gives a frame's dynamic weight; bounds: of each feature's grid, and the
+    frames' own if there are none (frames beyond them go).
     """
 
     traj: str
@@ -90,6 +91,14 @@ class Loader:
     wall: Column | None = None
     most: float | None = None
     action: str | None = None
+    bounds: list[tuple[float, float]] | None = None
+
+    def box(self, rows: DataFrame) -> DataFrame:
+        """One row: lo_<c> and hi_<c> of each feature."""
+        if self.bounds is None:
+            return h.bounds(rows, self.features)
+        names = [f"{p}_{c}" for c in self.features for p in ("lo", "hi")]
+        return rows.sparkSession.createDataFrame([tuple(float(v) for b in self.bounds for v in b)], ", ".join(f"`{n}` double" for n in names))
 
     def frames(self, frames: DataFrame) -> DataFrame:
         """Frames that count, each with its partner's features."""
@@ -144,7 +153,7 @@ class Loader:
         """
         rows = self.frames(frames).withColumn("i", F.lit("all") if self.window is None else F.col(self.window))
         rows = cut(self.biased(rows, [F.col(c) for c in self.features], "bias"))
-        box = h.bounds(rows, self.features)
+        box = self.box(rows)
         rows = h.assign(rows, self.features, self.edges, box)
         enough = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("rows_in")).where(F.col("rows_in") >= self.least).select("bin")
         rows = rows.join(enough, "bin", "left_semi")

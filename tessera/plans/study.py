@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,40 +13,75 @@ from tessera.functions import bias as b
 from tessera.functions.metric import Metric
 from tessera.operators import histogram as h
 from tessera.operators.fit import Estimator
-from tessera.plans.loader import load
+from tessera.plans.loader import Bias, Loader
+from tessera.sources.shared import cut
 from tessera.sources.store import Store
 
 
 @dataclass(frozen=True)
 class Study:
-    """One dimension of the features `cv` of a store's newest rounds, on a metric."""
+    """The first features `cv` of a store's newest rounds, one for each axis of a metric.
+
+    bounds fixes the grid (a pair a feature), so that surfaces of different
+    rounds have the same bins; without it, each surface has its frames' own.
+    windows has a row for each round (column win) with what its biases need;
+    biases are energies in kT of a round at given features.
+    """
 
     store: Store
     metric: Metric
     rounds: int = 1
     edges: int = 30
+    bounds: list[tuple[float, float]] | None = None
+    windows: DataFrame | None = None
+    biases: dict[str, Bias] = field(default_factory=dict)
+
+    @property
+    def features(self) -> list[str]:
+        return [f"x{k}" for k in range(len(self.metric.axes))]
 
     def rows(self) -> DataFrame:
-        """Frames of the last rounds with x0, their first feature, and a name for their window."""
+        """Frames of the last rounds with x0, x1, ..., their first features (within the box if periodic), and a name for their window."""
         frames = self.store.scan(num=self.rounds)
-        return frames.withColumns({"x0": F.get("cv", F.lit(0)), "traj_id": F.concat_ws("-", "cv_round", "round", "traj"), "win": F.col("round")})
-
-    def free_energy(self, bias: Callable | None = None, t: float = 300.0, skip: int = 0, lag: int = 0) -> DataFrame:
-        """bin, n, n_eff, density, f, sigma: by weights over windows, with its spread."""
-        weighed = load(self.rows(), "traj_id", ["row_id"], "x0", "win", bias, self.edges, skip, lag)
-        return h.surface(weighed, t, F.col("w"))
-
-    def midpoints(self) -> np.ndarray:
-        lo, hi = h.bounds(self.rows(), ["x0"]).first()
+        found = {f"x{k}": axis.wrap(F.get("cv", F.lit(k))) for k, axis in enumerate(self.metric.axes)}
+        return frames.withColumns(found | {"traj_id": F.concat_ws("-", "cv_round", "round", "traj"), "win": F.col("round")})
+
+    def free_energy(self, t: float = 300.0, skip: int = 0, lag: int = 0) -> DataFrame:
+        """bin, n, n_eff, density, f, sigma, observable and i0, i1, ..., the bin's place in each dimension: by weights over windows, with its spread. Bins without frames have no row."""
+        loader = Loader("traj_id", ["row_id"], "row_id", self.features, "win", self.windows, self.biases, self.edges, skip, lag, bounds=self.bounds)
+        found, rest, places = h.surface(loader.load(self.rows()), t, F.col("w")), F.col("bin"), {}
+        for k in reversed(range(len(self.features))):  # the first is the most significant
+            places[f"i{k}"] = F.pmod(rest, F.lit(self.edges - 1)).cast("int")
+            rest = F.floor(rest / (self.edges - 1))
+        return found.withColumns(places)
+
+    def boxes(self) -> list[tuple[float, float]]:
+        """The grid's bounds in each dimension."""
+        if self.bounds is not None:
+            return self.bounds
+        found = h.bounds(self.rows(), self.features).first()
+        return [(found[f"lo_{c}"], found[f"hi_{c}"]) for c in self.features]
+
+    def midpoints(self, feature: int = 0) -> np.ndarray:
+        lo, hi = self.boxes()[feature]
         return lo + (np.arange(self.edges - 1) + 0.5) * (hi - lo) / (self.edges - 1)
 
     def flattening(self, surface: DataFrame, kernel: str = "gaussian", epsilon: float = 8.0, smoothing: float = 1e-3, most: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
-        """The bias that undoes a free energy: an interpolant through -f at midpoints, weighed by its spread."""
+        """The bias that undoes a free energy, for the program that makes new frames: an interpolant through -f at midpoints, weighed by its spread.
+
+        A dense solve on the driver over the bins that hold frames; `energies` has no such bound.
+        """
         found = surface.orderBy("bin").toPandas()  # a row a bin
-        at = self.midpoints()[found["bin"]][:, None]
+        boxes, d = self.boxes(), len(self.features)
+        at = np.stack([lo + (found[f"i{k}"] + 0.5) * (hi - lo) / (self.edges - 1) for k, (lo, hi) in enumerate(boxes)], axis=1)
         f = found["f"].to_numpy() if most is None else np.minimum(found["f"].to_numpy(), most)
         fitted = b.interpolant(self.metric, at, -f, kernel, epsilon, smoothing, 0, found["sigma"].to_numpy())
-        return lambda x: b.interpolated(self.metric, np.asarray(x, float).reshape(-1, 1), at, fitted, kernel, epsilon)
+        return lambda x: b.interpolated(self.metric, np.asarray(x, float).reshape(-1, d), at, fitted, kernel, epsilon)
+
+    def energies(self, points: DataFrame, surface: DataFrame, most: float, name: str = "energy") -> DataFrame:
+        """points (x0, x1, ...) with the energy of the flattening bias, -f and at least -most: linear between the sparse grid's midpoints, -most where there were no frames."""
+        grid = surface.select(*[f"i{k}" for k in range(len(self.features))], F.greatest(-F.col("f"), F.lit(-most)).alias("value"))
+        return b.grid_energy(points, grid, self.metric, self.boxes(), self.edges - 1, -most, name)
 
     def start_frames(self, energy: Column | None, kt: float, groups: list[str], seed: int = 0) -> DataFrame:
         """A frame for each group, drawn with the chance its energy gives it: where new runs begin."""
@@ -76,5 +111,4 @@ class Study:
 
     def _kept(self, t: float) -> DataFrame:
         """A free energy as it is now: a row a bin."""
-        found = self.free_energy(t=t).select("bin", "f").collect()
-        return self.store.spark.createDataFrame([(r["bin"], r["f"]) for r in found], "bin int, f double")
+        return cut(self.free_energy(t=t).select("bin", "f"))

@@ -84,3 +84,46 @@ def test_hills_of_many_centres(spark):
     assert np.allclose([found[k] for k in range(len(points))], expected, rtol=1e-9, atol=1e-9)
     assert hills.near_sums(at, "key", of.limit(0), axes, [0.1, 0.2]).agg({"bias": "max"}).first()[0] == 0.0
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+
+
+def test_study_in_two_dimensions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import histogram as h
+    from tessera.plans.study import Study
+    from tessera.sources.store import Store
+
+    store, rng, centres = Store(spark, f"file://{tmp_path}/study"), np.random.default_rng(6), {0: -1.0, 1: 1.0}
+    kept = []
+
+    def add(k):
+        """Frames under a well at a centre of the first feature, over a harmonic surface in both."""
+        store.add_round({"cv_round": 0, "round": k})
+        x = np.stack([rng.normal(centres[k % 2] / 2, np.sqrt(0.5), 6000), np.mod(rng.normal(0, 1, 6000), 6.0)], axis=1)
+        kept.append(x)
+        store.append(spark.createDataFrame([(0, k, i % 3, i, [float(v) for v in r]) for i, r in enumerate(x)], "cv_round int, round int, traj int, row_id long, cv array<double>"))
+
+    add(0)
+    add(1)
+    windows = spark.createDataFrame([(k, centres[k % 2]) for k in range(4)], "win int, centre double")
+    well = lambda w, x: 0.5 * (x[0] - w["centre"]) ** 2
+    study = Study(store, Metric((Axis(-4.0, 4.0), Axis(0.0, 6.0, periodic=True))), 2, 17, [(-4.0, 4.0), (0.0, 6.0)], windows, {"well": well})
+    surface = study.free_energy()
+    found = surface.toPandas()
+    assert len(found) < 16 * 16 and set(found["bin"]) == set(found["i0"] * 16 + found["i1"])
+    x0, x1 = study.midpoints()[found["i0"]], study.midpoints(1)[found["i1"]]
+    x1 = np.where(x1 > 3, x1 - 6, x1)
+    good = (np.abs(x0) < 1.4) & (np.abs(x1) < 1.4)
+    off = (found["f"] - h.BOLTZMANN * 300 * (x0**2 + x1**2) / 2)[good]
+    assert good.sum() > 20 and np.abs(off - off.mean()).max() < 0.9
+    bias = study.flattening(surface)
+    assert np.corrcoef(bias(np.stack([x0, x1], axis=1)[good]), -found["f"][good])[0, 1] > 0.95
+
+    points = spark.createDataFrame([(k, float(a), float(c)) for k, (a, c) in enumerate(zip(x0, np.mod(x1, 6), strict=True))] + [(-1, None, 1.0), (-2, 99.0, 3.0), (-3, 0.25, 6.0 + 0.1875)], "k int, x0 double, x1 double")
+    energy = {r["k"]: r["energy"] for r in study.energies(points, surface, 12.0).collect()}
+    assert np.allclose([energy[k] for k in range(len(found))], np.maximum(-found["f"], -12.0))
+    assert energy[-1] is None and energy[-2] == -12.0
+    at = found.set_index(["i0", "i1"])["f"]
+    assert np.isclose(energy[-3], -at[(8, 0)])
+    assert len(study.until_agreed(lambda k, f: add(k + 2), most=2, agreed=5.0)) == 1
+    assert study.rows().select(F.max("x1")).first()[0] < 6
