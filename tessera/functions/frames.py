@@ -1,7 +1,7 @@
 """Per-frame algorithms that expressions can't hold: lattice reduction, canonical frames, descriptors, transport.
 
-Each is plain numpy for one frame; `per_frame` runs one over a table in Arrow
-batches.
+Most are plain numpy for one frame; `per_frame` runs one over a table in Arrow
+batches, and `per_block` runs one that takes many padded frames at once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -28,6 +29,45 @@ def per_frame(rows: DataFrame, columns: list[str], f: Callable[..., np.ndarray],
     return rows.mapInPandas(run, f"{fields}, `{name}` {kind}")
 
 
+#: Numbers of one padded block that are worked on at once, at most.
+BLOCK = 1 << 20
+
+
+def per_block(rows: DataFrame, column: str, f: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, power: int = 1) -> DataFrame:
+    """rows with `name`, an array of arrays: f's rows for each point of a frame, an array<array<double>> column.
+
+    Frames of like sizes are padded with NaN to one (frames, points, d) array
+    and f works on all of them at once, with their sizes; it gives (frames,
+    points, ...), of which the padding is cut off. power says by which power of
+    the number of points f's memory grows; blocks are sized by it. Frames that
+    are null or hold a null give null, frames without points an empty array.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values: list = [None] * b.num_rows
+            frames = b.column(column).to_pylist()
+            sizes = np.array([-1 if x is None or any(v is None or None in v for v in x) else len(x) for x in frames], np.int64)
+            for k in np.flatnonzero(sizes == 0):
+                values[k] = []
+            like = np.where(sizes > 0, np.ceil(np.log2(np.maximum(sizes, 1))), -1).astype(int)
+            for width in np.unique(like[like >= 0]):
+                own = np.flatnonzero(like == width)
+                most = int(sizes[own].max())
+                step = max(1, BLOCK // most**power)
+                for part in (own[at : at + step] for at in range(0, len(own), step)):
+                    block = np.full((len(part), most, len(frames[part[0]][0])), np.nan)
+                    for place, k in enumerate(part):
+                        block[place, : sizes[k]] = frames[k]
+                    for k, found in zip(part, f(block, sizes[part]), strict=True):
+                        values[k] = found[: sizes[k]].reshape(sizes[k], -1).tolist()
+            names = [n for n in b.schema.names if n != name]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(values, pa.list_(pa.list_(pa.float64())))], [*names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != name)
+    return rows.mapInArrow(run, f"{fields}, `{name}` array<array<double>>")
+
+
 def minkowski_reduce(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shortest basis of a lattice and the whole-number rows that make it: reduced = op @ cell.
 
@@ -126,6 +166,23 @@ def bessel_spectrum(positions: np.ndarray, r_cut: float = 3.0, n_max: int = 3, l
     return np.array(out)
 
 
+def bessel_spectra(positions: np.ndarray, sizes: np.ndarray, r_cut: float = 3.0, n_max: int = 3, l_max: int = 2) -> np.ndarray:
+    """bessel_spectrum of many frames at once, padded to one (frames, points, 3) array."""
+    live = np.arange(positions.shape[1]) < sizes[:, None]
+    p = np.where(live[..., None], positions, 0.0)
+    d = p[:, None] - p[:, :, None]
+    r = np.linalg.norm(d, axis=-1)
+    near = (r < r_cut) & (r > 1e-12) & live[:, None] & live[:, :, None]
+    x = np.where(near, r, 1.0)
+    fade = np.where(near, 0.5 * (1 + np.cos(np.pi * x / r_cut)), 0.0)
+    radial = np.stack([spherical_jn(l_max, (n + 1) * np.pi * x / r_cut) * fade for n in range(n_max)])
+    u = d / x[..., None]
+    angular = legendre(l_max, np.clip(u @ u.swapaxes(-1, -2), -1, 1))
+    half = np.einsum("laijk,mlaik->mlaij", angular, radial)
+    spectrum = np.einsum("nlaij,mlaij->nmlai", radial, half)[np.triu_indices(n_max)]
+    return np.moveaxis(spectrum, (0, 1), (-2, -1)).reshape(*positions.shape[:2], -1)
+
+
 def sinkhorn(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, steps: int = 1000, tol: float = 1e-12) -> float:
     """Entropic transport cost between two sets of feature rows with even weights, in logarithms."""
     cost = ((x[:, None] - y[None]) ** 2).sum(-1)

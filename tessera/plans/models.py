@@ -221,10 +221,10 @@ def lattice_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def descriptor_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.functions.frames import bessel_spectrum, per_frame
+    from tessera.functions.frames import bessel_spectra, per_block
 
     atoms = F.array(*[F.slice("x", 3 * i + 1, 3) for i in range(8)])
-    return per_frame(vectors(spark, sf_dir).select("vec_id", atoms.alias("atoms")), ["atoms"], bessel_spectrum, "spectrum").select("vec_id", "spectrum")
+    return per_block(vectors(spark, sf_dir).select("vec_id", atoms.alias("atoms")), "atoms", bessel_spectra, "spectrum", 3).select("vec_id", "spectrum")
 
 
 def fitted_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

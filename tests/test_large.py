@@ -127,3 +127,16 @@ def test_study_in_two_dimensions(spark, tmp_path):
     assert np.isclose(energy[-3], -at[(8, 0)])
     assert len(study.until_agreed(lambda k, f: add(k + 2), most=2, agreed=5.0)) == 1
     assert study.rows().select(F.max("x1")).first()[0] < 6
+
+
+def test_padded_blocks_equal_single_frames(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    frames = [rng.uniform(-1.5, 1.5, (n, 3)) for n in (1, 2, 3, 5, 8, 8, 13, 4, 7)]
+    rows = [(k, x.tolist(), "kept") for k, x in enumerate(frames)] + [(-1, None, None), (-2, [], "kept"), (-3, [[1.0, None, 2.0]], "kept")]
+    df = spark.createDataFrame(rows, "id int, atoms array<array<double>>, spectrum string").coalesce(1)
+    for block in (1 << 20, 300):
+        monkeypatch.setattr(fr, "BLOCK", block)
+        got = {r["id"]: r["spectrum"] for r in fr.per_block(df, "atoms", fr.bessel_spectra, "spectrum", 3).collect()}
+        assert got[-1] is None and got[-3] is None and got[-2] == []
+        for k, x in enumerate(frames):
+            assert np.allclose(got[k], fr.bessel_spectrum(x), atol=1e-10)
