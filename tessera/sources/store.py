@@ -83,12 +83,21 @@ class Store:
         return json.loads(latest(self.spark.read.parquet(self._path("walls")), ["wall"]).first()["parameters"]) if self._there("walls") else None
 
     def _put(self, name: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path(name))
+        self._add_version(self.spark.createDataFrame([row], schema), name)
+
+    def _add_version(self, rows: DataFrame, name: str) -> None:
+        """Appends rows as a version after all that are there: by the clock, or a microsecond after the newest where that is ahead of it."""
+        if self._there(name):
+            after = self.spark.read.parquet(self._path(name)).agg((F.max("version") + F.expr("interval 1 microsecond")).alias("after"))
+            rows = rows.crossJoin(F.broadcast(after)).withColumn("version", F.greatest(F.current_timestamp(), "after")).drop("after")  # one row
+        else:
+            rows = rows.withColumn("version", F.current_timestamp())
+        rows.write.mode("append").parquet(self._path(name))
 
     def set_round(self, cv_round: int, round_: int, invalid: bool) -> None:
         """Sets or clears a round's invalid flag."""
         old = self.rounds().where((F.col("cv_round") == cv_round) & (F.col("round") == round_))
-        old.withColumn("invalid", F.lit(invalid)).withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path("rounds"))
+        self._add_version(old.withColumn("invalid", F.lit(invalid)), "rounds")
 
     def counts(self) -> DataFrame:
         """cv_round, round, trajectories, rows: what each round holds."""
@@ -116,11 +125,11 @@ class Store:
 
     def mark(self, flags: DataFrame) -> None:
         """Adds versions of trajectories' metadata; the latest version of each counts, so flags are set without rewriting."""
-        flags.withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path("trajectories"))
+        self._add_version(flags, "trajectories")
 
     def add_round(self, values: dict) -> None:
         row = self.spark.createDataFrame([tuple(values.get(f.name) for f in T._parse_datatype_string(ROUNDS))], ROUNDS)
-        row.withColumn("version", F.current_timestamp()).write.mode("append").parquet(self._path("rounds"))
+        self._add_version(row, "rounds")
 
     def frames(self) -> DataFrame:
         return self.spark.read.schema(FRAMES).parquet(self._path("frames")).select(*FRAMES.names)

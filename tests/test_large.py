@@ -140,3 +140,24 @@ def test_padded_blocks_equal_single_frames(spark, monkeypatch):
         assert got[-1] is None and got[-3] is None and got[-2] == []
         for k, x in enumerate(frames):
             assert np.allclose(got[k], fr.bessel_spectrum(x), atol=1e-10)
+
+
+def test_a_later_version_counts_whatever_the_clock_says(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/clocks")
+    store.add_round({"cv_round": 0, "round": 0, "temperature": 300.0})
+    path = f"{store.root}/rounds"
+    ahead = spark.read.parquet(path).withColumn("temperature", F.lit(310.0)).withColumn("version", F.col("version") + F.expr("interval 1 day"))  # by a driver whose clock is ahead
+    ahead.write.mode("append").parquet(path)
+    assert store.rounds().first()["temperature"] == 310.0
+    store.set_round(0, 0, True)
+    assert store.rounds().first()["invalid"]
+    store.set_round(0, 0, False)
+    assert not store.rounds().first()["invalid"] and store.rounds().first()["temperature"] == 310.0
+    store.add_permanent_bias({"k": 1})
+    store.add_permanent_bias({"k": 2})
+    assert store.permanent_bias() == {"k": 2}
+    assert spark.read.parquet(path).select("version").distinct().count() == 4
