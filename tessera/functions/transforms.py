@@ -7,8 +7,10 @@ pipelines into one projection.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import wraps
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -19,25 +21,36 @@ Op = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Transform:
-    """An array<double> column to another; back undoes it, where it can be undone."""
+    """An array<double> column to another; back undoes it, where it can be undone.
+
+    spec is the builder's name and arguments that it was made of; none for
+    transforms of free functions, which can't be written down.
+    """
 
     apply: Op
     back: Op | None = None
+    spec: list | None = None
 
     def __call__(self, x: Column) -> Column:
         return self.apply(x)
 
     def __mul__(self, after: Transform) -> Transform:
         both = self.back and after.back
-        return Transform(lambda x: after.apply(self.apply(x)), (lambda y: self.back(after.back(y))) if both else None)
+        return Transform(lambda x: after.apply(self.apply(x)), (lambda y: self.back(after.back(y))) if both else None, _joined("*", self, after))
 
     def __add__(self, beside: Transform) -> Transform:
-        return Transform(lambda x: F.concat(self.apply(x), beside.apply(x)))
+        return Transform(lambda x: F.concat(self.apply(x), beside.apply(x)), spec=_joined("+", self, beside))
 
     def inverse(self) -> Transform:
         if self.back is None:
             raise ValueError("this transform can't be undone")
-        return Transform(self.back, self.apply)
+        return Transform(self.back, self.apply, _joined("inverse", self))
+
+    def to_json(self) -> str:
+        """This transform as text, for `from_json`."""
+        if self.spec is None:
+            raise ValueError("a transform of free functions can't be written down")
+        return json.dumps(self.spec, default=lambda v: v.tolist())  # numbers and arrays of numpy
 
     def jacobian(self, dims: int, step: float = 1e-5) -> Op:
         """The matrix of derivatives, a row an input dimension, by central differences; one projection, no shuffle."""
@@ -52,6 +65,44 @@ class Transform:
         return rows.select(self.apply(F.col(column)).alias("y")).schema["y"].dataType.simpleString()
 
 
+#: Builders of transforms that can be written down, by name.
+BUILDERS: dict[str, Callable[..., Transform]] = {
+    "*": lambda f, g: f * g,
+    "+": lambda f, g: f + g,
+    "inverse": lambda f: f.inverse(),
+}
+
+
+def _joined(name: str, *parts: Transform) -> list | None:
+    return None if any(p.spec is None for p in parts) else [name, [{"of": p.spec} for p in parts], {}]
+
+
+def kept(build: Callable[..., Transform]) -> Callable[..., Transform]:
+    """A builder whose transforms can be written down, by its name and arguments."""
+
+    @wraps(build)
+    def named(*args, **more) -> Transform:  # noqa: ANN002, ANN003
+        given = [*args, *more.values()]
+        if any(isinstance(v, Transform) and v.spec is None for v in given):
+            return build(*args, **more)
+        plain = lambda v: {"of": v.spec} if isinstance(v, Transform) else v
+        return replace(build(*args, **more), spec=[build.__name__, [plain(v) for v in args], {k: plain(v) for k, v in more.items()}])
+
+    BUILDERS[build.__name__] = named
+    return named
+
+
+def from_json(text: str) -> Transform:
+    """The transform that `to_json` wrote down. Only builders of this module are called; a name that isn't one raises KeyError."""
+
+    def built(spec: list) -> Transform:
+        name, args, more = spec
+        whole = lambda v: built(v["of"]) if isinstance(v, dict) else v
+        return BUILDERS[name](*[whole(v) for v in args], **{k: whole(v) for k, v in more.items()})
+
+    return built(json.loads(text))
+
+
 def vector(*values: float) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -60,31 +111,38 @@ def each(f: Op) -> Transform:
     return Transform(lambda x: F.transform(x, f))
 
 
-identity = Transform(lambda x: x)
+identity = Transform(lambda x: x, lambda y: y, ["identity", [], {}])
+BUILDERS["identity"] = lambda: identity
 
 
+@kept
 def take(*at: int) -> Transform:
     """The dimensions at these places, from 0."""
     return Transform(lambda x: F.array(*[F.get(x, F.lit(k)) for k in at]))
 
 
+@kept
 def part(start: int, length: int) -> Transform:
     """A run of dimensions, from 0: undoes one part of a joined array."""
     return Transform(lambda x: F.slice(x, start + 1, length))
 
 
+@kept
 def append(*values: float) -> Transform:
     return Transform(lambda x: F.concat(x, vector(*values)))
 
 
+@kept
 def shift(*by: float) -> Transform:
     return Transform(lambda x: F.zip_with(x, vector(*by), lambda a, b: a + b), lambda y: F.zip_with(y, vector(*by), lambda a, b: a - b))
 
 
+@kept
 def scale(*by: float) -> Transform:
     return Transform(lambda x: F.zip_with(x, vector(*by), lambda a, b: a * b), lambda y: F.zip_with(y, vector(*by), lambda a, b: a / b))
 
 
+@kept
 def constant(*values: float) -> Transform:
     """The same outcome for every input."""
     return Transform(lambda x: vector(*values))
@@ -96,7 +154,8 @@ def of_function(f: Op) -> Transform:
 
 
 #: An array of arrays as one array.
-flat = Transform(F.flatten)
+flat = Transform(F.flatten, spec=["flat", [], {}])
+BUILDERS["flat"] = lambda: flat
 
 
 def learnable_scale(dims: int, seed: int, spread: float = 0.1) -> tuple[Callable[[list[float]], Transform], list[float]]:
@@ -136,17 +195,20 @@ def spectral(rows: list[list[float]], steps: int = 5) -> list[list[float]]:
     return (m / max(u @ m @ v, 1e-12)).tolist()
 
 
+@kept
 def min_max(lo: list[float], hi: list[float]) -> Transform:
     """To [0, 1] by given bounds; a constant dimension keeps its scale."""
     return shift(*[-v for v in lo]) * scale(*[1 / (h - v) if h > v else 1.0 for v, h in zip(lo, hi, strict=True)])
 
 
+@kept
 def standardise(mean: list[float], std: list[float], keep_mean: bool = False) -> Transform:
     """(x - mean) / std; a constant dimension gives 0 (or its mean)."""
     out = shift(*[-m for m in mean]) * scale(*[1 / s if s else 0.0 for s in std])
     return out * shift(*mean) if keep_mean else out
 
 
+@kept
 def matmul(rows: list[list[float]]) -> Transform:
     """x @ M, for M given by rows."""
     columns = list(zip(*rows, strict=True))
@@ -154,10 +216,12 @@ def matmul(rows: list[list[float]]) -> Transform:
     return Transform(lambda x: F.array(*[dot(x, c) for c in columns]))
 
 
+@kept
 def linear(rows: list[list[float]], bias: list[float] | None = None) -> Transform:
     return matmul(rows) * shift(*bias) if bias else matmul(rows)
 
 
+@kept
 def rotate_2d(alpha: float) -> Transform:
     import math
 
@@ -165,11 +229,13 @@ def rotate_2d(alpha: float) -> Transform:
     return matmul([[c, s], [-s, c]])
 
 
+@kept
 def project_distances(a: float) -> Transform:
     """Two distances to their place along and across the line between their ends."""
     return Transform(lambda r: F.array(((F.get(r, F.lit(1)) * F.get(r, F.lit(1)) - F.get(r, F.lit(0)) * F.get(r, F.lit(0))) / (2 * a)) / a + 0.5, (F.get(r, F.lit(0)) + F.get(r, F.lit(1))) / (2 * a)))
 
 
+@kept
 def monomials(dims: int, order: int, inverse: bool = False) -> Transform:
     """All products of `order` factors out of 1 and the dimensions (and their inverses)."""
 
@@ -188,21 +254,33 @@ def monomials(dims: int, order: int, inverse: bool = False) -> Transform:
     return Transform(apply)
 
 
-def indicators(lo: float, hi: float, n: int, dim: int = 0) -> Transform:
-    """n soft steps (tanh) along one dimension, at even places between lo and hi."""
-    width = (hi - lo) / n
-    return Transform(lambda x: F.array(*[(F.tanh((F.get(x, F.lit(dim)) - F.lit(lo + (k + 0.5) * width)) / F.lit(width)) + 1) / 2 for k in range(n)]))
+@kept
+def indicators(lo: float, hi: float, n: int, dim: int = 0, periodic: bool = False) -> Transform:
+    """n soft steps (tanh) along one dimension, at even places between lo and hi; on a circle from lo to hi each falls again half a turn on."""
+    width, turn = (hi - lo) / n, hi - lo
+
+    def one(x: Column, k: int) -> Column:
+        d = F.get(x, F.lit(dim)) - F.lit(lo + (k + 0.5) * width)
+        if periodic:
+            d = F.pmod(d + turn / 2, F.lit(turn)) - turn / 2
+            d = F.when(F.abs(d) <= turn / 4, d).otherwise(F.signum(d) * (turn / 2 - F.abs(d)))
+        return (F.tanh(d / F.lit(width)) + 1) / 2
+
+    return Transform(lambda x: F.array(*[one(x, k) for k in range(n)]))
 
 
+@kept
 def group_sort(size: int, groups: int) -> Transform:
     """Sorts within fixed groups of dimensions."""
     return Transform(lambda x: F.flatten(F.array(*[F.array_sort(F.slice(x, g * size + 1, size)) for g in range(groups)])))
 
 
+@kept
 def smooth_abs(eps: float = 1e-6) -> Transform:
     return each(lambda v: F.sqrt(v * v + eps))
 
 
+@kept
 def leak(f: Transform, alpha: float) -> Transform:
     """(1 - alpha) f(x) + alpha x."""
     return Transform(lambda x: F.zip_with(f(x), x, lambda a, b: (1 - alpha) * a + alpha * b))
@@ -236,8 +314,10 @@ ACTIVATIONS: dict[str, Transform] = {
 }
 
 
+@kept
 def activation(name: str, alpha: float = 0.0) -> Transform:
-    return leak(ACTIVATIONS[name], alpha) if alpha else ACTIVATIONS[name]
+    f = ACTIVATIONS[name]
+    return leak(f, alpha) if alpha else f
 
 
 def soft_max(x: Column) -> Column:
@@ -246,26 +326,31 @@ def soft_max(x: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda acc, w: acc + w))
 
 
+@kept
 def periodic_pair(dims: int) -> Transform:
     """cos and sin of each angle: the real form of exp(ix)."""
     return Transform(lambda x: F.array(*[f(F.get(x, F.lit(k))) for k in range(dims) for f in (F.cos, F.sin)]))
 
 
+@kept
 def angle_of_pair(dims: int) -> Transform:
     """The angles that periodic_pair was made of, in (-pi, pi]."""
     return Transform(lambda x: F.array(*[F.atan2(F.get(x, F.lit(2 * k + 1)), F.get(x, F.lit(2 * k))) for k in range(dims)]))
 
 
+@kept
 def real_parts(dims: int) -> Transform:
     """The real part of each of periodic_pair's numbers."""
     return take(*range(0, 2 * dims, 2))
 
 
+@kept
 def scatter(*to: int) -> Transform:
     """Dimension k goes to place to[k]."""
     return take(*sorted(range(len(to)), key=lambda k: to[k]))
 
 
+@kept
 def clip(lo: float, hi: float) -> Transform:
     return each(lambda v: F.greatest(F.lit(lo), F.least(F.lit(hi), v)))
 
@@ -306,12 +391,14 @@ def invariant_polynomials(groups: list[list[Column]], top: int = 2) -> Column:
     return F.array(*[power_sum(g, n) for g in groups for n in range(1, top + 1)])
 
 
+@kept
 def centre_periodic(*angles: float) -> Transform:
     """Each angle relative to a centre, in [-pi, pi)."""
     two_pi = 6.283185307179586
     return Transform(lambda x: F.zip_with(x, vector(*angles), lambda v, a: F.pmod(v - a + two_pi / 2, F.lit(two_pi)) - two_pi / 2))
 
 
+@kept
 def affine_2d(old: list[tuple[float, float]], new: list[tuple[float, float]]) -> Transform:
     """The perspective map that takes four points to four others."""
     import numpy as np
@@ -330,6 +417,7 @@ def affine_2d(old: list[tuple[float, float]], new: list[tuple[float, float]]) ->
     return Transform(apply)
 
 
+@kept
 def reduce_parts(length: int, count: int, mean: bool = True) -> Transform:
     """Sum or mean over `count` equal parts of a joined array."""
 

@@ -1,4 +1,4 @@
-"""Queries of operators for long trajectories, tall tables and many centres."""
+"""Queries of operators for long trajectories, tall tables, many centres, and fits to moments."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bias as b
 from tessera.functions.metric import Axis, Metric
-from tessera.operators import correlation, hills
+from tessera.operators import correlation, fit, hills, precision
 from tessera.operators import histogram as h
 from tessera.operators import moments as mo
-from tessera.plans.common import KT, ORDER, events, r6
+from tessera.plans.common import KT, ORDER, events, r6, table, vectors
 
 
 def independent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,21 @@ def flattened_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.grid_energy(rows, grid, axes, boxes, 12, -6.0).select("event_id", F.round("energy", 5).alias("energy"))
 
 
-QUERIES = {f.__name__: f for f in (independent_rows, singular_parts, hills_near, flattened_2d)}
+def partial_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalised partial correlation of quantity with a price that it is part of, by return flag and status."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("part_price", F.col("l_quantity") + F.col("l_extendedprice") / 2000)
+    found = precision.partial_links(rows, ["l_quantity", "part_price"], ["l_returnflag", "l_linestatus"], penalty=0.1)
+    return found.select("l_returnflag", "l_linestatus", "n", *[r6(c).alias(c) for c in ("c", "partial", "precision")])
+
+
+def fitted_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's indicator: two soft steps along its first dimension, weighed to set labels apart."""
+    rows = vectors(spark, sf_dir).select("vec_id", "label", F.slice("x", 1, 1).alias("x"))
+    f = fit.soft_steps(2, 1, "label").fit(rows, "x", None)
+    return rows.select("vec_id", F.round(F.get(f(F.col("x")), F.lit(0)), 5).alias("indicator"))
+
+
+QUERIES = {f.__name__: f for f in (independent_rows, singular_parts, hills_near, flattened_2d, partial_links, fitted_steps)}
 
 SQL = {
     "flattened_2d": f"""WITH g AS (SELECT CAST(floor(value / (500 / 12)) AS INT) i0, CAST(floor((user_id % 60 + 0.5) / 5) AS INT) i1, count(*) n FROM events WHERE value > 0 AND value < 500 GROUP BY 1, 2),
@@ -69,4 +83,19 @@ SELECT event_id, round(abs(value * cos(u) + user_id * sin(u)), 5) p0, round(abs(
 round(sqrt((a + c) / 2 + h), 4) s0, round(sqrt((a + c) / 2 - h), 4) s1 FROM events, t""",
     "hills_near": """SELECT p.event_id, round(sum((1 + c.event_id % 3) * exp(-pow(p.value - c.value - 500 * round((p.value - c.value) / 500), 2) / 50 - pow(p.user_id - c.user_id, 2) / 8)), 6) bias
 FROM events p JOIN events c ON c.user_id BETWEEN p.user_id - 40 AND p.user_id + 40 GROUP BY 1""",
+    "partial_links": """WITH RECURSIVE g AS (SELECT l_returnflag, l_linestatus, count(*) n, corr(l_quantity, l_quantity + l_extendedprice / 2000) c, stddev_pop(l_quantity) s0, stddev_pop(l_quantity + l_extendedprice / 2000) s1 FROM lineitem GROUP BY 1, 2),
+h AS (SELECT *, 0 k, -c lo, 0::DOUBLE hi FROM g
+UNION ALL SELECT l_returnflag, l_linestatus, n, c, s0, s1, k + 1, CASE WHEN (lo + hi) / 2 + c < 0.1 * (1 - (lo + hi) * (lo + hi) / 4) * (1 + (lo + hi) / 2 * c) THEN (lo + hi) / 2 ELSE lo END,
+CASE WHEN (lo + hi) / 2 + c < 0.1 * (1 - (lo + hi) * (lo + hi) / 4) * (1 + (lo + hi) / 2 * c) THEN hi ELSE (lo + hi) / 2 END FROM h WHERE k < 50)
+SELECT l_returnflag, l_linestatus, n, round(c, 6) c, round(-lo, 6) partial, round(lo / (1 + lo * c) / (s0 * s1), 6) "precision" FROM h WHERE k = 50""",
+    "fitted_steps": """WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE x FROM embeddings), b AS (SELECT min(x) lo, (max(x) - min(x)) / 2 w FROM v),
+s AS (SELECT vec_id, label, (tanh((x - lo - w / 2) / w) + 1) / 2 p, (tanh((x - lo - 3 * w / 2) / w) + 1) / 2 q FROM v, b),
+t AS (SELECT var_pop(p) tp, covar_pop(p, q) tx, var_pop(q) tq FROM s),
+l AS (SELECT avg(p) OVER (PARTITION BY label) p, avg(q) OVER (PARTITION BY label) q FROM s),
+m AS (SELECT *, tp * tq - tx * tx det FROM t, (SELECT var_pop(p) bp, covar_pop(p, q) bx, var_pop(q) bq FROM l)),
+e AS (SELECT *, (bp * tq + bq * tp - 2 * bx * tx) / (2 * det) half, (bp * bq - bx * bx) / det prod FROM m),
+r AS (SELECT *, half + sqrt(half * half - prod) top FROM e),
+d AS (SELECT *, top * tx - bx y0, bp - top * tp y1 FROM r),
+n AS (SELECT *, sqrt(y0 * y0 * tp + 2 * y0 * y1 * tx + y1 * y1 * tq) len FROM d)
+SELECT vec_id, round((y0 * p + y1 * q) / len * sign(CASE WHEN abs(y0) > abs(y1) THEN y0 ELSE y1 END), 5) AS indicator FROM s, n""",
 }

@@ -88,12 +88,17 @@ class Study:
         return h.draw_near(self.rows(), F.lit(0.0) if energy is None else energy, kt, "row_id", groups, seed)
 
     def update_features(self, estimator: Estimator, cv_round: int, name: str, lag: int = 1) -> None:
-        """Fits new features on the frames and their lagged partners, and stores the frames under a new cv_round, the old features with them."""
+        """Fits new features on the frames and their lagged partners, and stores the frames under a new cv_round, the old features with them.
+
+        The transform is kept in the store, unless it holds free functions: `store.features(cv_round)` gives it back.
+        """
         from tessera.operators import series as s
 
         pairs = s.lag_pairs(self.rows(), "traj_id", ["row_id"], ["cv"], lag).select("cv", F.col("cv_t").alias("later"))
         f = estimator.fit(pairs, "cv", "later")
         self.store.add_cv(name, {"lag": lag}, cv_round)
+        if f.spec is not None:
+            self.store.keep_features(cv_round, f)
         self.store.copy_round(cv_round, f(F.col("cv")))  # before its round is the newest
         self.store.add_round({"cv_round": cv_round, "round": 0})
 

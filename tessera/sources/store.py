@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.transforms import Transform, from_json
+
 _SCALARS = ["t", "e_pot", "e_bias", "temperature", "pressure", "err", "w", "w_t", "rho", "rho_t", "sigma", "A", "w_dyn"]
 _ROWS = ["positions", "positions_t", "cell", "cell_t"]
 _VECTORS = ["charges", "cv", "cv_t", "cv_orig"]
@@ -75,6 +77,17 @@ class Store:
     def cv_parameters(self, cv_round: int) -> dict:
         return json.loads(self.cvs().where(F.col("cv_round") == cv_round).first()["parameters"])
 
+    def keep_features(self, cv_round: int, features: Transform) -> None:
+        """Writes down the transform that gave a cv_round's features, so that it can be applied again after a restart."""
+        self._put("features", "cv_round int, transform string", (cv_round, features.to_json()))
+
+    def features(self, cv_round: int) -> Transform:
+        """The newest transform kept for a cv_round. KeyError if there is none."""
+        found = latest(self.spark.read.parquet(self._path("features")), ["cv_round"]).where(F.col("cv_round") == cv_round).first() if self._there("features") else None
+        if found is None:
+            raise KeyError(f"no features are kept for cv_round {cv_round}")
+        return from_json(found["transform"])
+
     def add_permanent_bias(self, values: dict) -> None:
         """Parameters of a wall that holds in all rounds."""
         self._put("walls", "wall int, parameters string", (0, json.dumps(values, sort_keys=True)))

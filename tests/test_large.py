@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import frames as fr
 from tessera.functions.metric import Axis, Metric
@@ -161,3 +163,122 @@ def test_a_later_version_counts_whatever_the_clock_says(spark, tmp_path):
     store.add_permanent_bias({"k": 2})
     assert store.permanent_bias() == {"k": 2}
     assert spark.read.parquet(path).select("version").distinct().count() == 4
+
+
+def planted(seed=4, p=8, n=6000):
+    rng = np.random.default_rng(seed)
+    q = np.eye(p)
+    for i in range(p - 1):
+        q[i, i + 1] = q[i + 1, i] = -0.4
+    return rng.multivariate_normal(np.zeros(p), np.linalg.inv(q), n) * 10.0 ** rng.integers(-3, 4, p)
+
+
+def test_scaled_precision_reaches_the_least_objective():
+    """At the end no slope of the objective is left: of scales, of links, and within the penalty where there is no link."""
+    from tessera.operators.precision import objective, scaled_precision
+
+    c = np.corrcoef(planted().T)
+    for penalty, alpha in ((0.05, 0.0), (0.2, 0.1), (0.0, 0.0), (5.0, 0.0)):
+        r, d = scaled_precision(c, penalty, alpha)
+        assert np.allclose(np.diag(r), 1) and np.linalg.eigvalsh(r).min() > 0
+        assert np.allclose(d * ((r * c) @ d), 1 - alpha, atol=1e-7)
+        slope = 2 * (c * np.outer(d, d) - np.linalg.inv(r))
+        off = ~np.eye(len(c), dtype=bool)
+        there = off & (r != 0)
+        assert np.allclose(slope[there] + 2 * penalty * np.sign(r[there]), 0, atol=1e-6)
+        assert (np.abs(slope[off & (r == 0)]) <= 2 * penalty + 1e-6).all()
+        best, rng = objective(r, d, c, penalty, alpha), np.random.default_rng(0)
+        for _ in range(200):
+            near = rng.normal(0, 1e-3, r.shape)
+            near = r + np.where(off, near + near.T, 0)
+            assert objective(near, d * np.exp(rng.normal(0, 1e-3, len(d))), c, penalty, alpha) > best - 1e-9
+    assert np.allclose(scaled_precision(c, 0.0)[0] * np.outer(*[scaled_precision(c, 0.0)[1]] * 2), np.linalg.inv(c), atol=1e-6)
+    assert np.allclose(scaled_precision(c, 5.0)[0], np.eye(8))
+
+
+def test_partial_links_by_group(spark):
+    from tessera.operators.precision import partial_links
+
+    x = planted()
+    names = [f"v{k}" for k in range(8)]
+    rows = pd.DataFrame(x, columns=names).assign(g=["a", None] * 3000, w=1.0)
+    rows.loc[len(rows)] = [*[np.nan] * 8, "c", 1.0]
+    rows["v7"] = np.where(rows["g"] == "a", rows["v7"], 3.0)
+    df = spark.createDataFrame(rows).withColumn("v0", F.nanvl("v0", F.lit(None).cast("double")))
+    got = partial_links(df, names, ["g"], penalty=0.1).toPandas()
+    assert len(got) == 2 * 28 and set(got["n"]) == {3000}
+    one = got[got["g"] == "a"]
+    chain = one["j"] == one["i"] + 1
+    assert (one[chain]["partial"] > 0.25).all() and (one[~chain]["partial"].abs() < 0.02).all()
+    other = got[(got["g"] != "a") & (got["j"] == 7)]
+    assert (other["partial"] == 0).all() and other["precision"].isna().all()
+    weighted = partial_links(df.where("g = 'a'"), names, weight="w", penalty=0.1).toPandas()
+    assert np.allclose(weighted["partial"], one["partial"], atol=1e-6) and list(weighted.columns) == ["n", "i", "j", "c", "partial", "precision"]
+    assert partial_links(df.limit(0), names).count() == 0
+    assert partial_links(df.where("g = 'a'"), ["v0"]).count() == 0  # no pairs
+
+
+def test_soft_steps_set_planted_groups_apart(spark):
+    from tessera.operators.fit import soft_steps, steps_apart
+
+    rng = np.random.default_rng(8)
+    centres = np.array([[0.0, 0.0, 0.0], [3.0, 0.0, 2.8], [0.0, 3.0, -2.8]])
+    label = rng.integers(0, 3, 3000)
+    x = centres[label] + rng.normal(0, 0.35, (3000, 3))
+    x[:, 2] = (x[:, 2] + np.pi) % (2 * np.pi) - np.pi
+    df = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "label": label}))
+    f = soft_steps(5, 2, "label", [False, False, True]).fit(df, "x", None)
+    got = np.array(df.select(f(F.col("x")).alias("y")).toPandas()["y"].tolist())
+    assert np.allclose(np.cov(got.T), np.eye(2), atol=1e-2)
+    middle = np.array([got[label == k].mean(0) for k in range(3)])
+    nearest = np.linalg.norm(got[:, None] - middle, axis=2).argmin(1)
+    assert (nearest == label).mean() > 0.995
+    # one input: the score is the largest ratio of all combinations; more inputs: no move lowers it
+    a, b = rng.normal(size=(200, 6)), rng.normal(size=(20, 6))
+    total, between = a.T @ a / 200, b.T @ b / 60
+    most = np.linalg.eigvals(np.linalg.solve(total, between)).real.max()
+    assert abs(steps_apart(between, total, 6, 1)[2][-1] - most) < 1e-8
+    _, _, scores = steps_apart(between, total, 2, 2)
+    assert len(scores) > 2 and (np.diff(scores) >= 0).all()
+    # a slow flip between two sides, and lagged partners instead of labels
+    side = np.cumsum(rng.random(4000) < 0.01) % 2 * 4.0
+    series = np.stack([rng.normal(0, 2, 4000), side + rng.normal(0, 0.3, 4000)], axis=1)
+    lagged = spark.createDataFrame(pd.DataFrame({"x": series[:-1].tolist(), "y": series[1:].tolist()}))
+    slow_f = soft_steps(4, 1).fit(lagged, "x", "y")
+    got = np.array(lagged.select(slow_f(F.col("x")).alias("y")).toPandas()["y"].tolist())[:, 0]
+    assert abs(np.corrcoef(got, side[:-1])[0, 1]) > 0.98
+
+
+def test_transforms_are_written_down(spark):
+    from tessera.functions import transforms as t
+
+    df = spark.createDataFrame([([0.3, -1.2, 2.0],), ([5.0, 0.1, -0.7],)], "x array<double>")
+    f = t.min_max([0.0, -2.0, np.float64(-1.0)], [5.0, 1.0, 3.0]) * (t.take(np.int64(1), 0) + t.activation("tanh", alpha=0.1) * t.part(2, 1)) * t.linear([[1.0, 2.0], [0.5, 1.0], [3.0, -1.0]], [0.1, 0.2]) * t.leak(t.clip(-1.0, 1.0), 0.2)
+    again = t.from_json(f.to_json())
+    assert again.to_json() == f.to_json()
+    got = df.select(f(F.col("x")).alias("a"), again(F.col("x")).alias("b")).collect()
+    assert all(r["a"] == r["b"] and len(r["a"]) == 2 for r in got)
+    g = t.from_json((t.shift(1.0, 2.0, 3.0) * t.scale(2.0, 4.0, 8.0)).inverse().to_json())
+    assert df.select(g(F.col("x")).alias("y")).first()["y"] == [0.3 / 2 - 1, -1.2 / 4 - 2, 2.0 / 8 - 3]
+    free = t.of_function(lambda x: x)
+    assert (free * t.shift(1.0)).spec is None and t.leak(free, 0.1).spec is None
+    with pytest.raises(ValueError):
+        free.to_json()
+    with pytest.raises(KeyError):
+        t.from_json('["eval", ["1"], {}]')
+
+
+def test_fitted_features_outlive_a_session(spark, tmp_path):
+    from tessera.operators.fit import whitened
+    from tessera.plans.study import Study
+    from tessera.sources.store import Store
+
+    store, rng = Store(spark, f"file://{tmp_path}/kept"), np.random.default_rng(2)
+    store.add_round({"cv_round": 0, "round": 0})
+    store.append(spark.createDataFrame([(0, 0, i % 3, i, rng.normal(size=2).tolist()) for i in range(300)], "cv_round int, round int, traj int, row_id long, cv array<double>"))
+    with pytest.raises(KeyError):
+        store.features(1)
+    Study(store, Metric((Axis(-5.0, 5.0),))).update_features(whitened(), 1, "white")
+    f = Store(spark, f"file://{tmp_path}/kept").features(1)
+    kept = store.frames().where("cv_round = 1").select("cv", f(F.col("cv_orig")).alias("again")).toPandas()
+    assert len(kept) == 300 and np.allclose(np.stack(kept["cv"]), np.stack(kept["again"]))
