@@ -134,9 +134,8 @@ def soft_steps(n: int, dims: int, label: str | None = None, periodic: list[bool]
     """n soft steps along each input, weighed to one indicator an input and mixed to `dims` outcomes of variance 1 that set groups apart.
 
     Groups are the values of `label`; without it, outcomes are to change least
-    from x to its lagged partner. Bounds, then moments of all steps, are one
-    aggregation each: they are all that the score depends on, so no move reads
-    the rows again. The largest weight of each input and the largest part of each mix are positive.
+    from x to its lagged partner. Bounds, then moments of all steps, are all that
+    the score depends on, so no move reads the rows again. The largest weight of each input and the largest part of each mix are positive.
     Periodic inputs are angles in [-pi, pi]. An input of one value adds nothing.
     """
 
