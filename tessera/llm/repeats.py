@@ -250,8 +250,9 @@ def compared(r: np.ndarray) -> np.ndarray:
     """Of all runs of some anchor strings: those to remove, and those to ask for windows."""
     r = r[np.lexsort((r["doc"], r["key2"], r["key1"]))]
     new = starts_of(r["key1"], r["key2"])
-    later = r["doc"] > np.repeat(r["doc"][new], np.diff(np.append(new, len(r))))
-    # Of runs that differ, those that share bytes beside the anchor are asked for their windows.
+    size = np.diff(np.append(new, len(r)))
+    later = r["doc"] > np.repeat(r["doc"][new], size)
+    # Of runs that differ, those that share bytes beside the anchor are asked for their windows, in every place of the first document.
     one = r[new]
     ask = np.zeros(len(one), bool)
     for side in ("left", "right"):
@@ -260,8 +261,9 @@ def compared(r: np.ndarray) -> np.ndarray:
         same = (k[1:] == k[:-1]) & (x[1:] == x[:-1]) & (x[1:] > 0)
         ask[s[1:][same]] = True
         ask[s[:-1][same]] = True
-    asked = returned(one[ask], one["before"][ask])
-    asked["key1"] = one["key1"][ask]
+    places = r[np.repeat(ask, size) & ~later]
+    asked = returned(places, places["before"])
+    asked["key1"] = places["key1"]
     return np.concatenate([returned(r[later], SETTLED), asked])
 
 

@@ -317,6 +317,22 @@ def test_repeats_beside_a_frequent_anchor(spark, monkeypatch):
     assert found() == plain
 
 
+def test_repeats_of_a_passage_that_one_document_holds_several_times(spark):
+    """Every place loses what an earlier document has a part of, not only the first place."""
+    from tessera.llm import repeats
+
+    rng = random.Random(4)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(20)]
+    texts = [(k, p[: 60 + 5 * k]) for k, p in enumerate(passages)] + [(100 + k, f"-{p}-{p}+{p[5:]}") for k, p in enumerate(passages)] + [(100, f"+{passages[1]}+{passages[1]}")]
+    first = {}
+    for i, t in texts:
+        for s in range(len(t) - 49):
+            first[t[s : s + 50]] = min(i, first.get(t[s : s + 50], i))
+    expected = [(i, len({p for s in range(len(t) - 49) if first[t[s : s + 50]] < i for p in range(s, s + 50)})) for i, t in texts]
+    got = [(r["doc_id"], r["n_removed"]) for r in repeats.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(expected)
+
+
 def test_marked_rows_lose_none(spark):
     from tessera.llm.common import marked_rows
 
