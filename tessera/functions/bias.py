@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 from itertools import product
 
@@ -12,13 +13,19 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import Metric
 
 
-def harmonic(metric: Metric, x: list[Column], centre: list[float], k: list[float], k_max: float | None = None) -> Column:
+def _from_centre(metric: Metric, x: list[Column], centre: list[float], k: list[float | Decimal]) -> tuple[list[Column], float, Column]:
+    """Differences from the centre, the mean of k, and the radius with axes scaled by sqrt(k / mean)."""
+    d, mean = metric.difference([F.lit(c) for c in centre], x), float(sum(k) / len(k))
+    return d, mean, F.sqrt(reduce(lambda a, b: a + b, [(v * v * F.lit(c)).cast("double") / F.lit(mean) for v, c in zip(d, k, strict=True)]))
+
+
+def harmonic(metric: Metric, x: list[Column], centre: list[float], k: list[float | Decimal], k_max: float | None = None) -> Column:
     """Sum of k d^2 / 2; with k_max linear beyond the radius where the force would pass it.
 
     The force constant is the mean of k, axes are scaled by sqrt(k / mean).
+    Whole numbers (columns and centres) stay exact where k is given as Decimal.
     """
-    mean = sum(k) / len(k)
-    r = metric.norm(x, [F.lit(float(c)) for c in centre], [(v / mean) ** 0.5 for v in k])
+    _, mean, r = _from_centre(metric, x, centre, k)
     inner = 0.5 * mean * r * r
     if k_max is None:
         return inner
@@ -26,14 +33,13 @@ def harmonic(metric: Metric, x: list[Column], centre: list[float], k: list[float
     return F.when(r < r0, inner).otherwise(0.5 * mean * r0 * r0 + k_max * (r - r0))
 
 
-def harmonic_gradient(metric: Metric, x: list[Column], centre: list[float], k: list[float], k_max: float | None = None) -> list[Column]:
+def harmonic_gradient(metric: Metric, x: list[Column], centre: list[float], k: list[float | Decimal], k_max: float | None = None) -> list[Column]:
     """The gradient of the harmonic bias; beyond the radius of k_max it keeps its direction, and its length no longer grows."""
-    there = [F.lit(float(c)) for c in centre]
-    plain = [d * F.lit(-v) for d, v in zip(metric.difference(x, there), k, strict=True)]
+    d, mean, r = _from_centre(metric, x, centre, k)
+    plain = [(v * F.lit(c)).cast("double") for v, c in zip(d, k, strict=True)]
     if k_max is None:
         return plain
-    mean = sum(k) / len(k)
-    r, r0 = metric.norm(x, there, [(v / mean) ** 0.5 for v in k]), k_max / mean
+    r0 = k_max / mean
     return [g * F.when(r < r0, 1.0).otherwise(F.lit(r0) / r) for g in plain]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -111,8 +112,9 @@ _AXES = Metric((Axis(0.0, 500.0, periodic=True), Axis(0.0, 60.0)))
 
 
 def harmonic_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = [F.col("value"), (F.col("user_id") % 60).cast("double")]
-    return events(spark, sf_dir).select("event_id", r6(b.harmonic(_AXES, x, [400.0, 30.0], [0.01, 0.02], 1.2)).alias("e"), *[r6(g).alias(f"g{i}") for i, g in enumerate(b.harmonic_gradient(_AXES, x, [400.0, 30.0], [0.01, 0.02]))])
+    x, k = [F.col("value"), F.col("user_id") % 60], [Decimal("0.01"), Decimal("0.02")]
+    energy = F.round(b.harmonic(_AXES, x, [400, 30], k, 1.2) * 1e6) / 1e6  # as SQL rounds: many energies end on half a unit
+    return events(spark, sf_dir).select("event_id", energy.alias("e"), *[r6(g).alias(f"g{i}") for i, g in enumerate(b.harmonic_gradient(_AXES, x, [400, 30], k))])
 
 
 def hills_sum(spark: SparkSession, sf_dir: str) -> DataFrame:

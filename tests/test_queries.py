@@ -44,3 +44,14 @@ def test_other_queries_have_tests_of_their_own():
 
     without = set(catalogue.queries()) - set(catalogue.oracle_sql())
     assert {f"test_{n}" for n in without} <= set(dir(test_models)) | set(dir(test_depth))
+
+
+def test_harmonic_capped_equals_sql_to_the_last_digit(spark, tmp_path):
+    """Energies that end on half a unit of the last digit, and values half a box from the centre."""
+    con = duckdb.connect()
+    con.execute("create table events as select i::bigint event_id, timestamp '2024-01-01' ts, (i % 977)::bigint user_id, 'a' event_type, round(i / 100, 2) value, '' props from range(100000) r(i)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = catalogue.queries()["harmonic_capped"](spark, str(tmp_path)).toPandas().sort_values("event_id").reset_index(drop=True)
+    expected = con.execute(catalogue.oracle_sql()["harmonic_capped"]).fetchdf().sort_values("event_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[["event_id", "e"]], expected[["event_id", "e"]], check_exact=True)
+    assert (got["g0"] - expected["g0"].astype(float)).abs().max() < 1e-9
