@@ -13,7 +13,9 @@ def edges(points: DataFrame, key: str, dims: list[str], r: float, frame: str | N
     """i, j, r (and frame): ordered pairs of different points closer than r.
 
     Points are dealt to cells of side r, and each is posted to the cells round
-    its own, so that the join is an equi-join on frame and cell. With box, the
+    its own, so that the join is an equi-join on frame and cell: by sorting, as
+    Catalyst's sizes leave out what explode adds and it would broadcast the
+    posted points. With box, the
     lengths of a periodic orthorhombic cell that each hold at least two cells
     of side r, distances are by the nearest image.
     """
@@ -34,7 +36,7 @@ def edges(points: DataFrame, key: str, dims: list[str], r: float, frame: str | N
     left = points.select(F.col(key).alias("i"), *keep, place.alias("cell"))
     around = F.array_distinct(F.array(*[moved(s) for s in product((-1, 0, 1), repeat=len(dims))]))
     right = points.select(F.col(key).alias("j"), *([F.col(frame).alias("frame")] if frame else []), *[F.col(d).alias(f"y{k}") for k, d in enumerate(dims)], place.alias("cell")).withColumn("cell", F.explode(around))
-    both = left.join(right, (["frame"] if frame else []) + ["cell"]).where(F.col("i") != F.col("j"))
+    both = left.hint("merge").join(right, (["frame"] if frame else []) + ["cell"]).where(F.col("i") != F.col("j"))
     parts = []
     for k in range(len(dims)):
         d = F.col(f"y{k}") - F.col(f"x{k}")

@@ -153,7 +153,7 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _parts(spark, sf_dir)
-    e = nb.edges(points, "p_partkey", ["x", "y"], 2.0, "frame").join(points.select(F.col("p_partkey").alias("j"), "p_brand"), "j")
+    e = nb.edges(points, "p_partkey", ["x", "y"], 2.0, "frame").hint("merge").join(points.select(F.col("p_partkey").alias("j"), "p_brand"), "j")
     return e.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 4).alias("r"))
 
 

@@ -270,3 +270,13 @@ def test_loaded_free_energy_is_flat_for_even_windows(spark):
     weighed = load(df, "traj", ["row_id"], "x", "traj", lambda w, x: 8 * (x - (0.35, 0.65)[w]) ** 2, edges=11)
     assert free_energy(weighed).toPandas()["f"].max() < 0.4  # kJ/mol: noise of a few percent
     assert load(df, "traj", ["row_id"], "x", "traj", None, edges=11, size=50).count() == 50
+
+
+def test_posted_points_are_not_broadcast(spark, tmp_path):
+    """Explode makes many rows of a small table; neither the join on cells nor that with the points broadcasts them."""
+    from tessera import catalogue
+
+    spark.range(3000).selectExpr("id as p_partkey", "concat('b', id % 5) as p_brand", "cast(id % 50 as int) as p_size", "id % 600 * 1.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("neighbour_counts", "neighbour_by_class", "neighbour_periodic", "neighbour_triples", "neighbour_nearest"):
+        plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, name
