@@ -88,6 +88,15 @@ def test_hills_of_many_centres(spark):
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().toString()) and "NestedLoop" not in plan
 
 
+def test_chunks_of_hills_are_full_however_rows_lie(spark):
+    """Rows of a cell are brought together before they are packed: a chunk a task and cell made pairs without end."""
+    rows = spark.range(8000).selectExpr("id % 4 as cell", "id * 1.0D as x0").repartition(50)
+    packed = hills.chunked(rows, ["cell"], ["x0"]).selectExpr("cell", "size(x0) n", "explode(x0) x0")
+    assert packed.count() == 8000 and packed.where("cast(x0 as long) % 4 <> cell").isEmpty()
+    assert packed.agg({"n": "max"}).first()[0] == hills.CHUNK
+    assert hills.chunked(rows, ["cell"], ["x0"]).count() <= 4 * -(-2000 // hills.CHUNK) + 4
+
+
 def test_study_in_two_dimensions(spark, tmp_path):
     from pyspark.sql import functions as F
 
