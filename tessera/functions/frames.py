@@ -256,9 +256,11 @@ def block_inefficiency(x: np.ndarray) -> float:
     sizes = np.arange(1, max(2, n // 10))
     if n < 20 or x.var() == 0:
         return 1.0
-    seen = np.array([b * x[: n // b * b].reshape(-1, b).mean(axis=1).var() / x.var() for b in sizes])
+    total, spread = np.append(0.0, np.cumsum(x - x.mean())), x.var()
+    seen = np.array([np.diff(total[: n // b * b + 1 : b]).var() / b for b in sizes]) / spread
     trials = np.geomspace(1, max(2.0, n / 2), 400)
-    misfit = [((sizes * g / (sizes + g - 1) - seen) ** 2).sum() for g in trials]
+    few = max(1, (1 << 20) // len(sizes))
+    misfit = np.concatenate([((sizes * g / (sizes + g - 1) - seen) ** 2).sum(axis=1) for g in (trials[k : k + few, None] for k in range(0, len(trials), few))])
     return float(trials[int(np.argmin(misfit))])
 
 
@@ -281,15 +283,21 @@ def inefficiency(x: np.ndarray) -> float:
     return float(max(1.0, 1 + 2 * (acf[1:stop] * (1 - np.arange(1, stop) / n)).sum()))
 
 
-def series_inefficiency(rows: DataFrame, traj: str, order: list[str], column: str, rule: Callable[[np.ndarray], float] | None = None) -> DataFrame:
-    """traj, g: each trajectory's statistical inefficiency, by a rule over its series."""
-    rule = rule or inefficiency
+def series_inefficiencies(rows: DataFrame, traj: str, order: list[str], column: str, rules: dict[str, Callable[[np.ndarray], float]]) -> DataFrame:
+    """traj and a column a rule: each trajectory's statistical inefficiency by several rules over its series, read once."""
+    kind = rows.schema[traj].dataType.simpleString()
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({traj: [group[traj].iloc[0]], "g": [rule(group.sort_values(order)[column].to_numpy())]})
+    def one(group: pa.Table) -> pa.Table:
+        x = group.sort_by([(c, "ascending") for c in order]).column(column).to_numpy()
+        return pa.table({traj: group.column(traj).slice(0, 1), **{name: pa.array([rule(x)], pa.float64()) for name, rule in rules.items()}})
 
-    kind = rows.schema[traj].dataType.simpleString()
-    return rows.select(traj, *order, column).groupBy(traj).applyInPandas(one, f"`{traj}` {kind}, g double")
+    schema = f"`{traj}` {kind}, " + ", ".join(f"`{name}` double" for name in rules)
+    return rows.select(traj, *order, column).groupBy(traj).applyInArrow(one, schema)
+
+
+def series_inefficiency(rows: DataFrame, traj: str, order: list[str], column: str, rule: Callable[[np.ndarray], float] | None = None) -> DataFrame:
+    """traj, g: each trajectory's statistical inefficiency, by a rule over its series."""
+    return series_inefficiencies(rows, traj, order, column, {"g": rule or inefficiency})
 
 
 def sparse_precision(s: np.ndarray, weight: float = 0.1, steps: int = 500, rho: float = 1.0) -> np.ndarray:

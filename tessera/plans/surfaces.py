@@ -145,9 +145,7 @@ def lag_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistical inefficiency by the envelope of the autocorrelation and by block means."""
     rows = events(spark, sf_dir)
-    one = fr.series_inefficiency(rows, "user_id", ORDER, "value", fr.envelope_inefficiency)
-    two = fr.series_inefficiency(rows, "user_id", ORDER, "value", fr.block_inefficiency).withColumnRenamed("g", "by_blocks")
-    return one.join(two, "user_id").withColumnRenamed("g", "by_envelope")
+    return fr.series_inefficiencies(rows, "user_id", ORDER, "value", {"by_envelope": fr.envelope_inefficiency, "by_blocks": fr.block_inefficiency})
 
 
 def transport_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

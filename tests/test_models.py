@@ -340,6 +340,21 @@ def test_correlation_times(spark, events):
     assert 1000 <= fr.best_start(shifted) <= 4000
 
 
+def test_correlation_times_read_each_series_once(spark):
+    """One grouping for both rules, and block means from a running sum: a size costs n / size, not n."""
+    from tessera.functions import frames as fr
+
+    plan = catalogue.queries()["correlation_times"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") == 1
+    rng = np.random.default_rng(8)
+    for n in (20, 33, 400, 1501):
+        x = np.cumsum(rng.normal(size=n)) / 10 + rng.normal(size=n)
+        sizes, trials = np.arange(1, max(2, n // 10)), np.geomspace(1, max(2.0, n / 2), 400)
+        seen = np.array([b * x[: n // b * b].reshape(-1, b).mean(axis=1).var() / x.var() for b in sizes])
+        plain = trials[int(np.argmin([((sizes * g / (sizes + g - 1) - seen) ** 2).sum() for g in trials]))]
+        assert fr.block_inefficiency(x) == pytest.approx(plain)
+
+
 def test_transport_costs(spark, vectors):
     kinds = np.arange(8) % 2
     got = run(spark, "transport_costs").sort_values("vec_id")
