@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +191,23 @@ def chain(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 MARK_BITS, MOST_BITS = 16, 1 << 28
 
 
+def table_bits(rows: int) -> int:
+    """The size of a bit table for so many rows, a power of two."""
+    return 1 << max(10, min(MOST_BITS, MARK_BITS * rows).bit_length() - 1)
+
+
+def bit_table(marked: DataFrame, place: Column, bits: int) -> Broadcast:
+    """A broadcast table with the bits set at which marked rows have their place."""
+    words = marked.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("mask")).toArrow()
+    table = np.zeros(bits >> 5, np.uint32)
+    table[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.uint32)
+    return marked.sparkSession.sparkContext.broadcast(table)
+
+
+def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
 Step = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
 
 
@@ -203,20 +221,16 @@ def marked_rows(rows: DataFrame, marked: DataFrame, key: list[str], some: Step |
     (32 MB) at most. Where that is too small for them, more rows count as
     marked, which a join sorts out later; none is missed.
     """
-    bits = 1 << max(10, min(MOST_BITS, MARK_BITS * marked.count()).bit_length() - 1)
+    bits = table_bits(marked.count())
     place = F.pmod(F.xxhash64(*key), F.lit(bits))
-    words = marked.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("mask")).toArrow()
-    table = np.zeros(bits >> 5, np.uint32)
-    table[words["word"].to_numpy().astype(np.int64)] = words["mask"].to_numpy().astype(np.uint32)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = bit_table(marked, place, bits)
 
     column = fresh(rows, "marked_at")
 
     def run(wanted: bool, step: Step | None) -> DataFrame:
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = b.column(column).to_numpy()
-                hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+                hit = is_set(shared.value, b.column(column).to_numpy())
                 yield b.drop_columns([column]).filter(pa.array(hit if wanted else ~hit))
 
         then, schema = step or (lambda batches: batches, rows.schema)

@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, Tokens, chain, components, forest, fresh, join_counts, join_hash, marked_rows, mix, slices
+from tessera.llm.common import Scratch, Tokens, bit_table, chain, components, forest, fresh, is_set, join_counts, join_hash, marked_rows, mix, slices, table_bits
 
 #: Coordinates of a signature, chance to lose a link, nodes of a list that one task compares at once.
 COORDINATES, MISS, LIST = 64, 1e-9, 1024
 #: Nodes of a unit whose full sets meet in one task; shingles beyond which a node counts as several.
 UNIT, HEAVY = 512, 8192
 
+#: Bits of a list's number; above them stands the band.
+BAND = 40
+
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,7 +183,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     pairs = scratch.keep(meet(tiles(posted.withColumnRenamed("list", "group"), LIST)), "pairs")
     units = components(pairs, Scratch(spark, "units"))
     if posted.where(F.col("size") > LIST).limit(1).count():
-        entries = posted.where(F.col("size") > LIST).withColumnRenamed("list", "group").drop("size")
+        entries = banded(posted.where(F.col("size") > LIST).withColumnRenamed("list", "group").drop("size").join(nodes.select("node", "n"), "node"), least)
         more = scratch.keep(meet(tiles(labelled(entries, units), LIST)), "more-pairs")
         units = components(pairs.unionByName(more), Scratch(spark, "units"))
 
@@ -191,18 +194,32 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
     total = sizes.agg(F.sum("size")).first()[0] or 0
     members = scratch.keep(join_counts(members, "group", sizes, "size", total), "sized")
 
-    def confirm(entries: DataFrame) -> DataFrame:
+    def confirm(entries: DataFrame, sets: DataFrame) -> DataFrame:
         full = entries.hint("merge").join(members.select("node", "doc"), "node").join(sets, ["node", "doc"]).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
         return full.select("group", "i", "j", "side", "node", "own", "grams").mapInArrow(lambda it: confirmed(it, least), "a long, b long")
 
-    links = scratch.keep(confirm(tiles(members, UNIT)), "links")
+    links = scratch.keep(confirm(tiles(members, UNIT), sets), "links")
     if members.where(F.col("size") > UNIT).limit(1).count():
         entries = members.where(F.col("size") > UNIT).drop("size")
         label = components(links, Scratch(spark, "parts"))
-        links = links.unionByName(scratch.keep(confirm(tiles(labelled(entries, label), UNIT)), "more-links"))
+        entries = scratch.keep(tiles(labelled(entries, label), UNIT), "more-tiles")
+        few, _ = marked_rows(sets, entries.select("node").distinct(), ["node"])  # most sets have met all of theirs
+        links = links.unionByName(scratch.keep(confirm(entries, few), "more-links"))
     return links
 
 
+def banded(entries: DataFrame, least: int) -> DataFrame:
+    """entries of lists, cut by size of set (n): a band is as wide as links allow, and a group holds two neighbouring bands.
+
+    Sets of a link differ in size by less than a band's width, so some group
+    has both. The band stands above the list's bits.
+    """
+    width = max(1.001 * math.log(100 / least), 1e-4)
+    band = F.floor(F.log(F.col("n")) / width)
+    rest = [c for c in entries.columns if c not in ("group", "n")]
+    return entries.select("group", F.explode(F.array(band, band + 1)).alias("band"), *rest).select((F.col("group") + F.col("band") * 2**BAND).alias("group"), *rest)
+
+
 def labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     """entries of groups with several components: own, the component, and minor, whether it isn't the group's largest."""
     own = entries.join(label, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
@@ -239,7 +256,7 @@ def candidates(batches: Iterator[pa.RecordBatch], prefix: int, matches: int) ->
 
     for list_, side, node, own, head, rest in groups(batches, columns):
         pairs, two = [], bool(side.any())
-        coordinate = list_ >> 32
+        coordinate = (list_ & ((1 << BAND) - 1)) >> 32
         for k in np.flatnonzero(side == 0) if two else range(len(node) - 1):
             those = np.flatnonzero((side == 1) & (own != own[k])) if two else np.arange(k + 1, len(node))
             if coordinate and not two and len(those):  # what met in an earlier list is skipped
@@ -331,14 +348,18 @@ def fetch_sets(docs: DataFrame, members: DataFrame, words: int, scratch: Scratch
     """node, doc, grams of the members (and of few others); texts aren't moved.
 
     Of a node's documents only the one that it is named by is looked at, told
-    by a bit table over ids that is sized by the number of members.
+    by a bit table over ids that is sized by the number of members; its set
+    goes on if another over nodes has it.
     """
+    bits = table_bits(members.count())
+    wanted = bit_table(members, F.pmod("node", F.lit(bits)), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             grams, at = shingle_sets(part.column("text"), words)
             node, doc = nodes_of(grams, at), part.column("doc").to_numpy()
             one = np.sort(np.unique(np.stack([node, doc]), axis=1, return_index=True)[1])
+            one = one[is_set(wanted.value, node[one] % bits)]
             sets = [grams[at[k] : at[k + 1]].tobytes() for k in one]
             yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(doc[one]), pa.array(sets, pa.binary())], ["node", "doc", "grams"])
 

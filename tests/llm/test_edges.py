@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tessera.llm import common, near
 from tests.llm.test_texts import SF, empty, fold
 
 M64 = (1 << 64) - 1
@@ -401,3 +402,39 @@ def test_written_tables_can_be_deleted(spark, tmp_path):
     assert clean_up() >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(f"{one.root}/rows")
+
+
+def test_near_long_lists_are_cut_by_size_of_set(spark):
+    rows = [(k, 7 + (5 << 32), k + 1, 1) for k in range(400)]  # node, list, n, weight
+    cut = near.banded(spark.createDataFrame(rows, "node long, group long, n long, weight int"), 85).collect()
+    held = {}
+    for r in cut:
+        assert r["group"] % 2**near.BAND == 7 + (5 << 32)
+        held.setdefault(r["group"], set()).add(r["node"])
+    together = {(a, b) for nodes in held.values() for a in nodes for b in nodes if a < b}
+    assert all((a, b) in together for a in range(400) for b in range(a + 1, 400) if 100 * (a + 1) >= 85 * (b + 1))
+    assert len(cut) == 800 and len(together) < 0.4 * 400 * 399 / 2
+
+
+def test_near_fetches_the_sets_of_members_only(spark, tmp_path):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(9))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = common.Scratch(spark, "sets-test")
+    members = scratch.keep(near.signatures(docs, 3, 11).where("doc_id < 300").select("node", F.col("doc_id").alias("doc")), "members")
+    got = near.fetch_sets(docs, members, 3, scratch, "sets").select("doc").toPandas()["doc"]
+    assert set(range(300)) <= set(got) and len(got) < 330  # 16 bits a member by id alone let one other in 10 through
+
+
+def test_near_second_meeting_moves_only_the_sets_that_are_asked_for(spark, monkeypatch):
+    """Small units have met when parts of large ones meet once more."""
+    monkeypatch.setattr(near, "UNIT", 8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words[: 57 - k % 3], f"end{k}"])) for k in range(40)]
+    rows += [(1000 + 2 * k + j, " ".join([*(f"p{k}x{i}" for i in range(60)), f"e{j}"])) for k in range(300) for j in range(2)]
+    seen = []
+    monkeypatch.setattr(near, "marked_rows", lambda rows, marked, key, **how: seen.append((key, marked.count())) or common.marked_rows(rows, marked, key, **how))
+    label = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r["component_id"] for r in label.where("doc_id < 1000").collect()} == {0}
+    assert label.where("doc_id >= 1000 and component_id = doc_id").count() == 300
+    assert all(n <= 40 for key, n in seen if key == ["node"])
+    assert any(key == ["node"] for key, _ in seen)
