@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ FILTER_MB, ENTRY_BITS, HASHES, SHARDS, REGISTER_BITS = 192, 8, 4, 8, 14
 WORD_BYTES, PAIR_BYTES, TASKS = 16 << 20, 8 << 20, 20_000
 #: A word that makes up over one part in COMMON of the tokens stays with its texts: its count comes to them. At most COMMON words.
 COMMON = 20_000
+#: Keys that probe a filter at once.
+PROBES = 1 << 15
 #: Ratios of successive levels: for counts of words and of what follows them, and for pairs. Levels of a pair on average, for sizing.
 FINE, COARSE, PAIR_LEVELS = 1.25, 1.5, 1.7
 #: A word is dealt over all shards by what follows it if it makes up over one part in HOT of the training tokens: at most HOT words.
@@ -69,9 +71,10 @@ class Filter:
         return Filter(np.zeros(at[-1], np.uint8), at)
 
     @staticmethod
-    def of(bits: np.ndarray) -> Filter:
-        """A filter of one part."""
-        return Filter(bits, np.array([0, len(bits)]))
+    def joined(parts: list[np.ndarray | None]) -> Filter:
+        """One filter of parts that were made on their own; a missing one holds nothing."""
+        parts = [np.zeros(8, np.uint8) if x is None else x for x in parts]
+        return Filter(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
 
     @property
     def bits(self) -> list[np.ndarray]:
@@ -96,18 +99,24 @@ class Filter:
         self.flat[lo:hi] |= np.packbits(on, bitorder="little")
 
     def level(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """How far the probes of each key get. A bit is asked of those only that had all before."""
-        found, alive, level = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+        """How far the probes of each key get. A bit is asked of those only that had all before.
+
+        Keys go PROBES at a time and part by part, so that both they and the bits asked for stay in cache.
+        """
+        found = np.zeros(len(key), np.int64)
         widths = (8 * np.diff(self.at)).astype(np.uint64)
-        while len(alive):
-            level += 1
-            base, own = self.base(key[alive], level), part[alive]
-            start, width = self.at[own], widths[own]
-            for k in range(HASHES):
-                at = self.place(base, k, width)
-                hit = np.flatnonzero((self.flat[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                alive, base, start, width = alive[hit], base[hit], start[hit], width[hit]
-            found[alive] = level
+        order = np.argsort(part, kind="stable")
+        for lo in range(0, len(key), PROBES):
+            alive, level = order[lo : lo + PROBES], 0
+            while len(alive):
+                level += 1
+                base, own = self.base(key[alive], level), part[alive]
+                start, width = self.at[own], widths[own]
+                for k in range(HASHES):
+                    at = self.place(base, k, width)
+                    hit = np.flatnonzero((self.flat[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                    alive, base, start, width = alive[hit], base[hit], start[hit], width[hit]
+                found[alive] = level
         return found
 
 
@@ -353,18 +362,19 @@ class Model:
     tokens: int  # training tokens
     kinds: int  # distinct ones
     rounded: int  # training tokens, with counts as the filter gives them back
-    word_parts: list[np.ndarray]
+    word_parts: InitVar[list[np.ndarray | None]]
     hot: np.ndarray
     shards: int  # of pairs
     pairs: Filter | None = None
+    words: Filter = field(init=False)
+
+    def __post_init__(self, word_parts: list[np.ndarray | None]) -> None:
+        self.words = Filter.joined(word_parts or [None])
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
-        out, n = np.zeros(len(hashes), np.int64), len(self.word_parts)
-        for s, at in split_by(shard_of(hashes, n), n):
-            if (bits := self.word_parts[s]) is not None:
-                level = Filter.of(bits).level(np.zeros(len(at), np.int64), hashes[at] ^ _WORD)
-                out[at] = np.where(level > 0, _FINE[level - 1], 0)
-        return out
+        """By one round of probes for all parts: their number grows with the corpus."""
+        level = self.words.level(shard_of(hashes, len(self.words.at) - 1), hashes ^ _WORD)
+        return np.where(level > 0, _FINE[level - 1], 0)
 
     def part(self, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """The shard of pairs: by their first word, or if that is frequent by both."""
@@ -474,23 +484,26 @@ def pass_of(first: np.ndarray, passes: int) -> np.ndarray:
 def log_scores(words: Words, model: Model, passes: int, this: int) -> np.ndarray:
     """The log10 probability of each text, or of its tokens whose first word belongs to pass `this`."""
     h = np.append(words.hashes, START)
-    unit = (model.word_counts(words.hashes) + 0.5) / (model.rounded + 0.5 * (model.kinds + 1))
-    home = shard_of(h, model.shards)
-    totals, kinds = (model.pairs.level(home, h ^ k) for k in (_TOTAL, _KINDS))
+    before, ids = words.before(), words.ids
+    mine = slice(None) if passes == 1 else np.flatnonzero((pass_of(h, passes) == this)[before])
+    key, which = np.unique(before[mine] * len(h) + ids[mine], return_inverse=True)
+    a, b = np.divmod(key, len(h))
+    first, a = np.unique(a, return_inverse=True)  # only words that this pass needs are probed
+    second, b = np.unique(b, return_inverse=True)
+    unit = (model.word_counts(h[second]) + 0.5) / (model.rounded + 0.5 * (model.kinds + 1))
+    h1, h2 = h[first], h[second]
+    home = shard_of(h1, model.shards)
+    totals, kinds = (model.pairs.level(home, h1 ^ k) for k in (_TOTAL, _KINDS))
     total = np.where(totals > 0, _FINE[np.minimum(totals, len(_FINE) - 1)] - 1, 0)  # no less than what was counted
     kind = np.where(totals > 0, np.maximum(_FINE[np.maximum(kinds, 1) - 1], 1), 0)
-    before = words.before()
-    key, which = np.unique(before * len(h) + words.ids, return_inverse=True)
-    a, b = np.divmod(key, len(h))
-    pair = join_hash(h[a], h[b])
+    pair = join_hash(h1[a], h2[b])
     seen = np.flatnonzero(total[a] > 0)
     level = np.zeros(len(key), np.int64)
-    level[seen] = model.pairs.level(model.part(h[a[seen]], pair[seen]), join_hash(h[a[seen]], pair[seen] >> np.uint64(24)) ^ _PAIR)
+    level[seen] = model.pairs.level(model.part(h1[a[seen]], pair[seen]), join_hash(h1[a[seen]], pair[seen] >> np.uint64(24)) ^ _PAIR)
     count = np.minimum(np.where(level > 0, _COARSE[level - 1], 0), total[a])
     p = np.where(total[a] > 0, (count + kind[a] * unit[b]) / np.maximum(total[a] + kind[a], 1), unit[b])
-    logs = np.log10(p)[which]
-    if passes > 1:
-        logs = np.where(pass_of(h[before], passes) == this, logs, 0.0)
+    logs = np.zeros(len(ids))
+    logs[mine] = np.log10(p)[which]
     return np.add.reduceat(logs, words.at[:-1]) if len(words.texts) else np.zeros(0)
 
 
@@ -516,10 +529,12 @@ def score(docs: DataFrame, filter_mb: int = FILTER_MB) -> DataFrame:
     common, distinct = survey(rows, scratch)
     merged = merge_words(count_words(rows, word_shards, common), word_shards, common, scratch)
     shards = merged.where("kind = 'shard'").select("slice", "count", "kinds", "rounded", F.col("parts")[0].alias("filter")).toLocalIterator()  # a row a shard
-    model = Model(0, 0, 0, [None] * word_shards, np.zeros(0, np.uint64), pair_shards)
+    totals, parts = np.zeros(3, np.int64), [None] * word_shards
     for row in shards:
-        model.tokens, model.kinds, model.rounded = model.tokens + row["count"], model.kinds + row["kinds"], model.rounded + row["rounded"]
-        model.word_parts[row["slice"]] = np.frombuffer(row["filter"], np.uint8)
+        totals += row["count"], row["kinds"], row["rounded"]
+        parts[row["slice"]] = np.frombuffer(row["filter"], np.uint8)
+    model = Model(*totals.tolist(), parts, np.zeros(0, np.uint64), pair_shards)
+    del parts
     known = merged.where("kind = 'common'").select("word", "count").toArrow()  # at most COMMON rows
     words, count = known["word"].to_numpy().astype(np.int64).view(np.uint64), known["count"].to_numpy().astype(np.int64)
     counts = np.zeros(len(common), np.int64)

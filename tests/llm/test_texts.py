@@ -425,3 +425,26 @@ def test_mixture_drops_no_small_source(spark):
     assert got.position.is_unique
     assert ((got.slot >= got.release) & (got.slot < got.deadline)).all()
     assert arrange(docs, targets, block=1).count() == 7200
+
+
+def test_word_probes_do_not_grow_with_the_parts(monkeypatch):
+    """Words of 400 parts are asked for together, and give what each part alone gives."""
+    keys = lm.mix(np.arange(1, 5001, dtype=np.uint64))
+    count = np.arange(5000) % 900 + 1
+    own = lm.shard_of(keys, 400)
+    parts = []
+    for s in range(400):
+        part = lm.Filter.empty(1, 400)
+        part.enter(0, keys[own == s] ^ lm._WORD, lm.quantised(count[own == s], lm._FINE))
+        parts.append(part.flat if s != 7 else None)
+    model = lm.Model(0, 0, 0, parts, np.zeros(0, np.uint64), 1)
+    asked, place = [], lm.Filter.place
+    monkeypatch.setattr(lm.Filter, "place", lambda self, *a: asked.append(1) or place(self, *a))
+    got = model.word_counts(keys)
+    assert len(asked) < 400
+    known = own != 7
+    assert (got[~known] == 0).all()
+    assert (got[known] >= lm._FINE[lm.quantised(count[known], lm._FINE) - 1]).all()
+    for s in (0, 6, 8, 399):
+        alone = lm.Model(0, 0, 0, [parts[s]], np.zeros(0, np.uint64), 1)
+        assert (alone.word_counts(keys[own == s]) == got[own == s]).all()
