@@ -182,9 +182,11 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
 
     pairs = scratch.keep(meet(tiles(posted.withColumnRenamed("list", "group"), LIST)), "pairs")
     units = components(pairs, Scratch(spark, "units"))
-    if posted.where(F.col("size") > LIST).limit(1).count():
-        entries = banded(posted.where(F.col("size") > LIST).withColumnRenamed("list", "group").drop("size").join(nodes.select("node", "n"), "node"), least)
-        more = scratch.keep(meet(tiles(labelled(entries, units), LIST)), "more-pairs")
+    long = posted.where(F.col("size") > LIST).withColumnRenamed("list", "group").drop("size")
+    if long.limit(1).count():  # a node is in many lists and two bands of each: its component is looked up before, and what is read several times is written
+        own = scratch.keep(owned(nodes.select("node", "n").join(long, "node", "left_semi"), units), "own")
+        entries = scratch.keep(banded(long.join(own, "node"), least), "banded")
+        more = scratch.keep(meet(tiles(labelled(entries), LIST)), "more-pairs")
         units = components(pairs.unionByName(more), Scratch(spark, "units"))
 
     weight = F.ceil(F.col("n") / HEAVY).cast("int").alias("weight")
@@ -200,9 +202,9 @@ def find_links(docs: DataFrame, nodes: DataFrame, words: int, least: int, prefix
 
     links = scratch.keep(confirm(tiles(members, UNIT), sets), "links")
     if members.where(F.col("size") > UNIT).limit(1).count():
-        entries = members.where(F.col("size") > UNIT).drop("size")
         label = components(links, Scratch(spark, "parts"))
-        entries = scratch.keep(tiles(labelled(entries, label), UNIT), "more-tiles")
+        entries = scratch.keep(owned(members.where(F.col("size") > UNIT).drop("size"), label), "parted")
+        entries = scratch.keep(tiles(labelled(entries), UNIT), "more-tiles")
         few, _ = marked_rows(sets, entries.select("node").distinct(), ["node"])  # most sets have met all of theirs
         links = links.unionByName(scratch.keep(confirm(entries, few), "more-links"))
     return links
@@ -220,9 +222,13 @@ def banded(entries: DataFrame, least: int) -> DataFrame:
     return entries.select("group", F.explode(F.array(band, band + 1)).alias("band"), *rest).select((F.col("group") + F.col("band") * 2**BAND).alias("group"), *rest)
 
 
-def labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """entries of groups with several components: own, the component, and minor, whether it isn't the group's largest."""
-    own = entries.join(label, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+def owned(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with own, the component of their node (without one: the node)."""
+    return rows.join(label, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+
+
+def labelled(own: DataFrame) -> DataFrame:
+    """Entries, with their components (own), of groups with several: minor, whether it isn't the group's largest. They are read several times."""
     per = own.groupBy("group", "own").agg(F.sum("weight").alias("k"))
     mixed = per.groupBy("group").agg(F.count(F.lit(1)).alias("owns"), F.max_by("own", F.struct("k", "own")).alias("most"), F.sum("k").alias("size"), F.max("k").alias("top")).where("owns > 1")
     total = per.agg(F.sum("k")).first()[0] or 0

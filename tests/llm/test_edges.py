@@ -438,3 +438,25 @@ def test_near_second_meeting_moves_only_the_sets_that_are_asked_for(spark, monke
     assert label.where("doc_id >= 1000 and component_id = doc_id").count() == 300
     assert all(n <= 40 for key, n in seen if key == ["node"])
     assert any(key == ["node"] for key, _ in seen)
+
+
+def test_near_looks_up_a_node_once_for_all_lists_that_it_is_in(spark, monkeypatch):
+    """Long lists hold a node up to 2 * prefix times; labels are joined to nodes and not to those entries."""
+    monkeypatch.setattr(near, "LIST", 8)
+    monkeypatch.setattr(near, "UNIT", 8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words[: 57 - k % 3], f"end{k}"])) for k in range(40)]
+    made, keep = {}, common.Scratch.keep
+
+    def kept(self, df, name, by=None):
+        made[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        out = keep(self, df, name, by)
+        if name == "own":
+            assert out.count() == out.select("node").distinct().count() <= 40
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", kept)
+    label = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r["component_id"] for r in label.collect()} == {0}
+    assert "own" in made and "LeftOuter" in made["own"]
+    assert not any("LeftOuter" in made[name] for name in ("more-pairs", "more-tiles"))
