@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, as_bytes, slices, text_bytes
 
 #: Bytes of a run of texts, units (a word and the white space before it) whose ids a worker remembers, bytes of those that it doesn't, and units that go to a library at once.
-RUN_BYTES, UNITS_KEPT, LONG_UNIT, UNITS_AT_ONCE = 1 << 20, 150_000, 256, 4_000
+RUN_BYTES, UNITS_KEPT, LONG_UNIT, UNITS_AT_ONCE = 1 << 20, 200_000, 256, 4_000
 
 _SPACE = 32
 _WHITE = np.zeros(256, bool)
@@ -41,6 +42,8 @@ class Tokenizer:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.tokens, self.encode_units = pa.array(tokens, pa.large_binary()), encode
         self.known: dict[bytes, bytes] = {}
+        #: Known units that were asked for again since room was last made.
+        self.again: set[bytes] = set()
         #: Of the known units those whose ids don't stand for their very bytes.
         self.wrong: set[bytes] = set()
 
@@ -48,11 +51,12 @@ class Tokenizer:
         return bytes(self.tokens.take(pa.array(ids)).buffers()[2] or b"") if len(ids) else b""
 
     def learn(self, units: list[bytes]) -> list[bytes]:
-        """The ids of each unit (int32)."""
-        if len(self.known) + len(units) > UNITS_KEPT:
-            self.known.clear()
-            self.wrong.clear()
+        """The ids of each unit (int32). Where room runs out, units that were asked for once only go."""
+        self.again.update(u for u in units if u in self.known)
         new = [u for u in units if u not in self.known]
+        if len(self.known) + len(new) > UNITS_KEPT:
+            stay = self.again if len(self.again) + len(new) <= UNITS_KEPT else self.again.intersection(units)
+            self.known, self.wrong, self.again = {u: self.known[u] for u in stay}, self.wrong & stay, set()
         sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for lo in range(0, len(new), UNITS_AT_ONCE):
             lists = self.encode_units([u.decode() for u in new[lo : lo + UNITS_AT_ONCE]])
@@ -75,6 +79,7 @@ def byte_level(path: str) -> Tokenizer:
     """A byte-level BPE file of the tokenizers library; its text is encoded as it is."""
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads of the library's own cost more CPU
     with open(path) as f:
         vocabulary = json.load(f)["model"]["vocab"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

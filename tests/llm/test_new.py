@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,30 @@ def test_templates_hold_a_hosts_tokens(spark, sites):
     assert [b.text for b in blocks if b.token in template.same] == ["Share this with all your friends", "About us and what we do"]
     copies = spark.createDataFrame([(k, f"http://c.example/{k}", site("elements", 5)[0]) for k in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in pages.extract(copies).collect()} == {site("elements", 5)[1]}
+
+
+def test_alignment_remembers_units_that_come_again(monkeypatch):
+    from tessera.llm import align
+
+    monkeypatch.setattr(align, "UNITS_KEPT", 12)
+    asked = []
+    side = align.Tokenizer([bytes([k]) for k in range(256)], lambda units: asked.extend(units) or [list(u.encode()) for u in units])
+    common = [f" often{k}".encode() for k in range(4)]
+    for run in range(30):
+        units = [*common, *(f" once{run}x{k}".encode() for k in range(5))]
+        got = side.learn(units)
+        assert [np.frombuffer(x, np.int32).astype(np.uint8).tobytes() for x in got] == units
+        assert len(side.known) <= 12
+    assert all(asked.count(u.decode()) == 1 for u in common) and len(asked) == 4 + 30 * 5
+
+
+def test_alignment_takes_one_core_a_task(monkeypatch):
+    import os
+
+    import public_tokenizers as P
+
+    from tessera.llm.align import byte_level
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    byte_level(P.path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
