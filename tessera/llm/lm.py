@@ -34,6 +34,8 @@ FILTER_MB, ENTRY_BITS, HASHES, SHARDS, REGISTER_BITS = 192, 8, 4, 8, 14
 WORD_BYTES, PAIR_BYTES, TASKS = 16 << 20, 8 << 20, 20_000
 #: A word that makes up over one part in COMMON of the tokens stays with its texts: its count comes to them. At most COMMON words.
 COMMON = 20_000
+#: Bytes of a line: all bits of an item and level are in one, so that a probe waits for memory once.
+LINE = 64
 #: Keys that probe a filter at once.
 PROBES = 1 << 15
 #: Ratios of successive levels: for counts of words and of what follows them, and for pairs. Levels of a pair on average, for sizing.
@@ -67,13 +69,13 @@ class Filter:
 
     @staticmethod
     def empty(parts: int, size: int | np.ndarray) -> Filter:
-        at = np.concatenate([[0], np.cumsum(np.maximum(8, np.broadcast_to(size, parts)))])
+        at = np.concatenate([[0], np.cumsum(np.maximum(1, -(-np.broadcast_to(size, parts) // LINE)) * LINE)])
         return Filter(np.zeros(at[-1], np.uint8), at)
 
     @staticmethod
     def joined(parts: list[np.ndarray | None]) -> Filter:
         """One filter of parts that were made on their own; a missing one holds nothing."""
-        parts = [np.zeros(8, np.uint8) if x is None else x for x in parts]
+        parts = [np.zeros(LINE, np.uint8) if x is None else x for x in parts]
         return Filter(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
 
     @property
@@ -83,10 +85,13 @@ class Filter:
     def base(self, key: np.ndarray, level: int | np.ndarray) -> np.ndarray:
         return join_hash(key, np.uint64(level) if isinstance(level, int) else level.astype(np.uint64))
 
-    def place(self, base: np.ndarray, k: int, width: np.ndarray | np.uint64) -> np.ndarray:
-        """The k-th bit of items, within their part: both halves of the base, scaled to the part's width in bits."""
-        low = np.uint64(0xFFFFFFFF)
-        return ((((base & low) + np.uint64(k) * (base >> np.uint64(32))) & low) * width) >> np.uint64(32)
+    def line(self, base: np.ndarray, lines: np.ndarray | np.uint64) -> np.ndarray:
+        """The line of items within their part of so many: the base's lower half, scaled."""
+        return ((base & np.uint64(0xFFFFFFFF)) * lines) >> np.uint64(32)
+
+    def bit(self, base: np.ndarray, k: int) -> np.ndarray:
+        """The k-th bit of items within their line, by two numbers of the base's upper half."""
+        return ((base >> np.uint64(32)) + np.uint64(k) * ((base >> np.uint64(41)) | np.uint64(1))) & np.uint64(8 * LINE - 1)
 
     def enter(self, part: int, key: np.ndarray, level: np.ndarray) -> None:
         """Adds every key with each of 1..level."""
@@ -94,8 +99,9 @@ class Filter:
         base = self.base(deep, np.arange(len(deep)) - np.repeat(n - level, level) + 1)
         lo, hi = self.at[part], self.at[part + 1]
         on = np.zeros(8 * (hi - lo), bool)
+        first = self.line(base, np.uint64((hi - lo) // LINE)) * np.uint64(8 * LINE)
         for k in range(HASHES):
-            on[self.place(base, k, np.uint64(len(on)))] = True
+            on[first + self.bit(base, k)] = True
         self.flat[lo:hi] |= np.packbits(on, bitorder="little")
 
     def level(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -104,18 +110,21 @@ class Filter:
         Keys go PROBES at a time and part by part, so that both they and the bits asked for stay in cache.
         """
         found = np.zeros(len(key), np.int64)
-        widths = (8 * np.diff(self.at)).astype(np.uint64)
-        order = np.argsort(part, kind="stable")
+        starts, lines = self.at[:-1].astype(np.uint64), (np.diff(self.at) // LINE).astype(np.uint64)
+        order = np.argsort(part.astype(np.uint16) if len(lines) <= 1 << 16 else part, kind="stable")  # short ones are sorted by radix
         for lo in range(0, len(key), PROBES):
             alive, level = order[lo : lo + PROBES], 0
+            item, own = key[alive], part[alive]
+            start, width = starts[own], lines[own]
             while len(alive):
                 level += 1
-                base, own = self.base(key[alive], level), part[alive]
-                start, width = self.at[own], widths[own]
+                base = self.base(item, level)
+                first, at = start + self.line(base, width) * np.uint64(LINE), None
                 for k in range(HASHES):
-                    at = self.place(base, k, width)
-                    hit = np.flatnonzero((self.flat[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                    alive, base, start, width = alive[hit], base[hit], start[hit], width[hit]
+                    bit = self.bit(base, k)
+                    hit = np.flatnonzero((self.flat[(first + (bit >> np.uint64(3))).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    at, base, first = hit if at is None else at[hit], base[hit], first[hit]
+                alive, item, start, width = alive[at], item[at], start[at], width[at]
                 found[alive] = level
         return found
 
@@ -481,6 +490,13 @@ def pass_of(first: np.ndarray, passes: int) -> np.ndarray:
     return (mix(first ^ np.uint64(0xABCDEF)) % np.uint64(passes)).astype(np.int64)
 
 
+def used(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n places occur, in order, and the number of each among them."""
+    there = np.zeros(n, bool)
+    there[places] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[places]
+
+
 def log_scores(words: Words, model: Model, passes: int, this: int) -> np.ndarray:
     """The log10 probability of each text, or of its tokens whose first word belongs to pass `this`."""
     h = np.append(words.hashes, START)
@@ -488,8 +504,7 @@ def log_scores(words: Words, model: Model, passes: int, this: int) -> np.ndarray
     mine = slice(None) if passes == 1 else np.flatnonzero((pass_of(h, passes) == this)[before])
     key, which = np.unique(before[mine] * len(h) + ids[mine], return_inverse=True)
     a, b = np.divmod(key, len(h))
-    first, a = np.unique(a, return_inverse=True)  # only words that this pass needs are probed
-    second, b = np.unique(b, return_inverse=True)
+    (first, a), (second, b) = used(a, len(h)), used(b, len(h))  # only words that this pass needs are probed
     unit = (model.word_counts(h[second]) + 0.5) / (model.rounded + 0.5 * (model.kinds + 1))
     h1, h2 = h[first], h[second]
     home = shard_of(h1, model.shards)

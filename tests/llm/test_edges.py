@@ -460,3 +460,19 @@ def test_near_looks_up_a_node_once_for_all_lists_that_it_is_in(spark, monkeypatc
     assert {r["component_id"] for r in label.collect()} == {0}
     assert "own" in made and "LeftOuter" in made["own"]
     assert not any("LeftOuter" in made[name] for name in ("more-pairs", "more-tiles"))
+
+
+def test_filter_keeps_the_bits_of_a_probe_in_one_line():
+    from tessera.llm import lm
+
+    rng = np.random.default_rng(3)
+    key, level = rng.integers(0, 2**63, 40_000, dtype=np.uint64), rng.choice([1, 2, 5], 40_000)
+    one = lm.Filter.empty(3, 8192)
+    one.enter(1, key[:1], np.array([1]))
+    on = np.flatnonzero(one.flat)
+    assert 1 <= len(on) <= lm.HASHES and len(set(on // 64)) == 1 and 8192 <= on[0] < 16384
+    full = lm.Filter.empty(2, int(level.sum()) * lm.ENTRY_BITS // 8)
+    full.enter(1, key, level)
+    assert (full.level(np.ones(len(key), np.int64), key) >= level).all()
+    assert (full.level(np.ones(100_000, np.int64), rng.integers(0, 2**63, 100_000, dtype=np.uint64)) > 0).mean() < 0.03
+    assert not full.level(np.zeros(100, np.int64), key[:100]).any()
