@@ -36,6 +36,8 @@ WORD_BYTES, PAIR_BYTES, TASKS = 16 << 20, 8 << 20, 20_000
 COMMON = 20_000
 #: Bytes of a line: all bits of an item and level are in one, so that a probe waits for memory once.
 LINE = 64
+#: Items whose levels a worker remembers for a filter, at most; a power of two.
+KEPT = 1 << 19
 #: Keys that probe a filter at once.
 PROBES = 1 << 15
 #: Ratios of successive levels: for counts of words and of what follows them, and for pairs. Levels of a pair on average, for sizing.
@@ -129,6 +131,22 @@ class Filter:
         return found
 
 
+    def recalled(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """What level gives, remembering items of several levels: frequent ones come in every run of texts and are asked for most often."""
+        if not hasattr(self, "names"):
+            self.names, self.known = np.zeros(KEPT, np.uint64), np.zeros(KEPT, np.uint8)
+        name = key + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        slot = (name & np.uint64(KEPT - 1)).view(np.int64)
+        found = np.where(self.names[slot] == name, self.known[slot], 0).astype(np.int64)
+        new = np.flatnonzero(found == 0)
+        found[new] = self.level(part[new], key[new])
+        several = new[found[new] > 1]
+        several = several[found[several] >= self.known[slot[several]]]
+        several = several[np.argsort(found[several].astype(np.uint8), kind="stable")]  # of several for a slot the highest is written last
+        self.names[slot[several]], self.known[slot[several]] = name[several], found[several]
+        return found
+
+
 def quantised(count: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The level of each count: the number of levels that start at or below it."""
     return np.searchsorted(table, count, side="right")
@@ -382,7 +400,7 @@ class Model:
 
     def word_counts(self, hashes: np.ndarray) -> np.ndarray:
         """By one round of probes for all parts: their number grows with the corpus."""
-        level = self.words.level(shard_of(hashes, len(self.words.at) - 1), hashes ^ _WORD)
+        level = self.words.recalled(shard_of(hashes, len(self.words.at) - 1), hashes ^ _WORD)
         return np.where(level > 0, _FINE[level - 1], 0)
 
     def part(self, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -508,13 +526,13 @@ def log_scores(words: Words, model: Model, passes: int, this: int) -> np.ndarray
     unit = (model.word_counts(h[second]) + 0.5) / (model.rounded + 0.5 * (model.kinds + 1))
     h1, h2 = h[first], h[second]
     home = shard_of(h1, model.shards)
-    totals, kinds = (model.pairs.level(home, h1 ^ k) for k in (_TOTAL, _KINDS))
+    totals, kinds = (model.pairs.recalled(home, h1 ^ k) for k in (_TOTAL, _KINDS))
     total = np.where(totals > 0, _FINE[np.minimum(totals, len(_FINE) - 1)] - 1, 0)  # no less than what was counted
     kind = np.where(totals > 0, np.maximum(_FINE[np.maximum(kinds, 1) - 1], 1), 0)
     pair = join_hash(h1[a], h2[b])
     seen = np.flatnonzero(total[a] > 0)
     level = np.zeros(len(key), np.int64)
-    level[seen] = model.pairs.level(model.part(h1[a[seen]], pair[seen]), join_hash(h1[a[seen]], pair[seen] >> np.uint64(24)) ^ _PAIR)
+    level[seen] = model.pairs.recalled(model.part(h1[a[seen]], pair[seen]), join_hash(h1[a[seen]], pair[seen] >> np.uint64(24)) ^ _PAIR)
     count = np.minimum(np.where(level > 0, _COARSE[level - 1], 0), total[a])
     p = np.where(total[a] > 0, (count + kind[a] * unit[b]) / np.maximum(total[a] + kind[a], 1), unit[b])
     logs = np.zeros(len(ids))

@@ -476,3 +476,21 @@ def test_filter_keeps_the_bits_of_a_probe_in_one_line():
     assert (full.level(np.ones(len(key), np.int64), key) >= level).all()
     assert (full.level(np.ones(100_000, np.int64), rng.integers(0, 2**63, 100_000, dtype=np.uint64)) > 0).mean() < 0.03
     assert not full.level(np.zeros(100, np.int64), key[:100]).any()
+
+
+def test_filter_asks_once_for_items_of_several_levels(monkeypatch):
+    from tessera.llm import lm
+
+    monkeypatch.setattr(lm, "KEPT", 1 << 12)
+    rng = np.random.default_rng(4)
+    key, level = rng.integers(0, 2**63, 2_000, dtype=np.uint64), rng.choice([1, 2, 9], 2_000)
+    part = rng.integers(0, 2, 2_000)
+    full = lm.Filter.empty(2, int(level.sum()) * lm.ENTRY_BITS // 8)
+    for s in range(2):
+        full.enter(s, key[part == s], level[part == s])
+    plain, asked, ask = full.level(part, key), [], lm.Filter.level
+    monkeypatch.setattr(lm.Filter, "level", lambda self, part, key: asked.append(len(key)) or ask(self, part, key))
+    for _ in range(3):
+        assert (full.recalled(part, key) == plain).all()
+    assert (full.recalled(1 - part, key) == ask(full, 1 - part, key)).all()
+    assert asked[0] == 2_000 and asked[1] < 0.6 * 2_000
